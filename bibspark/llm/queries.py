@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, langid, mixing, simhash
 
-QUERIES = {"op9_mixing": mixing.op9_mixing}
-ORACLES = {"op9_mixing": mixing.ORACLE}
+QUERIES = {
+    "op7_language_id": langid.op7_language_id,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_chat_formatting": chat.op10_chat_formatting,
+}
+ORACLES = {"op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
