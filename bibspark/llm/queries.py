@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, simhash
+from . import chat, langid, lines, mixing, simhash
 
 QUERIES = {
+    "op4_line_dedup": lines.op4_line_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
-ORACLES = {"op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
+ORACLES = {"op4_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
