@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, mixing, simhash
+from . import chat, langid, lines, mixing, quality, simhash
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_line_dedup": lines.op4_line_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
