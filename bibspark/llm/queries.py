@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, mixing, quality, simhash
+from . import chat, langid, lines, mixing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_line_dedup": lines.op4_line_dedup,
     "op7_language_id": langid.op7_language_id,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
-ORACLES = {"op4_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
+ORACLES = {"op1_sharding": sharding.ORACLE, "op4_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
