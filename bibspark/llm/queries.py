@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, lines, mixing, quality, sharding, simhash
+from . import ann, chat, langid, lines, mixing, pieces, quality, sharding, simhash
 
 QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op5_nearest": ann.op5_nearest,
     "op1_sharding": sharding.op1_sharding,
     "op3_quality_rules": quality.op3_quality_rules,
