@@ -1,10 +1,74 @@
-"""The corpus pipeline: documents in, token ids out."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, mixing to target weights, token ids.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and but for the last one returns
+the columns of documents. ``n_chars`` follows the text. Rows that are null, empty or repeated are handled as the
+operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bibspark.llm import langid, lines, mixing, pieces, simhash
+
+#: Below this score no language stands out, and the document is rejected along with those without a letter.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose text has no letter or resembles no language learnt; ``lang`` becomes the one predicted."""
+    model = langid.train(docs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    told = langid.predict(rows, model).where((F.col("language.lang_pred") != langid.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE))
+    return told.select(*[F.col("language.lang_pred").alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines that stand earlier in the corpus, alike or nearly so."""
+    out = lines.dedupe_lines(docs)
+    text = F.col("line_dedup.text")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each group of near copies."""
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id").distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["component_id"]), "left_semi")
+    # rows that repeat a doc_id are one document
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat and sample documents so that sources have their target weights."""
+    return mixing.sample(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_ids and ids of each document of the mix."""
+    out = pieces.encode(docs.select("doc_id", "source", "lang", "text"))
+    return out.select("doc_id", "source", "lang", "encoded.n_ids", "encoded.ids")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", token_ids),
+]
+
+#: SQL can't train the language models; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents. What each returns is written to the shared folder and read again."""
+    from bibspark.llm.common import materialize
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
