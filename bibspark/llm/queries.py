@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, lines, mixing, pieces, quality, sharding, simhash
+from . import ann, chat, langid, lines, mixing, pieces, quality, sharding, simhash, substrings
 
 QUERIES = {
-    "op2_sentencepiece": pieces.op2_sentencepiece,
-    "op5_nearest": ann.op5_nearest,
     "op1_sharding": sharding.op1_sharding,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_nearest": ann.op5_nearest,
+    "op6_suffix_array": substrings.op6_suffix_array,
     "op7_language_id": langid.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
