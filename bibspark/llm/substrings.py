@@ -11,11 +11,11 @@ judged on the input. Exact, over all documents and whole texts; matches don't cr
    later documents it is covered whole. A context that is alone under its anchor has nothing else to be compared with. The
    contexts of other anchors are fetched from their texts.
 3. Column-wise construction (``suffix_order``). A collection of contexts is sorted by inserting one symbol of each per
-   round, from the last to the first. A round sets the symbol before each string's newest suffix in the collection's
+   round, from the last to the first; the last 49 bytes of each, which hold no string, are sorted to start with. A round sets the symbol before each string's newest suffix in the collection's
    Burrows-Wheeler transform, whose stable order by symbol gives the new suffixes' places, and merges them in; common
    prefixes are updated for the new suffixes and for those that follow them, by least values between equal symbols. All
    strings of a common prefix of 50 bytes stand together in the end; the least document among them is what covers the
-   others. There are at most 77 rounds, whatever a document's length. Each round reads and writes the transform and the
+   others. There are at most 27 rounds, whatever a document's length. Each round reads and writes the transform and the
    prefixes once, front to back; a collection is made of whole anchor groups up to ``COLLECTION`` strings, and read from and
    written to sequential files (of the shuffle) between the steps. An anchor with more than ``HOT`` contexts is dealt out
    by its 50-byte strings instead, each a string of the collection on its own, so that it doesn't meet in one task.
@@ -47,7 +47,7 @@ CONTEXT = BEFORE + LENGTH
 SLICE = 4 << 20  # bytes that a scan holds at once, about
 PER_PART = 400_000  # anchors in a part, about
 TEXT_PART = 16 << 20  # bytes of text in a part of the join, about
-COLLECTION, HOT = 16_384, 65_536
+COLLECTION, HOT = 4_096, 65_536
 BASE = 0x9E3779B97F4A7C15
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 U64 = np.uint64
@@ -300,34 +300,56 @@ def _fetch(batches, parts: int):
         yield out()
 
 
-def suffix_order(cells: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String, offset and common prefix with the one before, of all suffixes of a collection in their order.
+def suffix_order(cells: np.ndarray, size: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, offset and common prefix with the one before, of all suffixes of ``depth`` bytes or more, in their order.
 
-    ``cells``: a row of bytes for each string, ``size`` of which count. Each round inserts one symbol of each string.
+    ``cells``: a row of bytes for each string, ``size`` of which count (``depth`` at least). The ends of ``depth`` bytes are sorted
+    to start with; from there on each round inserts one symbol of each string.
     """
     m = len(size)
-    # round 0: the empty suffixes, in the order of the strings
-    bwt, prefix = np.zeros(m, np.uint8), np.zeros(m, np.uint8)
-    owner, offset = np.arange(m, dtype=np.int32), size.astype(np.uint8)
-    newest = np.arange(m)  # where each string's newest suffix stands
-    left = size.astype(np.int64)
+    left = size.astype(np.int64) - depth
+    every = np.arange(m)
+
+    def piece(who: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return cells[who[:, None], at[:, None] + np.arange(depth)]
+
+    def words(rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows + np.uint8(1)).view(f"S{depth}").ravel() if depth else np.zeros(len(rows), "S1")
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The common prefix of rows of ``depth`` bytes."""
+        return np.logical_and.accumulate(x == y, axis=1).sum(axis=1).astype(np.uint8) if depth else np.zeros(len(x), np.uint8)
+
+    ends = piece(every, left)
+    start = np.argsort(words(ends), kind="stable")
+    known = words(ends)[start]
+    bwt, owner, offset = np.zeros(m, np.uint8), start.astype(np.int32), left[start].astype(np.uint8)
+    prefix = np.zeros(m, np.uint8)
+    prefix[1:] = alike(ends[start[1:]], ends[start[:-1]])
+    end = np.ones(m, bool)  # an end of ``depth`` bytes
+    newest = np.empty(m, np.int64)  # where each string's newest suffix stands
+    newest[start] = every
     while True:
         live = np.flatnonzero(left > 0)
         if not len(live):
             return owner, offset, prefix
-        bwt[newest[live]] = cells[live, left[live] - 1] + np.uint8(1)  # 0 ends a string
-        # the stable order by symbol: suffix by suffix, what a symbol in front of it makes
+        left[live] -= 1
+        bwt[newest[live]] = cells[live, left[live]] + np.uint8(1)  # 0 ends a string
+        # the stable order by symbol is that of what a symbol in front of a suffix makes
         order = np.argsort(bwt, kind="stable")
         order = order[np.searchsorted(bwt[order], 1) :]
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         r = rank[newest[live]]
-        place = m + r
-        # common prefixes: one more than the least between the suffix behind and that of the neighbour with the same symbol
-        around, symbol = np.concatenate([[-1], order, [-1]]), np.concatenate([[0], bwt[order], [0]])
-        mine = around[r + 1]
-        low = np.where(symbol[r] == symbol[r + 1], around[r], -1)
-        high = np.where(symbol[r + 2] == symbol[r + 1], around[r + 2], -1)
+        ahead = piece(live, left[live])
+        place = r + np.searchsorted(known, words(ahead), side="right")  # the ends that come before
+        # neighbours with the same symbol: one more than the least common prefix between the suffixes behind
+        around = np.concatenate([[-1], order, [-1]])
+        mine, low, high = around[r + 1], around[r], around[r + 2]
+        symbol = bwt[mine]
+        low = np.where((low >= 0) & (bwt[low] == symbol), low, -1)
+        high = np.where((high >= 0) & (bwt[high] == symbol), high, -1)
+        padded = np.append(prefix, np.uint8(255))
 
         def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """1 + the least prefix in (a, b], 0 where there is no neighbour."""
@@ -337,35 +359,42 @@ def suffix_order(cells: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
                 o = ok[np.argsort(a[ok], kind="stable")]
                 pairs = np.empty(2 * len(o), np.int64)
                 pairs[::2], pairs[1::2] = a[o] + 1, b[o] + 1
-                out[o] = np.minimum.reduceat(np.append(prefix, np.uint8(255)), pairs)[::2] + np.uint8(1)
+                out[o] = np.minimum.reduceat(padded, pairs)[::2] + np.uint8(1)
             return out
 
         before, after = shared(low, mine), shared(mine, high)
         total = m + len(order)
-        fresh = np.zeros(total, bool)
-        fresh[place] = True
-        old = ~fresh
+        old = np.ones(total, bool)
+        old[place] = False
 
-        def merged(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+        def merged(x: np.ndarray, new) -> np.ndarray:
             out = np.empty(total, x.dtype)
             out[old] = x
             out[place] = new
             return out
 
-        left[live] -= 1
-        bwt = merged(bwt, 0)
-        owner, offset, prefix = merged(owner, live), merged(offset, left[live]), merged(prefix, before)
-        follows = high >= 0
-        follower = place[follows] + 1
-        keep = old[follower]  # a follower that is new itself has its own
-        prefix[follower[keep]] = after[follows][keep]
-        # older suffixes have moved; only the live strings' newest ones matter
+        bwt, owner, offset = merged(bwt, 0), merged(owner, live), merged(offset, left[live])
+        prefix, end = merged(prefix, before), merged(end, False)
+        # next to an end it is bytes that are compared
+        i = np.flatnonzero(end[place - 1] & (place > 0))
+        p = place[i] - 1
+        prefix[place[i]] = alike(ahead[i], piece(owner[p], offset[p].astype(np.int64)))
+        i = np.flatnonzero(place + 1 < total)
+        q = place[i] + 1
+        stays = old[q]  # what is new itself has its own
+        i, q = i[stays], q[stays]
+        prefix[q] = after[i]
+        at_end = end[q]
+        i, q = i[at_end], q[at_end]
+        prefix[q] = alike(ahead[i], piece(owner[q], offset[q].astype(np.int64)))
         newest[live] = place
 
 
 def covered(cells: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """String and offset of each LENGTH-byte string of a collection that also starts in a smaller document."""
-    owner, offset, prefix = suffix_order(cells, size)
+    fits = np.flatnonzero(size >= LENGTH)
+    owner, offset, prefix = suffix_order(cells[fits], size[fits], LENGTH - 1)
+    owner = fits[owner]
     long = size[owner] - offset.astype(np.int64) >= LENGTH
     group = np.cumsum(prefix < LENGTH)
     # a suffix that is too short has no common prefix of that length with any
