@@ -421,9 +421,14 @@ def _construct(batches, text_parts: int, collection: int):
             b = cuts[k]
             who, at = covered(cells[a:b], about["size"][a:b].astype(np.int64), about["doc"][a:b])
             if len(who):
-                mine = about[a:b][who]
-                first = mine["start"] + at.astype(np.uint32)
-                yield _batch([(2 * p, *c) for p, c in _deal(mine["doc"] % text_parts, [mine["doc"], mine["tag"], first, first + np.uint32(LENGTH), np.zeros(len(who), np.uint8)])], NAMES)
+                o = np.lexsort((at, who))
+                who, at = who[o], at[o].astype(np.int64)
+                # neighbouring strings of one context are one span
+                first = np.flatnonzero(_starts(who, at - np.arange(len(at))))
+                last = np.append(first[1:], len(who)) - 1
+                mine = about[a:b][who[first]]
+                spans = [(mine["start"] + x).astype(np.uint32) for x in (at[first], at[last] + LENGTH)]
+                yield _batch([(2 * p, *c) for p, c in _deal(mine["doc"] % text_parts, [mine["doc"], mine["tag"], *spans, np.zeros(len(mine), np.uint8)])], NAMES)
             a = b
 
 
