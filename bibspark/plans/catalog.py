@@ -1,4 +1,464 @@
 """The queries of the engine, and the SQL that each is held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bibspark.functions import jsonx, months, scanner
+from bibspark.functions import text as tx
+from bibspark.operators import dedupe, enrich, parse, refs, render
+from bibspark.plans import corpus
+from bibspark.plans.corpus import BIB, FOLD, REFS, SIGNED, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _entries(spark, sf_dir):
+    return parse.entries(corpus.bib_sources(spark, sf_dir))
+
+
+def _numbers(df, *cols):
+    return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+# Parsing
+
+
+@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, 'article' AS type, key FROM bib")
+def parse_entries(spark, sf_dir):
+    return _numbers(_entries(spark, sf_dir).select("source_path", "ord", "type", "key"))
+
+
+@query(f"WITH {BIB} SELECT source_path, CAST(row_number() OVER (PARTITION BY source_path ORDER BY ord) - 1 AS BIGINT) AS ord, 'NO_KEY' AS code, 'misc' AS type FROM bib WHERE doc_id % 23 = 0")
+def parse_errors(spark, sf_dir):
+    return _numbers(parse.errors(corpus.bib_sources(spark, sf_dir)).select("source_path", "ord", "code", "type"))
+
+
+@query(f"WITH {BIB} SELECT source_path, count(*) AS entries, CAST(count(*) FILTER (doc_id % 23 = 0) AS BIGINT) AS errors FROM bib GROUP BY source_path")
+def parse_skip_constructs(spark, sf_dir):
+    rows = parse.parsed(corpus.bib_sources(spark, sf_dir))
+    return _numbers(rows.select("source_path", F.size("parsed.entries").alias("entries"), F.size("parsed.errors").alias("errors")))
+
+
+@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, title, year, month, 'n' || CAST(doc_id AS VARCHAR) AS note FROM bib")
+def extract_fields(spark, sf_dir):
+    return _numbers(parse.fields(_entries(spark, sf_dir), "title", "year", "month", "note", "doi").where("doi IS NULL").select("source_path", "ord", "title", "year", "month", "note"))
+
+
+@query(f"""WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, CAST(i - 1 AS BIGINT) AS pos, ['title', 'year', 'month', 'note'][CAST(i AS INT)] AS name,
+  [title, year, month, 'n' || CAST(doc_id AS VARCHAR)][CAST(i AS INT)] AS value FROM bib, range(1, 5) g(i)""")
+def parse_all_fields(spark, sf_dir):
+    return _numbers(parse.field_rows(_entries(spark, sf_dir)))
+
+
+@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, key AS shown FROM bib")
+def display_key(spark, sf_dir):
+    return _numbers(_entries(spark, sf_dir).select("source_path", "ord", tx.display_key(F.col("raw")).alias("shown")))
+
+
+# De-duplication
+
+
+@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, key FROM bib QUALIFY row_number() OVER (PARTITION BY source_path, key ORDER BY ord) = 1")
+def dedupe_key(spark, sf_dir):
+    return _numbers(dedupe.unique(_entries(spark, sf_dir), smart=False).select("source_path", "ord", "key"))
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT source_path, CAST(ord AS BIGINT) AS ord, key FROM fold WHERE reason IS NULL")
+def dedupe_smart(spark, sf_dir):
+    return _numbers(dedupe.unique(_entries(spark, sf_dir)).select("source_path", "ord", "key"))
+
+
+_CHAIN = FOLD.replace("s AS (SELECT *,", "s AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY source_path, ord) - 1 AS INTEGER) AS ord, 'all' AS source_path), source_path AS own_path, ord AS own_ord,", 1)
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT s.own_path AS source_path, CAST(s.own_ord AS BIGINT) AS ord, fold.key, fold.kept_key, fold.reason FROM fold JOIN s USING (ord)")
+def dedupe_smart_corpus(spark, sf_dir):
+    return _numbers(dedupe.judged(_entries(spark, sf_dir), scope="corpus").select("source_path", "ord", "key", "kept_key", "reason"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS ord, p_brand || CAST(p_size % 7 AS VARCHAR) AS key, CASE WHEN length(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')) >= 10 THEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') END AS sig FROM part),
+fold AS (SELECT ord, [key] AS ks, CASE WHEN sig IS NULL THEN []::VARCHAR[] ELSE [sig] END AS ss, true AS kept FROM s WHERE ord = 0 UNION ALL
+  SELECT ord, CASE WHEN x THEN ks ELSE list_append(ks, key) END, CASE WHEN x OR sig IS NULL THEN ss ELSE list_append(ss, sig) END, NOT x FROM
+  (SELECT s.*, f.ks, f.ss, list_contains(f.ks, s.key) OR coalesce(list_contains(f.ss, s.sig), false) AS x FROM fold f JOIN s ON s.ord = f.ord + 1))
+SELECT count(*) AS total, CAST(count(*) FILTER (kept) AS BIGINT) AS kept, CAST(sum(ord) FILTER (kept) AS BIGINT) AS places FROM fold""")
+def dedupe_rounds_on_part(spark, sf_dir):
+    """The rounds over a table with few titles: many entries hang together."""
+    part = table(spark, sf_dir, "part")
+    least = part.agg(F.min("p_partkey").alias("m"))
+    rows = part.crossJoin(F.broadcast(least)).select(F.lit("part").alias("source_path"), (F.col("p_partkey") - F.col("m")).cast("int").alias("ord"), F.concat("p_brand", (F.col("p_size") % 7).cast("string")).alias("key"), F.concat(F.lit("@misc{k, title={"), "p_name", F.lit("}}")).alias("raw"))
+    told = dedupe.judged(rows, scope="corpus")
+    return told.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("kept"), F.sum(F.when(F.col("reason").isNull(), F.col("ord"))).alias("places"))
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT source_path, CAST(ord AS BIGINT) AS ord, key AS dropped_key, kept_key, reason FROM fold WHERE reason IS NOT NULL")
+def duplicates_log(spark, sf_dir):
+    return _numbers(dedupe.duplicates(_entries(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {FOLD} SELECT source_path, count(*) AS total, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS "unique", CAST(count(*) FILTER (reason IS NOT NULL) AS BIGINT) AS duplicates,
+  (SELECT CAST(count(*) AS BIGINT) FROM bib b WHERE b.source_path = fold.source_path AND b.doc_id % 23 = 0) AS parse_errors FROM fold GROUP BY source_path""")
+def dedupe_summary(spark, sf_dir):
+    return dedupe.summary(corpus.bib_sources(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT source_path, string_agg(key, ',' ORDER BY key) AS keys FROM fold WHERE reason IS NULL GROUP BY source_path")
+def sorted_output(spark, sf_dir):
+    rows = dedupe.unique(_entries(spark, sf_dir), sort_by_key=True)
+    return rows.groupBy("source_path").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
+
+
+# Months
+
+_SPELL = "CASE o_orderkey % 6 WHEN 0 THEN monthname(o_orderdate) WHEN 1 THEN lower(left(monthname(o_orderdate), 3)) WHEN 2 THEN CAST(month(o_orderdate) AS VARCHAR) WHEN 3 THEN '{' || left(monthname(o_orderdate), 3) || '.}' WHEN 4 THEN 'x' ELSE left(monthname(o_orderdate), 3) || '. 12' END"
+_SPELL_N = "CASE o_orderkey % 6 WHEN 4 THEN NULL WHEN 5 THEN 12 ELSE month(o_orderdate) END"
+
+
+def _spelled(spark, sf_dir):
+    full = F.get(F.array(*map(F.lit, months.FULL)), F.month("o_orderdate") - 1)
+    short = F.left(full, F.lit(3))
+    k = F.col("o_orderkey") % 6
+    said = F.when(k == 0, full).when(k == 1, F.lower(short)).when(k == 2, F.month("o_orderdate").cast("string")).when(k == 3, F.concat(F.lit("{"), short, F.lit(".}"))).when(k == 4, F.lit("x")).otherwise(F.concat(short, F.lit(". 12")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+
+
+@query(f"SELECT o_orderkey, {_SPELL} AS said, CAST({_SPELL_N} AS BIGINT) AS number FROM orders")
+def month_parse(spark, sf_dir):
+    return _spelled(spark, sf_dir).withColumn("number", months.month_number(F.col("said")).cast("long"))
+
+
+_NAMES = ", ".join(f"'{m}'" for m in months.FULL)
+_SHORT = ", ".join(f"'{m}'" for m in months.ABBREV_DOT)
+
+
+@query(f"SELECT o_orderkey, coalesce([{_NAMES}][{_SPELL_N}], {_SPELL}) AS full_name, coalesce([{_SHORT}][{_SPELL_N}], {_SPELL}) AS short_name, {_SPELL} AS kept FROM orders")
+def month_format(spark, sf_dir):
+    rows, n = _spelled(spark, sf_dir), months.month_number(F.col("said"))
+    style = lambda s: months.format_month(n, s, F.col("said"))
+    return rows.select("o_orderkey", style("FULL_NAME").alias("full_name"), style("ABBREV_DOT").alias("short_name"), style("KEEP_ORIGINAL").alias("kept"))
+
+
+@query(f"SELECT o_orderkey, [{_NAMES}][month(o_orderdate)] AS name FROM orders")
+def month_from_iso(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", months.iso_month(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("name"))
+
+
+@query(f"""WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, ['Jan.', 'Feb.', 'Mar.', 'Apr.', 'May', 'Jun.', 'Sep.', 'Mar.', '13', 'Dec.'][CAST(doc_id % 10 + 1 AS INT)] AS month, title FROM bib""")
+def month_rewrite(spark, sf_dir):
+    rows = dedupe.normalize_months(_entries(spark, sf_dir), "ABBREV_DOT")
+    return _numbers(parse.fields(rows, "month", "title").select("source_path", "ord", "month", "title"))
+
+
+# Text
+
+
+@query(f"WITH {SIGNED} SELECT doc_id, sig AS signature FROM s")
+def title_signature(spark, sf_dir):
+    return corpus.bib_rows(spark, sf_dir).select("doc_id", tx.title_signature(F.col("title")).alias("signature"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[\s\x0B]+', ' ', 'g'), '[{}]', '', 'g')) AS form FROM documents")
+def compare_normal_form(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.compare_form(F.col("text")).alias("form"))
+
+
+@query(r"""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'), '{', '\{'), '}', '\}'), '~', '\~{}'), '^', '\^{}') AS safe FROM documents""")
+def escape_bibtex(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.escape_bibtex(F.col("text")).alias("safe"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '^[A-Z][a-z]+') THEN lower(regexp_extract(text, '^[A-Z][a-z]+')) ELSE 'ref' END
+  || CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE CAST(2000 + doc_id % 25 AS VARCHAR) END
+  || coalesce(lower(list_filter(regexp_split_to_array(text, '[\s\x0B]+'), lambda w: regexp_full_match(w, '[A-Za-z]{5,}'))[1]), '') AS key FROM documents""")
+def generate_key(spark, sf_dir):
+    year = F.when(F.col("doc_id") % 3 != 0, (2000 + F.col("doc_id") % 25).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.generate_key(F.col("text"), year, F.col("doc_id"), F.col("text")).alias("key"))
+
+
+_KINDS = ["journal-article", "Article", "book", "book-chapter", "chapter", "proceedings-article", "proceedings", "dissertation", "thesis", "report", "dataset"]
+_KIND_LIST = ", ".join(f"'{k}'" for k in _KINDS)
+
+
+@query(f"SELECT p_partkey, ['article', 'article', 'book', 'incollection', 'incollection', 'inproceedings', 'inproceedings', 'phdthesis', 'phdthesis', 'techreport', 'misc'][CAST(p_partkey % 11 + 1 AS INT)] AS type FROM part")
+def type_mapping(spark, sf_dir):
+    kind = F.expr(f"element_at(array({_KIND_LIST}), CAST(p_partkey % 11 + 1 AS INT))")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.entry_type(kind).alias("type"))
+
+
+_AUTHORS = "CASE c_custkey % 7 WHEN 0 THEN 'Smith, Ann and Bo Li' WHEN 1 THEN 'Single' WHEN 2 THEN '' WHEN 3 THEN 'Optimal Control, A' WHEN 4 THEN 'Doe, J (ed)' WHEN 5 THEN repeat('Doe, Jane and ', 21) || 'Doe, Jane' ELSE repeat('x', 79) || ', y' END"
+
+
+@query("SELECT c_custkey, c_custkey % 7 = 0 AS ok FROM customer")
+def author_valid(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_AUTHORS} AS a").select("c_custkey", tx.plausible_authors(F.col("a")).alias("ok"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Customer' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'C, Ann B' ELSE 'Lee, Kim' END AS inverted, CASE c_custkey % 3 WHEN 1 THEN 'C' WHEN 0 THEN 'Customer' || CAST(c_custkey AS VARCHAR) ELSE 'Lee' END AS surname FROM customer")
+def authors_invert(spark, sf_dir):
+    name = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('Customer', CAST(c_custkey AS STRING)) WHEN 1 THEN 'Ann B C' ELSE 'Kim Lee' END")
+    authors = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('{Customer', CAST(c_custkey AS STRING), '}') WHEN 1 THEN 'Ann B C and Bo Li' ELSE 'Lee, Kim and Bo Li' END")
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.invert_name(name).alias("inverted"), tx.surname(authors).alias("surname"))
+
+
+@query("SELECT s_suppkey, 'https://api.crossref.org/works/10.5555%2F' || CAST(s_suppkey AS VARCHAR) AS by_doi, 'https://api.openalex.org/works?filter=title.search:On+supplier+' || CAST(s_suppkey AS VARCHAR) || '&per_page=1' AS by_title FROM supplier")
+def request_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('10.5555/', CAST(s_suppkey AS STRING)) AS doi", "concat('On {supplier} ', CAST(s_suppkey AS STRING)) AS title")
+    urls = tx.request_urls(F.col("doi"), F.col("title"))
+    pick = lambda s, k: F.filter(urls, lambda u: (u["source"] == s) & (u["lookup_kind"] == k))[0]["url"]
+    return rows.select("s_suppkey", pick("CrossRef", "doi").alias("by_doi"), pick("OpenAlex", "title").alias("by_title"))
+
+
+# JSON
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS absent FROM events")
+def json_string(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", jsonx.json_value(F.col("props"), "K").alias("k"), jsonx.json_value(F.col("props"), "absent").alias("absent"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind FROM events")
+def json_nested(spark, sf_dir):
+    body = F.concat(F.lit('{"k":"no","outer":{"inner": "'), "event_type", F.lit('", "k": ['), F.lit('"'), jsonx.json_value(F.col("props"), "k"), F.lit('"]}}'))
+    rows = table(spark, sf_dir, "events").select("event_id", body.alias("b"))
+    return rows.select("event_id", jsonx.nested_value(F.col("b"), "outer", "k").alias("k"), jsonx.nested_value(F.col("b"), "outer", "inner").alias("kind"))
+
+
+def _decoded(source):
+    cols = ", ".join(f"CAST({corpus.ANSWERS[source].get(f, 'NULL')} AS VARCHAR) AS {f}" for f in corpus.FIELDS)
+    sql = f"SELECT '10.5555/' || CAST(p_partkey AS VARCHAR) AS lookup_key, {cols} FROM part WHERE ({corpus.ANSWERS[source]['when']}) AND p_partkey % 4 <> 0"
+
+    def run(spark, sf_dir):
+        rows = corpus.responses(spark, sf_dir).where(f"source = '{source}' AND lookup_kind = 'doi'")
+        return enrich.candidates(rows).select("lookup_key", *[f"candidate.{f}" for f in corpus.FIELDS])
+
+    return run, sql
+
+
+for _name, _source in (("crossref_decode", "CrossRef"), ("s2_decode", "Semantic Scholar"), ("openalex_decode", "OpenAlex")):
+    QUERIES[_name], ORACLES[_name] = _decoded(_source)
+
+# References
+
+
+def _sections(spark, sf_dir):
+    return corpus.ref_documents(spark, sf_dir).select("doc_id", refs.find_section(F.col("content")).alias("section"))
+
+
+_BODY = """string_agg(CASE style WHEN 'bracket' THEN '[' || CAST(number AS VARCHAR) || '] ' WHEN 'dot' THEN CAST(number AS VARCHAR) || '. ' WHEN 'plain' THEN CAST(number AS VARCHAR) || ' ' ELSE '' END || text || CASE WHEN style = 'blank' AND pos + 1 < n THEN chr(10) ELSE '' END,
+  chr(10) ORDER BY number)"""
+
+
+@query(f"WITH {REFS} SELECT doc_id, {_BODY} AS section FROM r GROUP BY doc_id, style UNION ALL SELECT DISTINCT CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT), NULL FROM customer WHERE CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT) % 11 = 10")
+def find_section(spark, sf_dir):
+    return _sections(spark, sf_dir)
+
+
+@query("SELECT page_id, false AS has_references FROM pages")
+def find_section_in_pages(spark, sf_dir):
+    """Pages have no such section."""
+    return table(spark, sf_dir, "pages").select("page_id", refs.find_section(F.col("html")).isNotNull().alias("has_references"))
+
+
+def _split(style):
+    def run(spark, sf_dir):
+        rows = _sections(spark, sf_dir).where(F.col("doc_id") % 5 == refs.STRATEGIES.index(style))
+        rows = rows.select("doc_id", F.posexplode(refs.WAYS[style](F.col("section"))).alias("pos", "r"))
+        return _numbers(rows.select("doc_id", "pos", "r.number", "r.text"))
+
+    number = "number" if style in ("bracket", "dot", "plain") else "pos + 1"
+    return run, f"WITH {REFS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST({number} AS BIGINT) AS number, text FROM r WHERE style = '{style}'"
+
+
+for _style in refs.STRATEGIES:
+    QUERIES[f"split_{_style}"], ORACLES[f"split_{_style}"] = _split(_style)
+
+
+@query(f"""WITH {REFS} SELECT doc_id, CASE WHEN style = 'blank' AND n < 3 THEN 'author' WHEN style NOT IN ('blank', 'author') AND n < 5 THEN 'author' ELSE style END AS strategy, n AS refs FROM r GROUP BY ALL""")
+def strategy_choice(spark, sf_dir):
+    """Sections of ten references; shorter ones are at the ends of the table."""
+    rows = _sections(spark, sf_dir).where("section IS NOT NULL").select("doc_id", refs.split_references(F.col("section")).alias("s"))
+    return rows.select("doc_id", "s.strategy", F.size("s.refs").cast("long").alias("refs"))
+
+
+@query(f"WITH {REFS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, text, doi, year, title FROM r")
+def reference_details(spark, sf_dir):
+    return _numbers(refs.raw_references(corpus.ref_documents(spark, sf_dir)).select("doc_id", "pos", "text", "doi", "year", "title"))
+
+
+_BASIC = "'@misc{' || lower(surname) || year || 'accounts,' || chr(10) || '  title = {' || title || '},' || chr(10) || '  year = {' || year || '},' || chr(10) || '  doi = {' || doi || '},' || chr(10) || '  note = {Extracted from PDF - needs manual verification}' || chr(10) || '}'"
+
+
+@query(f"WITH {REFS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_BASIC} AS entry FROM r")
+def render_basic_entry(spark, sf_dir):
+    rows = refs.raw_references(corpus.ref_documents(spark, sf_dir))
+    return _numbers(rows.select("doc_id", "pos", refs.basic_entry(*[F.col(c) for c in ("number", "text", "doi", "year", "title")]).alias("entry")))
+
+
+def _ref_answers(spark, sf_dir):
+    rows = corpus.ref_rows(spark, sf_dir).where("c_custkey % 2 = 0")
+    return rows.selectExpr("'CrossRef' AS source", "'doi' AS lookup_kind", "doi AS lookup_key", "200 AS status", "concat('{\"title\":[\"', title, '\"],\"publisher\":\"House\"}') AS body")
+
+
+@query(f"""WITH {REFS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, number % 2 = 1 AS verified, CASE WHEN number % 2 = 1 THEN '@misc{{ref' || CASE WHEN style IN ('blank', 'author') THEN CAST(pos + 1 AS VARCHAR) ELSE CAST(number AS VARCHAR) END
+  || ',' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}},' || chr(10) || '  publisher = {{House}},' || chr(10) || '  doi = {{' || doi || '}},' || chr(10) || '  note = {{Extracted from PDF}},' || chr(10) || '}}'
+  ELSE {_BASIC} END AS entry, CASE WHEN number % 2 = 1 THEN 'Reference corrected from CrossRef' ELSE 'Could not find reference in any online source' END AS message FROM r""")
+def convert_references(spark, sf_dir):
+    raw = refs.raw_references(corpus.ref_documents(spark, sf_dir))
+    return _numbers(refs.convert(raw, _ref_answers(spark, sf_dir)).select("doc_id", "pos", "verified", "entry", "message"))
+
+
+@query(f"""WITH {REFS} SELECT doc_id, count(*) AS total_found, CAST(count(*) FILTER (number % 2 = 1) AS BIGINT) AS converted, CAST(count(*) FILTER (number % 2 = 0) AS BIGINT) AS errors, 4::BIGINT AS messages FROM r GROUP BY doc_id
+  UNION ALL SELECT DISTINCT CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT) AS d, 0, 0, 0, 1 FROM customer WHERE CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT) % 11 = 10""")
+def extraction_result(spark, sf_dir):
+    docs = corpus.ref_documents(spark, sf_dir)
+    out = refs.extraction(docs, refs.convert(refs.raw_references(docs), _ref_answers(spark, sf_dir)))
+    return out.select("doc_id", "total_found", "converted", "errors", F.size("messages").cast("long").alias("messages"))
+
+
+# Enrichment
+
+
+def _hits(spark, sf_dir):
+    return enrich.cascade(corpus.catalogue_entries(spark, sf_dir), enrich.candidates(corpus.responses(spark, sf_dir)))
+
+
+_PART = "'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, CAST(p_partkey % 1000 AS BIGINT) AS ord"
+
+
+@query(f"WITH {corpus.hits_sql()} SELECT {_PART}, source, CAST(score AS BIGINT) AS score FROM h")
+def completeness_score(spark, sf_dir):
+    return _numbers(_hits(spark, sf_dir).where("strategy < 3").select("source_path", "ord", "source", enrich.score(F.col("candidate")).alias("score")))
+
+
+@query(f"WITH {corpus.hits_sql()} SELECT {_PART}, source, CAST(score AS BIGINT) AS score FROM h QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, src) = 1")
+def best_candidate(spark, sf_dir):
+    return _numbers(enrich.best_candidate(_hits(spark, sf_dir).where("strategy < 3")).select("source_path", "ord", "source", "score"))
+
+
+_MERGE = f"{corpus.hits_sql()}, o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, src) = 1 THEN 0 ELSE src END AS o FROM h), m AS (SELECT p_partkey, min(strategy) AS strategy, arg_min(source, o) AS source, {corpus.MERGED_SQL} FROM o GROUP BY p_partkey)"
+
+
+@query(f"WITH {_MERGE} SELECT {_PART}, source, {', '.join(corpus.FIELDS)} FROM m")
+def merge_candidates(spark, sf_dir):
+    return _numbers(enrich.merged(_hits(spark, sf_dir).where("strategy < 3")).select("source_path", "ord", "data.source", *[f"data.{f}" for f in corpus.FIELDS]))
+
+
+@query(f"""WITH {corpus.hits_sql()}, e AS (SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in corpus.ENTRY.items())} FROM part)
+SELECT {_PART}, CAST(strategy AS BIGINT) AS strategy, count(*) AS hits FROM (SELECT p_partkey, strategy FROM h UNION ALL
+  SELECT p_partkey, 3 FROM e WHERE p_partkey % 8 = 4 AND p_partkey % 3 = 0 AND author IS NOT NULL AND year IS NOT NULL AND title IS NOT NULL) GROUP BY ALL""")
+def lookup_cascade(spark, sf_dir):
+    """Titles that are looked up by author and year are unique; the few entries without one share keys and are left out."""
+    entries = corpus.catalogue_entries(spark, sf_dir)
+    hits = _hits(spark, sf_dir).join(entries.select("source_path", "ord", "title"), ["source_path", "ord"])
+    hits = hits.where("strategy < 3 OR title IS NOT NULL")
+    return _numbers(hits.groupBy("source_path", "ord", "strategy").agg(F.count(F.lit(1)).alias("hits")))
+
+
+def _verified(spark, sf_dir, mode, style="FULL_NAME"):
+    return enrich.verify(corpus.catalogue_entries(spark, sf_dir), corpus.responses(spark, sf_dir), mode, style)
+
+
+def _corrected_sql(aggressive: bool) -> str:
+    """Fields of the corrected entries of parts that were found by DOI or title."""
+    e = ", ".join(f"{v} AS e_{k}" for k, v in corpus.ENTRY.items())
+    year = "CASE WHEN e_doi IS NOT NULL THEN coalesce(nullif(m.year, ''), e_year) ELSE coalesce(e_year, m.year) END" if aggressive else "coalesce(e_year, m.year)"
+    kind = "CASE WHEN m.type IS NULL THEN 'misc' ELSE CASE m.type WHEN 'journal-article' THEN 'article' WHEN 'article' THEN 'article' WHEN 'book-chapter' THEN 'incollection' ELSE 'misc' END END"
+    return f"""WITH {_MERGE}, e AS (SELECT p_partkey, {e} FROM part)
+SELECT {_PART.replace("p_partkey", "m.p_partkey")}, {kind} AS type, e_doi IS NOT DISTINCT FROM NULL AND m.doi IS NOT NULL AS doi_added, coalesce(e_author, m.authors) AS author, {year} AS year, m.month AS month, coalesce(m.volume, NULL) AS volume,
+  m.pages AS pages, m.issue AS number, m.publisher AS publisher, CASE WHEN {kind} = 'incollection' THEN m.container_title END AS booktitle, CASE WHEN {kind} <> 'incollection' THEN m.container_title END AS journal
+FROM m JOIN e USING (p_partkey)"""
+
+
+def _corrected(spark, sf_dir, mode):
+    rows = _verified(spark, sf_dir, mode).where("status IN ('CORRECTED', 'VERIFIED')")
+    rows = rows.join(_hits(spark, sf_dir).where("strategy < 3").select("source_path", "ord").distinct(), ["source_path", "ord"], "left_semi")
+    had = scanner.extract_fields(F.col("original"), "doi")["doi"].isNull()
+    got = parse.fields(rows.withColumn("raw", F.col("corrected")), "doi", "author", "year", "month", "volume", "pages", "number", "publisher", "booktitle", "journal")
+    kind = scanner.parse_text(F.col("raw"))["entries"][0]["type"]
+    return _numbers(got.select("source_path", "ord", kind.alias("type"), (had & F.col("doi").isNotNull()).alias("doi_added"), "author", "year", "month", "volume", "pages", "number", "publisher", "booktitle", "journal"))
+
+
+@query(_corrected_sql(False))
+def corrected_safe(spark, sf_dir):
+    return _corrected(spark, sf_dir, "SAFE")
+
+
+@query(_corrected_sql(True))
+def corrected_aggressive(spark, sf_dir):
+    return _corrected(spark, sf_dir, "AGGRESSIVE_DOI_ONLY")
+
+
+_FOUND = f"""{corpus.hits_sql()}, e AS (SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in corpus.ENTRY.items())} FROM part),
+k AS (SELECT DISTINCT 'Lovelace|' || year || coalesce('|' || left(title, 50), '') AS key FROM e WHERE p_partkey % 8 = 4 AND p_partkey % 3 = 0 AND year IS NOT NULL),
+st AS (SELECT p_partkey, CASE WHEN p_partkey IN (SELECT p_partkey FROM h) THEN 'CORRECTED'
+  WHEN author IS NOT NULL AND year IS NOT NULL AND 'Ada Lovelace|' || year || coalesce('|' || left(title, 50), '') IN (SELECT key FROM k) THEN 'CORRECTED'
+  WHEN author IS NOT NULL AND year IS NOT NULL AND 'Lovelace|' || year || coalesce('|' || left(title, 50), '') IN (SELECT key FROM k) THEN 'CORRECTED'
+  WHEN title IS NOT NULL THEN 'NOT_FOUND' ELSE 'SKIPPED' END AS status FROM e)"""
+
+
+@query(f"WITH {_FOUND} SELECT 'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, 0::BIGINT AS duplicates_removed, 0::BIGINT AS verified, CAST(count(*) FILTER (status = 'CORRECTED') AS BIGINT) AS corrected, CAST(count(*) FILTER (status = 'NOT_FOUND') AS BIGINT) AS not_found, 0::BIGINT AS errors, CAST(count(*) FILTER (status = 'SKIPPED') AS BIGINT) AS skipped FROM st GROUP BY 1")
+def verify_status_summary(spark, sf_dir):
+    none = spark.createDataFrame([], "source_path string")
+    return render.status_summary(_verified(spark, sf_dir, "SAFE"), none)
+
+
+# Output
+
+_RAW = r"""'@Article{' || key || ',' || chr(10) || '  title = {' || title || '},' || chr(10) || '  year = {' || year || '},' || chr(10) || '  month = ' || CASE doc_id % 3 WHEN 0 THEN '{' || month || '}' WHEN 1 THEN '"' || month || '"' ELSE month END || ',' || chr(10) || '  note = {n' || CAST(doc_id AS VARCHAR) || '}' || chr(10) || '}'"""
+_COUNTS = """c AS (SELECT source_path, count(*) AS total, count(*) FILTER (reason IS NULL) AS uniq, (SELECT count(*) FROM bib b WHERE b.source_path = fold.source_path AND b.doc_id % 23 = 0) AS bad FROM fold GROUP BY source_path)"""
+_OUT = f"""{FOLD}, {_COUNTS}, out AS (SELECT c.source_path, '% Total entries parsed: ' || total || chr(10) || '% Unique kept: ' || uniq || chr(10) || '% Duplicates removed: ' || (total - uniq) || chr(10) || '% Parse issues: ' || bad || chr(10)
+  || '% ' || repeat('=', 50) || chr(10) || chr(10) || (SELECT string_agg({_RAW.replace("key", "b.key").replace("title ||", "b.title ||").replace("year ||", "b.year ||")} || chr(10) || chr(10), '' ORDER BY b.ord) FROM bib b JOIN fold f ON f.source_path = b.source_path AND f.ord = b.ord WHERE f.reason IS NULL AND b.source_path = c.source_path) AS output FROM c)"""
+
+
+def _output(spark, sf_dir):
+    sources = corpus.bib_sources(spark, sf_dir)
+    return render.processed_output(dedupe.summary(sources), dedupe.unique(parse.entries(sources)))
+
+
+@query(f"WITH RECURSIVE {_OUT} SELECT source_path, output FROM out")
+def render_output(spark, sf_dir):
+    return _output(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_OUT}, p AS (SELECT source_path, unnest(string_split(rtrim(output, chr(10)), chr(10) || chr(10))) AS b, generate_subscripts(string_split(rtrim(output, chr(10)), chr(10) || chr(10)), 1) AS i FROM out),
+h AS (SELECT * FROM p WHERE contains(lower(b), 'month = {{sept}}') OR contains(lower(b), 'month = {{sept}}'))
+SELECT out.source_path, coalesce((SELECT string_agg(b || chr(10) || chr(10), '' ORDER BY i) FROM h WHERE h.source_path = out.source_path), '') AS output,
+  (SELECT CAST(count(*) FILTER (b NOT LIKE '\\%%' ESCAPE '\\') AS BIGINT) FROM h WHERE h.source_path = out.source_path) AS matches FROM out""")
+def search_filter(spark, sf_dir):
+    return render.search(_output(spark, sf_dir), " Month = {SEPT} ")
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT source_path, 'References - Duplicates Report' || chr(10) || chr(10) || 'Total duplicates removed: ' || count(*) || chr(10) || chr(10) || string_agg('- dropped=' || key || ' kept=' || kept_key || ' reason=' || reason || chr(10), '' ORDER BY ord) AS report FROM fold WHERE reason IS NOT NULL GROUP BY source_path")
+def duplicates_report(spark, sf_dir):
+    return render.duplicates_report(dedupe.duplicates(_entries(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {FOLD}, {_COUNTS} SELECT source_path, 'References - Summary' || chr(10) || chr(10) || 'Total entries: ' || total || chr(10) || 'Unique entries: ' || uniq || chr(10) || 'Duplicates removed: ' || (total - uniq) || chr(10) || 'Parse errors: ' || bad || chr(10)
+  || 'Sort by key: false' || chr(10) || 'Smart dedupe: true' || chr(10) || 'Verification mode: SAFE' || chr(10) || 'Month style: KEEP_ORIGINAL' || chr(10) AS report FROM c""")
+def summary_report(spark, sf_dir):
+    return render.summary_report(dedupe.summary(corpus.bib_sources(spark, sf_dir)))
+
+
+@query(f"""WITH {_FOUND} SELECT 'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, count(*) AS entries, CAST(count(*) FILTER (status = 'CORRECTED') AS BIGINT) AS corrected FROM st GROUP BY 1""")
+def verified_output(spark, sf_dir):
+    told = _verified(spark, sf_dir, "SAFE")
+    none = spark.createDataFrame([], "source_path string")
+    out = render.verified_output(render.status_summary(told, none), told)
+    return out.select("source_path", F.regexp_count("output", F.lit(r"(?m)^@")).cast("long").alias("entries"), F.regexp_extract("output", r"% Corrected/completed: (\d+)\n", 1).cast("long").alias("corrected"))
+
+
+@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, '@article{{' || key || ',' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}},' || chr(10) || '  month = {{' || month || '}},' || chr(10) || '  note = {{n' || CAST(doc_id AS VARCHAR) || '}},' || chr(10) || '}}' AS text FROM bib")
+def rebuild_entry(spark, sf_dir):
+    rows = _entries(spark, sf_dir).withColumn("f", scanner.parse_fields(F.col("raw")))
+    return _numbers(rows.select("source_path", "ord", render.rebuild_entry(F.col("type"), F.col("key"), F.col("f")).alias("text")))
