@@ -15,7 +15,7 @@ the machines are a matrix of a few hundred kB. Prediction is one pass over the d
 Defined results: null text or a text without a letter is ``und`` with score 0, as is every text if there is nothing to
 learn from; with one language, that one with score 1. Repeated rows get equal results, an empty table no rows. Ties go to
 the language that is first by code point. Columns besides doc_id, text and lang are not looked at, and lang only for
-training.
+training; a column named ``language`` is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 N_FEATURES = 1 << 12
 PER_LANGUAGE = 600
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 UNKNOWN = "und"
 
 #: The families of common languages. A language that isn't listed is a family of its own.
@@ -155,11 +155,13 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # The threshold is on a hash, so that only ids are ranked and texts of the chosen rows alone are moved.
     order = F.md5(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    salted = usable.select("lang", order.alias("o"), F.col("doc_id").alias("id"))
-    for by in ("lang", "salt"), ("lang",):
-        ranked = salted.withColumn("salt", F.substring("o", 1, 2))
-        w = Window.partitionBy(*by).orderBy("o", "id")
-        salted = ranked.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("lang", "o", "id")
+    keys = usable.select("lang", order.alias("o"), F.col("doc_id").alias("id")).withColumn("start", F.substring("o", 1, 4))
+    # how far the order has to be followed, from counts by its first digits: a frequent language is not ranked in one place
+    sums = keys.groupBy("lang", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("start")) - F.col("n")
+    cut = sums.withColumn("before", before).where(F.col("before") < per_language).groupBy("lang").agg(F.max("start").alias("cut"))
+    near = keys.join(cut, "lang").where(F.col("start") <= F.col("cut"))
+    salted = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "id"))).where(F.col("n") <= per_language)
     chosen = salted.select(F.col("lang").alias("l"), F.col("o").alias("chosen")).distinct()
     rows = usable.withColumn("o", order).join(F.broadcast(chosen), (F.col("l") == F.col("lang")) & (F.col("o") == F.col("chosen"))).select("lang", "text")
     got = rows.mapInArrow(_featured, "lang string, v binary").toLocalIterator()
@@ -178,7 +180,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         got = [_loaded[1].predict(x.as_py()) for x in texts]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("language", tell(F.col("text")))
+    # evaluated once, though both a filter and a projection may look at the result
+    return docs.withColumn("language", tell.asNondeterministic()(F.col("text")))
 
 
 _loaded = None

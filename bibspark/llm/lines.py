@@ -23,7 +23,8 @@ broadcast: 2^18 rows at most), then joined exactly.
 
 Defined results: null text has no lines and stays null; an empty text stays empty; a text all of whose lines go becomes
 empty. Rows with equal doc_id count as one document and get the same result. Null doc_ids come first and count as one.
-An empty table gives no rows. Columns with any other names are kept by ``dedupe_lines`` and not looked at.
+An empty table gives no rows. Columns with any other names are kept by ``dedupe_lines`` and not looked at; one
+named ``line_dedup`` is replaced.
 """
 
 from __future__ import annotations
@@ -201,7 +202,7 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__new", F.when(F.col("__row.text").isNotNull(), new))
     zero = F.lit(0).cast("long")
     done = F.struct(F.col("__new.text").alias("text"), *[F.coalesce(c, zero).alias(n) for c, n in ((F.col("__new.n_lines"), "n_lines"), (F.col("__new.n_removed"), "n_removed"), (F.col("__told.n_near"), "n_near"), (F.col("__told.n_links"), "n_links"))])
-    return rows.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], done.alias("line_dedup"))
+    return rows.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns if c != "line_dedup"], done.alias("line_dedup"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
