@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,40 @@ def release(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
+    spark.range(1).count()  # the scheduler holds on to the last job
     spark.sparkContext._jvm.System.gc()
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, clear: Callable[[], None]) -> None:
+    """Tell how to drop what an operator keeps in a Python worker."""
+    _held[name] = clear
+
+
+def only(name: str) -> None:
+    """Drop what other operators have left in this worker, which is used again and stays up between stages."""
+    for other, clear in _held.items():
+        if other != name:
+            clear()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
