@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import only
+
 N_FEATURES = 1 << 12
 PER_LANGUAGE = 600
 BLOCK = 1 << 17
@@ -144,6 +146,7 @@ class Model:
 
 
 def _featured(batches):
+    only("langid")
     for batch in batches:
         rows = [(lang, features(text)) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
         rows = [(lang, v.astype(np.float16).tobytes()) for lang, v in rows if v is not None]
@@ -175,6 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def tell(texts: pa.Array) -> pa.Array:
         global _loaded
+        only("langid")
         if _loaded is None or _loaded[0] is not shared.value:
             _loaded = (shared.value, pickle.loads(shared.value))
         got = [_loaded[1].predict(x.as_py()) for x in texts]

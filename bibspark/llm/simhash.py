@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, only
 from .components import components
 
 BLOCK = 1 << 16
@@ -52,6 +52,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def _fingerprints(batches, size):
+    only("simhash")
     for batch in batches:
         got = np.fromiter((fingerprint(x.as_py(), size) for x in batch.column("text")), np.uint64, batch.num_rows).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got)], ["doc_id", "fp"])
