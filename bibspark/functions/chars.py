@@ -43,3 +43,8 @@ def some(c: Column) -> Column:
 def found(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null without a match."""
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), body)[0]

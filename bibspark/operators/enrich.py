@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import jsonx, months, scanner
-from bibspark.functions.chars import some
+from bibspark.functions.chars import let, some
 from bibspark.functions.text import author_year_key, clean_title, compare_form, entry_type, plausible_authors
 from bibspark.operators.render import rebuild_entry
 
@@ -101,7 +101,7 @@ def corrected_fields(fields: Column, kind: Column, data: Column, overwrite: Colu
     names = F.transform(fields, lambda f: f["name"])
     has = lambda n: F.array_contains(names, F.lit(n))
     in_book = kind.isin("inproceedings", "incollection")
-    month = months.format_month(months.month_number(data["month"]), month_style, data["month"])
+    month = let(data["month"], lambda m: months.format_month(months.month_number(m), month_style, m))
     old_month = F.get(F.transform(F.filter(fields, lambda f: f["name"] == "month"), lambda f: f["value"]), F.lit(0))
     no_place = ~has("journal") & ~has("booktitle")
     book = kind.isin("book", "incollection")
@@ -111,7 +111,7 @@ def corrected_fields(fields: Column, kind: Column, data: Column, overwrite: Colu
         "journal": F.when(~in_book & (no_place | (overwrite & has("journal"))), data["container_title"]),
         "booktitle": F.when(in_book & (no_place | (overwrite & has("booktitle"))), data["container_title"]),
         "year": data["year"],
-        "month": F.when(overwrite | ~some(F.coalesce(old_month, F.lit(""))), F.when(some(data["month"]), month)),
+        "month": F.when((overwrite | ~some(F.coalesce(old_month, F.lit("")))) & some(data["month"]), month),
         "volume": data["volume"],
         "number": data["issue"],
         "pages": data["pages"],
@@ -122,7 +122,8 @@ def corrected_fields(fields: Column, kind: Column, data: Column, overwrite: Colu
         "url": data["url"],
     }
     usable = lambda n, v: some(v) if n == "month" else some(v) & (overwrite & F.lit(n in OVERWRITE) | ~has(n))
-    offered = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.when(usable(n, v), v).alias("value")) for n, v in offers.items()]), lambda o: o["value"].isNotNull())
+    pick = lambda n, v: let(v, lambda x: F.when(usable(n, x), x))
+    offered = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), pick(n, v).alias("value")) for n, v in offers.items()]), lambda o: o["value"].isNotNull())
     given = F.transform(offered, lambda o: o["name"])
     new = lambda n: F.get(F.filter(offered, lambda o: o["name"] == n), F.lit(0))["value"]
     kept = F.transform(fields, lambda f: F.struct(f["name"].alias("name"), F.when(F.array_contains(given, f["name"]), new(f["name"])).otherwise(f["value"]).alias("value")))
