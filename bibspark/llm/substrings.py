@@ -44,7 +44,8 @@ LENGTH, K = 50, 24
 W = LENGTH - K + 1  # anchors' positions in a string: 27
 BEFORE = W - 1
 CONTEXT = BEFORE + LENGTH
-SLICE = 4 << 20  # bytes that a scan holds at once, about
+SLICE = 1 << 20  # bytes that a scan holds at once, about; longer texts are scanned in pieces
+MARGIN = 128  # bytes on either side of a piece: more than what an anchor and its context depend on
 PER_PART = 400_000  # anchors in a part, about
 TEXT_PART = 16 << 20  # bytes of text in a part of the join, about
 COLLECTION, HOT = 4_096, 65_536
@@ -133,8 +134,8 @@ NAMES = ["part", "a", "b", "c", "d", "e"]
 
 
 def _slices(batches):
-    """Doc ids and texts (bytes) of rows that can match, some megabytes at a time."""
-    ids, texts, held = [], [], 0
+    """Document, tag, place, first and last place to report, and bytes of texts that can match, or of pieces of them."""
+    rows, held = [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             if i is None or t is None or len(t) < LENGTH // 4:
@@ -142,22 +143,27 @@ def _slices(batches):
             raw = t.encode("utf-8", "surrogatepass")
             if len(raw) < LENGTH:
                 continue
-            ids.append(i)
-            texts.append(raw)
-            held += len(raw)
-            if held >= SLICE:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+            tag = _tag(raw)
+            for a in range(0, len(raw), SLICE):
+                base = max(0, a - MARGIN)
+                rows.append((i, tag, base, a, a + SLICE, raw[base : a + SLICE + MARGIN]))
+                held += len(rows[-1][-1])
+                if held >= SLICE:
+                    yield rows
+                    rows, held = [], 0
+    if rows:
+        yield rows
 
 
 def _scan(batches, parts: int):
-    for ids, texts in _slices(batches):
-        number, at, h, context = anchors(texts)
-        ids, tags = np.array(ids, np.int64), np.array([_tag(t) for t in texts], np.uint16)
+    for pieces in _slices(batches):
+        number, at, h, context = anchors([p[-1] for p in pieces])
+        ids, tags, base, lo, hi = (np.array(x) for x in list(zip(*pieces))[:5])
+        at = at + base[number]
+        own = np.flatnonzero((at >= lo[number]) & (at < hi[number]))
+        number, at, h, context = number[own], at[own], h[own], context[own]
         rest = (h // U64(parts)).astype(np.uint32)
-        rows = [(p, *cols) for p, cols in _deal((h % U64(parts)).astype(np.int64), [rest, context, ids[number], tags[number], at.astype(np.uint32)])]
+        rows = [(p, *cols) for p, cols in _deal((h % U64(parts)).astype(np.int64), [rest, context, ids.astype(np.int64)[number], tags.astype(np.uint16)[number], at.astype(np.uint32)])]
         if rows:
             yield _batch(rows, NAMES)
 

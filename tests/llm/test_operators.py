@@ -349,6 +349,25 @@ def test_repeats_against_brute_force(spark, odd):
     assert removed(odd.where("false")) == []
 
 
+def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abcd é") for _ in range(n)) for n in (3000, 60, 900, 49)] + ["ab" * 700]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+
+    def found():
+        out = set()
+        for b in substrings._scan([batch], 7):
+            for part, (rest, context, doc, tag, at) in substrings._by_part([b], substrings.ANCHOR):
+                out |= set(zip([part] * len(at), rest.tolist(), context.tolist(), doc.tolist(), tag.tolist(), at.tolist()))
+        return out
+
+    whole = found()
+    monkeypatch.setattr(substrings, "SLICE", 200)
+    assert found() == whole
+
+
 def test_rows_with_one_id_are_judged_by_their_own_texts(spark):
     p = "a passage that is longer than fifty bytes, so that it counts as a repeat"
     rows = [(1, p), (2, "x" * 9 + p), (2, p + " and more of it")]
