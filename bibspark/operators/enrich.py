@@ -44,7 +44,8 @@ def candidates(responses: DataFrame) -> DataFrame:
         else:
             body = F.when(search, jsonx.searched(F.col("body"), source)).otherwise(F.col("body"))
         rows = rows.withColumn("__body", body)
-        parts.append(rows.select("source", "lookup_kind", "lookup_key", jsonx.DECODERS[source](F.col("__body")).alias("candidate")))
+        # bound as a whole: else each use of a field would read it from the text anew
+        parts.append(rows.select("source", "lookup_kind", "lookup_key", let(F.col("__body"), jsonx.DECODERS[source]).alias("candidate")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -90,9 +91,13 @@ def merged(hits: DataFrame) -> DataFrame:
         return F.struct(F.when(first, F.lit(0)).otherwise(x["r"]).alias("r"), x["c"].alias("c"))
 
     rows = rows.withColumn("all", F.transform(F.array_sort(F.transform("all", order)), lambda x: x["c"]))
-    best = F.get("all", F.lit(0))
-    fill = lambda f: F.coalesce(F.get(F.filter(F.transform("all", lambda c: c[f]), some), F.lit(0)), best[f])
-    data = F.struct(*[(fill(f) if f in MERGED else best[f]).alias(f) for f in jsonx.CANDIDATE])
+
+    def filled(all_: Column) -> Column:
+        best = F.get(all_, F.lit(0))
+        fill = lambda f: F.coalesce(F.get(F.filter(F.transform(all_, lambda c: c[f]), some), F.lit(0)), best[f])
+        return F.struct(*[(fill(f) if f in MERGED else best[f]).alias(f) for f in jsonx.CANDIDATE])
+
+    data = let(F.col("all"), filled)
     return rows.select("source_path", "ord", "strategy", data.alias("data"))
 
 
@@ -124,10 +129,14 @@ def corrected_fields(fields: Column, kind: Column, data: Column, overwrite: Colu
     usable = lambda n, v: some(v) if n == "month" else some(v) & (overwrite & F.lit(n in OVERWRITE) | ~has(n))
     pick = lambda n, v: let(v, lambda x: F.when(usable(n, x), x))
     offered = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), pick(n, v).alias("value")) for n, v in offers.items()]), lambda o: o["value"].isNotNull())
-    given = F.transform(offered, lambda o: o["name"])
-    new = lambda n: F.get(F.filter(offered, lambda o: o["name"] == n), F.lit(0))["value"]
-    kept = F.transform(fields, lambda f: F.struct(f["name"].alias("name"), F.when(F.array_contains(given, f["name"]), new(f["name"])).otherwise(f["value"]).alias("value")))
-    return F.concat(kept, F.filter(offered, lambda o: ~F.array_contains(names, o["name"])))
+
+    def applied(offered: Column) -> Column:
+        given = F.transform(offered, lambda o: o["name"])
+        new = lambda n: F.get(F.filter(offered, lambda o: o["name"] == n), F.lit(0))["value"]
+        kept = F.transform(fields, lambda f: F.struct(f["name"].alias("name"), F.when(F.array_contains(given, f["name"]), new(f["name"])).otherwise(f["value"]).alias("value")))
+        return F.concat(kept, F.filter(offered, lambda o: ~F.array_contains(names, o["name"])))
+
+    return let(offered, applied)
 
 
 def verify(entries: DataFrame, responses: DataFrame, mode: str = "SAFE", month_style: str = "KEEP_ORIGINAL", keep_type: bool = False) -> DataFrame:

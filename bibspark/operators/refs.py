@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.functions.chars import collapse, found, trim
+from bibspark.functions.chars import collapse, found, let, trim
 from bibspark.functions.text import escape_bibtex, generate_key
 
 #: Headings, and the patterns of references.
@@ -85,7 +85,11 @@ LEAST = {"bracket": 5, "dot": 5, "plain": 5, "blank": 3, "author": 0}
 
 def split_references(section: Column) -> Column:
     """struct(strategy, refs): the first way that gives enough references, the last one in any case."""
-    tried = [F.when(F.size(WAYS[s](section)) >= LEAST[s], F.struct(F.lit(s).alias("strategy"), WAYS[s](section).alias("refs"))) for s in STRATEGIES]
+
+    def enough(s: str):
+        return lambda r: F.when(F.size(r) >= LEAST[s], F.struct(F.lit(s).alias("strategy"), r.alias("refs")))
+
+    tried = [let(WAYS[s](section), enough(s)) for s in STRATEGIES]
     return F.when(section.isNotNull(), F.coalesce(*tried))
 
 
