@@ -159,11 +159,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     # The threshold is on a hash, so that only ids are ranked and texts of the chosen rows alone are moved.
     order = F.md5(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keys = usable.select("lang", order.alias("o"), F.col("doc_id").alias("id")).withColumn("start", F.substring("o", 1, 4))
-    # how far the order has to be followed, from counts by its first digits: a frequent language is not ranked in one place
+    # How far the order has to be followed, from counts by its first digits: a frequent language is not ranked in one place.
+    # There is a row for each language, as there will be in the model.
     sums = keys.groupBy("lang", "start").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("start")) - F.col("n")
     cut = sums.withColumn("before", before).where(F.col("before") < per_language).groupBy("lang").agg(F.max("start").alias("cut"))
-    near = keys.join(cut, "lang").where(F.col("start") <= F.col("cut"))
+    near = keys.join(F.broadcast(cut), "lang").where(F.col("start") <= F.col("cut"))
     salted = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "id"))).where(F.col("n") <= per_language)
     chosen = salted.select(F.col("lang").alias("l"), F.col("o").alias("chosen")).distinct()
     rows = usable.withColumn("o", order).join(F.broadcast(chosen), (F.col("l") == F.col("lang")) & (F.col("o") == F.col("chosen"))).select("lang", "text")
