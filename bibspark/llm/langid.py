@@ -157,7 +157,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``labelled`` (doc_id, text, lang): at most ``per_language`` rows of each language."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # The threshold is on a hash, so that only ids are ranked and texts of the chosen rows alone are moved.
-    order = F.md5(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.hex(F.xxhash64("text")))))
     keys = usable.select("lang", order.alias("o"), F.col("doc_id").alias("id")).withColumn("start", F.substring("o", 1, 4))
     # How far the order has to be followed, from counts by its first digits: a frequent language is not ranked in one place.
     # There is a row for each language, as there will be in the model.
@@ -167,7 +167,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     near = keys.join(F.broadcast(cut), "lang").where(F.col("start") <= F.col("cut"))
     salted = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "id"))).where(F.col("n") <= per_language)
     chosen = salted.select(F.col("lang").alias("l"), F.col("o").alias("chosen")).distinct()
-    rows = usable.withColumn("o", order).join(F.broadcast(chosen), (F.col("l") == F.col("lang")) & (F.col("o") == F.col("chosen"))).select("lang", "text")
+    rows = usable.withColumn("o", order).join(F.broadcast(chosen), (F.col("l") == F.col("lang")) & (F.col("o") == F.col("chosen")))
+    rows = rows.groupBy("lang", "o").agg(F.min("text").alias("text")).select("lang", "text")  # rows that repeat an id count once
     got = rows.mapInArrow(_featured, "lang string, v binary").toLocalIterator()
     return Model([(r["lang"], np.frombuffer(r["v"], np.float16).astype(np.float32)) for r in got])
 
