@@ -65,7 +65,8 @@ def _by_source(rows: DataFrame) -> DataFrame:
 
 def _shared(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    where = where or "file://" + tempfile.gettempdir()  # unset on a single machine only
     path = f"{where}/bibspark-dedupe/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
