@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="bibspark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark._bibspark_shared = getattr(spark, "_bibspark_shared", found)
-        found = spark._bibspark_shared
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="bibspark-shared-")
+        found = _own[app]
     return found
 
 
