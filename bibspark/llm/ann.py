@@ -3,19 +3,20 @@
 Each of ``M`` random projections is a table of its own: the projections of all vectors, sorted. A query expands a window
 around its own projection in every table; a vector collides where it lies in the window (its place in the sorted array is
 between the window's ends), and one that collides in enough tables is verified by its inner product. Windows grow by
-virtual rehashing, each round's holding the one before, until the ``k`` best verified vectors are within the round's radius
-or the last radius is reached. The early rounds count over the first quarter of the tables; the last one over all.
+virtual rehashing, each round's holding the one before, until the ``k`` best verified vectors have scores that no vector
+beyond the round's radius can reach with the largest norm that is not verified, or the last radius is reached. The early rounds count over the first quarter of the tables; the last one over all.
 
-Inner products become distances by one more coordinate that gives all vectors the norm of the largest one; of a query
-only the direction counts.
+Only directions are hashed; norms are known and need no hashing. A count of collisions is an estimate of the cosine, with
+a known error, and the norm times its upper end (``BOUND`` deviations) ranks candidates by the inner product that they may
+have. So uneven norms, and single vectors of a very large norm, leave the tables and the counts of others as they are.
 
 The rows are cut into blocks of about ``BLOCK`` vectors by a hash of vec_id (exact copies are spread like any others), and
 queries into parts of ``QUERIES``. A block's tables are built in the task that searches it and the parts of the query set
 stream past them; every row is indexed, nothing is sampled, and no bucket has a cap. What a task holds is one block of
 vectors with its tables, and one part of the queries. Each query's best k of each block meet in one small list.
 
-The collision threshold of the last round is what a vector at its radius reaches but for ``MISS``; where fewer than
-``VERIFY`` vectors of a block reach it, it is lowered until as many do. So small tables are verified whole, and a query
+The last round verifies the ``VERIFY`` vectors of a block that rank first, then those after them whose upper end reaches
+the k-th verified score, up to ``VERIFY`` more. So small tables are verified whole, and a query
 always gets k neighbours if there are k. Candidates are ranked in single precision first; the best 4 k and all that come
 within rounding of them get exact scores.
 
@@ -41,7 +42,7 @@ BLOCK, SLAB, QUERIES = 49152, 8192, 256
 M = 96
 WIDTH = 0.9  # half width of a window, in units of the radius
 RADII = (0.4, 1.1)
-MISS = 0.10
+BOUND = 1.2816  # deviations: of the vectors at a score, a tenth has an upper end below it
 VERIFY = 4096
 SPREAD = 12  # tasks that a small number of blocks is spread over
 SEED = 20_240_601
@@ -53,25 +54,38 @@ def collisions(m: int, z: float) -> int:
     return max(1, int(m * p - z * sqrt(m * p * (1 - p))))
 
 
+def upper_cosines(m: int, half: float) -> np.ndarray:
+    """For each count of collisions in m tables, with windows of half width ``half``, the upper end of the cosine."""
+    cosines = np.linspace(-1.0, 1.0, 4096, endpoint=False)
+    shares = np.array([erf(half / sqrt(4 * (1 - c))) for c in cosines.tolist()])
+    p = np.arange(m + 1) / m
+    return np.interp(p + BOUND * np.sqrt(np.maximum(p * (1 - p), 1 / m) / m), shares, cosines, right=1.0)
+
+
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision; the sum's order depends on nothing but the number of components."""
     return (x * q).sum(axis=1)
 
 
 class Tables:
-    """The sorted tables of a block. ``scale``: the largest norm of all blocks."""
+    """The sorted tables of a block: of directions. ``norms`` are in units of ``scale``, the largest norm of all blocks."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, scale: float, m: int = M) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.scale, self.m = ids[order], x[order], scale, m
         n, d = self.x.shape
-        last = np.sqrt(np.maximum(0.0, 1.0 - (self.x * self.x).sum(axis=1) / scale**2))
-        self.a = np.random.default_rng(SEED).standard_normal((d + 1, m))
-        self.short = self.x.astype(np.float32)
+        most = np.abs(self.x).max(axis=1)
+        unit = self.x / most[:, None]
+        length = np.sqrt((unit * unit).sum(axis=1))
+        unit /= length[:, None]
+        self.norms = most * length / scale
+        self.a = np.random.default_rng(SEED).standard_normal((d, m))
+        self.upper = upper_cosines(m, WIDTH * RADII[-1])
+        self.short = unit.astype(np.float32)
         self.sorted = np.empty((m, n), np.float32)
         self.place = np.empty((m, n), np.uint16 if n < 65535 else np.uint32)
         for j in range(m):
-            p = (self.x @ (self.a[:-1, j] / scale) + last * self.a[-1, j]).astype(np.float32)
+            p = (unit @ self.a[:, j]).astype(np.float32)
             o = np.argsort(p, kind="stable")
             self.sorted[j] = p[o]
             self.place[j, o] = np.arange(n, dtype=self.place.dtype)
@@ -91,38 +105,41 @@ class Tables:
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k but ``own``, best first."""
         n = len(self.ids)
-        norm = sqrt(float((q * q).sum()))
-        at = np.append(q / norm, 0.0) @ self.a
+        unit = q / np.abs(q).max()
+        unit /= sqrt(float((unit * unit).sum()))
+        at = unit @ self.a
         where = np.searchsorted(self.ids, own)
         self_at = int(where) if where < n and self.ids[where] == own else -1
-        for radius in RADII:
-            final = radius == RADII[-1]
-            if final and n <= VERIFY:
-                found = np.arange(n)
-            else:
-                m = self.m if final else self.m // 4
-                count = self._count(at, WIDTH * radius, m)
-                need = collisions(m, 1.2816)
-                if final:
-                    enough = n - np.cumsum(np.bincount(count, minlength=m + 1)) >= VERIFY  # at t: vectors with more than t
-                    need = min(need, int(enough.sum()))
-                found = np.flatnonzero(count >= need)
-            found = found[found != self_at]
-            if not final and len(found) < k:
-                continue
-            ids, scores = self._best(found, q, k, norm)
-            if final or scores[-1] / norm / self.scale >= 1 - radius * radius / 2:
-                return ids, scores
-        raise AssertionError("the last radius ends every search")
-
-    def _best(self, found: np.ndarray, q: np.ndarray, k: int, norm: float) -> tuple[np.ndarray, np.ndarray]:
+        best = lambda found: self._best(found[found != self_at], q, unit, k)
+        if n <= max(VERIFY, k + 1):
+            return best(np.arange(n))[:2]
+        for radius in RADII[:-1]:
+            m = self.m // 4
+            hit = self._count(at, WIDTH * radius, m) >= collisions(m, BOUND)
+            if np.count_nonzero(hit) > k:
+                ids, scores, least = best(np.flatnonzero(hit))
+                if least >= self.norms[~hit].max(initial=0.0) * (1 - radius * radius / 2):
+                    return ids, scores
+        rank = self.norms * self.upper[self._count(at, WIDTH * RADII[-1], self.m)]
+        few = n - max(VERIFY, k + 1)
+        cut = np.partition(rank, few)[few]
+        ids, scores, least = best(np.flatnonzero(rank >= cut))
+        if least < cut:
+            ids, scores, _ = best(np.flatnonzero(rank >= least))
+        return ids, scores
+
+    def _best(self, found: np.ndarray, q: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and scores of the best k of ``found``, and the last one's score of a ``unit`` query in units of scale."""
         if len(found) > 8 * k:
-            rough = self.short[found] @ q.astype(np.float32)
-            least = np.partition(rough, len(rough) - k)[len(rough) - k]
-            found = found[rough >= least - 1e-4 * norm * self.scale]  # more than single precision errs by
+            norms = self.norms[found]
+            rough, err = norms * (self.short[found] @ unit.astype(np.float32)), 1e-4 * norms  # more than single precision errs by
+            least = np.partition(rough - err, len(rough) - k)[len(rough) - k]
+            found = found[rough + err >= least]
         scores = exact(self.x[found], q)
         o = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found][o], scores[o]
+        last = found[o[-1]] if len(o) else None
+        least = -1.0 if last is None else float(self.norms[last] * (self.short[last] @ unit.astype(np.float32)))
+        return self.ids[found][o], scores[o], least
 
 
 def _slabs(batches):

@@ -291,6 +291,28 @@ def test_windows_search_large_blocks():
     assert same >= 0.9 * 20 * 40
 
 
+@pytest.mark.parametrize("norms", ["one long", "one very long", "lognormal", "two sizes"])
+def test_uneven_norms_leave_the_windows_their_signal(norms):
+    rng = np.random.default_rng(10)
+    n = 40_000
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "lognormal":
+        x *= rng.lognormal(0, 0.5, size=(n, 1))
+    elif norms == "two sizes":
+        x *= np.where(rng.random((n, 1)) < 0.5, 2.0, 1.0)
+    else:
+        x[17] *= 3 if norms == "one long" else 1000
+    table = ann.Tables(np.arange(n), x, np.linalg.norm(x, axis=1).max() * (1 + 1e-9))
+    same = 0
+    for q in range(1, n, 1000):
+        got = set(table.search(x[q], q, 20)[0].tolist())
+        s = x @ x[q]
+        s[q] = -np.inf
+        same += len(got & set(np.argsort(-s)[:20].tolist()))
+    assert same >= 0.9 * 20 * 40
+
+
 # 6
 
 
