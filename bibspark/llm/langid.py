@@ -6,14 +6,18 @@ its length.
 
 Level 1 tells families of languages apart with one linear machine for each pair of families; level 2 has one for each
 pair of languages of a family. A vote is the machines' sigmoid of the margin; a class is scored by the mean of its
-votes. The score of a prediction is the product of both levels' (0 to 1).
+votes. As the best of a vote has half of it or more even for a text that is like nothing learnt, the score of a prediction is
+the product of both levels' and of a resemblance (0 to 1): the text's mean surprise under the language's distribution of
+n-grams, less what is typical of texts of that language. The typical surprise is that of each half of the training rows
+under the other half. Up to ``NEAR`` nats more a text resembles the language fully, from ``FAR`` on not at all.
 
 Training: at most ``PER_LANGUAGE`` labelled documents for each language (a documented bound), the first in the order of a
 hash of the doc_id, so that the choice is random and the same on each run. Only those are featured and sent to the driver;
 the machines are a matrix of a few hundred kB. Prediction is one pass over the documents with no shuffle.
 
 Defined results: null text or a text without a letter is ``und`` with score 0, as is every text if there is nothing to
-learn from; with one language, that one with score 1. Repeated rows get equal results, an empty table no rows. Ties go to
+learn from; with one language, that one, with the resemblance as its score. A language learnt from a single text is not
+known well enough to tell what is unlike it, and has resemblance 1. Repeated rows get equal results, an empty table no rows. Ties go to
 the language that is first by code point. Columns besides doc_id, text and lang are not looked at, and lang only for
 training; a column named ``language`` is replaced.
 """
@@ -34,6 +38,8 @@ N_FEATURES = 1 << 12
 PER_LANGUAGE = 600
 BLOCK = 1 << 17
 UNKNOWN = "und"
+#: Nats above the typical surprise of a language. Held-out texts stay below, junk and other languages come out above.
+NEAR, FAR = 1.15, 1.35
 
 #: The families of common languages. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -113,6 +119,7 @@ class Model:
         groups = {f: np.concatenate([xs[k] for k in self.members[f]]) for f in self.families}
         self.top = self._pairs(self.families, groups)
         self.within = {f: self._pairs(self.members[f], xs) for f in self.families}
+        self.usual = {k: self._usual(x) for k, x in xs.items()}
 
     @staticmethod
     def _pairs(names: list[str], xs: dict[str, np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -123,6 +130,19 @@ class Model:
             rows.append(_svm(np.concatenate([a, b]), np.concatenate([np.ones(len(a)), -np.ones(len(b))]).astype(np.float32)))
         return pairs, np.stack(rows) if rows else np.zeros((0, N_FEATURES + 1), np.float32)
 
+    @staticmethod
+    def _usual(x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Surprise at each n-gram, and the typical mean of texts that were not learnt from."""
+        shares = np.unique(x, axis=0) ** 2  # sorted, and copies don't stand on both sides
+        surprise = lambda rows: -np.log((rows.mean(axis=0) + 0.1 / N_FEATURES) / 1.1)
+        halves = shares[::2], shares[1::2]
+        typical = np.concatenate([halves[0] @ surprise(halves[1]), halves[1] @ surprise(halves[0])]).mean() if len(shares) > 1 else np.inf
+        return surprise(shares), float(typical)
+
+    def _resemblance(self, lang: str, v: np.ndarray) -> float:
+        surprise, typical = self.usual[lang]
+        return min(1.0, max(0.0, (FAR - float((v * v) @ surprise) + typical) / (FAR - NEAR)))
+
     @staticmethod
     def _vote(names: list[str], machines, v: np.ndarray) -> tuple[str, float]:
         pairs, w = machines
@@ -142,7 +162,7 @@ class Model:
             return UNKNOWN, 0.0
         family, p = self._vote(self.families, self.top, v)
         lang, q = self._vote(self.members[family], self.within[family], v)
-        return lang, min(1.0, p * q)
+        return lang, min(1.0, p * q) * self._resemblance(lang, v)
 
 
 def _featured(batches):

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from bibspark.llm import langid, lines, mixing, pieces, simhash
 
-#: Below this score no language stands out, and the document is rejected along with those without a letter.
+#: Below this score a text is rejected, along with those without a letter. The votes alone give 0.25 or more; what falls
+#: below is the resemblance. Of 7,728 held-out texts of sf0.1, 3 did (two of them junk), of 13 junk and foreign texts all.
 LEAST_SCORE = 0.2
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import random
 from collections import Counter
 
 import sentencepiece
@@ -57,3 +58,20 @@ def test_stages(spark, docs):
 def test_run_gives_the_same(spark):
     assert p.run(spark, "/root/testdata/sf0.001").count() > 0
     assert [n for n, _ in p.STAGES][0] == "language ID" and len(p.STAGES) == 5
+
+
+def test_texts_unlike_any_language_learnt_are_dropped(spark, docs):
+    rng = random.Random(5)
+    odd = {
+        -1: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        -2: "Alla människor är födda fria och lika i värde och rättigheter. De är utrustade med förnuft och samvete.",
+        -3: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        -4: "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        -5: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)),
+        -6: "xqzj " * 60,
+    }
+    more = spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in odd.items()], docs.schema)
+    out = {r["doc_id"] for r in p.language_id(spark, docs.unionByName(more), "").collect()}
+    assert not out & set(odd)
+    with_letters = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert out == with_letters
