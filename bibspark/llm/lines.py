@@ -113,7 +113,7 @@ def within_edits(s: Column, t: Column, edits: int = EDITS) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    rows = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
     h1, h2 = _hashes(F.col("line"))
     return rows.where(F.col("line").rlike(WORD)).select("doc_id", "line_no", "line", h1.alias("h1"), h2.alias("h2"), F.octet_length("line").alias("n"))
 
@@ -180,12 +180,13 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("kept"), F.count(F.lit(1)).alias("n_first"), F.count_if("near").alias("n_near"), F.sum("n_links").alias("n_links"))
 
 
-def dedupe_lines(docs: DataFrame) -> DataFrame:
+def dedupe_lines(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """The rows and columns of ``docs`` (doc_id, text, ...), with a struct column ``line_dedup``: text without the lines
-    that go, n_lines, n_removed, n_near, n_links."""
-    told = line_verdicts(docs).select(F.struct("*").alias("__told"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    rows = rows.join(told, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__told.doc_id")), "left")
+    that go, n_lines, n_removed, n_near, n_links. ``key``: what tells documents apart and orders them, if not doc_id."""
+    key = F.col("doc_id").cast("long") if key is None else key
+    told = line_verdicts(docs.select(key.alias("doc_id"), "text")).select(F.struct("*").alias("__told"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), key.alias("__key"))
+    rows = rows.join(told, F.col("__key").eqNullSafe(F.col("__told.doc_id")), "left")
 
     def rebuilt(p: Column) -> Column:
         bare = F.filter(F.sequence(F.lit(0), F.size(p["l"]) - 1), lambda i: ~F.get(p["l"], i).rlike(WORD))

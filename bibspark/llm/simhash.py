@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, only
 from .components import components
@@ -55,12 +56,14 @@ def _fingerprints(batches, size):
     only("simhash")
     for batch in batches:
         got = np.fromiter((fingerprint(x.as_py(), size) for x in batch.column("text")), np.uint64, batch.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_fingerprints, size=size), "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a signed long) for each row. A doc_id that is a struct stays one, others become long."""
+    key = F.col("doc_id") if isinstance(docs.schema["doc_id"].dataType, StructType) else F.col("doc_id").cast("long")
+    rows = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(partial(_fingerprints, size=size), StructType([rows.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def _balls(batches):

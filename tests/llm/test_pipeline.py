@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import sentencepiece
+from conftest import prose
 from test_operators import dedupe_by_hand, hash_by_hand
 
 import corpus_pipeline as p
@@ -75,3 +76,22 @@ def test_texts_unlike_any_language_learnt_are_dropped(spark, docs):
     assert not out & set(odd)
     with_letters = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
     assert out == with_letters
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    texts = [prose(i, 90) + f" end{i}" for i in range(12)]
+    rows = [(None, t, "en", "s", 1) for t in texts[:5]]  # unrelated, without an id
+    rows += [(7, t, "en", "s", 1) for t in texts[5:8]]  # unrelated, with one id
+    rows += [(3, texts[8], "en", "s", 1), (None, texts[8], "en", "s", 1), (4, texts[8], "en", "s", 1)]  # copies
+    rows += [(None, texts[9], "en", "s", 1)] * 2 + [(None, texts[9], "en", "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    prints = [hash_by_hand(t) for t in texts]
+    assert min((a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[:i]) > 3
+    for _ in range(2):
+        out = sorted(((r["doc_id"], r["text"]) for r in p.near_dedup(spark, df.repartition(3), "").collect()), key=str)
+        assert out == sorted([(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:8]] + [(3, texts[8]), (None, texts[9])], key=str)
+
+    line = "A line that stands in several of the rows, word for word as it is here."
+    rows = [(d, f"{line}\nonly in row {i}", "en", "s", 1) for i, d in enumerate([None, None, None, 5, 5])]
+    out = [r["text"] for r in p.line_dedup(spark, spark.createDataFrame(rows, df.schema), "").collect()]
+    assert len(out) == 5 and sum(line in t for t in out) == 1 and sorted(t.split("\n")[-1] for t in out) == [f"only in row {i}" for i in range(5)]
