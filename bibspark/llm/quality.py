@@ -10,7 +10,8 @@ estimate of centre and scatter comes from concentration steps: mean and covarian
 least Mahalanobis distance, again and again, from two starts (medians scaled by median absolute deviations; medians
 alone), of which the one with the smaller determinant stays. A document with a squared distance above ``CUTOFF`` goes.
 ``FLOORS`` are added to the scatter (as standard deviations): most texts have no symbols or repeated lines at all, and
-without a floor any text that has one would be infinitely far.
+without a floor any text that has one would be infinitely far. In a group without repeats the floors reject a text for
+repeated words alone or for repeated lines alone above a share of 19 % (``CUTOFF`` times the floor's square).
 
 Quantiles are by counts over fixed bins, so that they are exact to a bin, the same on each run, and combined map-side: a
 language and source that holds a third of all documents is a few hundred bins, not a group of rows. Parameters are a row
@@ -35,7 +36,7 @@ from .common import SPACE, WORD, let, materialize
 
 MIN_WORDS, MIN_GROUP, STEPS, HALF = 50, 40, 4, 0.5
 P = 4
-FLOORS = (0.08, 0.12, 0.15, 0.30)
+FLOORS = (0.08, 0.12, 0.09, 0.09)
 #: The 1 - 1e-4 quantile of chi-square with four degrees of freedom.
 CUTOFF = 23.51
 SYMBOLS = r"[#*$%&|<>]"

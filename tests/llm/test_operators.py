@@ -146,6 +146,23 @@ def test_outliers_go_and_clean_texts_stay(spark, none):
     assert quality.rules(none).count() == 0
 
 
+def test_repeats_alone_are_outlying(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9)))
+    text = lambda ws: "\n".join(" ".join(ws[i : i + 11]) for i in range(0, len(ws), 11))
+    clean = [(i, text([word() for _ in range(rng.randint(180, 260))]), "en", "s") for i in range(150)]
+    ws = [word() for _ in range(200)]
+    some = text([word() for _ in range(220)]).split("\n")
+    alike = "\n".join(f"{x}\nneither" if i % 2 else x for i, x in enumerate(some))
+    bad = [(1000, text(ws + ws[40:73]), "en", "s"), (1001, alike, "en", "s")]
+    told = {r["doc_id"]: r for r in quality.rules(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string")).collect()}
+    words_, lines_ = told[1000], told[1001]
+    assert (words_["n_dup_lines"], words_["n_symbols"]) == (0, 0) and 0.2 < words_["n_repeat_words"] / words_["n_words"] < 0.34
+    assert (lines_["n_repeat_words"], lines_["n_symbols"]) == (0, 0) and 0.2 < lines_["n_dup_lines"] / len(alike.split("\n")) < 0.34
+    assert not any(r["base_failed"] or r["kept"] for r in (words_, lines_))
+    assert all(told[i]["kept"] for i in range(150))
+
+
 def test_few_rows_are_kept_by_the_method(odd):
     told = quality.rules(odd).collect()
     assert len(told) == odd.count() and all(r["kept"] == (not r["base_failed"]) for r in told)
