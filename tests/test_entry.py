@@ -1,7 +1,8 @@
 import subprocess
 import sys
+from pathlib import Path
 
-from conftest import ROOT
+ROOT = Path(__file__).resolve().parent.parent
 
 SHUTIL = """
 import re, sys, pathlib, shutil, tempfile
