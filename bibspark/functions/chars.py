@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space between tokens.
-TOKEN_SPACE = r"\t-\r\x1c-\x20" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x1680, 0x1680), (0x2000, 0x2006), (0x2008, 0x200A), (0x2028, 0x2029), (0x205F, 0x205F), (0x3000, 0x3000)))
+TOKEN_SPACE = r"\t-\r\x1c-\x20\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000"
 _RUN = re.compile(r"[ \t\n\x0b\f\r]+")
 CONTROL = "".join(map(chr, range(33)))
 

@@ -270,6 +270,23 @@ def parse_fields(raw: Column) -> Column:
     return run(raw)
 
 
+def read_entry(raw: Column, *names: str) -> Column:
+    """struct of the named fields' values, all fields, and type and key of the first entry; one crossing into Python."""
+    low = [n.strip().lower() for n in names]
+    pairs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+
+    @F.arrow_udf("struct<" + "".join(f"`{n}`: string, " for n in low) + f"all_fields: {PAIRS}, entry_type: string, entry_key: string>")
+    def run(raws: pa.Array) -> pa.Array:
+        texts = raws.to_pylist()
+        named = [fields_of(t, low) for t in texts]
+        first = [next(iter(parse(t)[0]), {}) for t in texts]
+        columns = [pa.array([g[i] for g in named], pa.string()) for i in range(len(low))]
+        columns += [pa.array([all_fields(t) for t in texts], pairs), *(pa.array([f.get(k) for f in first], pa.string()) for k in ("type", "key"))]
+        return pa.StructArray.from_arrays(columns, [*low, "all_fields", "entry_type", "entry_key"])
+
+    return run(raw)
+
+
 def replace_field(raw: Column, name: str, new: Column) -> Column:
     @F.arrow_udf("string")
     def run(raws: pa.Array, news: pa.Array) -> pa.Array:

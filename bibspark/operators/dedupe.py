@@ -1,28 +1,27 @@
 """De-duplication in order: by key, or by key and title.
 
 An entry goes if an entry that was kept has its key, or else its title signature; what goes registers nothing. That is a
-greedy choice along the order and no window function.
-
-Within a source (``scope="source"``), each source's entries are folded in order, as arrays of small rows (key and
-signature, no texts). Over a corpus (``scope="corpus"``), rounds of local minima give the same: of the undecided entries,
-those that are first both of their key and of their signature stay, and their neighbours go. The rounds are plain
-aggregates and joins; each is written to the shared folder. Chains that outlast ``ROUNDS`` rounds are finished by the fold, on
-the undecided entries alone, which is exact since the decided ones have removed all their neighbours.
+greedy choice along the order and no window function. ``scope="source"`` looks for duplicates within each source,
+``scope="corpus"`` over all of them.
+
+Rounds of local minima make the choice without an order: of the undecided entries, those that are first both of their key
+and of their signature stay, and their neighbours go. A round is plain aggregates (combined map-side, so that a key of very
+many entries is a row for each task) and joins, written once; only what is still open goes into the next. Sources of at most
+``FINISH`` entries, and what rounds leave open once that is no more, are folded in order, as arrays of small rows (key and a
+hash of the signature, no texts). So no task gets more than that, whatever a source holds, and both ways give the same.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.functions.text import title_signature
 from bibspark.operators import parse
+from bibspark.storage import materialize
 
-ROUNDS = 12
+FINISH = 100_000
 KEY, TITLE = "KEY_DUPLICATE", "TITLE_DUPLICATE"
 #: A reason that the order of the tests never gives: equal titles are found before equal titles and years.
 TITLE_YEAR = "TITLE_YEAR_DUPLICATE"
@@ -55,63 +54,76 @@ def _verdicts(keys: Column, signatures: Column) -> Column:
     return run(keys, signatures)
 
 
-def _by_source(rows: DataFrame) -> DataFrame:
-    """source_path, ord, kept_key, reason by the fold."""
-    one = rows.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "signature"))).alias("r"))
-    told = one.select("source_path", "r.ord", _verdicts(F.col("r.key"), F.col("r.signature")).alias("v"))
-    told = told.select("source_path", F.inline(F.arrays_zip("ord", "v")))
-    return told.select("source_path", "ord", F.col("v.owner").alias("kept_key"), F.col("v.reason").alias("reason"))
-
-
-def _shared(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    where = where or "file://" + tempfile.gettempdir()  # unset on a single machine only
-    path = f"{where}/bibspark-dedupe/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _by_corpus(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """source_path, ord, kept_key, reason over all sources, in order of source and place."""
-    everything = _shared(rows.withColumn("at", F.struct("source_path", "ord")).select("at", "key", "signature"))
-    open_, kept = everything, None
-    for _ in range(rounds):
-        first_key = open_.groupBy("key").agg(F.min("at").alias("first_key"))
-        first_title = open_.where("signature IS NOT NULL").groupBy("signature").agg(F.min("at").alias("first_title"))
-        seen = open_.join(first_key, "key").join(first_title, "signature", "left")
-        now = seen.where((F.col("at") == F.col("first_key")) & (F.col("signature").isNull() | (F.col("at") == F.col("first_title")))).select("at", "key", "signature")
-        now = _shared(now)
-        kept = now if kept is None else kept.unionByName(now)
-        left = open_.join(now.select("key").distinct(), "key", "left_anti").join(now.where("signature IS NOT NULL").select("signature").distinct(), "signature", "left_anti")
-        open_ = _shared(left.select("at", "key", "signature"))
-        if open_.isEmpty():
-            break
-    else:
-        rest = open_.select(F.lit("").alias("source_path"), F.row_number().over(Window.orderBy("at")).alias("ord"), "key", "signature", "at")
-        told = _by_source(rest).where("reason IS NULL").select("ord")
-        kept = kept.unionByName(rest.join(told, "ord").select("at", "key", "signature"))
-    kept = _shared(kept)
-    by_key = kept.select("key", F.col("at").alias("key_at"))
-    by_title = kept.where("signature IS NOT NULL").select("signature", F.col("key").alias("owner"), F.col("at").alias("title_at"))
-    told = everything.join(by_key, "key", "left").join(by_title, "signature", "left")
-    stays = F.coalesce(F.col("at") == F.col("key_at"), F.lit(False))
-    reason = F.when(stays, F.lit(None).cast("string")).when(F.col("key_at") < F.col("at"), F.lit(KEY)).otherwise(F.lit(TITLE))
+def _folded(rows: DataFrame) -> DataFrame:
+    """group, at, kept_key, reason by the fold; each group is an array in one task."""
+    one = rows.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "key", "signature"))).alias("r"))
+    told = one.select("group", "r.at", _verdicts(F.col("r.key"), F.col("r.signature")).alias("v"))
+    told = told.select("group", F.inline(F.arrays_zip("at", "v")))
+    return told.select("group", "at", F.col("v.owner").alias("kept_key"), F.col("v.reason").alias("reason"))
+
+
+def _round(rows: DataFrame) -> DataFrame:
+    """What stays (``stays`` true) or is still open of ``rows``; what goes is left out."""
+    titled = F.col("signature").isNotNull()
+    first_key = rows.groupBy("group", "key").agg(F.min("at").alias("first_key"))
+    first_title = rows.where(titled).groupBy("group", "signature").agg(F.min("at").alias("first_title"))
+    seen = rows.join(first_key, ["group", "key"]).join(first_title, ["group", "signature"], "left")
+    seen = seen.withColumn("stays", (F.col("at") == F.col("first_key")) & (~titled | (F.col("at") == F.col("first_title"))))
+    by_key = seen.groupBy("group", "key").agg(F.max("stays").alias("key_taken"))
+    by_title = seen.where(titled).groupBy("group", "signature").agg(F.max("stays").alias("title_taken"))
+    told = seen.join(by_key, ["group", "key"]).join(by_title, ["group", "signature"], "left")
+    goes = ~F.col("stays") & (F.col("key_taken") | F.coalesce("title_taken", F.lit(False)))
+    return told.where(~goes).select("group", "at", "key", "signature", "stays")
+
+
+def _by_rounds(rows: DataFrame, finish: int) -> DataFrame:
+    """group, at, kept_key, reason by rounds."""
+    open_, kept = rows, []
+    while open_.limit(finish + 1).count() > finish:
+        now = materialize(_round(open_), "dedupe-round")
+        kept.append(now.where("stays").drop("stays"))
+        open_ = now.where("NOT stays").drop("stays")
+    # what is open has no neighbour that stays, so the fold needs nothing but itself
+    last = _folded(open_).where("reason IS NULL").select("group", "at")
+    kept.append(open_.join(last, ["group", "at"], "left_semi"))
+    stay = kept[0]
+    for more in kept[1:]:
+        stay = stay.unionByName(more)
+    stay = materialize(stay, "dedupe-kept")
+    by_key = stay.select("group", "key", F.col("at").alias("key_at"))
+    by_title = stay.where("signature IS NOT NULL").select("group", "signature", F.col("key").alias("owner"))
+    told = rows.join(by_key, ["group", "key"], "left").join(by_title, ["group", "signature"], "left")
+    reason = F.when(F.coalesce(F.col("at") == F.col("key_at"), F.lit(False)), F.lit(None).cast("string")).when(F.col("key_at") < F.col("at"), F.lit(KEY)).otherwise(F.lit(TITLE))
     told = told.withColumn("reason", reason)
     owner = F.when(F.col("reason") == KEY, F.col("key")).when(F.col("reason") == TITLE, F.col("owner"))
-    return told.select("at.source_path", "at.ord", owner.alias("kept_key"), "reason")
+    return told.select("group", "at", owner.alias("kept_key"), "reason")
+
+
+def _decided(rows: DataFrame, scope: str, finish: int) -> DataFrame:
+    """source_path, ord, kept_key, reason of ``rows`` (source_path, ord, key, signature)."""
+    group = F.col("source_path") if scope == "source" else F.lit("")
+    rows = materialize(rows.select(group.alias("group"), F.struct("source_path", "ord").alias("at"), "key", F.md5(F.col("signature").cast("binary")).alias("signature")), "dedupe")
+    sizes = rows.groupBy("group").agg((F.count(F.lit(1)) > finish).alias("large"))
+    if sizes.where("large").limit(1).count():
+        rows = rows.join(sizes, "group")
+        large = materialize(rows.where("large").drop("large"), "dedupe-large")
+        told = _folded(rows.where("NOT large").drop("large")).unionByName(_by_rounds(large, finish))
+    else:
+        told = _folded(rows)
+    return told.select("at.source_path", "at.ord", "kept_key", "reason")
 
 
-def judged(entries: DataFrame, smart: bool = True, scope: str = "source") -> DataFrame:
+def judged(entries: DataFrame, smart: bool = True, scope: str = "source", finish: int = FINISH) -> DataFrame:
     """The columns of ``entries`` (source_path, ord, key, raw, ...) with kept_key and reason, null for what stays."""
-    if not smart and scope == "source":  # the first of each key
-        w = Window.partitionBy("source_path", "key").orderBy("ord")
-        again = F.row_number().over(w) > 1
-        return entries.withColumn("kept_key", F.when(again, F.col("key"))).withColumn("reason", F.when(again, F.lit(KEY)))
-    rows = parse.fields(entries.select("source_path", "ord", "key", "raw"), "title") if smart else entries.withColumn("title", F.lit(None).cast("string"))
+    if not smart:  # the first of each key
+        same = ["source_path", "key"] if scope == "source" else ["key"]
+        first = entries.groupBy(*same).agg(F.min(F.struct("source_path", "ord")).alias("__first"))
+        again = F.struct("source_path", "ord") != F.col("__first")
+        told = entries.join(first, same)
+        return told.select(*entries.columns, F.when(again, F.col("key")).alias("kept_key"), F.when(again, F.lit(KEY)).alias("reason"))
+    rows = parse.fields(entries.select("source_path", "ord", "key", "raw"), "title")
     rows = rows.select("source_path", "ord", "key", title_signature(F.col("title")).alias("signature"))
-    told = _by_source(rows) if scope == "source" else _by_corpus(rows)
-    return entries.join(told, ["source_path", "ord"])
+    return entries.join(_decided(rows, scope, finish), ["source_path", "ord"])
 
 
 def unique(entries: DataFrame, smart: bool = True, scope: str = "source", sort_by_key: bool = False) -> DataFrame:
@@ -125,14 +137,28 @@ def duplicates(entries: DataFrame, smart: bool = True, scope: str = "source") ->
     return judged(entries, smart, scope).where("reason IS NOT NULL").select("source_path", "ord", F.col("key").alias("dropped_key"), "kept_key", "reason")
 
 
+#: What a user is told of a source without entries, and of one without duplicates.
+NO_ENTRIES, NO_DUPLICATES = "No reference entries found.", "No duplicates were detected."
+
+
 def summary(sources: DataFrame, smart: bool = True) -> DataFrame:
     """source_path, total, unique, duplicates, parse_errors; a row for every source, empty ones too."""
-    told = judged(parse.entries(sources), smart).groupBy("source_path").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("unique"))
-    rows = parse.counts(sources).join(told, "source_path", "left")
+    return summary_of(parse.entries(sources), parse.counts(sources), smart)
+
+
+def summary_of(entries: DataFrame, counts: DataFrame, smart: bool = True) -> DataFrame:
+    """``summary`` of entries, and of source_path, parse_errors for every source."""
+    told = judged(entries, smart).groupBy("source_path").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("unique"))
+    rows = counts.join(told, "source_path", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select("source_path", n(F.col("total")).alias("total"), n(F.col("unique")).alias("unique"), n(F.col("total") - F.col("unique")).alias("duplicates"), "parse_errors")
 
 
+def outcome(summary: DataFrame) -> DataFrame:
+    """The columns of ``summary`` and message: null for a source that has entries."""
+    return summary.withColumn("message", F.when(F.col("total") == 0, F.lit(NO_ENTRIES)))
+
+
 def normalize_months(entries: DataFrame, style: str) -> DataFrame:
     """Rewrite the month field of each raw entry in a style; entries without a readable month, or in style, stay."""
     from bibspark.functions import months, scanner

@@ -140,16 +140,17 @@ def corrected_fields(fields: Column, kind: Column, data: Column, overwrite: Colu
 
 
 def verify(entries: DataFrame, responses: DataFrame, mode: str = "SAFE", month_style: str = "KEEP_ORIGINAL", keep_type: bool = False) -> DataFrame:
-    """source_path, ord, original, corrected, status, message of each entry (source_path, ord, raw).
+    """source_path, ord, original, corrected, status, message of each entry (source_path, ord, raw). An entry that can't be read,
+    as it is null, is an ERROR; a response that can't be used is none.
 
     ``keep_type`` keeps the entry's type where the catalogue has another; by default the catalogue's counts, in either mode.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    rows = entries.select("source_path", "ord", F.col("raw"))
-    rows = rows.withColumn("f", scanner.extract_fields(F.col("raw"), "doi", "title", "author", "year")).withColumn("all", scanner.parse_fields(F.col("raw"))).withColumn("p", scanner.parse_text(F.col("raw")))
-    first = F.get("p.entries", F.lit(0))
-    rows = rows.select("source_path", "ord", "raw", "f.*", "all", F.coalesce(first["type"], F.lit("article")).alias("kind"), F.coalesce(first["key"], F.lit("unknown")).alias("key"))
+    read = scanner.read_entry(F.col("raw"), "doi", "title", "author", "year")
+    rows = entries.select("source_path", "ord", "raw").withColumn("read", read)
+    names = [F.col(f"read.{n}").alias(n) for n in ("doi", "title", "author", "year")]
+    rows = rows.select("source_path", "ord", "raw", *names, F.col("read.all_fields").alias("all"), F.coalesce("read.entry_type", F.lit("article")).alias("kind"), F.coalesce("read.entry_key", F.lit("unknown")).alias("key"))
     data = merged(cascade(rows, candidates(responses))).select(F.col("source_path").alias("s"), F.col("ord").alias("o"), "data")
     rows = rows.join(data, (F.col("source_path") == F.col("s")) & (F.col("ord") == F.col("o")), "left")
     overwrite = some(F.coalesce("doi", F.lit(""))) & F.lit(mode == "AGGRESSIVE_DOI_ONLY")
@@ -159,8 +160,8 @@ def verify(entries: DataFrame, responses: DataFrame, mode: str = "SAFE", month_s
     rows = rows.withColumn("text", F.when(F.col("data").isNotNull(), text))
     changed = compare_form(F.col("text")) != compare_form(F.col("raw"))
     hit = F.col("data").isNotNull()
-    status = F.when(hit & changed, "CORRECTED").when(hit, "VERIFIED").when(some(F.coalesce("title", F.lit(""))), "NOT_FOUND").otherwise("SKIPPED")
+    status = F.when(F.col("raw").isNull(), "ERROR").when(hit & changed, "CORRECTED").when(hit, "VERIFIED").when(some(F.coalesce("title", F.lit(""))), "NOT_FOUND").otherwise("SKIPPED")
     rows = rows.withColumn("status", status)
     by = F.when(F.col("overwrite"), F.lit("Reference corrected (aggressive) from ")).otherwise(F.lit("Reference corrected from "))
-    message = F.when(F.col("status") == "CORRECTED", F.concat(by, F.col("data.source"))).when(F.col("status") == "VERIFIED", F.concat(F.lit("Reference verified via "), F.col("data.source"))).when(F.col("status") == "NOT_FOUND", F.lit("Could not find reference in any online source")).otherwise(F.lit("No DOI, title, or author+year found to verify"))
+    message = F.when(F.col("status") == "ERROR", F.lit("Error: no entry")).when(F.col("status") == "CORRECTED", F.concat(by, F.col("data.source"))).when(F.col("status") == "VERIFIED", F.concat(F.lit("Reference verified via "), F.col("data.source"))).when(F.col("status") == "NOT_FOUND", F.lit("Could not find reference in any online source")).otherwise(F.lit("No DOI, title, or author+year found to verify"))
     return rows.select("source_path", "ord", F.col("raw").alias("original"), F.when(F.col("status") == "CORRECTED", F.col("text")).otherwise(F.col("raw")).alias("corrected"), "status", message.alias("message"))

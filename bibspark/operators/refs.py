@@ -21,7 +21,7 @@ BLANK = r"\n\s*\n+"
 STARTS = r"^(?:\d{1,3}\.?\s+[A-Z][a-z]+.*|[A-Z][a-z]+\s+[A-Z]{1,2}[,.]?\s.*|[A-Z][a-z]+,\s+[A-Z].*)\z"
 DOI = r"(?i)(?:doi[:\s]*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,}/[^\s]+)"
 YEAR = r"\b((?:19|20)\d{2})\b"
-_QUOTES = "".join(map(chr, (0x201C, 0x201D, 0x22, 0x2018, 0x2019, 0x27)))
+_QUOTES = "“”\"‘’'"
 TITLE = rf"[{_QUOTES}]([^{_QUOTES}]+)[{_QUOTES}]|(?:\d{{4}}[a-z]?[.,]?\s*)([^.]+\.)"
 STRATEGIES = ("bracket", "dot", "plain", "blank", "author")
 
@@ -158,3 +158,16 @@ def extraction(docs: DataFrame, converted: DataFrame, generator: str = "bibspark
     parsed = [F.concat(F.lit("Found references section ("), F.length("section").cast("string"), F.lit(" characters)")), F.concat(F.lit("Parsed "), n.cast("string"), F.lit(" raw references"))]
     messages = F.when(~there, F.array(F.lit("Could not locate references section in the document."))).when(n == 0, F.array(*parsed, F.lit("No references could be parsed from the section."))).otherwise(F.array(*parsed, said("Successfully converted: ", ok), said("Verification errors: ", n - ok)))
     return rows.select("doc_id", F.when(n > 0, F.concat(head, F.col("body"))).otherwise(F.lit("")).alias("bibtex_output"), n.alias("total_found"), ok.alias("converted"), (n - ok).alias("errors"), messages.alias("messages"))
+
+
+def extract(docs: DataFrame, responses: DataFrame, mode: str = "SAFE", month_style: str = "KEEP_ORIGINAL", generator: str = "bibspark") -> DataFrame:
+    """``extraction`` of documents (doc_id, content), looked up in a snapshot."""
+    return extraction(docs, convert(raw_references(docs), responses, mode, month_style), generator)
+
+
+def extract_from_files(spark, path: str | list[str], decoder, responses: DataFrame, suffix: str = ".pdf", **how) -> DataFrame:
+    """``extract`` of the documents in files, whose bytes ``decoder`` turns into text; doc_id is the path."""
+    from bibspark.sources import bib
+
+    docs = bib.decode_binary(spark, path, decoder, suffix).select(F.col("source_path").alias("doc_id"), "content")
+    return extract(docs, responses, **how)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The fields that come first, in this order.
 ORDER = ["author", "title", "journal", "booktitle", "year", "month", "volume", "number", "pages", "publisher", "organization", "doi", "isbn", "issn", "url", "note", "keywords", "abstract"]
 RULE = "=" * 50
-DOUBLE = chr(0x2550) * 55
+DOUBLE = "═" * 55
 
 
 def rebuild_entry(kind: Column, key: Column, fields: Column) -> Column:
@@ -30,11 +30,13 @@ def _bodies(entries: DataFrame, text: str, by: str) -> DataFrame:
 
 
 def processed_output(summary: DataFrame, entries: DataFrame, month_style: str = "KEEP_ORIGINAL", sort_by_key: bool = False) -> DataFrame:
-    """source_path, output: a header with four counters and the entries that stay (source_path, ord, key, raw)."""
+    """source_path, output: a header with four counters and the entries that stay (source_path, ord, key, raw); nothing for a
+    source without entries."""
     rows = summary.join(_bodies(entries, "raw", "key" if sort_by_key else "ord"), F.col("source_path") == F.col("s"), "left")
     style = "" if month_style == "KEEP_ORIGINAL" else f"% Month style: {month_style}\n"
     head = F.format_string("% Total entries parsed: %d\n% Unique kept: %d\n% Duplicates removed: %d\n% Parse issues: %d\n".replace("% ", "%% "), "total", "unique", "duplicates", "parse_errors")
-    return rows.select("source_path", F.concat(head, F.lit(f"{style}% {RULE}\n\n"), F.coalesce("body", F.lit(""))).alias("output"))
+    text = F.concat(head, F.lit(f"{style}% {RULE}\n\n"), F.coalesce("body", F.lit("")))
+    return rows.select("source_path", F.when(F.col("total") == 0, F.lit("")).otherwise(text).alias("output"))
 
 
 def status_summary(verified: DataFrame, duplicates: DataFrame) -> DataFrame:
@@ -64,11 +66,17 @@ def summary_report(summary: DataFrame, sort_by_key: bool = False, smart: bool =
     return summary.select("source_path", F.concat(F.lit(f"{title}\n\n"), numbers, F.lit(rest)).alias("report"))
 
 
-def duplicates_report(duplicates: DataFrame, title: str = "References - Duplicates Report") -> DataFrame:
-    """source_path, report for each source that has duplicates."""
+def duplicates_report(duplicates: DataFrame, sources: DataFrame | None = None, title: str = "References - Duplicates Report") -> DataFrame:
+    """source_path, report, message. With ``sources`` (source_path), a row for each of them: the report is null, and the message
+    says so, for one without duplicates."""
+    from bibspark.operators.dedupe import NO_DUPLICATES
+
     line = F.format_string("- dropped=%s kept=%s reason=%s\n", "dropped_key", "kept_key", "reason")
     rows = duplicates.groupBy("source_path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))), lambda r: r["t"]), "").alias("body"))
-    return rows.select("source_path", F.concat(F.format_string(f"{title}\n\nTotal duplicates removed: %d\n\n", "n"), F.col("body")).alias("report"))
+    if sources is not None:
+        rows = sources.select("source_path").distinct().join(rows, "source_path", "left")
+    report = F.concat(F.format_string(f"{title}\n\nTotal duplicates removed: %d\n\n", "n"), F.col("body"))
+    return rows.select("source_path", F.when(F.col("n").isNotNull(), report).alias("report"), F.when(F.col("n").isNull(), F.lit(NO_DUPLICATES)).alias("message"))
 
 
 def search(outputs: DataFrame, needle: str) -> DataFrame:

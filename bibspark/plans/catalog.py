@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import jsonx, months, scanner
 from bibspark.functions import text as tx
 from bibspark.operators import dedupe, enrich, parse, refs, render
 from bibspark.plans import corpus
-from bibspark.plans.corpus import BIB, FOLD, REFS, SIGNED, table
+from bibspark.plans.corpus import BIB, ESCAPED, FILES, LIBRARIES, LIBRARY, REFS, SIGNED, fold, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,25 +68,36 @@ def display_key(spark, sf_dir):
     return _numbers(_entries(spark, sf_dir).select("source_path", "ord", tx.display_key(F.col("raw")).alias("shown")))
 
 
+@query(f"""WITH p AS (SELECT doc_id, {ESCAPED} AS t FROM documents) SELECT CAST(doc_id AS VARCHAR) AS source_path, 1::BIGINT AS entries, 'UNCLOSED' AS code,
+  CAST(length('@misc{{u' || doc_id || ', title={{' || t || '}}}} ') AS BIGINT) AS start, 'book' AS type, 'Unclosed entry starting at index ' || length('@misc{{u' || doc_id || ', title={{' || t || '}}}} ') || ' (@book)' AS message FROM p""")
+def parse_unclosed(spark, sf_dir):
+    """An entry that doesn't end is an error, and ends the source."""
+    rows = corpus.bib_rows(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_path"), F.when(F.col("doc_id") % 2 == 0, F.expr("substring(title, 2, length(title) - 2)")).otherwise(F.col("title")).alias("t"))
+    content = F.concat(F.lit("@misc{u"), "source_path", F.lit(", title={"), "t", F.lit("}} @Book{v, title={"), "t", F.lit("} @misc{w, title={never reached}}"))
+    told = parse.parsed(rows.select("source_path", content.alias("content")))
+    return _numbers(told.select("source_path", F.size("parsed.entries").alias("entries"), F.inline("parsed.errors")).drop("ord"))
+
+
 # De-duplication
 
 
-@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, key FROM bib QUALIFY row_number() OVER (PARTITION BY source_path, key ORDER BY ord) = 1")
-def dedupe_key(spark, sf_dir):
-    return _numbers(dedupe.unique(_entries(spark, sf_dir), smart=False).select("source_path", "ord", "key"))
+def _library(spark, sf_dir):
+    return corpus.library(_entries(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {FOLD} SELECT source_path, CAST(ord AS BIGINT) AS ord, key FROM fold WHERE reason IS NULL")
-def dedupe_smart(spark, sf_dir):
-    return _numbers(dedupe.unique(_entries(spark, sf_dir)).select("source_path", "ord", "key"))
+@query(f"WITH {BIB} SELECT source AS source_path, CAST({LIBRARY} AS BIGINT) AS ord, key FROM bib QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1")
+def dedupe_key(spark, sf_dir):
+    return _numbers(dedupe.unique(_library(spark, sf_dir), smart=False).select("source_path", "ord", "key"))
 
 
-_CHAIN = FOLD.replace("s AS (SELECT *,", "s AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY source_path, ord) - 1 AS INTEGER) AS ord, 'all' AS source_path), source_path AS own_path, ord AS own_ord,", 1)
+@query(f"WITH RECURSIVE {LIBRARIES} SELECT source_path, CAST(place AS BIGINT) AS ord, key FROM fold WHERE reason IS NULL")
+def dedupe_smart(spark, sf_dir):
+    return _numbers(dedupe.unique(_library(spark, sf_dir)).select("source_path", "ord", "key"))
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT s.own_path AS source_path, CAST(s.own_ord AS BIGINT) AS ord, fold.key, fold.kept_key, fold.reason FROM fold JOIN s USING (ord)")
+@query(f"WITH RECURSIVE {fold("'all'", LIBRARY)} SELECT s.source AS source_path, CAST(fold.place AS BIGINT) AS ord, fold.key, fold.kept_key, fold.reason FROM fold JOIN s USING (doc_id)")
 def dedupe_smart_corpus(spark, sf_dir):
-    return _numbers(dedupe.judged(_entries(spark, sf_dir), scope="corpus").select("source_path", "ord", "key", "kept_key", "reason"))
+    return _numbers(dedupe.judged(_library(spark, sf_dir), scope="corpus").select("source_path", "ord", "key", "kept_key", "reason"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS ord, p_brand || CAST(p_size % 7 AS VARCHAR) AS key, CASE WHEN length(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')) >= 10 THEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') END AS sig FROM part),
@@ -102,21 +114,34 @@ def dedupe_rounds_on_part(spark, sf_dir):
     return told.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("kept"), F.sum(F.when(F.col("reason").isNull(), F.col("ord"))).alias("places"))
 
 
-@query(f"WITH RECURSIVE {FOLD} SELECT source_path, CAST(ord AS BIGINT) AS ord, key AS dropped_key, kept_key, reason FROM fold WHERE reason IS NOT NULL")
+@query(f"WITH RECURSIVE {LIBRARIES} SELECT source_path, CAST(place AS BIGINT) AS ord, key AS dropped_key, kept_key, reason FROM fold WHERE reason IS NOT NULL")
 def duplicates_log(spark, sf_dir):
-    return _numbers(dedupe.duplicates(_entries(spark, sf_dir)))
+    return _numbers(dedupe.duplicates(_library(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {FOLD} SELECT source_path, count(*) AS total, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS "unique", CAST(count(*) FILTER (reason IS NOT NULL) AS BIGINT) AS duplicates,
-  (SELECT CAST(count(*) AS BIGINT) FROM bib b WHERE b.source_path = fold.source_path AND b.doc_id % 23 = 0) AS parse_errors FROM fold GROUP BY source_path""")
+@query(f"""WITH RECURSIVE {LIBRARIES} SELECT source_path, count(*) AS total, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS "unique", CAST(count(*) FILTER (reason IS NOT NULL) AS BIGINT) AS duplicates,
+  (SELECT CAST(count(*) AS BIGINT) FROM bib b WHERE b.source = fold.source_path AND b.doc_id % 23 = 0) AS parse_errors FROM fold GROUP BY source_path
+  UNION ALL SELECT 'empty', 0, 0, 0, 0""")
 def dedupe_summary(spark, sf_dir):
-    return dedupe.summary(corpus.bib_sources(spark, sf_dir))
+    """With a source that holds nothing."""
+    sources = corpus.bib_sources(spark, sf_dir).unionByName(spark.createDataFrame([("empty/0", "% nothing here")], "source_path string, content string"))
+    counts = corpus.library(parse.counts(sources)).groupBy("source_path").agg(F.sum("parse_errors").alias("parse_errors"))
+    return dedupe.summary_of(corpus.library(parse.entries(sources)), counts)
+
 
+@query(f"WITH RECURSIVE {LIBRARIES} SELECT source_path, count(*) AS total, NULL::VARCHAR AS message FROM fold GROUP BY source_path UNION ALL SELECT 'empty', 0, 'No reference entries found.'")
+def no_entries_outcome(spark, sf_dir):
+    return dedupe.outcome(dedupe_summary(spark, sf_dir)).select("source_path", "total", "message")
 
-@query(f"WITH RECURSIVE {FOLD} SELECT source_path, string_agg(key, ',' ORDER BY key) AS keys FROM fold WHERE reason IS NULL GROUP BY source_path")
+
+@query(f"WITH RECURSIVE {LIBRARIES} SELECT row_number() OVER (ORDER BY source_path, key, place) - 1 AS pos, source_path, key FROM fold WHERE reason IS NULL")
 def sorted_output(spark, sf_dir):
-    rows = dedupe.unique(_entries(spark, sf_dir), sort_by_key=True)
-    return rows.groupBy("source_path").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
+    """``pos`` is a row's place in the result as it is sorted: parts of it follow each other, and rows within a part."""
+    rows = dedupe.unique(_library(spark, sf_dir), sort_by_key=True).select("source_path", "key").withColumn("at", F.monotonically_increasing_id())
+    parts = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+    placed = rows.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part")
+    return placed.select((F.col("before") + F.col("at") - F.shiftleft("part", 33)).alias("pos"), "source_path", "key")
 
 
 # Months
@@ -211,12 +236,25 @@ def authors_invert(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", tx.invert_name(name).alias("inverted"), tx.surname(authors).alias("surname"))
 
 
-@query("SELECT s_suppkey, 'https://api.crossref.org/works/10.5555%2F' || CAST(s_suppkey AS VARCHAR) AS by_doi, 'https://api.openalex.org/works?filter=title.search:On+supplier+' || CAST(s_suppkey AS VARCHAR) || '&per_page=1' AS by_title FROM supplier")
+_ASKED = {
+    "crossref_doi": "'https://api.crossref.org/works/10.5555%2F' || s_suppkey",
+    "s2_doi": "'https://api.semanticscholar.org/graph/v1/paper/DOI:10.5555%2F' || s_suppkey || '?fields=title,authors,year,venue,publicationDate,externalIds,journal,volume,pages'",
+    "openalex_doi": "'https://api.openalex.org/works/https://doi.org/10.5555/' || s_suppkey",
+    "crossref_title": "'https://api.crossref.org/works?query.title=On+supplier+' || s_suppkey || '&rows=1'",
+    "s2_title": "'https://api.semanticscholar.org/graph/v1/paper/search?query=On+supplier+' || s_suppkey || '&fields=title,authors,year,venue,publicationDate,externalIds,journal,volume,pages&limit=1'",
+    "openalex_title": "'https://api.openalex.org/works?filter=title.search:On+supplier+' || s_suppkey || '&per_page=1'",
+    "crossref_author_year": "'https://api.crossref.org/works?query.author=Lovelace&filter=from-pub-date:' || (1990 + s_suppkey % 9) || ',until-pub-date:' || (1990 + s_suppkey % 9) || '&query.title=On+supplier+' || s_suppkey || '&rows=3'",
+}
+
+
+@query(f"SELECT s_suppkey, {', '.join(f'{v} AS {k}' for k, v in _ASKED.items())} FROM supplier")
 def request_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('10.5555/', CAST(s_suppkey AS STRING)) AS doi", "concat('On {supplier} ', CAST(s_suppkey AS STRING)) AS title")
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('10.5555/', CAST(s_suppkey AS STRING)) AS doi", "concat('On {supplier} ', CAST(s_suppkey AS STRING)) AS title", "CAST(1990 + s_suppkey % 9 AS STRING) AS year")
     urls = tx.request_urls(F.col("doi"), F.col("title"))
     pick = lambda s, k: F.filter(urls, lambda u: (u["source"] == s) & (u["lookup_kind"] == k))[0]["url"]
-    return rows.select("s_suppkey", pick("CrossRef", "doi").alias("by_doi"), pick("OpenAlex", "title").alias("by_title"))
+    short = {"CrossRef": "crossref", "Semantic Scholar": "s2", "OpenAlex": "openalex"}
+    last = tx.author_year_url(F.lit("Ada Lovelace and Alan Turing"), F.col("year"), F.col("title"))
+    return rows.select("s_suppkey", *[pick(s, k).alias(f"{n}_{k}") for k in ("doi", "title") for s, n in short.items()], last.alias("crossref_author_year"))
 
 
 # JSON
@@ -264,20 +302,43 @@ def find_section(spark, sf_dir):
     return _sections(spark, sf_dir)
 
 
-@query("SELECT page_id, false AS has_references FROM pages")
+@query(r"""SELECT page_id, regexp_matches(html, '(?im)^\s*(?:References|Bibliography|Works\s+Cited|Literature\s+Cited|Citations)\s*$')
+  OR len(regexp_extract_all(substr(html, CAST(floor(length(html) * 2 / 3) AS BIGINT) + 1), '(?m)^\s*\[\d+\]\s*[^\s]')) >= 3 AS has_references FROM pages""")
 def find_section_in_pages(spark, sf_dir):
-    """Pages have no such section."""
     return table(spark, sf_dir, "pages").select("page_id", refs.find_section(F.col("html")).isNotNull().alias("has_references"))
 
 
+@query(f"""WITH {REFS}, b AS (SELECT doc_id, string_agg('[' || number || '] ' || text, chr(10) ORDER BY number) AS body, count(*) AS n FROM refs GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n >= 3 THEN body END AS section FROM b""")
+def find_section_fallback(spark, sf_dir):
+    """Without a heading, the last third of a text counts if it has three references in brackets."""
+    rows = corpus.ref_rows(spark, sf_dir).where("doc_id % 11 <> 10")
+    line = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), "text")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("t")))), lambda r: r["t"]), "\n")
+    docs = rows.groupBy("doc_id").agg(body.alias("body"))
+    content = F.concat(F.repeat(F.lit("on "), ((F.length("body") * 2 - 1) / 3).cast("int")), F.repeat(F.lit("."), ((F.length("body") * 2 - 1) % 3).cast("int")), F.lit("\n"), "body")
+    return docs.select("doc_id", refs.find_section(content).alias("section"))
+
+
+_LEAD = "CASE style WHEN 'bracket' THEN '[' || CAST(number AS VARCHAR) || '] ' WHEN 'dot' THEN CAST(number AS VARCHAR) || '. ' WHEN 'plain' THEN CAST(number AS VARCHAR) || ' ' ELSE '' END"
+_OWN = "SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST({number} AS BIGINT) AS number, {text} AS text FROM r WHERE style IN ({styles})"
+_ONE = f"SELECT doc_id, 0::BIGINT, 1::BIGINT, string_agg({_LEAD} || text, ' ' ORDER BY number) FROM r WHERE style {{styles}} GROUP BY doc_id"
+#: What each way gives of sections of all five styles.
+_WAYS = {
+    "bracket": _OWN.format(number="number", text="text", styles="'bracket'"),
+    "dot": _OWN.format(number="number", text="text", styles="'dot'"),
+    "plain": _OWN.format(number="number", text="text", styles="'plain', 'dot'"),
+    "blank": _OWN.format(number="pos + 1", text="text", styles="'blank'") + " UNION ALL " + _ONE.format(styles="<> 'blank'"),
+    "author": _OWN.format(number="pos + 1", text=f"{_LEAD} || text", styles="'author', 'blank', 'dot', 'plain'") + " UNION ALL " + _ONE.format(styles="= 'bracket'"),
+}
+
+
 def _split(style):
     def run(spark, sf_dir):
-        rows = _sections(spark, sf_dir).where(F.col("doc_id") % 5 == refs.STRATEGIES.index(style))
-        rows = rows.select("doc_id", F.posexplode(refs.WAYS[style](F.col("section"))).alias("pos", "r"))
+        rows = _sections(spark, sf_dir).select("doc_id", F.posexplode(refs.WAYS[style](F.col("section"))).alias("pos", "r"))
         return _numbers(rows.select("doc_id", "pos", "r.number", "r.text"))
 
-    number = "number" if style in ("bracket", "dot", "plain") else "pos + 1"
-    return run, f"WITH {REFS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST({number} AS BIGINT) AS number, text FROM r WHERE style = '{style}'"
+    return run, f"WITH {REFS} {_WAYS[style]}"
 
 
 for _style in refs.STRATEGIES:
@@ -310,20 +371,25 @@ def _ref_answers(spark, sf_dir):
     return rows.selectExpr("'CrossRef' AS source", "'doi' AS lookup_kind", "doi AS lookup_key", "200 AS status", "concat('{\"title\":[\"', title, '\"],\"publisher\":\"House\"}') AS body")
 
 
-@query(f"""WITH {REFS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, number % 2 = 1 AS verified, CASE WHEN number % 2 = 1 THEN '@misc{{ref' || CASE WHEN style IN ('blank', 'author') THEN CAST(pos + 1 AS VARCHAR) ELSE CAST(number AS VARCHAR) END
+_CONVERTED = f"""{REFS}, v AS (SELECT doc_id, pos, number % 2 = 1 AS verified, CASE WHEN number % 2 = 1 THEN '@misc{{ref' || CASE WHEN style IN ('blank', 'author') THEN CAST(pos + 1 AS VARCHAR) ELSE CAST(number AS VARCHAR) END
   || ',' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}},' || chr(10) || '  publisher = {{House}},' || chr(10) || '  doi = {{' || doi || '}},' || chr(10) || '  note = {{Extracted from PDF}},' || chr(10) || '}}'
-  ELSE {_BASIC} END AS entry, CASE WHEN number % 2 = 1 THEN 'Reference corrected from CrossRef' ELSE 'Could not find reference in any online source' END AS message FROM r""")
+  ELSE {_BASIC} END AS entry, CASE WHEN number % 2 = 1 THEN 'Reference corrected from CrossRef' ELSE 'Could not find reference in any online source' END AS message FROM r)"""
+
+
+@query(f"WITH {_CONVERTED} SELECT doc_id, CAST(pos AS BIGINT) AS pos, verified, entry, message FROM v")
 def convert_references(spark, sf_dir):
     raw = refs.raw_references(corpus.ref_documents(spark, sf_dir))
     return _numbers(refs.convert(raw, _ref_answers(spark, sf_dir)).select("doc_id", "pos", "verified", "entry", "message"))
 
 
-@query(f"""WITH {REFS} SELECT doc_id, count(*) AS total_found, CAST(count(*) FILTER (number % 2 = 1) AS BIGINT) AS converted, CAST(count(*) FILTER (number % 2 = 0) AS BIGINT) AS errors, 4::BIGINT AS messages FROM r GROUP BY doc_id
-  UNION ALL SELECT DISTINCT CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT) AS d, 0, 0, 0, 1 FROM customer WHERE CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT) % 11 = 10""")
+@query(f"""WITH {_CONVERTED}, b AS (SELECT doc_id, length({_BODY}) AS size FROM r GROUP BY doc_id, style)
+SELECT doc_id, '% References extracted from PDF' || chr(10) || '% Generated by bibspark' || chr(10) || chr(10) || string_agg(CASE WHEN verified THEN '' ELSE '% WARNING: Could not verify this reference' || chr(10) END || entry || chr(10) || chr(10), '' ORDER BY pos) AS bibtex_output,
+  count(*) AS total_found, CAST(count(*) FILTER (verified) AS BIGINT) AS converted, CAST(count(*) FILTER (NOT verified) AS BIGINT) AS errors,
+  'Found references section (' || any_value(size) || ' characters)|Parsed ' || count(*) || ' raw references|Successfully converted: ' || count(*) FILTER (verified) || '|Verification errors: ' || count(*) FILTER (NOT verified) AS messages FROM v JOIN b USING (doc_id) GROUP BY doc_id
+  UNION ALL SELECT DISTINCT CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT) AS d, '', 0, 0, 0, 'Could not locate references section in the document.' FROM customer WHERE CAST((c_custkey - c_custkey % 10) / 10 AS BIGINT) % 11 = 10""")
 def extraction_result(spark, sf_dir):
-    docs = corpus.ref_documents(spark, sf_dir)
-    out = refs.extraction(docs, refs.convert(refs.raw_references(docs), _ref_answers(spark, sf_dir)))
-    return out.select("doc_id", "total_found", "converted", "errors", F.size("messages").cast("long").alias("messages"))
+    out = refs.extract(corpus.ref_documents(spark, sf_dir), _ref_answers(spark, sf_dir))
+    return out.select("doc_id", "bibtex_output", "total_found", "converted", "errors", F.array_join("messages", "|").alias("messages"))
 
 
 # Enrichment
@@ -338,12 +404,12 @@ _PART = "'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, CAST(p_p
 
 @query(f"WITH {corpus.hits_sql()} SELECT {_PART}, source, CAST(score AS BIGINT) AS score FROM h")
 def completeness_score(spark, sf_dir):
-    return _numbers(_hits(spark, sf_dir).where("strategy < 3").select("source_path", "ord", "source", enrich.score(F.col("candidate")).alias("score")))
+    return _numbers(_hits(spark, sf_dir).select("source_path", "ord", "source", enrich.score(F.col("candidate")).alias("score")))
 
 
 @query(f"WITH {corpus.hits_sql()} SELECT {_PART}, source, CAST(score AS BIGINT) AS score FROM h QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, src) = 1")
 def best_candidate(spark, sf_dir):
-    return _numbers(enrich.best_candidate(_hits(spark, sf_dir).where("strategy < 3")).select("source_path", "ord", "source", "score"))
+    return _numbers(enrich.best_candidate(_hits(spark, sf_dir)).select("source_path", "ord", "source", "score"))
 
 
 _MERGE = f"{corpus.hits_sql()}, o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, src) = 1 THEN 0 ELSE src END AS o FROM h), m AS (SELECT p_partkey, min(strategy) AS strategy, arg_min(source, o) AS source, {corpus.MERGED_SQL} FROM o GROUP BY p_partkey)"
@@ -351,42 +417,39 @@ _MERGE = f"{corpus.hits_sql()}, o AS (SELECT *, CASE WHEN row_number() OVER (PAR
 
 @query(f"WITH {_MERGE} SELECT {_PART}, source, {', '.join(corpus.FIELDS)} FROM m")
 def merge_candidates(spark, sf_dir):
-    return _numbers(enrich.merged(_hits(spark, sf_dir).where("strategy < 3")).select("source_path", "ord", "data.source", *[f"data.{f}" for f in corpus.FIELDS]))
+    return _numbers(enrich.merged(_hits(spark, sf_dir)).select("source_path", "ord", "data.source", *[f"data.{f}" for f in corpus.FIELDS]))
 
 
-@query(f"""WITH {corpus.hits_sql()}, e AS (SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in corpus.ENTRY.items())} FROM part)
-SELECT {_PART}, CAST(strategy AS BIGINT) AS strategy, count(*) AS hits FROM (SELECT p_partkey, strategy FROM h UNION ALL
-  SELECT p_partkey, 3 FROM e WHERE p_partkey % 8 = 4 AND p_partkey % 3 = 0 AND author IS NOT NULL AND year IS NOT NULL AND title IS NOT NULL) GROUP BY ALL""")
+@query(f"WITH {corpus.hits_sql()} SELECT {_PART}, CAST(strategy AS BIGINT) AS strategy, count(*) AS hits FROM h GROUP BY ALL")
 def lookup_cascade(spark, sf_dir):
-    """Titles that are looked up by author and year are unique; the few entries without one share keys and are left out."""
-    entries = corpus.catalogue_entries(spark, sf_dir)
-    hits = _hits(spark, sf_dir).join(entries.select("source_path", "ord", "title"), ["source_path", "ord"])
-    hits = hits.where("strategy < 3 OR title IS NOT NULL")
-    return _numbers(hits.groupBy("source_path", "ord", "strategy").agg(F.count(F.lit(1)).alias("hits")))
+    return _numbers(_hits(spark, sf_dir).groupBy("source_path", "ord", "strategy").agg(F.count(F.lit(1)).alias("hits")))
 
 
 def _verified(spark, sf_dir, mode, style="FULL_NAME"):
     return enrich.verify(corpus.catalogue_entries(spark, sf_dir), corpus.responses(spark, sf_dir), mode, style)
 
 
+_KIND = "CASE m.type WHEN 'journal-article' THEN 'article' WHEN 'article' THEN 'article' WHEN 'book-chapter' THEN 'incollection' ELSE 'misc' END"
+
+
+def _corrected_cte(aggressive: bool) -> str:
+    """CTEs up to c: type and fields of the corrected entry of each part that was found."""
+    year = "CASE WHEN e.doi IS NOT NULL THEN coalesce(nullif(m.year, ''), e.year) ELSE coalesce(e.year, m.year) END" if aggressive else "coalesce(e.year, m.year)"
+    return f"""{_MERGE}, c AS (SELECT m.p_partkey, {_KIND} AS type, e.doi IS NULL AND m.doi IS NOT NULL AS doi_added, coalesce(e.doi, m.doi) AS doi, coalesce(e.author, m.authors) AS author, coalesce(e.title, m.title) AS title, {year} AS year, m.month AS month, m.volume AS volume,
+  m.pages AS pages, m.issue AS number, m.publisher AS publisher, CASE WHEN {_KIND} = 'incollection' THEN m.container_title END AS booktitle, CASE WHEN {_KIND} <> 'incollection' THEN m.container_title END AS journal
+FROM m JOIN e USING (p_partkey))"""
+
+
 def _corrected_sql(aggressive: bool) -> str:
-    """Fields of the corrected entries of parts that were found by DOI or title."""
-    e = ", ".join(f"{v} AS e_{k}" for k, v in corpus.ENTRY.items())
-    year = "CASE WHEN e_doi IS NOT NULL THEN coalesce(nullif(m.year, ''), e_year) ELSE coalesce(e_year, m.year) END" if aggressive else "coalesce(e_year, m.year)"
-    kind = "CASE WHEN m.type IS NULL THEN 'misc' ELSE CASE m.type WHEN 'journal-article' THEN 'article' WHEN 'article' THEN 'article' WHEN 'book-chapter' THEN 'incollection' ELSE 'misc' END END"
-    return f"""WITH {_MERGE}, e AS (SELECT p_partkey, {e} FROM part)
-SELECT {_PART.replace("p_partkey", "m.p_partkey")}, {kind} AS type, e_doi IS NOT DISTINCT FROM NULL AND m.doi IS NOT NULL AS doi_added, coalesce(e_author, m.authors) AS author, {year} AS year, m.month AS month, coalesce(m.volume, NULL) AS volume,
-  m.pages AS pages, m.issue AS number, m.publisher AS publisher, CASE WHEN {kind} = 'incollection' THEN m.container_title END AS booktitle, CASE WHEN {kind} <> 'incollection' THEN m.container_title END AS journal
-FROM m JOIN e USING (p_partkey)"""
+    return f"WITH {_corrected_cte(aggressive)} SELECT {_PART}, * EXCLUDE (p_partkey, doi) FROM c"
 
 
 def _corrected(spark, sf_dir, mode):
     rows = _verified(spark, sf_dir, mode).where("status IN ('CORRECTED', 'VERIFIED')")
-    rows = rows.join(_hits(spark, sf_dir).where("strategy < 3").select("source_path", "ord").distinct(), ["source_path", "ord"], "left_semi")
+    names = ("author", "title", "year", "month", "volume", "pages", "number", "publisher", "booktitle", "journal")
     had = scanner.extract_fields(F.col("original"), "doi")["doi"].isNull()
-    got = parse.fields(rows.withColumn("raw", F.col("corrected")), "doi", "author", "year", "month", "volume", "pages", "number", "publisher", "booktitle", "journal")
-    kind = scanner.parse_text(F.col("raw"))["entries"][0]["type"]
-    return _numbers(got.select("source_path", "ord", kind.alias("type"), (had & F.col("doi").isNotNull()).alias("doi_added"), "author", "year", "month", "volume", "pages", "number", "publisher", "booktitle", "journal"))
+    got = rows.select("source_path", "ord", had.alias("had"), scanner.read_entry(F.col("corrected"), "doi", *names).alias("r"))
+    return _numbers(got.select("source_path", "ord", F.col("r.entry_type").alias("type"), (F.col("had") & F.col("r.doi").isNotNull()).alias("doi_added"), *[F.col(f"r.{n}").alias(n) for n in names]))
 
 
 @query(_corrected_sql(False))
@@ -399,12 +462,7 @@ def corrected_aggressive(spark, sf_dir):
     return _corrected(spark, sf_dir, "AGGRESSIVE_DOI_ONLY")
 
 
-_FOUND = f"""{corpus.hits_sql()}, e AS (SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in corpus.ENTRY.items())} FROM part),
-k AS (SELECT DISTINCT 'Lovelace|' || year || coalesce('|' || left(title, 50), '') AS key FROM e WHERE p_partkey % 8 = 4 AND p_partkey % 3 = 0 AND year IS NOT NULL),
-st AS (SELECT p_partkey, CASE WHEN p_partkey IN (SELECT p_partkey FROM h) THEN 'CORRECTED'
-  WHEN author IS NOT NULL AND year IS NOT NULL AND 'Ada Lovelace|' || year || coalesce('|' || left(title, 50), '') IN (SELECT key FROM k) THEN 'CORRECTED'
-  WHEN author IS NOT NULL AND year IS NOT NULL AND 'Lovelace|' || year || coalesce('|' || left(title, 50), '') IN (SELECT key FROM k) THEN 'CORRECTED'
-  WHEN title IS NOT NULL THEN 'NOT_FOUND' ELSE 'SKIPPED' END AS status FROM e)"""
+_FOUND = f"{corpus.hits_sql()}, st AS (SELECT p_partkey, CASE WHEN p_partkey IN (SELECT p_partkey FROM h) THEN 'CORRECTED' WHEN title IS NOT NULL THEN 'NOT_FOUND' ELSE 'SKIPPED' END AS status FROM e)"
 
 
 @query(f"WITH {_FOUND} SELECT 'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, 0::BIGINT AS duplicates_removed, 0::BIGINT AS verified, CAST(count(*) FILTER (status = 'CORRECTED') AS BIGINT) AS corrected, CAST(count(*) FILTER (status = 'NOT_FOUND') AS BIGINT) AS not_found, 0::BIGINT AS errors, CAST(count(*) FILTER (status = 'SKIPPED') AS BIGINT) AS skipped FROM st GROUP BY 1")
@@ -413,12 +471,23 @@ def verify_status_summary(spark, sf_dir):
     return render.status_summary(_verified(spark, sf_dir, "SAFE"), none)
 
 
+@query(f"""WITH {_FOUND}, w AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'ERROR' WHEN p_partkey % 7 = 1 AND p_partkey % 4 <> 0 AND status = 'CORRECTED' THEN 'VERIFIED' ELSE status END AS status FROM st)
+SELECT 'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, CAST(count(*) FILTER (p_partkey % 5 = 0) AS BIGINT) AS duplicates_removed, {', '.join(f"CAST(count(*) FILTER (status = '{x}') AS BIGINT) AS {n}" for n, x in (('verified', 'VERIFIED'), ('corrected', 'CORRECTED'), ('not_found', 'NOT_FOUND'), ('errors', 'ERROR'), ('skipped', 'SKIPPED')))} FROM w GROUP BY 1""")
+def verify_again(spark, sf_dir):
+    """All five outcomes: entries with a DOI that were corrected before are verified, and entries that are null are errors."""
+    before = _verified(spark, sf_dir, "SAFE").select("source_path", "ord", "original", "corrected")
+    key = F.split("source_path", "/")[1].cast("long") * 1000 + F.col("ord")
+    raw = F.when(key % 7 == 0, F.lit(None).cast("string")).when((key % 7 == 1) & (key % 4 != 0), F.col("corrected")).otherwise(F.col("original"))
+    told = enrich.verify(before.select("source_path", "ord", raw.alias("raw")), corpus.responses(spark, sf_dir), "SAFE", "FULL_NAME")
+    return render.status_summary(told, before.where(key % 5 == 0))
+
+
 # Output
 
 _RAW = r"""'@Article{' || key || ',' || chr(10) || '  title = {' || title || '},' || chr(10) || '  year = {' || year || '},' || chr(10) || '  month = ' || CASE doc_id % 3 WHEN 0 THEN '{' || month || '}' WHEN 1 THEN '"' || month || '"' ELSE month END || ',' || chr(10) || '  note = {n' || CAST(doc_id AS VARCHAR) || '}' || chr(10) || '}'"""
 _COUNTS = """c AS (SELECT source_path, count(*) AS total, count(*) FILTER (reason IS NULL) AS uniq, (SELECT count(*) FROM bib b WHERE b.source_path = fold.source_path AND b.doc_id % 23 = 0) AS bad FROM fold GROUP BY source_path)"""
-_OUT = f"""{FOLD}, {_COUNTS}, out AS (SELECT c.source_path, '% Total entries parsed: ' || total || chr(10) || '% Unique kept: ' || uniq || chr(10) || '% Duplicates removed: ' || (total - uniq) || chr(10) || '% Parse issues: ' || bad || chr(10)
-  || '% ' || repeat('=', 50) || chr(10) || chr(10) || (SELECT string_agg({_RAW.replace("key", "b.key").replace("title ||", "b.title ||").replace("year ||", "b.year ||")} || chr(10) || chr(10), '' ORDER BY b.ord) FROM bib b JOIN fold f ON f.source_path = b.source_path AND f.ord = b.ord WHERE f.reason IS NULL AND b.source_path = c.source_path) AS output FROM c)"""
+_OUT = f"""{FILES}, {_COUNTS}, out AS (SELECT c.source_path, '% Total entries parsed: ' || total || chr(10) || '% Unique kept: ' || uniq || chr(10) || '% Duplicates removed: ' || (total - uniq) || chr(10) || '% Parse issues: ' || bad || chr(10)
+  || '% ' || repeat('=', 50) || chr(10) || chr(10) || (SELECT string_agg({_RAW.replace("key", "b.key").replace("title ||", "b.title ||").replace("year ||", "b.year ||").replace("doc_id", "b.doc_id")} || chr(10) || chr(10), '' ORDER BY b.ord) FROM bib b JOIN fold f ON f.source_path = b.source_path AND f.ord = b.ord WHERE f.reason IS NULL AND b.source_path = c.source_path) AS output FROM c)"""
 
 
 def _output(spark, sf_dir):
@@ -439,23 +508,37 @@ def search_filter(spark, sf_dir):
     return render.search(_output(spark, sf_dir), " Month = {SEPT} ")
 
 
-@query(f"WITH RECURSIVE {FOLD} SELECT source_path, 'References - Duplicates Report' || chr(10) || chr(10) || 'Total duplicates removed: ' || count(*) || chr(10) || chr(10) || string_agg('- dropped=' || key || ' kept=' || kept_key || ' reason=' || reason || chr(10), '' ORDER BY ord) AS report FROM fold WHERE reason IS NOT NULL GROUP BY source_path")
+_GONE = "'References - Duplicates Report' || chr(10) || chr(10) || 'Total duplicates removed: ' || count(*) FILTER (reason IS NOT NULL) || chr(10) || chr(10) || string_agg('- dropped=' || key || ' kept=' || kept_key || ' reason=' || reason || chr(10), '' ORDER BY ord) FILTER (reason IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {FILES} SELECT source_path, CASE WHEN count(*) FILTER (reason IS NOT NULL) > 0 THEN {_GONE} END AS report, CASE WHEN count(*) FILTER (reason IS NOT NULL) = 0 THEN 'No duplicates were detected.' END AS message FROM fold GROUP BY source_path UNION ALL SELECT 'empty/0', NULL, 'No duplicates were detected.'")
 def duplicates_report(spark, sf_dir):
-    return render.duplicates_report(dedupe.duplicates(_entries(spark, sf_dir)))
+    sources = corpus.bib_sources(spark, sf_dir)
+    empty = spark.createDataFrame([("empty/0", "")], "source_path string, content string")
+    return render.duplicates_report(dedupe.duplicates(parse.entries(sources)), sources.unionByName(empty))
 
 
-@query(f"""WITH RECURSIVE {FOLD}, {_COUNTS} SELECT source_path, 'References - Summary' || chr(10) || chr(10) || 'Total entries: ' || total || chr(10) || 'Unique entries: ' || uniq || chr(10) || 'Duplicates removed: ' || (total - uniq) || chr(10) || 'Parse errors: ' || bad || chr(10)
+@query(f"""WITH RECURSIVE {FILES}, {_COUNTS} SELECT source_path, 'References - Summary' || chr(10) || chr(10) || 'Total entries: ' || total || chr(10) || 'Unique entries: ' || uniq || chr(10) || 'Duplicates removed: ' || (total - uniq) || chr(10) || 'Parse errors: ' || bad || chr(10)
   || 'Sort by key: false' || chr(10) || 'Smart dedupe: true' || chr(10) || 'Verification mode: SAFE' || chr(10) || 'Month style: KEEP_ORIGINAL' || chr(10) AS report FROM c""")
 def summary_report(spark, sf_dir):
     return render.summary_report(dedupe.summary(corpus.bib_sources(spark, sf_dir)))
 
 
-@query(f"""WITH {_FOUND} SELECT 'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, count(*) AS entries, CAST(count(*) FILTER (status = 'CORRECTED') AS BIGINT) AS corrected FROM st GROUP BY 1""")
+_NL = "chr(10)"
+_LINES = " || ".join(f"coalesce('  {n} = {{{{' || c.{n} || '}}}},' || {_NL}, '')" for n in ("author", "title", "journal", "booktitle", "year", "month", "volume", "number", "pages", "publisher", "doi")).replace("{{", "{").replace("}}", "}")
+_PLAIN = " || ".join(f"coalesce('  {n} = {{' || e.{n} || '}},' || {_NL}, '')" for n in corpus.ENTRY)
+_RULED = f"'% ' || repeat('{render.DOUBLE[0]}', 55) || {_NL}"
+
+
+@query(f"""WITH {_corrected_cte(False)}, x AS (SELECT e.p_partkey, CASE WHEN c.p_partkey IS NOT NULL THEN 'CORRECTED' WHEN e.title IS NOT NULL THEN 'NOT_FOUND' ELSE 'SKIPPED' END AS status,
+  CASE WHEN c.p_partkey IS NOT NULL THEN '@' || c.type || '{{p' || e.p_partkey || ',' || {_NL} || {_LINES} || '}}' ELSE '@misc{{p' || e.p_partkey || ',' || {_NL} || {_PLAIN} || '}}' END AS entry FROM e LEFT JOIN c USING (p_partkey))
+SELECT 'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, {_RULED} || '% VERIFICATION & DEDUPLICATION SUMMARY' || {_NL} || {_RULED} || '% Duplicates removed: 0' || {_NL} || '% Verified (already correct): 0' || {_NL}
+  || '% Corrected/completed: ' || count(*) FILTER (status = 'CORRECTED') || {_NL} || '% Not found online: ' || count(*) FILTER (status = 'NOT_FOUND') || {_NL} || '% Errors during lookup: 0' || {_NL} || '% Skipped (no DOI/title): ' || count(*) FILTER (status = 'SKIPPED') || {_NL}
+  || {_RULED} || {_NL} || string_agg(entry || {_NL} || {_NL}, '' ORDER BY p_partkey) AS output FROM x GROUP BY 1""")
 def verified_output(spark, sf_dir):
     told = _verified(spark, sf_dir, "SAFE")
     none = spark.createDataFrame([], "source_path string")
-    out = render.verified_output(render.status_summary(told, none), told)
-    return out.select("source_path", F.regexp_count("output", F.lit(r"(?m)^@")).cast("long").alias("entries"), F.regexp_extract("output", r"% Corrected/completed: (\d+)\n", 1).cast("long").alias("corrected"))
+    return render.verified_output(render.status_summary(told, none), told).select("source_path", "output")
 
 
 @query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, '@article{{' || key || ',' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}},' || chr(10) || '  month = {{' || month || '}},' || chr(10) || '  note = {{n' || CAST(doc_id AS VARCHAR) || '}},' || chr(10) || '}}' AS text FROM bib")

@@ -18,22 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+FILE = 1000  # ids of a source that make a file
+
+
 def bib_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_path, doc_id, ord, key, title, year, month: a record for each document, a source for each thousand ids of a
-    source, so that no source grows with the table."""
+    """source_path, source, doc_id, ord, key, title, year, month: a record for each document, whose whole text is the title, with
+    escapes and for every other one in braces of its own. A file holds ``FILE`` ids of a source, so no file grows with the
+    table; a source's files are a library (``library``)."""
     docs = table(spark, sf_dir, "documents")
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    text = collapse(F.regexp_replace(F.coalesce("text", F.lit("")), r'(["\\{}])', r"\\$1"))
     rows = docs.select(
-        F.concat("source", F.lit("/"), F.expr("CAST(doc_id DIV 1000 AS STRING)")).alias("source_path"),
+        F.concat("source", F.lit("/"), F.expr(f"CAST(doc_id DIV {FILE} AS STRING)")).alias("source_path"),
+        "source",
         "doc_id",
         F.concat(F.lit("d"), F.expr("CAST(doc_id % 400 AS STRING)")).alias("key"),
-        collapse(F.regexp_replace(first, r'["\\{}@]', "")).alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("{"), text, F.lit("}"))).otherwise(text).alias("title"),
         F.expr("CAST(2000 + doc_id % 25 AS STRING)").alias("year"),
         F.expr(f"element_at(array({MONTH_LIST}), CAST(doc_id % 10 + 1 AS INT))").alias("month"),
     )
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("source_path").orderBy("doc_id")) - 1)
 
 
+def library(rows: DataFrame) -> DataFrame:
+    """The files of a source as one source: their path without the file's number, and places that follow each other."""
+    number = F.substring_index("source_path", "/", -1).cast("int")
+    rows = rows.withColumn("ord", (number * FILE + F.col("ord")).cast("int")) if "ord" in rows.columns else rows
+    return rows.withColumn("source_path", F.regexp_replace("source_path", r"/\d+$", ""))
+
+
 def bib_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_path, content. Some records follow a construct that is none, or an entry without a key."""
     rows = bib_rows(spark, sf_dir)
@@ -44,23 +56,33 @@ def bib_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_path").agg(F.array_join(blocks, "\n\n").alias("content"))
 
 
-BIB = rf"""bib AS (SELECT source || '/' || CAST(doc_id // 1000 AS VARCHAR) AS source_path, doc_id,
-  CAST(row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) - 1 AS INTEGER) AS ord,
+ESCAPED = r"""trim(regexp_replace(regexp_replace(coalesce(text, ''), '(["\\{}])', '\\\1', 'g'), '[\s\x0B]+', ' ', 'g'))"""
+BIB = rf"""bib AS (SELECT source || '/' || CAST(doc_id // {FILE} AS VARCHAR) AS source_path, source, doc_id,
+  CAST(row_number() OVER (PARTITION BY source, doc_id // {FILE} ORDER BY doc_id) - 1 AS INTEGER) AS ord,
   'd' || CAST(doc_id % 400 AS VARCHAR) AS key,
-  trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '["\\{{}}@]', '', 'g'), '\s+', ' ', 'g')) AS title,
+  CASE WHEN doc_id % 2 = 0 THEN '{{' || {ESCAPED} || '}}' ELSE {ESCAPED} END AS title,
   CAST(2000 + doc_id % 25 AS VARCHAR) AS year, [{MONTH_LIST}][CAST(doc_id % 10 + 1 AS INT)] AS month FROM documents)"""
 SIGNED = BIB + r""", s AS (SELECT *, CASE WHEN length(regexp_replace(lower(title), '[^a-z0-9]', '', 'g')) >= 10
   THEN regexp_replace(lower(title), '[^a-z0-9]', '', 'g') END AS sig FROM bib)"""
-#: The fold, record by record, with lists of what was kept.
-FOLD = SIGNED + r""", fold AS (
-  SELECT source_path, ord, key, [key] AS ks, CASE WHEN sig IS NULL THEN []::VARCHAR[] ELSE [sig] END AS ss, CASE WHEN sig IS NULL THEN []::VARCHAR[] ELSE [key] END AS os,
-    NULL::VARCHAR AS kept_key, NULL::VARCHAR AS reason FROM s WHERE ord = 0
+
+
+def fold(path: str, at: str) -> str:
+    """CTEs: the fold, record by record, with lists of what was kept. ``path``: what is judged as one; ``at``: the place shown."""
+    return SIGNED + rf""", o AS (SELECT {path} AS source_path, {at} AS place, doc_id, key, md5(sig) AS sig, CAST(row_number() OVER (PARTITION BY {path} ORDER BY s.source, doc_id) - 1 AS INTEGER) AS ord FROM s),
+fold AS (
+  SELECT source_path, place, doc_id, ord, key, [key] AS ks, CASE WHEN sig IS NULL THEN []::VARCHAR[] ELSE [sig] END AS ss, CASE WHEN sig IS NULL THEN []::VARCHAR[] ELSE [key] END AS os,
+    NULL::VARCHAR AS kept_key, NULL::VARCHAR AS reason FROM o WHERE ord = 0
   UNION ALL
-  SELECT s.source_path, s.ord, s.key, CASE WHEN k OR t THEN ks ELSE list_append(ks, s.key) END, CASE WHEN k OR t OR sig IS NULL THEN ss ELSE list_append(ss, sig) END,
-    CASE WHEN k OR t OR sig IS NULL THEN os ELSE list_append(os, s.key) END,
-    CASE WHEN k THEN s.key WHEN t THEN os[list_position(ss, sig)] END, CASE WHEN k THEN 'KEY_DUPLICATE' WHEN t THEN 'TITLE_DUPLICATE' END
-  FROM (SELECT s.*, f.ks, f.ss, f.os, list_contains(f.ks, s.key) AS k, s.sig IS NOT NULL AND list_contains(f.ss, s.sig) AS t
-        FROM fold f JOIN s ON s.source_path = f.source_path AND s.ord = f.ord + 1) s)"""
+  SELECT o.source_path, o.place, o.doc_id, o.ord, o.key, CASE WHEN k OR t THEN ks ELSE list_append(ks, o.key) END, CASE WHEN k OR t OR sig IS NULL THEN ss ELSE list_append(ss, sig) END,
+    CASE WHEN k OR t OR sig IS NULL THEN os ELSE list_append(os, o.key) END,
+    CASE WHEN k THEN o.key WHEN t THEN os[list_position(ss, sig)] END, CASE WHEN k THEN 'KEY_DUPLICATE' WHEN t THEN 'TITLE_DUPLICATE' END
+  FROM (SELECT o.*, f.ks, f.ss, f.os, list_contains(f.ks, o.key) AS k, o.sig IS NOT NULL AND list_contains(f.ss, o.sig) AS t
+        FROM fold f JOIN o ON o.source_path = f.source_path AND o.ord = f.ord + 1) o)"""
+
+
+LIBRARY = f"(doc_id // {FILE}) * {FILE} + ord"
+#: Within each file; within each source's library.
+FILES, LIBRARIES = fold("s.source_path", "ord"), fold("source", LIBRARY)
 
 # References
 
@@ -188,7 +210,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         if source == "CrossRef":
             key = "concat_ws('|', 'Lovelace', e_year, CASE WHEN length(e_title) > 5 THEN left(e_title, 50) END)"
             rows = parts.where("p_partkey % 8 = 4 AND p_partkey % 3 = 0 AND e_year IS NOT NULL")
-            both = both.unionByName(rows.selectExpr("'CrossRef' AS source", "'author_year' AS lookup_kind", f"{key} AS lookup_key", "200 AS status", f"{listed} AS body").dropDuplicates(["lookup_key"]))
+            first = rows.selectExpr("p_partkey", f"{key} AS lookup_key", f"{listed} AS body").groupBy("lookup_key").agg(F.min_by("body", "p_partkey").alias("body"))
+            both = both.unionByName(first.selectExpr("'CrossRef' AS source", "'author_year' AS lookup_kind", "lookup_key", "200 AS status", "body"))
         out = both if out is None else out.unionByName(both)
     return out
 
@@ -208,8 +231,18 @@ def scored() -> str:
 
 
 def hits_sql() -> str:
-    """CTEs: a (all answers), h (hits by DOI or title, with score), for entries that aren't looked up by author and year."""
-    return f"a AS ({_answers_sql()}), h AS (SELECT *, CASE WHEN by_doi THEN 1 ELSE 2 END AS strategy, CAST({scored()} AS INTEGER) AS score FROM a WHERE by_doi OR by_title)"
+    """CTEs: e (entries), a (all answers), k (answers by author and year, that of the first part that has a key), h (hits of the
+    first strategy that has any, with score)."""
+    entry = ", ".join(f"{v} AS {k}" for k, v in ENTRY.items())
+    key = "'Lovelace|' || year || coalesce('|' || left(title, 50), '')"
+    fields = ", ".join(f"a.{f}" for f in FIELDS)
+    score = f"CAST({scored()} AS INTEGER) AS score"
+    return f"""e AS (SELECT p_partkey, {entry} FROM part), a AS ({_answers_sql()}),
+k AS (SELECT {key} AS key, min(p_partkey) AS answer FROM e WHERE p_partkey % 8 = 4 AND p_partkey % 3 = 0 AND year IS NOT NULL GROUP BY 1),
+g AS (SELECT p_partkey, source, src, CASE WHEN by_doi THEN 1 ELSE 2 END AS strategy, {", ".join(FIELDS)} FROM a WHERE by_doi OR by_title
+  UNION ALL SELECT q.p_partkey, a.source, a.src, 3, {fields} FROM (SELECT p_partkey, {key} AS key FROM e WHERE author IS NOT NULL AND year IS NOT NULL) q JOIN k USING (key) JOIN a ON a.p_partkey = k.answer AND a.source = 'CrossRef'
+  WHERE q.p_partkey NOT IN (SELECT p_partkey FROM a WHERE by_doi OR by_title)),
+h AS (SELECT *, {score} FROM g)"""
 
 
 MERGED_SQL = ", ".join(f"coalesce(arg_min({f}, o) FILTER ({f} IS NOT NULL AND {f} <> ''), arg_min({f}, o) FILTER (o = 0)) AS {f}" for f in FIELDS if f != "type") + ", arg_min(type, o) FILTER (o = 0 AND type IS NOT NULL) AS type"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bibspark.llm import langid, lines, mixing, pieces, simhash
 from bibspark.llm.common import materialize
+from bibspark.storage import scratch
 
 #: Below this score a text is rejected, along with those without a letter. The votes alone give 0.25 or more; what falls
 #: below is the resemblance. Of 7,728 held-out texts of sf0.1, 3 did (two of them junk), of 13 junk and foreign texts all.
@@ -80,8 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents. What each returns is written to the shared folder and read again."""
+    """Apply all stages to documents. What each returns is written to the shared folder and read again; what a stage wrote on its
+    way, and its input, are deleted once its output stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(docs) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

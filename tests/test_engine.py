@@ -58,16 +58,55 @@ def test_summary_has_a_row_for_empty_sources(spark):
     assert got == {"a": (2, 1, 1, 1), "e": (0, 0, 0, 0), "n": (0, 0, 0, 0)}
 
 
-def test_rounds_equal_the_fold(spark):
+def test_outcomes_and_reports_of_sources_without_entries_or_duplicates(spark):
+    sources = bib.inline(spark, [("dup", "@b{c,d=1}@b{c,d=2}"), ("one", "@b{c,d=1}"), ("none", "% nothing"), ("null", None)])
+    said = {r["source_path"]: r["message"] for r in dedupe.outcome(dedupe.summary(sources)).collect()}
+    assert said == {"dup": None, "one": None, "none": dedupe.NO_ENTRIES, "null": dedupe.NO_ENTRIES}
+    entries = parse.entries(sources)
+    told = {r["source_path"]: (r["report"], r["message"]) for r in render.duplicates_report(dedupe.duplicates(entries), sources).collect()}
+    assert told["dup"] == ("References - Duplicates Report\n\nTotal duplicates removed: 1\n\n- dropped=c kept=c reason=KEY_DUPLICATE\n", None)
+    assert {k: v for k, v in told.items() if k != "dup"} == dict.fromkeys(("one", "none", "null"), (None, dedupe.NO_DUPLICATES))
+    out = {r["source_path"]: r["output"] for r in render.processed_output(dedupe.summary(sources), dedupe.unique(entries)).collect()}
+    assert out["none"] == out["null"] == "" and out["one"].endswith("@b{c,d=1}\n\n")
+
+
+@pytest.mark.parametrize("finish", [dedupe.FINISH, 25, 0])
+def test_rounds_equal_the_fold(spark, finish):
     rng = random.Random(5)
     rows = [("s", i, f"k{rng.randint(0, 40)}", f"@m{{x, title={{some long title {rng.randint(0, 40)}}}}}") for i in range(300)]
     # a chain that takes many rounds: each entry meets the one before by key or by title
-    rows += [("t", i, f"c{(i + 1) // 2}", f"@m{{x, title={{chained title number {1000 + i // 2}}}}}") for i in range(60)]
+    rows += [("t", i, f"c{(i + 1) // 2}", f"@m{{x, title={{chained title number {1000 + i // 2}}}}}") for i in range(10)]
+    rows += [("u", i, f"k{rng.randint(0, 9)}", "@m{x, title={short}}") for i in range(20)]
     entries = spark.createDataFrame(rows, "source_path string, ord int, key string, raw string")
-    keep = lambda df: sorted(map(tuple, df.select("source_path", "ord", "kept_key", "reason").collect()))
-    for part in ("s", "t"):
-        one = entries.where(F.col("source_path") == part)
-        assert keep(dedupe.judged(one, scope="corpus")) == keep(dedupe.judged(one, scope="source"))
+
+    def by_hand(rows):
+        keys, titles, out = set(), {}, []
+        for path, i, key, raw in rows:
+            title = raw.split("{")[2].rstrip("}").replace(" ", "")
+            if key in keys:
+                out.append((path, i, key, dedupe.KEY))
+            elif len(title) >= 10 and title in titles:
+                out.append((path, i, titles[title], dedupe.TITLE))
+            else:
+                keys.add(key)
+                titles[title] = key
+                out.append((path, i, None, None))
+        return out
+
+    keep = lambda scope: sorted(map(tuple, dedupe.judged(entries, scope=scope, finish=finish).select("source_path", "ord", "kept_key", "reason").collect()))
+    assert keep("corpus") == by_hand(rows)
+    assert keep("source") == [x for p in "stu" for x in by_hand([r for r in rows if r[0] == p])]
+    first = {}
+    for path, i, key, _ in rows:
+        first.setdefault(key, (path, i))
+    told = dedupe.judged(entries, smart=False, scope="corpus").collect()
+    assert all((r["reason"] is None) == (first[r["key"]] == (r["source_path"], r["ord"])) for r in told) and len(told) == len(rows)
+
+
+def test_sorting_is_by_key(spark):
+    e = parse.entries(bib.inline(spark, [("b", "@x{c,d=1}@x{a,d=1}@x{b,d=1}"), ("a", "@x{z,d=1}@x{y,d=1}")]))
+    assert [(r["source_path"], r["key"]) for r in dedupe.unique(e, sort_by_key=True).collect()] == [("a", "y"), ("a", "z"), ("b", "a"), ("b", "b"), ("b", "c")]
+    assert [r["key"] for r in dedupe.unique(e).collect()] == ["z", "y", "c", "a", "b"]
 
 
 def test_months_in_entries(spark):
@@ -103,6 +142,61 @@ def test_cascade_modes(spark):
     assert [r["status"] for r in enrich.verify(again, answers, "SAFE", "ABBREV_DOT").collect()] == ["VERIFIED"]
 
 
+def test_entries_and_responses_that_cant_be_read(spark):
+    entries = spark.createDataFrame([("s", 0, None), ("s", 1, ""), ("s", 2, "@misc{a, doi={10.1/x}, title={A title of letters}}")], "source_path string, ord int, raw string")
+    answers = spark.createDataFrame([("CrossRef", "doi", "10.1/x", 200, None), ("OpenAlex", "doi", "10.1/x", 0, None), ("Semantic Scholar", "title", "A title of letters", 429, "{}")], bib.RESPONSE)
+    told = {r["ord"]: (r["status"], r["corrected"], r["message"]) for r in enrich.verify(entries, answers).collect()}
+    assert told[0] == ("ERROR", None, "Error: no entry") and told[1][0] == "SKIPPED" and told[2][0] == "NOT_FOUND"
+    none = spark.createDataFrame([], "source_path string")
+    assert [r["errors"] for r in render.status_summary(enrich.verify(entries, answers), none).collect()] == [1]
+
+
+def test_fetching_makes_a_snapshot(spark):
+    rows = spark.createDataFrame([(f"10.1/{i}", f"Title number {i}") for i in range(4)], "doi string, title string")
+    asked = rows.select(F.inline(tx.request_urls(F.col("doi"), F.col("title"))), "doi", "title")
+    asked = asked.select("source", "lookup_kind", F.when(F.col("lookup_kind") == "doi", F.col("doi")).otherwise(F.col("title")).alias("lookup_key"), "url").where("source = 'CrossRef' AND lookup_kind = 'doi'")
+
+    def get(url):
+        n = int(url[-1])
+        return (200, '{"title":["T%d"],"DOI":"10.1/%d"}' % (n, n)) if n < 2 else ((404, "none") if n == 2 else (500, None))
+
+    got = bib.fetch(asked, get)
+    assert got.columns == [c.split()[0] for c in bib.RESPONSE.split(", ")] and sorted(r["status"] for r in got.collect()) == [200, 200, 404, 500]
+    # what isn't 200 is no candidate, and nothing is asked for twice
+    assert sorted(r["candidate"]["title"] for r in enrich.candidates(got).collect()) == ["T0", "T1"] and got.count() == 4
+
+
+def test_extraction_from_files(spark, tmp_path):
+    lines = [f'[{i}] Smith, J. "A title with number {i}." Annals ({1990 + i}), doi:10.1234/x{i}.' for i in range(1, 7)]
+    (tmp_path / "a.PDF").write_bytes("\n".join(["Text.", "References", *lines]).encode("utf-16"))
+    (tmp_path / "b.pdf").write_bytes("No such section.".encode("utf-16"))
+    (tmp_path / "c.txt").write_bytes(b"References")
+    answers = spark.createDataFrame([("CrossRef", "doi", "10.1234/x1", 200, '{"title":["A title with number 1"],"publisher":"House"}')], bib.RESPONSE)
+    out = {r["doc_id"][-5:].lower(): r for r in refs.extract_from_files(spark, str(tmp_path), lambda b: b.decode("utf-16"), answers).collect()}
+    assert set(out) == {"a.pdf", "b.pdf"}
+    a = out["a.pdf"]
+    assert (a["total_found"], a["converted"], a["errors"]) == (6, 1, 5)
+    blocks = a["bibtex_output"].split("\n\n")
+    assert blocks[0] == "% References extracted from PDF\n% Generated by bibspark" and blocks[1].startswith("@misc{ref1,") and "House" in blocks[1]
+    assert [x.startswith("% WARNING: Could not verify this reference\n@misc{smith") for x in blocks[2:7]] == [True] * 5 and blocks[7] == ""
+    assert out["b.pdf"]["bibtex_output"] == "" and out["b.pdf"]["messages"] == ["Could not locate references section in the document."]
+
+
+def test_whole_files_come_back(spark):
+    """Entries keep their text byte for byte, and rebuilt ones keep every field and value."""
+    text = "\n % a comment\n @inproceedings{a1,\n  title={Cats \\& dogs: {A {nested} one}},\n  organization = \"Some {\\\"o}rg\",\n  month = sep,\n  note={x, y = z}\n}\n@string{s = {t}}\n@article(b2, title={Paren (s)}, pages={1--2})\n"
+    rows = parse.entries(bib.inline(spark, [("f", text)])).orderBy("ord").collect()
+    assert [(r["type"], r["key"]) for r in rows] == [("inproceedings", "a1"), ("article", "b2")]
+    assert all(r["raw"] in text for r in rows)
+    for r in rows:
+        one = spark.createDataFrame([("f", 0, r["type"], r["key"], r["raw"])], "source_path string, ord int, type string, key string, raw string")
+        fields = lambda df: {x["name"]: x["value"] for x in parse.field_rows(df).collect()}
+        from bibspark.functions import scanner
+
+        again = one.withColumn("raw", render.rebuild_entry(F.col("type"), F.col("key"), scanner.parse_fields(F.col("raw"))))
+        assert fields(again) == fields(one) and len(fields(one)) >= 2
+
+
 def test_search(spark):
     out = spark.createDataFrame([("s", "% head\n\n@a{x}\n\n@b{y}\n\n")], "source_path string, output string")
     assert [tuple(r)[1:] for r in render.search(out, " @A ").collect()] == [("@a{x}\n\n", 1)]
