@@ -2,25 +2,37 @@
 
 Arrivals are appended as small immutable shards. Compaction merges runs of similarly sized shards, in order of arrival,
 into files of a target size, and commits a manifest version. A manifest is a small table (shard, path, tier, arrivals,
-documents, bytes); it is written beside the others and renamed to its version number, which is atomic and fails if that
-version is there: readers see one whole version or the one before, and of two writers one has to try again. Files that a
-version names are never changed. A job that dies leaves files that no manifest names; ``vacuum`` removes them.
+documents, bytes). It is written as a draft and renamed to its version number by a rename that never replaces anything
+(``rename_new``), so of two writers that prepare the same version one wins and the other gets an error and may try again;
+readers see one whole version or the one before.
+
+Files that a version names are never changed or moved. Inputs of a merge stay until ``vacuum`` takes away the versions
+that name them, so a reader of version n outlives the commit of n + 1. ``vacuum`` keeps the last versions, and removes what
+none of them names: older manifests, merged inputs, and what jobs that died have left, drafts and data alike.
 
 The plan is made on the manifest alone, by windows over blocks of arrivals, so each window is bounded: shards of a block
 that are in the same size tier (a factor of four) are added up in order of arrival and cut at the target. A second round
-does the same with what came out small. Data are then moved once: each merged shard is read from its own inputs and
-written by one task, with no shuffle, in waves of bounded size that commit one after another.
+does the same with what came out small. Data are then moved once: each merged shard is a partition of its own that reads its
+inputs and writes one file, with no shuffle, in waves of bounded size that commit one after another.
 
 Defined results: rows are kept as they are, with all their columns, repeated rows too; null text counts 0 bytes; rows
 with a null doc_id arrive in 1024 arrivals of their own, by a hash of their text; an empty table gives an empty manifest.
+Texts are moved whole: a very long one makes its shard larger than the target, which then stays as it is. Ties in size don't
+matter, as runs follow the order of arrival, and no two shards share that.
 """
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .common import delete, release, shared_dir
 
@@ -60,6 +72,55 @@ def plan(shards: DataFrame, target: int = TARGET, rounds: int = 2) -> DataFrame:
     return rows
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename the folder ``source``, which isn't empty, to ``target``; False, and nothing done, if that is there.
+
+    Atomic: the store itself refuses to replace a folder that has something in it. Of local and mounted file systems the
+    system call is asked, as Hadoop's class for them looks first and renames then.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    a, b, conf = path(source), path(target), spark.sparkContext._jsc.hadoopConfiguration()
+    fs = b.getFileSystem(conf)
+    fs.mkdirs(b.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.rename(a.toUri().getPath(), b.toUri().getPath())
+        except OSError:
+            if os.path.exists(b.toUri().getPath()):
+                return False
+            raise
+        return True
+    try:
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(a), fs.makeQualified(b), none)
+    except Exception:  # noqa: BLE001  each store has its own
+        if fs.exists(b):
+            return False
+        raise
+    return True
+
+
+@contextmanager
+def _own_partitions(spark: SparkSession) -> Iterator[None]:
+    """Unions keep the partitions of their sides. Spark would put sides of one partition each into one."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _key(names) -> str:
+    """A name for the column of folders that none of ``names`` has."""
+    taken, key = {n.lower() for n in names}, "shard"
+    while key in taken:
+        key += "_"
+    return key
+
+
 class ShardStore:
     """Shards under ``root``, a folder that the driver and all executors share."""
 
@@ -68,11 +129,12 @@ class ShardStore:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _in(self, folder: str) -> list:
+        where = self._path(f"{self.root}/{folder}")
+        return list(self._fs.listStatus(where)) if self._fs.exists(where) else []
+
     def versions(self) -> list[int]:
-        where = self._path(f"{self.root}/manifests")
-        if not self._fs.exists(where):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(where) if s.getPath().getName().startswith("v"))
+        return sorted(int(s.getPath().getName()[1:]) for s in self._in("manifests") if s.getPath().getName().startswith("v"))
 
     def manifest(self, version: int | None = None) -> DataFrame:
         known = self.versions()
@@ -80,32 +142,46 @@ class ShardStore:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/v{known[-1] if version is None else version:08d}")
 
-    def commit(self, rows: DataFrame, after: int) -> int:
-        """Make ``rows`` the manifest that follows version ``after`` (0: none)."""
-        draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
-        rows.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1).write.parquet(draft)
-        to = self._path(f"{self.root}/manifests/v{after + 1:08d}")
-        self._fs.mkdirs(to.getParent())
-        if self._fs.exists(to) or not self._fs.rename(self._path(draft), to):
+    def draft(self, rows: DataFrame) -> str:
+        """Write ``rows`` as a manifest that isn't a version yet."""
+        path = f"{self.root}/drafts/{uuid.uuid4().hex}"
+        rows.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1).write.parquet(path)
+        return path
+
+    def publish(self, draft: str, after: int) -> int:
+        """Make a draft the version that follows ``after`` (0: none)."""
+        if not rename_new(self.spark, draft, f"{self.root}/manifests/v{after + 1:08d}"):
             delete(self.spark, draft)
             raise RuntimeError(f"version {after + 1} was committed by another writer")
         return after + 1
 
+    def commit(self, rows: DataFrame, after: int) -> int:
+        return self.publish(self.draft(rows), after)
+
     def append(self, rows: DataFrame, arrival: Column, n_bytes: Column) -> int:
-        """Write a shard for each arrival and commit them."""
+        """Write a shard for each arrival and commit them. Arrivals are new: none has the number of a shard that is there."""
         before = (self.versions() or [0])[-1]
-        folder = f"data/{uuid.uuid4().hex}"
-        taken = set(rows.columns)
-        key = next(c for c in ("shard", "shard_", "shard__", "shard___") if c not in taken)
+        folder, key = f"data/{uuid.uuid4().hex}", _key(rows.columns)
         rows.withColumn(key, arrival).repartition(F.col(key)).write.partitionBy(key).parquet(f"{self.root}/{folder}")
         sizes = rows.groupBy(arrival.alias("shard")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(n_bytes), F.lit(0)).cast("long").alias("n_bytes"))
         new = sizes.select("shard", F.concat(F.lit(f"{folder}/{key}="), F.col("shard")).alias("path"), tier_of(F.col("n_bytes")).alias("tier"), F.col("shard").alias("first_arrival"), F.col("shard").alias("last_arrival"), "n_docs", "n_bytes")
-        return self.commit(self.manifest().unionByName(new) if before else new, before)
+        if not before:
+            return self.commit(new, 0)
+        known = self.manifest(before)
+        if known.join(new.select("shard"), "shard", "left_semi").limit(1).count():
+            raise ValueError("an arrival has the number of a shard that is there")
+        return self.commit(known.unionByName(new), before)
 
     def read(self, paths: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths])
 
-    def compact(self, schema, target: int = TARGET, wave: int = WAVE) -> int:
+    def _folder(self, folder: str, shards: list[int] | None, schema: StructType, key: str) -> DataFrame:
+        """The rows of a folder, of ``shards`` alone if given, with the shard's number as the column ``key``."""
+        where = f"{self.root}/{folder}"
+        paths = [where] if shards is None else [f"{where}/{key}={n}" for n in shards]
+        return self.spark.read.schema(StructType([*schema.fields, *StructType().add(key, LongType()).fields])).option("basePath", where).parquet(*paths)
+
+    def compact(self, schema: StructType, target: int = TARGET, wave: int = WAVE) -> int:
         """Merge as planned; ``schema``: of the rows. Returns the version that is current afterwards."""
         version = (self.versions() or [0])[-1]
         shards = self.manifest()
@@ -113,78 +189,127 @@ class ShardStore:
         merged = moves.groupBy("into").agg(F.count(F.lit(1)).alias("parts"), F.array_sort(F.collect_list(F.struct("shard", "path"))).alias("from"), F.min("first_arrival").alias("first_arrival"), F.max("last_arrival").alias("last_arrival"), F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
         # what is brought to the driver is the part of the manifest that a wave moves: names of folders
         todo = merged.where("parts > 1").orderBy("into").select("into", "from.path").toLocalIterator()
-        names, pending = {f.name for f in schema.fields}, []
-        key = next(c for c in ("shard", "shard_", "shard__", "shard___") if c not in names)
-        done = version
+        pending, done = [], version
         for row in todo:
             pending.append(row)
             if len(pending) == wave:
-                done, pending = self._wave(pending, merged, schema, key, done), []
-        return self._wave(pending, merged, schema, key, done) if pending else done
-
-    def _wave(self, rows: list, merged: DataFrame, schema, key: str, version: int) -> int:
-        folder = f"data/{uuid.uuid4().hex}"
-        parts = [self.read(row["path"], schema).coalesce(1).withColumn(key, F.lit(row["into"])) for row in rows]
+                done, pending = self._wave(pending, merged, schema, done), []
+        return self._wave(pending, merged, schema, done) if pending else done
+
+    def merged(self, rows: list, schema: StructType) -> DataFrame:
+        """The data of a wave: a partition for each of ``rows`` (into, path: of its inputs), under ``_own_partitions``."""
+        key = _key(schema.names)
+        asked: dict[str, list[int]] = {}
+        for row in rows:
+            for p in row["path"]:
+                folder, _, n = p.rpartition("/")
+                asked.setdefault(folder, []).append(int(n.split("=")[1]))
+        # each folder is listed once; what a merged shard reads of it is pruned
+        known = {folder: self._folder(folder, shards, schema, key) for folder, shards in asked.items()}
+
+        def part(row) -> DataFrame:
+            mine: dict[str, list[int]] = {}
+            for p in row["path"]:
+                folder, _, n = p.rpartition("/")
+                mine.setdefault(folder, []).append(int(n.split("=")[1]))
+            sides = [known[folder].where(F.col(key).isin(shards)) for folder, shards in mine.items()]
+            return reduce(DataFrame.union, sides).coalesce(1).withColumn(key, F.lit(row["into"]))
+
+        parts = [part(row) for row in rows]
         while len(parts) > 1:  # a flat tree of unions: the plan's depth grows with the logarithm
-            parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        parts[0].write.partitionBy(key).parquet(f"{self.root}/{folder}")
+            parts = [parts[i].union(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def _wave(self, rows: list, merged: DataFrame, schema: StructType, version: int) -> int:
+        folder, key = f"data/{uuid.uuid4().hex}", _key(schema.names)
+        with _own_partitions(self.spark):
+            self.merged(rows, schema).write.partitionBy(key).parquet(f"{self.root}/{folder}")
         now = self.manifest(version)
         gone = [p for row in rows for p in row["path"]]
         ids = self.spark.createDataFrame([(row["into"],) for row in rows], "into long")
         new = merged.join(F.broadcast(ids), "into")  # a wave of rows at most
         new = new.select(F.col("into").alias("shard"), F.concat(F.lit(f"{folder}/{key}="), F.col("into")).alias("path"), tier_of(F.col("n_bytes")).alias("tier"), "first_arrival", "last_arrival", "n_docs", "n_bytes")
         out = self.spark.createDataFrame([(p,) for p in gone], "path string")
-        version = self.commit(now.join(out, "path", "left_anti").unionByName(new), version)
-        for p in gone:
-            delete(self.spark, f"{self.root}/{p}")
-        return version
-
-    def vacuum(self) -> None:
-        """Remove drafts, and old manifests."""
-        delete(self.spark, f"{self.root}/drafts")
-        for v in self.versions()[:-1]:
-            delete(self.spark, f"{self.root}/manifests/v{v:08d}")
-
-
-def shard(docs: DataFrame, root: str, arrival: int = ARRIVAL, target: int = TARGET) -> tuple[ShardStore, int]:
+        return self.commit(now.join(out, "path", "left_anti").unionByName(new), version)
+
+    def vacuum(self, keep: int = 1, age: float = 86_400) -> None:
+        """Keep the last ``keep`` versions and what they name. What is younger than ``age`` seconds stays if it may belong to a
+        writer that has yet to commit: drafts and data that no version names."""
+        young = (time.time() - age) * 1000
+        old = lambda s: s.getModificationTime() <= young
+        for s in self._in("drafts"):
+            if old(s):
+                delete(self.spark, s.getPath().toString())
+        kept = self.versions()[-keep:]
+        if kept:
+            named = reduce(DataFrame.union, [self.manifest(v) for v in kept]).select("path").distinct()
+            named = named.select(F.substring_index("path", "/", 2).alias("folder"), F.substring_index("path", "/", -1).alias("name"))
+            used = {r["folder"]: r["n"] for r in named.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # one for each commit
+        else:
+            used = {}
+        for s in self._in("data"):
+            folder = f"data/{s.getPath().getName()}"
+            if folder not in used:
+                if old(s):
+                    delete(self.spark, s.getPath().toString())
+                continue
+            there = [x.getPath() for x in self._in(folder) if x.isDirectory()]
+            if len(there) > used[folder]:  # a committed folder, part of which was merged into others
+                names = {r["name"] for r in named.where(F.col("folder") == folder).toLocalIterator()}
+                for path in there:
+                    if path.getName() not in names:
+                        delete(self.spark, path.toString())
+        for v in self.versions():
+            if v < (kept or [0])[0]:
+                delete(self.spark, f"{self.root}/manifests/v{v:08d}")
+
+
+def shard(docs: DataFrame, root: str, arrival: int = ARRIVAL, target: int = TARGET, wave: int = WAVE) -> tuple[ShardStore, int]:
     """Append the rows of ``docs`` by arrival, compact, and give the store and the version committed last."""
     store = ShardStore(docs.sparkSession, root)
     store.append(docs, arrival_of(docs["doc_id"], docs["text"], arrival), F.octet_length(docs["text"]).cast("long"))
     release(docs.sparkSession)
-    version = store.compact(docs.schema, target)
-    store.vacuum()
-    return store, version
+    return store, store.compact(docs.schema, target, wave)
 
 
-def placed(store: ShardStore, schema) -> DataFrame:
+def placed(store: ShardStore, schema: StructType) -> DataFrame:
     """doc_id, n_bytes and its shard's columns of the manifest, as read from the files that the manifest names."""
-    known = store.manifest()
-    paths = [r["path"] for r in known.select("path").toLocalIterator()]
-    if not paths:
-        empty = store.spark.createDataFrame([], "doc_id long, n_bytes long")
-        return empty.crossJoin(known).limit(0)
-    rows = store.read(paths, schema).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("doc_bytes"), F.regexp_extract(F.col("_metadata.file_path"), r"(data/[0-9a-f]+/shard_*=-?\d+)/[^/]*$", 1).alias("p"))
-    return rows.join(known, F.col("p") == F.col("path")).drop("p", "path")
+    known, key = store.manifest(), _key(schema.names)
+    at = known.select("*", F.substring_index("path", "/", 2).alias("in"))
+    folders = [r["in"] for r in at.select("in").distinct().toLocalIterator()]  # one for each commit
+    if not folders:
+        return known.drop("path").select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("doc_bytes"), "*").where("false")
+    sides = [store._folder(f, None, schema, key).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("doc_bytes"), F.col(key).alias("s"), F.lit(f).alias("f")) for f in folders]
+    rows = reduce(DataFrame.union, sides)
+    return rows.join(at, (F.col("s") == F.col("shard")) & (F.col("f") == F.col("in"))).drop("s", "f", "in", "path")
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store, _ = shard(docs, f"{shared_dir(spark)}/bibspark/shards-{uuid.uuid4().hex}")
+    store.vacuum(age=0)  # no one else writes to this store
     return placed(store, docs.schema)
 
 
-ORACLE = r"""
-WITH a AS (SELECT CAST(floor(doc_id / 256) AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS n_docs, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS n_bytes FROM documents GROUP BY 1),
-t1 AS (SELECT *, CASE WHEN n_bytes < 65536 THEN 0 ELSE (length(bin(n_bytes // 65536)) + 1) // 2 END AS tier, n_bytes * 2 < 67108864 AS small, CAST(floor(shard / 4096) AS BIGINT) AS block FROM a),
-r1 AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY block, tier ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS run FROM t1),
+_SQL = r"""
+WITH a AS (SELECT CAST(floor(doc_id / {arrival}) AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS n_docs, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS n_bytes FROM documents GROUP BY 1),
+t1 AS (SELECT *, CASE WHEN n_bytes < 65536 THEN 0 ELSE (length(bin(n_bytes // 65536)) + 1) // 2 END AS tier, n_bytes * 2 < {target} AS small, CAST(floor(shard / 4096) AS BIGINT) AS block FROM a),
+r1 AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY block, tier ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {target} AS run FROM t1),
 i1 AS (SELECT shard, n_docs, n_bytes, CASE WHEN small THEN min(shard) OVER (PARTITION BY block, tier, run, small) ELSE shard END AS into1 FROM r1),
 b AS (SELECT into1, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM i1 GROUP BY into1),
-t2 AS (SELECT *, CASE WHEN n_bytes < 65536 THEN 0 ELSE (length(bin(n_bytes // 65536)) + 1) // 2 END AS tier, n_bytes * 2 < 67108864 AS small, CAST(floor(into1 / 4096) AS BIGINT) AS block FROM b),
-r2 AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY block, tier ORDER BY into1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS run FROM t2),
+t2 AS (SELECT *, CASE WHEN n_bytes < 65536 THEN 0 ELSE (length(bin(n_bytes // 65536)) + 1) // 2 END AS tier, n_bytes * 2 < {target} AS small, CAST(floor(into1 / 4096) AS BIGINT) AS block FROM b),
+r2 AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY block, tier ORDER BY into1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {target} AS run FROM t2),
 i2 AS (SELECT into1, CASE WHEN small THEN min(into1) OVER (PARTITION BY block, tier, run, small) ELSE into1 END AS into2 FROM r2),
 m AS (SELECT i1.shard, i2.into2 AS dest, i1.n_docs, i1.n_bytes FROM i1 JOIN i2 USING (into1)),
 s AS (SELECT dest, min(shard) AS first_arrival, max(shard) AS last_arrival, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM m GROUP BY dest)
 SELECT d.doc_id, CAST(coalesce(strlen(d.text), 0) AS BIGINT) AS doc_bytes, s.dest AS shard,
     CAST(CASE WHEN s.n_bytes < 65536 THEN 0 ELSE (length(bin(s.n_bytes // 65536)) + 1) // 2 END AS INTEGER) AS tier, s.first_arrival, s.last_arrival, s.n_docs, s.n_bytes
-FROM documents d JOIN m ON m.shard = CAST(floor(d.doc_id / 256) AS BIGINT) JOIN s ON s.dest = m.dest
+FROM documents d JOIN m ON m.shard = CAST(floor(d.doc_id / {arrival}) AS BIGINT) JOIN s ON s.dest = m.dest
 """
+
+
+def oracle(arrival: int = ARRIVAL, target: int = TARGET) -> str:
+    return _SQL.format(arrival=arrival, target=target)
+
+
+ORACLE = oracle()
