@@ -9,12 +9,18 @@ Sampling: a document is taken ``whole`` times (the whole epochs of its source),
 fractional ones. Those are the first documents in a seeded order, as many as fit the source's remaining words; further
 passes fill what is left with smaller documents. What decides is a threshold per source and pass, so that documents
 are neither shuffled nor joined with each other: a source is cut into buckets of the seeded order, the buckets are
-summed, and only the bucket in which the words run out is looked at row by row. A source that holds a third of all rows
+summed, and only the bucket in which the words run out is looked at key by key. A source that holds a third of all rows
 is thereby spread like any other.
 
+The order is by a hash of seed, doc_id and text, so rows that share an id, or have none, stand apart. Rows that share both are
+copies with one key; if the words run out among them, as many copies are taken as fit, the first by their place in the
+table, which is found by counts per part of the table. So it takes no group in one place, and how many are taken is the same
+on each run.
+
 Defined results: null text has size 0 and is taken 0 words; sources that are null form the last source; an empty table
-gives no rows; rows that repeat a doc_id share its fate; a source without words has target 0; columns besides those
-named below are not looked at, so clashing names do no harm.
+gives no rows; rows that repeat (doc_id and text) are each a document; a source without words has target 0; very long texts
+are documents like others, and one that is larger than what is left of its source's words is passed over for smaller ones;
+columns besides those named below are not looked at, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -34,8 +40,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    said = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), said))
 
 
 def water_fill(sizes: DataFrame, weights: Sequence[float], budget: float, max_epochs: float) -> DataFrame:
@@ -58,9 +65,9 @@ def water_fill(sizes: DataFrame, weights: Sequence[float], budget: float, max_ep
     return rows.withColumn("target", F.when(F.col("clamped"), F.col("cap")).otherwise(level * F.col("weight"))).select("mix_source", "source_size", "weight", "target")
 
 
-def _cut(rows: DataFrame, plan: DataFrame, left: str, out: str) -> DataFrame:
-    """Add to ``plan`` the last key (column ``out``) of the seeded order up to which the words fit in ``left``, and take
-    the words that fit from ``left``. ``rows`` has mix_source, size, key."""
+def _edge(rows: DataFrame, plan: DataFrame, left: str, out: str) -> DataFrame:
+    """Add to ``plan`` the key (column ``out``) of the seeded order at which the words run out of what is ``left``, how many
+    copies of that key still fit (``out``_copies), and what is left then (``out``_left). ``rows``: mix_source, size, key."""
     prefix = F.substring("key", 1, BUCKET)
     sums = rows.groupBy("mix_source", prefix.alias("bucket")).agg(F.sum("size").alias("words"))
     order = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,63 +76,92 @@ def _cut(rows: DataFrame, plan: DataFrame, left: str, out: str) -> DataFrame:
     edge = edge.groupBy("s").agg(F.min(F.when(F.col("before") + F.col("words") > F.col(left), F.struct("bucket", "before"))).alias("edge"), F.sum("words").alias("all_words"))
     edge = edge.select("s", "all_words", F.col("edge.bucket").alias("at"), F.col("edge.before").alias("before"))
     near = rows.join(edge.withColumnRenamed("s", "p"), F.col("mix_source").eqNullSafe(F.col("p")) & (prefix == F.col("at")))
+    near = near.groupBy("mix_source", "key", "before").agg(F.max("size").alias("size"), F.sum("size").alias("words"))  # copies are one row
     near = near.join(plan.select(F.col("mix_source").alias("q"), left), F.col("mix_source").eqNullSafe(F.col("q")))
-    upto = Window.partitionBy("mix_source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.withColumn("sum", F.col("before") + F.sum("size").over(upto)).where(F.col("sum") <= F.col(left))
-    near = near.groupBy(F.col("mix_source").alias("n")).agg(F.max("key").alias("last"), F.max("sum").alias("sum"))
+    upto = Window.partitionBy("mix_source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("sum", F.col("before") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    near = near.where(F.col("sum") + F.col("words") > F.col(left)).groupBy(F.col("mix_source").alias("n")).agg(F.min(F.struct("key", "sum", "size")).alias("first"))
     plan = plan.join(edge, F.col("mix_source").eqNullSafe(F.col("s")), "left").join(near, F.col("mix_source").eqNullSafe(F.col("n")), "left")
     # without an edge, all fit: "g" is above every hex digit
-    key = F.when(F.col("s").isNull(), F.lit("")).when(F.col("at").isNull(), F.lit("g")).otherwise(F.coalesce("last", "at"))
-    words = F.when(F.col("s").isNull(), F.lit(0)).when(F.col("at").isNull(), F.col("all_words")).otherwise(F.coalesce("sum", "before"))
-    return plan.withColumn(out, key).withColumn(f"{out}_left", F.col(left) - words).drop("s", "all_words", "at", "before", "n", "last", "sum")
-
-
-def extra(key: Column, size: Column, passes: int) -> Column:
+    key = F.when(F.col("s").isNull(), F.lit("")).when(F.col("at").isNull(), F.lit("g")).otherwise(F.col("first.key"))
+    copies = F.when(F.col("at").isNotNull(), F.floor((F.col(left) - F.col("first.sum")) / F.col("first.size"))).otherwise(F.lit(0)).cast("long")
+    words = F.when(F.col("s").isNull(), F.lit(0)).when(F.col("at").isNull(), F.col("all_words")).otherwise(F.col("first.sum") + copies * F.col("first.size"))
+    plan = plan.withColumns({out: key, f"{out}_copies": copies, f"{out}_left": F.col(left) - words})
+    return plan.drop("s", "all_words", "at", "before", "n", "first")
+
+
+def _copies(rows: DataFrame, plan: DataFrame, out: str) -> DataFrame:
+    """Add to ``plan`` the last place (``out``_place) of the copies that fit, of the key at which the words run out."""
+    want = plan.where(F.col(f"{out}_copies") > 0).select(F.col("mix_source").alias("p"), F.col(out).alias("k"), F.col(f"{out}_copies").alias("want"))
+    met = rows.join(want, F.col("mix_source").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")))
+    met = met.select("mix_source", "want", "place", F.shiftright("place", 33).alias("part"))  # a part of the table as it was written
+    order = Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = met.groupBy("mix_source", "want", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("seen", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    last = parts.where((F.col("seen") < F.col("want")) & (F.col("seen") + F.col("n") >= F.col("want"))).select(F.col("mix_source").alias("l"), F.col("part").alias("last"), "seen")
+    inside = met.join(last, F.col("mix_source").eqNullSafe(F.col("l")) & (F.col("part") == F.col("last")))
+    nth = F.row_number().over(Window.partitionBy("mix_source").orderBy("place"))  # one part of the table
+    end = inside.withColumn("nth", nth + F.col("seen")).where(F.col("nth") == F.col("want")).select(F.col("mix_source").alias("e"), F.col("place").alias("end"))
+    return plan.join(end, F.col("mix_source").eqNullSafe(F.col("e")), "left").withColumn(f"{out}_place", F.coalesce("end", F.lit(-1))).drop("e", "end")
+
+
+def extra(key: Column, size: Column, place: Column, passes: int) -> Column:
     """Whether a document is taken once more; the columns of the plan of its source are in scope."""
-    taken = key <= F.col("cut0")
-    for p in range(1, passes):
-        taken = taken | ((size <= F.col(f"cut{p - 1}_left")) & (key <= F.col(f"cut{p}")))
+    taken = F.lit(False)
+    for p in range(passes):
+        fits = (key < F.col(f"cut{p}")) | ((key == F.col(f"cut{p}")) & (place <= F.col(f"cut{p}_place")))
+        taken = taken | (fits & (size <= F.col(f"cut{p - 1}_left")) if p else fits)
     return taken
 
 
 def plan_mix(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, passes: int = PASSES) -> DataFrame:
-    """A row for each source with its target and the thresholds of sampling. ``rows``: mix_source, size, key."""
+    """A row for each source with its target and the thresholds of sampling. ``rows`` as of ``_sized``."""
     sizes = rows.groupBy("mix_source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(sizes, weights, budget, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = materialize(plan, "mix-plan")
     for p in range(passes):
-        plan = materialize(plan, "mix-plan")
         rest = rows
         left = "left" if p == 0 else f"cut{p - 1}_left"
         if p:
             seen = plan.select(F.col("mix_source").alias("p"), *[c for c in plan.columns if c.startswith("cut")])
             rest = rows.join(seen, F.col("mix_source").eqNullSafe(F.col("p")))
-            rest = rest.where((F.col("size") <= F.col(left)) & ~extra(F.col("key"), F.col("size"), p)).select("mix_source", "size", "key")
-        plan = _cut(rest, plan, left, f"cut{p}")
-    return materialize(plan, "mix-plan")
+            rest = rest.where((F.col("size") <= F.col(left)) & ~extra(F.col("key"), F.col("size"), F.col("place"), p)).select("mix_source", "size", "key", "place")
+        plan = materialize(_edge(rest, plan, left, f"cut{p}"), "mix-plan")
+        if plan.where(F.col(f"cut{p}_copies") > 0).limit(1).count():
+            plan = materialize(_copies(rest, plan, f"cut{p}"), "mix-plan")
+        else:
+            plan = plan.withColumn(f"cut{p}_place", F.lit(-1).cast("long"))
+    return plan
+
+
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """mix_source, size, key and place (in the table as it is written here) of each row, and ``more``."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("source").alias("mix_source"), size_of(text).alias("size"), order_key(F.col("doc_id"), text, seed).alias("key"), F.monotonically_increasing_id().alias("place"), *more)
+    return materialize(rows, "mix-sizes")
+
+
+def _repeats(passes: int) -> Column:
+    more = extra(F.col("key"), F.col("size"), F.col("place"), passes).cast("long")
+    return F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 7, passes: int = PASSES) -> DataFrame:
     """doc_id, size, source_size, target, taken, repeats for each row of ``docs`` (doc_id, text, source)."""
-    rows = materialize(docs.select("doc_id", F.col("source").alias("mix_source"), size_of(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("key")), "mix-sizes")
+    rows = _sized(docs, seed, F.col("doc_id"))
     plan = plan_mix(rows, weights, budget, max_epochs, passes).withColumnRenamed("mix_source", "p")
-    out = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("p")))
-    out = out.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + extra(F.col("key"), F.col("size"), passes).cast("long")).otherwise(F.lit(0)).cast("long"))
+    out = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("p"))).withColumn("repeats", _repeats(passes))
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
 def sample(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 7, passes: int = PASSES) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with the columns of ``docs``."""
-    rows = materialize(docs.select("doc_id", F.col("source").alias("mix_source"), size_of(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("key")), "mix-sizes")
-    plan = plan_mix(rows, weights, budget, max_epochs, passes)
-    plan = plan.select(F.struct(*plan.columns).alias("__mix_plan"))
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__mix_row"))
-    out = kept.join(plan, F.col("__mix_row.source").eqNullSafe(F.col("__mix_plan.mix_source")))
-    out = out.select("__mix_row", "__mix_plan.*", size_of(F.col("__mix_row.text")).alias("__size"), order_key(F.col("__mix_row.doc_id"), seed).alias("__key"))
-    repeats = F.when(F.col("__size") > 0, F.col("whole") + extra(F.col("__key"), F.col("__size"), passes).cast("long")).otherwise(F.lit(0))
-    out = out.select("__mix_row", F.explode(F.array_repeat(F.lit(1), repeats.cast("int"))).alias("__again"))
-    return out.select("__mix_row.*")
+    rows = _sized(docs, seed, F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"))
+    plan = plan_mix(rows, weights, budget, max_epochs, passes).withColumnRenamed("mix_source", "p")
+    out = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("p")))
+    out = out.select("mix_row", F.explode(F.array_repeat(F.lit(1), _repeats(passes).cast("int"))).alias("again"))
+    return out.select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -133,7 +169,7 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, text, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+WITH d AS (SELECT doc_id, source, text, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),
