@@ -7,21 +7,25 @@ A document fails the base rules with fewer than ``MIN_WORDS`` (50) words, or mor
 windows. The others have a vector: log of the mean word length, square roots of symbols per word, of the share of words
 in repeated windows, and of the share of repeated lines. Per language and source, the minimum covariance determinant
 estimate of centre and scatter comes from concentration steps: mean and covariance of the half of the documents with the
-least Mahalanobis distance, again and again, from two starts (medians scaled by median absolute deviations; medians
-alone), of which the one with the smaller determinant stays. A document with a squared distance above ``CUTOFF`` goes.
-``FLOORS`` are added to the scatter (as standard deviations): most texts have no symbols or repeated lines at all, and
-without a floor any text that has one would be infinitely far. In a group without repeats the floors reject a text for
-repeated words alone or for repeated lines alone above a share of 19 % (``CUTOFF`` times the floor's square).
+least Mahalanobis distance, again and again until no step lowers the determinant, from four starts: medians scaled by median
+absolute deviations, medians alone, mean and covariance, medians with the covariance of directions. The start that ends with
+the least determinant stays. A document with a squared distance above ``CUTOFF`` goes. ``FLOORS`` are added to the scatter (as
+standard deviations): most texts have no symbols or repeated lines at all, and without a floor any text that has one would be
+infinitely far. In a group without repeats the floors reject a text for repeated words alone or for repeated lines alone above
+a share of 19 % (``CUTOFF`` times the floor's square).
 
-Quantiles are by counts over fixed bins, so that they are exact to a bin, the same on each run, and combined map-side: a
-language and source that holds a third of all documents is a few hundred bins, not a group of rows. Parameters are a row
-for each language and source.
+Quantiles are by counts over fixed bins, combined map-side: a language and source that holds a third of all documents is some
+thousand counts, not a group of rows. So the half is the half up to a bin's end, which is 0.6 % of a distance; medians are
+exact to a 128th. All is the same on each run. Parameters are a row for each language and source, and start.
 
-A language and source with fewer than ``MIN_GROUP`` documents is pooled with the others such of its language, and if
-these are too few, with those of all languages; if these are too few too, the method keeps the document.
+A language and source with fewer than ``MIN_GROUP`` documents (five for each statistic, the least that the estimate is
+recommended for) is pooled with the others such of its language, and if these are too few, with those of all languages; if
+these are too few too, there is nothing to tell outliers by, and the method keeps the document.
 
 Defined results: null text has zero words and fails; null lang and null source are groups of their own; an empty table
-gives no rows; repeated rows count as often as they stand and get equal results. Other columns are not looked at.
+gives no rows; repeated rows count as often as they stand and get equal results; documents at equal distances stand on the same
+side of the half; a very long text is a document like others, of which the arrays of words and window hashes are held at once.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,14 +38,17 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, let, materialize
 
-MIN_WORDS, MIN_GROUP, STEPS, HALF = 50, 40, 4, 0.5
 P = 4
+MIN_WORDS, MIN_GROUP, HALF = 50, 5 * P, 0.5
 FLOORS = (0.08, 0.12, 0.09, 0.09)
 #: The 1 - 1e-4 quantile of chi-square with four degrees of freedom.
 CUTOFF = 23.51
 SYMBOLS = r"[#*$%&|<>]"
 FEW = 64
-FINE, STEP = 128.0, 16.0  # bins for a unit of a feature, and for a doubling of a distance
+FINE, STEP = 128.0, 128.0  # bins for a unit of a feature, and for a doubling of a distance
+
+
+LEAST = 1e-9  # what a step has to take off the logarithm of the determinant
 
 
 def consistency(half: float = HALF) -> float:
@@ -145,24 +152,41 @@ def _distance(rows: DataFrame, out: str) -> DataFrame:
     return rows.withColumn(out, reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]))
 
 
-def _diagonal(params: DataFrame, scales: list[Column]) -> DataFrame:
-    for i in range(P):
-        for j in range(i + 1):
-            params = params.withColumn(f"c{i}{j}", scales[i] * scales[i] if i == j else F.lit(0.0))
-    return _cholesky(params)
+def _with_scatter(params: DataFrame, scatter) -> DataFrame:
+    """Add c{i}{j} = scatter(i, j) for j <= i, and its factor."""
+    return _cholesky(params.withColumns({f"c{i}{j}": scatter(i, j) for i in range(P) for j in range(i + 1)}))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    centre = materialize(_medians(rows, [F.col(f"x{i}") for i in range(P)]), "mcd")
-    far = rows.join(centre, "g")
-    spread = _medians(far, [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(P)]).select("g", *[F.col(f"m{i}").alias(f"d{i}") for i in range(P)])
-    both = centre.join(spread, "g")
-    scaled = _diagonal(both, [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i])) for i in range(P)]).withColumn("start", F.lit(0))
-    plain = _diagonal(both, [F.lit(1.0)] * P).withColumn("start", F.lit(1))
-    return scaled.unionByName(plain)
+KEYS = ["g", "start"]
+SHAPE = [*KEYS, *[f"m{i}" for i in range(P)], *[f"{c}{i}{j}" for c in "cl" for i in range(P) for j in range(i + 1)], "log_det"]
 
 
-KEYS = ["g", "start"]
+def _starts(rows: DataFrame) -> DataFrame:
+    """The four starts of each group. Only the order of distances under a start matters."""
+    x = [F.col(f"x{i}") for i in range(P)]
+    centre = materialize(_medians(rows, x), "mcd")
+    far = rows.join(centre, "g")
+    spread = _medians(far, [F.abs(x[i] - F.col(f"m{i}")) for i in range(P)]).select("g", *[F.greatest(1.4826 * F.col(f"m{i}"), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(P)])
+    both = materialize(centre.join(spread, "g"), "mcd")
+    s = [F.col(f"s{i}") for i in range(P)]
+    z = [(x[i] - F.col(f"m{i}")) / s[i] for i in range(P)]
+    size = F.greatest(F.sqrt(reduce(lambda a, b: a + b, [v * v for v in z])), F.lit(1e-9))
+    turned = [F.avg(z[i] / size * z[j] / size).alias(f"u{i}{j}") for i in range(P) for j in range(i + 1)]
+    plain = [F.avg(x[i]).alias(f"a{i}") for i in range(P)] + [F.covar_pop(x[i], x[j]).alias(f"v{i}{j}") for i in range(P) for j in range(i + 1)]
+    seen = rows.join(both, "g").groupBy("g").agg(*turned, *plain)
+    seen = both.join(seen, "g")
+    zero = F.lit(0.0)
+    ways = [
+        (lambda i: F.col(f"m{i}"), lambda i, j: s[i] * s[i] if i == j else zero),
+        (lambda i: F.col(f"m{i}"), lambda i, j: F.lit(1.0) if i == j else zero),
+        (lambda i: F.col(f"a{i}"), lambda i, j: F.col(f"v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)),
+        (lambda i: F.col(f"m{i}"), lambda i, j: s[i] * s[j] * (F.col(f"u{i}{j}") + (1e-6 if i == j else 0.0))),
+    ]
+    out = []
+    for k, (centre_of, scatter) in enumerate(ways):
+        made = _with_scatter(seen, scatter).withColumns({f"m{i}": centre_of(i) for i in range(P)} | {"start": F.lit(k), "log_det": F.lit(float("inf"))})
+        out.append(made.select(*SHAPE))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -173,24 +197,29 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(P)] + [F.covar_pop(f"x{i}", f"x{j}").alias(f"v{i}{j}") for i in range(P) for j in range(i + 1)]
     new = near.groupBy(*KEYS).agg(*sums)
     c = consistency()
-    new = new.select(*KEYS, *[f"m{i}" for i in range(P)], *[(F.col(f"v{i}{j}") * c + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
-    return _cholesky(new)
+    return _with_scatter(new, lambda i, j: F.col(f"v{i}{j}") * c + (FLOORS[i] ** 2 if i == j else 0.0)).select(*SHAPE)
+
 
+def estimate(rows: DataFrame) -> DataFrame:
+    """g and its centre and scatter. ``rows``: g, x0, x1, ...
 
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """g and its centre and scatter. ``rows``: g, x0, x1, ..."""
-    params = materialize(_starts(rows), "mcd")
-    for _ in range(steps):
-        params = materialize(_concentrate(rows, params), "mcd")
+    Each step that is taken lowers a determinant that the floors bound from below, so steps end.
+    """
+    params = materialize(_starts(rows).withColumn("moves", F.lit(True)), "mcd")
+    while params.where("moves").limit(1).count():
+        new = _concentrate(rows, params.where("moves").drop("moves")).select(F.struct(*SHAPE).alias("new"))
+        both = params.join(new, (F.col("g") == F.col("new.g")) & (F.col("start") == F.col("new.start")), "left")
+        lower = F.coalesce(F.col("new.log_det") < F.col("log_det") - LEAST, F.lit(False))
+        params = materialize(both.select(*KEYS, *[F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in SHAPE[2:]], lower.alias("moves")), "mcd")
     best = Window.partitionBy("g").orderBy("log_det", "start")
-    return params.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "start")
+    return params.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "start", "moves")
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """The statistics of each row, base_failed, distance (null if the base rules fail) and kept."""
     stats = materialize(statistics(docs), "quality")
     groups = materialize(_groups(_vectors(stats)), "quality-groups")
-    rows = _in_group(_vectors(stats), groups).where(F.col("g").isNotNull())
+    rows = materialize(_in_group(_vectors(stats), groups).where(F.col("g").isNotNull()).select("g", *[f"x{i}" for i in range(P)]), "quality-vectors")
     params = materialize(estimate(rows), "mcd")
     one = [c for c in params.columns if c != "g"]
     told = stats.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
