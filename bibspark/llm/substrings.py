@@ -6,31 +6,34 @@ judged on the input. Exact, over all documents and whole texts; matches don't cr
 1. Anchors. Of each 50-byte string, the position whose 24 bytes hash least stands for it (all positions of equal hash
    do), so equal strings have equal anchors at equal places. Around an anchor, its context holds every string that it can
    stand for: 26 bytes before it, 50 from it on. A scan gives each anchor's hash, the hash of its context, document and
-   position; they are packed into blobs by a part of the hash, so the shuffle moves a few large rows.
+   position. Of a context that a task meets in several documents, the least document goes on and the others are covered
+   whole (a combine on the map side, so that a passage of a third of all documents comes to a row for each task, not for each
+   document). What goes on is packed into blobs by a part of the hash, so the shuffle moves a few large rows.
 2. Matching. Anchors in one document only are dropped. Equal contexts are one string, with its least document; in all
    later documents it is covered whole. A context that is alone under its anchor has nothing else to be compared with. The
    contexts of other anchors are fetched from their texts.
-3. Column-wise construction (``suffix_order``). A collection of contexts is sorted by inserting one symbol of each per
-   round, from the last to the first; the last 49 bytes of each, which hold no string, are sorted to start with. A round sets the symbol before each string's newest suffix in the collection's
-   Burrows-Wheeler transform, whose stable order by symbol gives the new suffixes' places, and merges them in; common
-   prefixes are updated for the new suffixes and for those that follow them, by least values between equal symbols. All
-   strings of a common prefix of 50 bytes stand together in the end; the least document among them is what covers the
-   others. There are at most 27 rounds, whatever a document's length. Each round reads and writes the transform and the
-   prefixes once, front to back; a collection is made of whole anchor groups up to ``COLLECTION`` strings, and read from and
-   written to sequential files (of the shuffle) between the steps. An anchor with more than ``HOT`` contexts is dealt out
-   by its 50-byte strings instead, each a string of the collection on its own, so that it doesn't meet in one task.
+3. Column-wise construction (``columns``). The contexts of a part are a collection of strings that are aligned at their anchors.
+   Each of 76 rounds inserts one symbol of every string, from the last column to the first. The transform of a round is the
+   symbol in front of each string's newest suffix, in the order of these; its stable order by symbol is that of the suffixes that
+   they make. Common prefixes follow: one more than the least between two neighbours of the same symbol, in the order before.
+   As equal strings stand at equal places of their anchors, only suffixes of one column have to be compared, and a round
+   reads and writes transform, order and prefixes once, front to back. From the 50th round on, neighbours with a common prefix of
+   50 bytes are equal strings, and the least document among them covers the others. An anchor with more than ``HOT`` contexts is
+   dealt out by its 50-byte strings instead, each a string of the collection on its own, so that it doesn't meet in one task.
 4. Spans. What is covered is collected by document and joined with the texts.
 
-Hashes of contexts (64 bits, mixed) stand for equality in step 2; step 3 compares bytes.
+Hashes of contexts (64 bits, mixed) stand for equality in steps 1 and 2; step 3 compares bytes. The files that are read and
+written in sequence on disk are the shuffles and tables between the steps; the columns of a part are arrays in memory, some MB.
 
-Defined results: null text is empty; texts under 50 bytes lose nothing; rows with a null doc_id neither lose nor cover
-anything; of rows with one doc_id none covers another, and each is judged by its own text; an empty table gives no rows.
-Columns besides doc_id and text are not looked at.
+Defined results: null text is empty; texts under 50 bytes lose nothing; very long texts are scanned in pieces, whose anchors
+are those of the whole; rows with a null doc_id neither lose nor cover anything; of rows with one doc_id none covers another,
+and each is judged by its own text, equal rows alike; an empty table gives no rows. Columns besides doc_id and text are not
+looked at.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,9 @@ SLICE = 1 << 20  # bytes that a scan holds at once, about; longer texts are scan
 MARGIN = 128  # bytes on either side of a piece: more than what an anchor and its context depend on
 PER_PART = 400_000  # anchors in a part, about
 TEXT_PART = 16 << 20  # bytes of text in a part of the join, about
-COLLECTION, HOT = 4_096, 65_536
+HOT = 65_536
+HELD = 1_000_000  # anchors that a scan combines at once, about
+MOST = 1 << 15  # partitions of a shuffle; beyond that, parts share them
 BASE = 0x9E3779B97F4A7C15
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 U64 = np.uint64
@@ -111,7 +116,19 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _tag(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) & 0xFFFF
+    """Tells texts of one doc_id apart, together with it; ``_with_texts`` has the same."""
+    return xxhash.xxh64_intdigest(text, 42) & 0xFFFF
+
+
+#: Odd multipliers below 2^32, so that products with 31 bits fit a signed long.
+MIX = (2654435761, 2246822519, 3266489917)
+
+
+def _bucket(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
+    x = doc.astype(np.int64).view(U64)
+    low, high = x & U64(0x7FFFFFFF), (x >> U64(31)) & U64(0x7FFFFFFF)
+    h = (low * U64(MIX[0])) ^ (high * U64(MIX[1])) ^ (tag.astype(U64) * U64(MIX[2]))
+    return ((h >> U64(17)) % U64(parts)).astype(np.int64)
 
 
 def _deal(where: np.ndarray, columns: list[np.ndarray]):
@@ -155,24 +172,52 @@ def _slices(batches):
         yield rows
 
 
-def _scan(batches, parts: int):
+def _scan(batches, parts: int, text_parts: int):
+    """Anchors by part; and, by -1 - the text's part, what is covered by a smaller document of the same task."""
+    held, n = [], 0
+
+    def out():
+        h, context, doc, tag, at = (np.concatenate(c) for c in zip(*held))
+        o = np.lexsort((at, tag, doc, context, h))
+        h, context, doc, tag, at = (x[o] for x in (h, context, doc, tag, at))
+        first = _starts(h, context)
+        later = doc > doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+        once = _starts(h, context, doc, tag, at)  # rows that are equal are one
+        i, j = np.flatnonzero(once & ~later), np.flatnonzero(once & later)
+        rest = (h // U64(parts)).astype(np.uint32)
+        rows = list(_deal((h[i] % U64(parts)).astype(np.int64), [rest[i], context[i], doc[i], tag[i], at[i]]))
+        rows += [(-1 - p, c) for p, c in _covers(doc[j], tag[j], at[j], text_parts)]
+        return _batch([(p, *c) for p, c in rows], NAMES)
+
     for pieces in _slices(batches):
         number, at, h, context = anchors([p[-1] for p in pieces])
         ids, tags, base, lo, hi = (np.array(x) for x in list(zip(*pieces))[:5])
         at = at + base[number]
         own = np.flatnonzero((at >= lo[number]) & (at < hi[number]))
-        number, at, h, context = number[own], at[own], h[own], context[own]
-        rest = (h // U64(parts)).astype(np.uint32)
-        rows = [(p, *cols) for p, cols in _deal((h % U64(parts)).astype(np.int64), [rest, context, ids.astype(np.int64)[number], tags.astype(np.uint16)[number], at.astype(np.uint32)])]
-        if rows:
-            yield _batch(rows, NAMES)
+        number = number[own]
+        held.append((h[own], context[own], ids.astype(np.int64)[number], tags.astype(np.uint16)[number], at[own].astype(np.uint32)))
+        n += len(own)
+        if n > HELD:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
+
+def _covers(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, text_parts: int):
+    """The contexts of anchors, as spans that are covered whole, dealt out by text."""
+    start = np.maximum(at.astype(np.int64) - BEFORE, 0).astype(np.uint32)
+    return _deal(_bucket(doc, tag, text_parts), [doc, tag, start, at + np.uint32(LENGTH), np.zeros(len(at), np.uint8)])
 
 
 def _by_part(batches, kinds: list):
-    """Part and columns of each part of a partition that is sorted by part."""
+    """Part and columns of each part of a partition that is sorted by part; a negative part's rows as they are."""
     now, held = None, []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in NAMES)):
+            if row[0] < 0:
+                yield row[0], row[1:]
+                continue
             if now is not None and row[0] != now:
                 yield now, [np.concatenate([np.frombuffer(x, k) for x in col]) for col, k in zip(zip(*held), kinds)]
                 held = []
@@ -197,7 +242,11 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 
 def _match(batches, text_parts: int, hot: int):
     """Kind 0: covered whole (document, tag, first byte, end); kind 1: contexts to fetch (document, tag, position, rest, hot)."""
-    for part, (rest, context, doc, tag, at) in _by_part(batches, ANCHOR):
+    for part, columns_ in _by_part(batches, ANCHOR):
+        if part < 0:
+            yield _batch([(2 * (-1 - part), *columns_)], NAMES)
+            continue
+        rest, context, doc, tag, at = columns_
         o = np.lexsort((doc, context, rest))
         rest, context, doc, tag, at = (x[o] for x in (rest, context, doc, tag, at))
         group, same = _starts(rest), _starts(rest, context)
@@ -206,16 +255,15 @@ def _match(batches, text_parts: int, hot: int):
         least, most = np.minimum.reduceat(doc, g_at), np.maximum.reduceat(doc, g_at)
         contexts = np.bincount(g[s_at], minlength=len(g_at))
         first = doc[s_at][s]  # the context's least document
-        later = doc > first
-        ask = (least < most)[g] & (contexts > 1)[g] & ~later
-        start = np.maximum(at.astype(np.int64) - BEFORE, 0).astype(np.uint32)
-        for kind, rows, cols in ((0, later, [start, at + np.uint32(LENGTH), np.zeros(len(at), np.uint8)]), (1, ask, [at, rest, (contexts > hot)[g].astype(np.uint8)])):
-            i = np.flatnonzero(rows)
-            made = [(2 * p + kind, *c) for p, c in _deal(doc[i] % text_parts, [doc[i], tag[i], *[c[i] for c in cols]])]
-            if kind:  # the anchor's part goes along, in front of the rest
-                made = [(p, a, b, c, np.full(1, part, np.int64).tobytes() + d, e) for p, a, b, c, d, e in made]
-            if made:
-                yield _batch(made, NAMES)
+        i = np.flatnonzero(doc > first)
+        made = [(2 * p, *c) for p, c in _covers(doc[i], tag[i], at[i], text_parts)]
+        i = np.flatnonzero((least < most)[g] & (contexts > 1)[g] & (doc == first))
+        many = (contexts > hot)[g].astype(np.uint8)
+        # the anchor's part goes along, in front of the rest
+        here = np.full(1, part, np.int64).tobytes()
+        made += [(2 * p + 1, a, b, c, here + d, e) for p, (a, b, c, d, e) in _deal(_bucket(doc[i], tag[i], text_parts), [doc[i], tag[i], at[i], rest[i], many[i]])]
+        if made:
+            yield _batch(made, NAMES)
 
 
 JOINED = "bucket long, kind int, doc_id long, text string, a binary, b binary, c binary, d binary, e binary"
@@ -224,10 +272,14 @@ JOINED = "bucket long, kind int, doc_id long, text string, a binary, b binary, c
 def _with_texts(docs: DataFrame, packed: DataFrame, parts: int) -> DataFrame:
     """Rows of a bucket of documents: first what is packed for it, then the texts."""
     empty = [F.lit(None).cast("binary").alias(c) for c in NAMES[1:]]
-    bucket = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(parts)).cast("long")
+    d, bits = F.col("doc_id"), F.lit(0x7FFFFFFF).cast("long")
+    low, high, tag = d.bitwiseAND(bits), F.shiftrightunsigned(d, 31).bitwiseAND(bits), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF).cast("long"))
+    mixed = reduce(lambda a, b: a.bitwiseXOR(b), [x * F.lit(m).cast("long") for x, m in zip((low, high, tag), MIX)])
+    # texts without an id have no notes
+    bucket = F.when(d.isNull(), F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(F.shiftrightunsigned(mixed, 17) % F.lit(parts)).cast("long")
     texts = docs.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", *empty)
     notes = packed.select(F.col("part").alias("bucket"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *NAMES[1:])
-    return texts.unionByName(notes).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    return texts.unionByName(notes).repartition(min(parts, MOST), "bucket").sortWithinPartitions("bucket", "kind")
 
 
 class _Notes:
@@ -270,9 +322,9 @@ def _fetch(batches, parts: int):
     held, n = [], 0
 
     def out():
-        where, rest, doc, tag, start, size, text = (np.concatenate(c) for c in zip(*held))
-        head = np.zeros(len(doc), np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1")]))
-        head["doc"], head["tag"], head["start"], head["size"] = doc, tag, start, size
+        where, rest, doc, tag, at, lo, hi, text = (np.concatenate(c) for c in zip(*held))
+        head = np.zeros(len(doc), HEAD)
+        head["doc"], head["tag"], head["at"], head["lo"], head["hi"] = doc, tag, at, lo, hi
         rows = [(p, a, b, c, b"", b"") for p, (a, b, c) in _deal(where, [rest, head, text])]
         return _batch(rows, NAMES)
 
@@ -280,25 +332,26 @@ def _fetch(batches, parts: int):
         if doc is None or text is None or not len(notes.cols[0]):
             continue
         raw = text.encode("utf-8", "surrogatepass")
-        at, part, rest, hot = notes.of(doc, _tag(raw))
+        tag = _tag(raw)
+        at, part, rest, hot = notes.of(doc, tag)
         if not len(at):
             continue
         at = at.astype(np.int64)
-        lo, hi = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, len(raw))
+        lo, hi = np.maximum(BEFORE - at, 0), np.minimum(BEFORE + len(raw) - at, CONTEXT)
         if hot.any():
-            i = np.flatnonzero(hot)
-            single = np.unique((lo[i][:, None] + np.arange(W))[(lo[i][:, None] + np.arange(W)) + LENGTH <= hi[i][:, None]])
+            i, cold = np.flatnonzero(hot), np.flatnonzero(hot == 0)
+            base = (at[i] - BEFORE)[:, None] + np.arange(W)
+            single = np.unique(base[(base >= 0) & (base + LENGTH <= len(raw))])
             h = np.array([xxhash.xxh64_intdigest(raw[s : s + LENGTH]) for s in single.tolist()], U64)
-            cold = np.flatnonzero(hot == 0)
             part, rest = np.concatenate([part[cold], (h % U64(parts)).astype(np.int64)]), np.concatenate([rest[cold], (h // U64(parts)).astype(np.uint32)])
-            lo, hi = np.concatenate([lo[cold], single]), np.concatenate([hi[cold], single + LENGTH])
-        codes = np.zeros(len(raw) + CONTEXT, np.uint8)
-        codes[: len(raw)] = np.frombuffer(raw, np.uint8)
-        size = hi - lo
-        cells = codes[lo[:, None] + np.arange(CONTEXT)]
-        cells[np.arange(CONTEXT) >= size[:, None]] = 0
-        held.append((part, rest, np.full(len(lo), doc, np.int64), np.full(len(lo), _tag(raw), np.uint16), lo.astype(np.uint32), size.astype(np.uint8), cells))
-        n += len(lo)
+            # a string on its own stands in the first columns
+            lo, hi = np.concatenate([lo[cold], np.zeros(len(single), np.int64)]), np.concatenate([hi[cold], np.full(len(single), LENGTH)])
+            at = np.concatenate([at[cold], single + BEFORE])
+        codes = np.zeros(len(raw) + BEFORE + CONTEXT, np.uint8)
+        codes[BEFORE : BEFORE + len(raw)] = np.frombuffer(raw, np.uint8)
+        cells = codes[at[:, None] + np.arange(CONTEXT)]
+        held.append((part, rest, np.full(len(at), doc, np.int64), np.full(len(at), tag, np.uint16), at.astype(np.uint32), lo.astype(np.uint8), hi.astype(np.uint8), cells))
+        n += len(at)
         if n * CONTEXT > SLICE:
             yield out()
             held, n = [], 0
@@ -306,136 +359,74 @@ def _fetch(batches, parts: int):
         yield out()
 
 
-def suffix_order(cells: np.ndarray, size: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String, offset and common prefix with the one before, of all suffixes of ``depth`` bytes or more, in their order.
+def columns(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """For each column from the last to the first: the column, the order of the strings' suffixes from there on, and each one's
+    common prefix with the one before.
 
-    ``cells``: a row of bytes for each string, ``size`` of which count (``depth`` at least). The ends of ``depth`` bytes are sorted
-    to start with; from there on each round inserts one symbol of each string.
+    ``cells``: a row of bytes for each string, aligned; of which those from ``lo`` up to ``hi`` count. What doesn't count is a symbol
+    of its own, before all others and equal to none.
     """
-    m = len(size)
-    left = size.astype(np.int64) - depth
-    every = np.arange(m)
-
-    def piece(who: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return cells[who[:, None], at[:, None] + np.arange(depth)]
-
-    def words(rows: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(rows + np.uint8(1)).view(f"S{depth}").ravel() if depth else np.zeros(len(rows), "S1")
-
-    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The common prefix of rows of ``depth`` bytes."""
-        return np.logical_and.accumulate(x == y, axis=1).sum(axis=1).astype(np.uint8) if depth else np.zeros(len(x), np.uint8)
-
-    ends = piece(every, left)
-    start = np.argsort(words(ends), kind="stable")
-    known = words(ends)[start]
-    bwt, owner, offset = np.zeros(m, np.uint8), start.astype(np.int32), left[start].astype(np.uint8)
-    prefix = np.zeros(m, np.uint8)
-    prefix[1:] = alike(ends[start[1:]], ends[start[:-1]])
-    end = np.ones(m, bool)  # an end of ``depth`` bytes
-    newest = np.empty(m, np.int64)  # where each string's newest suffix stands
-    newest[start] = every
-    while True:
-        live = np.flatnonzero(left > 0)
-        if not len(live):
-            return owner, offset, prefix
-        left[live] -= 1
-        bwt[newest[live]] = cells[live, left[live]] + np.uint8(1)  # 0 ends a string
+    m, width = cells.shape
+    by_column = np.ascontiguousarray(cells.T)
+    order, prefix = np.arange(m), np.zeros(m, np.uint8)
+    for c in range(width - 1, -1, -1):
+        symbol = by_column[c].astype(np.uint16) + np.uint16(1)
+        symbol[(lo > c) | (hi <= c)] = 0
+        bwt = symbol[order]
         # the stable order by symbol is that of what a symbol in front of a suffix makes
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1) :]
-        rank = np.empty(len(bwt), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        r = rank[newest[live]]
-        ahead = piece(live, left[live])
-        place = r + np.searchsorted(known, words(ahead), side="right")  # the ends that come before
-        # neighbours with the same symbol: one more than the least common prefix between the suffixes behind
-        around = np.concatenate([[-1], order, [-1]])
-        mine, low, high = around[r + 1], around[r], around[r + 2]
-        symbol = bwt[mine]
-        low = np.where((low >= 0) & (bwt[low] == symbol), low, -1)
-        high = np.where((high >= 0) & (bwt[high] == symbol), high, -1)
-        padded = np.append(prefix, np.uint8(255))
-
-        def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """1 + the least prefix in (a, b], 0 where there is no neighbour."""
-            ok = np.flatnonzero((a >= 0) & (b >= 0))
-            out = np.zeros(len(a), np.uint8)
-            if len(ok):
-                o = ok[np.argsort(a[ok], kind="stable")]
-                pairs = np.empty(2 * len(o), np.int64)
-                pairs[::2], pairs[1::2] = a[o] + 1, b[o] + 1
-                out[o] = np.minimum.reduceat(padded, pairs)[::2] + np.uint8(1)
-            return out
-
-        before, after = shared(low, mine), shared(mine, high)
-        total = m + len(order)
-        old = np.ones(total, bool)
-        old[place] = False
-
-        def merged(x: np.ndarray, new) -> np.ndarray:
-            out = np.empty(total, x.dtype)
-            out[old] = x
-            out[place] = new
-            return out
-
-        bwt, owner, offset = merged(bwt, 0), merged(owner, live), merged(offset, left[live])
-        prefix, end = merged(prefix, before), merged(end, False)
-        # next to an end it is bytes that are compared
-        i = np.flatnonzero(end[place - 1] & (place > 0))
-        p = place[i] - 1
-        prefix[place[i]] = alike(ahead[i], piece(owner[p], offset[p].astype(np.int64)))
-        i = np.flatnonzero(place + 1 < total)
-        q = place[i] + 1
-        stays = old[q]  # what is new itself has its own
-        i, q = i[stays], q[stays]
-        prefix[q] = after[i]
-        at_end = end[q]
-        i, q = i[at_end], q[at_end]
-        prefix[q] = alike(ahead[i], piece(owner[q], offset[q].astype(np.int64)))
-        newest[live] = place
-
-
-def covered(cells: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """String and offset of each LENGTH-byte string of a collection that also starts in a smaller document."""
-    fits = np.flatnonzero(size >= LENGTH)
-    owner, offset, prefix = suffix_order(cells[fits], size[fits], LENGTH - 1)
-    owner = fits[owner]
-    long = size[owner] - offset.astype(np.int64) >= LENGTH
-    group = np.cumsum(prefix < LENGTH)
-    # a suffix that is too short has no common prefix of that length with any
-    owner, offset, group = owner[long], offset[long], group[long]
-    if not len(owner):
-        return owner, offset
-    start = np.flatnonzero(_starts(group))
-    least = np.repeat(np.minimum.reduceat(doc[owner], start), np.diff([*start, len(owner)]))
-    hit = doc[owner] > least
-    return owner[hit], offset[hit]
-
-
-def _construct(batches, text_parts: int, collection: int):
-    head = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1")])
-    for _, (rest, about, text, _, _) in _by_part(batches, [np.uint32, head, np.uint8, np.uint8, np.uint8]):
-        cells = text.reshape(-1, CONTEXT)
-        o = np.argsort(rest, kind="stable")
-        rest, about, cells = rest[o], about[o], cells[o]
-        cuts = [*np.flatnonzero(_starts(rest)).tolist(), len(rest)]
-        a = 0
-        for k in range(1, len(cuts)):
-            if k + 1 < len(cuts) and cuts[k + 1] - a <= collection:
-                continue
-            b = cuts[k]
-            who, at = covered(cells[a:b], about["size"][a:b].astype(np.int64), about["doc"][a:b])
-            if len(who):
-                o = np.lexsort((at, who))
-                who, at = who[o], at[o].astype(np.int64)
-                # neighbouring strings of one context are one span
-                first = np.flatnonzero(_starts(who, at - np.arange(len(at))))
-                last = np.append(first[1:], len(who)) - 1
-                mine = about[a:b][who[first]]
-                spans = [(mine["start"] + x).astype(np.uint32) for x in (at[first], at[last] + LENGTH)]
-                yield _batch([(2 * p, *c) for p, c in _deal(mine["doc"] % text_parts, [mine["doc"], mine["tag"], *spans, np.zeros(len(mine), np.uint8)])], NAMES)
-            a = b
+        step = np.argsort(bwt, kind="stable")
+        order, bwt = order[step], bwt[step]
+        pair = np.flatnonzero((bwt[1:] == bwt[:-1]) & (bwt[1:] > 0))
+        a, b = step[pair], step[pair + 1]
+        least = prefix[b]
+        apart = np.flatnonzero(b > a + 1)
+        if len(apart):  # the least between two that were no neighbours
+            o = apart[np.argsort(a[apart], kind="stable")]
+            ends = np.empty(2 * len(o), np.int64)
+            ends[::2], ends[1::2] = a[o] + 1, b[o] + 1
+            least[o] = np.minimum.reduceat(np.append(prefix, np.uint8(255)), ends)[::2]
+        prefix = np.zeros(m, np.uint8)
+        prefix[pair + 1] = least + np.uint8(1)
+        yield c, order, prefix
+
+
+def covered(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of each LENGTH-byte string of a collection that also starts in a smaller document at its place."""
+    who, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c, order, prefix in columns(cells, lo, hi):
+        if c >= W:
+            continue
+        long = prefix >= LENGTH
+        some = np.flatnonzero(long | np.append(long[1:], False))  # alike with the one before or the one after
+        if not len(some):
+            continue
+        mine = order[some]
+        start = np.flatnonzero(~long[some])
+        least = np.repeat(np.minimum.reduceat(doc[mine], start), np.diff([*start, len(mine)]))
+        hit = mine[doc[mine] > least]
+        who.append(hit)
+        at.append(np.full(len(hit), c))
+    return np.concatenate(who), np.concatenate(at)
+
+
+#: A context: document, tag, position of the anchor, and the columns that the text fills.
+HEAD = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+
+
+def _construct(batches, text_parts: int):
+    for _, (rest, about, text, _, _) in _by_part(batches, [np.uint32, HEAD, np.uint8, np.uint8, np.uint8]):
+        who, at = covered(text.reshape(-1, CONTEXT), about["lo"], about["hi"], about["doc"])
+        if not len(who):
+            continue
+        o = np.lexsort((at, who))
+        who, at = who[o], at[o].astype(np.int64)
+        # neighbouring strings of one context are one span
+        first = np.flatnonzero(_starts(who, at - np.arange(len(at))))
+        last = np.append(first[1:], len(who)) - 1
+        mine = about[who[first]]
+        base = mine["at"].astype(np.int64) - BEFORE
+        spans = [(base + x).astype(np.uint32) for x in (at[first], at[last] + LENGTH)]
+        yield _batch([(2 * p, *c) for p, c in _deal(_bucket(mine["doc"], mine["tag"], text_parts), [mine["doc"], mine["tag"], *spans, np.zeros(len(mine), np.uint8)])], NAMES)
 
 
 def _cut(batches):
@@ -469,20 +460,20 @@ def _cut(batches):
         yield out()
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT, collection: int = COLLECTION) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
     parts, text_parts = max(1, total // (PER_PART * (W + 1) // 2)), max(1, total // TEXT_PART)
-    scan = docs.mapInArrow(partial(_scan, parts=parts), PACKED)
-    by_part = lambda x: x.repartition(max(1, parts), "part").sortWithinPartitions("part")
+    scan = docs.mapInArrow(partial(_scan, parts=parts, text_parts=text_parts), PACKED)
+    by_part = lambda x: x.repartition(min(parts, MOST), "part").sortWithinPartitions("part")
     found = materialize(by_part(scan).mapInArrow(partial(_match, text_parts=text_parts, hot=hot), PACKED), "anchors")
     release(spark)
     whole = lambda x: x.withColumn("part", F.floor(F.col("part") / 2).cast("long"))
     asked = whole(found.where("part % 2 = 1"))
     strings = _with_texts(docs, asked, text_parts).mapInArrow(partial(_fetch, parts=parts), PACKED)
-    more = materialize(by_part(strings).mapInArrow(partial(_construct, text_parts=text_parts, collection=collection), PACKED), "covers")
+    more = materialize(by_part(strings).mapInArrow(partial(_construct, text_parts=text_parts), PACKED), "covers")
     release(spark)
     covers = whole(found.where("part % 2 = 0").unionByName(more))
     return _with_texts(docs, covers, text_parts).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
