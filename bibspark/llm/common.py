@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from bibspark.functions.chars import let
+from bibspark.storage import delete, materialize, shared_dir
+
+__all__ = ["SPACE", "WORD", "delete", "holds", "let", "materialize", "only", "release", "shared_dir", "trim"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. A folder of our own is made only where that is unset,
-    as it is in tests on a single machine.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="bibspark-shared-")
-        found = _own[app]
-    return found
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage (a lost executor makes nothing be computed anew), and unlike a checkpoint of rows it keeps
-    statistics and column pruning.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/bibspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of queries that are over, so that they don't pile up on disk."""
@@ -83,27 +53,3 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended first
-            return
-
-
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once inside an expression; a lambda would otherwise compute a captured expression per element."""
-    return F.transform(F.array(value), body)[0]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

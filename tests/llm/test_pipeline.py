@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import sentencepiece
-from conftest import prose
+from helpers import prose
 from test_operators import dedupe_by_hand, hash_by_hand
 
 import corpus_pipeline as p
@@ -56,8 +56,49 @@ def test_stages(spark, docs):
     assert len(last) == out.count() and all(r["ids"] == sp.encode(text[r["doc_id"]]) for r in last)
 
 
+def test_each_stage_on_odd_rows(spark, odd, none):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names; each stage by itself."""
+    texts = Counter(r["text"] for r in odd.collect())
+    for name, stage in p.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+    out = p.language_id(spark, odd, "")
+    assert out.columns == odd.columns
+    kept = Counter(r["text"] for r in out.collect())
+    assert kept <= texts and all(t and any(c.isalpha() for c in t) for t in kept) and kept[prose(7, 3000)] == 2
+
+    out = p.line_dedup(spark, odd, "")
+    rows = out.collect()
+    assert out.columns == odd.columns and len(rows) == odd.count()
+    # of equal rows each is a document of its own only if it differs: both rows 12 lose the lines that row 1 has
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd.collect())
+    assert all(r["text"] == "" and r["n_chars"] == 0 for r in rows if r["doc_id"] == 12) and sum(r["text"] is None for r in rows) == 2
+
+    out = p.near_dedup(spark, odd, "")
+    assert out.columns == odd.columns
+    left = sorted((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] is not None)
+    by = {d: t for d, t in left}
+    assert len(by) == len(left) and {1, 3, 7} <= set(by) and not {4, 5, 8, 9, 12} & set(by)  # the least of each group
+    assert prose(3, 60) in {r["text"] for r in out.collect()}  # without an id, and like nothing else
+
+    out = p.mix_sources(spark, odd, "")
+    assert out.columns == odd.columns
+    want = Counter()
+    for r in mixing.mix(odd).collect():
+        want[r["doc_id"]] += r["repeats"]
+    assert Counter(r["doc_id"] for r in out.collect()) == +want
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    out = p.token_ids(spark, odd, "").collect()
+    ids = lambda t: None if t is None else sp.encode(t)
+    assert sorted((r["doc_id"], r["ids"]) for r in out if r["doc_id"]) == sorted((r["doc_id"], ids(r["text"])) for r in odd.collect() if r["doc_id"])
+    assert len(out) == odd.count()
+
+
 def test_run_gives_the_same(spark):
-    assert p.run(spark, "/root/testdata/sf0.001").count() > 0
+    out = p.run(spark, "/root/testdata/sf0.001")
+    again = p.run(spark, "/root/testdata/sf0.001")
+    digest = lambda df: sorted((r["doc_id"], r["source"], r["n_ids"]) for r in df.collect())
+    assert digest(out) == digest(again) and out.count() > 0
     assert [n for n, _ in p.STAGES][0] == "language ID" and len(p.STAGES) == 5
 
 
