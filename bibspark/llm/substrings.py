@@ -9,17 +9,17 @@ judged on the input. Exact, over all documents and whole texts; matches don't cr
    position. Of a context that a task meets in several documents, the least document goes on and the others are covered
    whole (a combine on the map side, so that a passage of a third of all documents comes to a row for each task, not for each
    document). What goes on is packed into blobs by a part of the hash, so the shuffle moves a few large rows.
-2. Matching. Anchors in one document only are dropped. Equal contexts are one string, with its least document; in all
-   later documents it is covered whole. A context that is alone under its anchor has nothing else to be compared with. The
-   contexts of other anchors are fetched from their texts.
-3. Column-wise construction (``columns``). The contexts of a part are a collection of strings that are aligned at their anchors.
-   Each of 76 rounds inserts one symbol of every string, from the last column to the first. The transform of a round is the
-   symbol in front of each string's newest suffix, in the order of these; its stable order by symbol is that of the suffixes that
-   they make. Common prefixes follow: one more than the least between two neighbours of the same symbol, in the order before.
-   As equal strings stand at equal places of their anchors, only suffixes of one column have to be compared, and a round
-   reads and writes transform, order and prefixes once, front to back. From the 50th round on, neighbours with a common prefix of
-   50 bytes are equal strings, and the least document among them covers the others. An anchor with more than ``HOT`` contexts is
-   dealt out by its 50-byte strings instead, each a string of the collection on its own, so that it doesn't meet in one task.
+2. Matching. Anchors in one document only are dropped. Of the others, equal contexts are one string with a list of places (its
+   owners); the bytes of each string are fetched from the least document that has it.
+3. Column-wise construction (``columns``). The strings of a part are a collection that is aligned at the anchors. Each of 76
+   rounds inserts one symbol of every string, from the last column to the first. The transform of a round is the symbol in
+   front of each string's newest suffix, in the order of these; its stable order by symbol is that of the suffixes that they
+   make. Common prefixes follow: one more than the least between two neighbours of the same symbol, in the order before. As equal
+   strings stand at equal places of their anchors, only suffixes of one column have to be compared, and a round reads and writes
+   transform, order and prefixes once, front to back. From the 50th round on, neighbours with a common prefix of 50 bytes are
+   equal strings, and each owner in a later document than the least of theirs is covered there. An anchor with more than
+   ``HOT`` contexts is dealt out by its 50-byte strings instead, each a string of a collection on its own, so that it doesn't
+   meet in one task.
 4. Spans. What is covered is collected by document and joined with the texts.
 
 Hashes of contexts (64 bits, mixed) stand for equality in steps 1 and 2; step 3 compares bytes. The files that are read and
@@ -117,7 +117,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def _tag(text: bytes) -> int:
     """Tells texts of one doc_id apart, together with it; ``_with_texts`` has the same."""
-    return xxhash.xxh64_intdigest(text, 42) & 0xFFFF
+    return xxhash.xxh64_intdigest(text, 42) & 0xFFFFFFFF
 
 
 #: Odd multipliers below 2^32, so that products with 31 bits fit a signed long.
@@ -127,7 +127,7 @@ MIX = (2654435761, 2246822519, 3266489917)
 def _bucket(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
     x = doc.astype(np.int64).view(U64)
     low, high = x & U64(0x7FFFFFFF), (x >> U64(31)) & U64(0x7FFFFFFF)
-    h = (low * U64(MIX[0])) ^ (high * U64(MIX[1])) ^ (tag.astype(U64) * U64(MIX[2]))
+    h = (low * U64(MIX[0])) ^ (high * U64(MIX[1])) ^ ((tag.astype(U64) & U64(0x7FFFFFFF)) * U64(MIX[2]))
     return ((h >> U64(17)) % U64(parts)).astype(np.int64)
 
 
@@ -142,7 +142,7 @@ def _deal(where: np.ndarray, columns: list[np.ndarray]):
 
 
 def _batch(rows: list, names: list[str]):
-    cols = list(zip(*rows))
+    cols = list(zip(*((*r, *[b""] * (len(names) - len(r))) for r in rows)))
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
 
 
@@ -195,7 +195,7 @@ def _scan(batches, parts: int, text_parts: int):
         at = at + base[number]
         own = np.flatnonzero((at >= lo[number]) & (at < hi[number]))
         number = number[own]
-        held.append((h[own], context[own], ids.astype(np.int64)[number], tags.astype(np.uint16)[number], at[own].astype(np.uint32)))
+        held.append((h[own], context[own], ids.astype(np.int64)[number], tags.astype(np.uint32)[number], at[own].astype(np.uint32)))
         n += len(own)
         if n > HELD:
             yield out()
@@ -207,7 +207,7 @@ def _scan(batches, parts: int, text_parts: int):
 def _covers(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, text_parts: int):
     """The contexts of anchors, as spans that are covered whole, dealt out by text."""
     start = np.maximum(at.astype(np.int64) - BEFORE, 0).astype(np.uint32)
-    return _deal(_bucket(doc, tag, text_parts), [doc, tag, start, at + np.uint32(LENGTH), np.zeros(len(at), np.uint8)])
+    return _deal(_bucket(doc, tag, text_parts), [doc, tag, start, at + np.uint32(LENGTH)])
 
 
 def _by_part(batches, kinds: list):
@@ -227,9 +227,11 @@ def _by_part(batches, kinds: list):
         yield now, [np.concatenate([np.frombuffer(x, k) for x in col]) for col, k in zip(zip(*held), kinds)]
 
 
-ANCHOR = [np.uint32, U64, np.int64, np.uint16, np.uint32]
-#: document, tag, first and last byte covered; or document, tag, anchor, its part and rest and whether it is hot
-COVER = [np.int64, np.uint16, np.uint32, np.uint32, np.uint8]
+ANCHOR = [np.uint32, U64, np.int64, np.uint32, np.uint32]
+#: document, tag, first byte covered and end
+COVER = [np.int64, np.uint32, np.uint32, np.uint32]
+#: string, document, tag and position of an owner
+OWNER = [np.uint32, np.int64, np.uint32, np.uint32]
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -241,27 +243,36 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 
 
 def _match(batches, text_parts: int, hot: int):
-    """Kind 0: covered whole (document, tag, first byte, end); kind 1: contexts to fetch (document, tag, position, rest, hot)."""
+    """By 3 * part + kind. Kind 0: covered whole (``COVER``); kind 1: contexts to fetch (document, tag, position, the anchor's part
+    and the string's number there, whether the anchor is hot); kind 2: owners (``OWNER``), by the anchor's part."""
     for part, columns_ in _by_part(batches, ANCHOR):
         if part < 0:
-            yield _batch([(2 * (-1 - part), *columns_)], NAMES)
+            yield _batch([(3 * (-1 - part), *columns_)], NAMES)
             continue
         rest, context, doc, tag, at = columns_
         o = np.lexsort((doc, context, rest))
         rest, context, doc, tag, at = (x[o] for x in (rest, context, doc, tag, at))
         group, same = _starts(rest), _starts(rest, context)
-        g, s = np.cumsum(group) - 1, np.cumsum(same) - 1
+        g = np.cumsum(group) - 1
         g_at, s_at = np.flatnonzero(group), np.flatnonzero(same)
-        least, most = np.minimum.reduceat(doc, g_at), np.maximum.reduceat(doc, g_at)
-        contexts = np.bincount(g[s_at], minlength=len(g_at))
-        first = doc[s_at][s]  # the context's least document
-        i = np.flatnonzero(doc > first)
-        made = [(2 * p, *c) for p, c in _covers(doc[i], tag[i], at[i], text_parts)]
-        i = np.flatnonzero((least < most)[g] & (contexts > 1)[g] & (doc == first))
-        many = (contexts > hot)[g].astype(np.uint8)
-        # the anchor's part goes along, in front of the rest
+        several = (np.minimum.reduceat(doc, g_at) < np.maximum.reduceat(doc, g_at))[g]
+        many = (np.bincount(g[s_at], minlength=len(g_at)) > hot)[g]
+        first = doc[s_at][np.cumsum(same) - 1]  # the context's least document
+        made = []
+        # a hot anchor's contexts: copies are covered whole, and each that is left is asked for
+        i = np.flatnonzero(several & many & (doc > first))
+        made += [(3 * p, *c) for p, c in _covers(doc[i], tag[i], at[i], text_parts)]
+        i = np.flatnonzero(several & ~many)
+        number = (np.cumsum(same[i]) - 1).astype(np.uint32)
+        if len(i):
+            made.append((3 * part + 2, *(np.ascontiguousarray(c).tobytes() for c in (number, doc[i], tag[i], at[i]))))
+        one = np.flatnonzero(same[i])
+        alone = np.flatnonzero(several & many & (doc == first))
+        ask = np.concatenate([i[one], alone])
+        number = np.concatenate([number[one], np.zeros(len(alone), np.uint32)])
+        # the anchor's part goes along, in front of the numbers
         here = np.full(1, part, np.int64).tobytes()
-        made += [(2 * p + 1, a, b, c, here + d, e) for p, (a, b, c, d, e) in _deal(_bucket(doc[i], tag[i], text_parts), [doc[i], tag[i], at[i], rest[i], many[i]])]
+        made += [(3 * p + 1, a, b, c, here + d, e) for p, (a, b, c, d, e) in _deal(_bucket(doc[ask], tag[ask], text_parts), [doc[ask], tag[ask], at[ask], number, many[ask].astype(np.uint8)])]
         if made:
             yield _batch(made, NAMES)
 
@@ -273,7 +284,7 @@ def _with_texts(docs: DataFrame, packed: DataFrame, parts: int) -> DataFrame:
     """Rows of a bucket of documents: first what is packed for it, then the texts."""
     empty = [F.lit(None).cast("binary").alias(c) for c in NAMES[1:]]
     d, bits = F.col("doc_id"), F.lit(0x7FFFFFFF).cast("long")
-    low, high, tag = d.bitwiseAND(bits), F.shiftrightunsigned(d, 31).bitwiseAND(bits), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF).cast("long"))
+    low, high, tag = d.bitwiseAND(bits), F.shiftrightunsigned(d, 31).bitwiseAND(bits), F.xxhash64("text").bitwiseAND(bits)
     mixed = reduce(lambda a, b: a.bitwiseXOR(b), [x * F.lit(m).cast("long") for x, m in zip((low, high, tag), MIX)])
     # texts without an id have no notes
     bucket = F.when(d.isNull(), F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(F.shiftrightunsigned(mixed, 17) % F.lit(parts)).cast("long")
@@ -286,7 +297,7 @@ class _Notes:
     """What is packed for a bucket, looked up by document and tag."""
 
     def __init__(self, rows: list[list[np.ndarray]]) -> None:
-        cols = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 6
+        cols = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 2
         o = np.argsort(cols[0], kind="stable")
         self.cols = [c[o] for c in cols]
 
@@ -312,45 +323,46 @@ def _stream(batches, unpack):
 
 
 def _fetch(batches, parts: int):
-    """The contexts (or single strings, of hot anchors) asked for, packed by the anchor's part."""
+    """The contexts (or single strings, of hot anchors, their own owners) asked for, by 3 * the anchor's part + 1."""
 
     def unpack(blobs):
-        doc, tag, at = np.frombuffer(blobs[0], np.int64), np.frombuffer(blobs[1], np.uint16), np.frombuffer(blobs[2], np.uint32)
-        part, rest = np.frombuffer(blobs[3][:8], np.int64), np.frombuffer(blobs[3][8:], np.uint32)
-        return [doc, tag, at, np.repeat(part, len(doc)), rest, np.frombuffer(blobs[4], np.uint8)]
+        doc, tag, at = np.frombuffer(blobs[0], np.int64), np.frombuffer(blobs[1], np.uint32), np.frombuffer(blobs[2], np.uint32)
+        part, number = np.frombuffer(blobs[3][:8], np.int64), np.frombuffer(blobs[3][8:], np.uint32)
+        return [doc, tag, at, np.repeat(part, len(doc)), number, np.frombuffer(blobs[4], np.uint8)]
 
     held, n = [], 0
 
     def out():
-        where, rest, doc, tag, at, lo, hi, text = (np.concatenate(c) for c in zip(*held))
+        where, number, doc, tag, at, lo, hi, own, text = (np.concatenate(c) for c in zip(*held))
         head = np.zeros(len(doc), HEAD)
-        head["doc"], head["tag"], head["at"], head["lo"], head["hi"] = doc, tag, at, lo, hi
-        rows = [(p, a, b, c, b"", b"") for p, (a, b, c) in _deal(where, [rest, head, text])]
-        return _batch(rows, NAMES)
+        for name, values in zip(HEAD.names, (number, doc, tag, at, lo, hi, own)):
+            head[name] = values
+        return _batch([(3 * p + 1, a, b) for p, (a, b) in _deal(where, [head, text])], NAMES)
 
     for notes, doc, text in _stream(batches, unpack):
         if doc is None or text is None or not len(notes.cols[0]):
             continue
         raw = text.encode("utf-8", "surrogatepass")
         tag = _tag(raw)
-        at, part, rest, hot = notes.of(doc, tag)
+        at, part, number, hot = notes.of(doc, tag)
         if not len(at):
             continue
         at = at.astype(np.int64)
         lo, hi = np.maximum(BEFORE - at, 0), np.minimum(BEFORE + len(raw) - at, CONTEXT)
+        own = hot
         if hot.any():
             i, cold = np.flatnonzero(hot), np.flatnonzero(hot == 0)
             base = (at[i] - BEFORE)[:, None] + np.arange(W)
             single = np.unique(base[(base >= 0) & (base + LENGTH <= len(raw))])
             h = np.array([xxhash.xxh64_intdigest(raw[s : s + LENGTH]) for s in single.tolist()], U64)
-            part, rest = np.concatenate([part[cold], (h % U64(parts)).astype(np.int64)]), np.concatenate([rest[cold], (h // U64(parts)).astype(np.uint32)])
+            part, number = np.concatenate([part[cold], (h % U64(parts)).astype(np.int64)]), np.concatenate([number[cold], np.zeros(len(single), np.uint32)])
             # a string on its own stands in the first columns
             lo, hi = np.concatenate([lo[cold], np.zeros(len(single), np.int64)]), np.concatenate([hi[cold], np.full(len(single), LENGTH)])
-            at = np.concatenate([at[cold], single + BEFORE])
+            at, own = np.concatenate([at[cold], single + BEFORE]), np.concatenate([hot[cold], np.ones(len(single), np.uint8)])
         codes = np.zeros(len(raw) + BEFORE + CONTEXT, np.uint8)
         codes[BEFORE : BEFORE + len(raw)] = np.frombuffer(raw, np.uint8)
         cells = codes[at[:, None] + np.arange(CONTEXT)]
-        held.append((part, rest, np.full(len(at), doc, np.int64), np.full(len(at), tag, np.uint16), at.astype(np.uint32), lo.astype(np.uint8), hi.astype(np.uint8), cells))
+        held.append((part, number, np.full(len(at), doc, np.int64), np.full(len(at), tag, np.uint32), at.astype(np.uint32), lo.astype(np.uint8), hi.astype(np.uint8), own, cells))
         n += len(at)
         if n * CONTEXT > SLICE:
             yield out()
@@ -390,43 +402,72 @@ def columns(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         yield c, order, prefix
 
 
-def covered(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """String and offset of each LENGTH-byte string of a collection that also starts in a smaller document at its place."""
-    who, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def least(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each string and each of its ``W`` places, the least of the documents (``doc``: one of each string) that have the same
+    LENGTH bytes there; the largest number where the string has no such bytes."""
+    place = np.arange(W)
+    out = np.where((lo[:, None] <= place) & (hi[:, None] >= place + LENGTH), doc[:, None], np.iinfo(np.int64).max)
     for c, order, prefix in columns(cells, lo, hi):
         if c >= W:
             continue
         long = prefix >= LENGTH
         some = np.flatnonzero(long | np.append(long[1:], False))  # alike with the one before or the one after
-        if not len(some):
-            continue
-        mine = order[some]
-        start = np.flatnonzero(~long[some])
-        least = np.repeat(np.minimum.reduceat(doc[mine], start), np.diff([*start, len(mine)]))
-        hit = mine[doc[mine] > least]
-        who.append(hit)
-        at.append(np.full(len(hit), c))
-    return np.concatenate(who), np.concatenate(at)
+        if len(some):
+            mine = order[some]
+            start = np.flatnonzero(~long[some])
+            out[mine, c] = np.repeat(np.minimum.reduceat(doc[mine], start), np.diff([*start, len(mine)]))
+    return out
+
 
+#: A string: number, document, tag, position of the anchor, the columns that the text fills, and whether it is its own owner.
+HEAD = np.dtype([("number", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("own", "u1")])
+PIECE = 1 << 15  # owners that are told at once
 
-#: A context: document, tag, position of the anchor, and the columns that the text fills.
-HEAD = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+
+def _collections(batches):
+    """Strings, their cells and the owners (``OWNER``) of each part; a partition is sorted by part, strings before owners."""
+    now, strings, owners = None, [], []
+
+    def out():
+        head = np.concatenate([np.frombuffer(r[0], HEAD) for r in strings])
+        cells = np.concatenate([np.frombuffer(r[1], np.uint8).reshape(-1, CONTEXT) for r in strings])
+        return head, cells, [np.concatenate([np.frombuffer(r[i], k) for r in owners] or [np.zeros(0, k)]) for i, k in enumerate(OWNER)]
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in NAMES)):
+            if now is not None and row[0] // 3 != now and strings:
+                yield out()
+            if row[0] // 3 != now:
+                now, strings, owners = row[0] // 3, [], []
+            (owners if row[0] % 3 == 2 else strings).append(row[1:])
+    if strings:
+        yield out()
 
 
 def _construct(batches, text_parts: int):
-    for _, (rest, about, text, _, _) in _by_part(batches, [np.uint32, HEAD, np.uint8, np.uint8, np.uint8]):
-        who, at = covered(text.reshape(-1, CONTEXT), about["lo"], about["hi"], about["doc"])
-        if not len(who):
-            continue
-        o = np.lexsort((at, who))
-        who, at = who[o], at[o].astype(np.int64)
-        # neighbouring strings of one context are one span
-        first = np.flatnonzero(_starts(who, at - np.arange(len(at))))
-        last = np.append(first[1:], len(who)) - 1
-        mine = about[who[first]]
-        base = mine["at"].astype(np.int64) - BEFORE
-        spans = [(base + x).astype(np.uint32) for x in (at[first], at[last] + LENGTH)]
-        yield _batch([(2 * p, *c) for p, c in _deal(_bucket(mine["doc"], mine["tag"], text_parts), [mine["doc"], mine["tag"], *spans, np.zeros(len(mine), np.uint8)])], NAMES)
+    """What is covered (kind 0) of the owners of each part's strings."""
+    for head, cells, owners in _collections(batches):
+        table = least(cells, head["lo"].astype(np.int64), head["hi"].astype(np.int64), head["doc"].astype(np.int64))
+        normal, single = np.flatnonzero(head["own"] == 0), np.flatnonzero(head["own"])
+        where = np.zeros(int(head["number"].max(initial=0)) + 1, np.int64)
+        where[head["number"][normal]] = normal
+        number, doc, tag, at = owners
+        string = np.concatenate([where[number], single])
+        doc, tag, at = (np.concatenate([x, head[n][single]]) for x, n in ((doc, "doc"), (tag, "tag"), (at, "at")))
+        found = []
+        for a in range(0, len(string), PIECE):
+            hit = table[string[a : a + PIECE]] < doc[a : a + PIECE, None]
+            edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            who, begin = np.nonzero(edge > 0)
+            end = np.nonzero(edge < 0)[1]  # as many in each row, in order
+            if len(who):
+                who = who + a
+                base = at[who].astype(np.int64) - BEFORE
+                # neighbouring strings of one context are one span
+                found.append((doc[who], tag[who], (base + begin).astype(np.uint32), (base + end - 1 + LENGTH).astype(np.uint32)))
+        if found:
+            doc, tag, begin, end = (np.concatenate(c) for c in zip(*found))
+            yield _batch([(3 * p, *c) for p, c in _deal(_bucket(doc, tag, text_parts), [doc, tag, begin, end])], NAMES)
 
 
 def _cut(batches):
@@ -441,7 +482,7 @@ def _cut(batches):
         raw = (text or "").encode("utf-8", "surrogatepass")
         kept, removed, spans = raw, 0, 0
         if doc is not None and len(notes.cols[0]):
-            lo, hi, _ = notes.of(doc, _tag(raw))
+            lo, hi = notes.of(doc, _tag(raw))
             if len(lo):
                 step = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(step, lo, 1)
@@ -470,12 +511,12 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     by_part = lambda x: x.repartition(min(parts, MOST), "part").sortWithinPartitions("part")
     found = materialize(by_part(scan).mapInArrow(partial(_match, text_parts=text_parts, hot=hot), PACKED), "anchors")
     release(spark)
-    whole = lambda x: x.withColumn("part", F.floor(F.col("part") / 2).cast("long"))
-    asked = whole(found.where("part % 2 = 1"))
-    strings = _with_texts(docs, asked, text_parts).mapInArrow(partial(_fetch, parts=parts), PACKED)
-    more = materialize(by_part(strings).mapInArrow(partial(_construct, text_parts=text_parts), PACKED), "covers")
+    whole = lambda x: x.withColumn("part", F.floor(F.col("part") / 3).cast("long"))
+    strings = _with_texts(docs, whole(found.where("part % 3 = 1")), text_parts).mapInArrow(partial(_fetch, parts=parts), PACKED)
+    both = strings.unionByName(found.where("part % 3 = 2")).repartition(min(parts, MOST), F.floor(F.col("part") / 3)).sortWithinPartitions("part")
+    more = materialize(both.mapInArrow(partial(_construct, text_parts=text_parts), PACKED), "covers")
     release(spark)
-    covers = whole(found.where("part % 2 = 0").unionByName(more))
+    covers = whole(found.where("part % 3 = 0").unionByName(more))
     return _with_texts(docs, covers, text_parts).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
