@@ -245,7 +245,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, m: int = M, block: int =
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     base = packed(rows, blocks, n, 1).select("block", every(groups).alias("grp"), F.lit(0).alias("kind"), "ids", "xs")
     queries = packed(rows.where(is_query), parts, asked, 2).select(every(blocks).alias("b"), F.pmod("block", F.lit(groups)).alias("grp"), F.lit(1).alias("kind"), "ids", "xs").withColumnRenamed("b", "block")
-    both = base.unionByName(queries).repartition(F.col("block"), F.col("grp")).sortWithinPartitions("block", "grp", "kind")
+    # a task for each block and group, and no two in one
+    task = (F.col("block") * groups + F.col("grp")).cast("int")
+    both = base.unionByName(queries).repartitionById(blocks * groups, task).sortWithinPartitions("block", "grp", "kind")
     got = both.mapInArrow(partial(_search, k=k, d=d, m=m), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     got = got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
