@@ -52,7 +52,7 @@ MARGIN = 128  # bytes on either side of a piece: more than what an anchor and it
 PER_PART = 400_000  # anchors in a part, about
 TEXT_PART = 16 << 20  # bytes of text in a part of the join, about
 HOT = 65_536
-HELD = 1_000_000  # anchors that a scan combines at once, about
+HELD = 250_000  # anchors that a scan combines at once, about
 MOST = 1 << 15  # partitions of a shuffle; beyond that, parts share them
 BASE = 0x9E3779B97F4A7C15
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
