@@ -7,9 +7,9 @@ A document fails the base rules with fewer than ``MIN_WORDS`` (50) words, or mor
 windows. The others have a vector: log of the mean word length, square roots of symbols per word, of the share of words
 in repeated windows, and of the share of repeated lines. Per language and source, the minimum covariance determinant
 estimate of centre and scatter comes from concentration steps: mean and covariance of the half of the documents with the
-least Mahalanobis distance, again and again until no step lowers the determinant, from four starts: medians scaled by median
-absolute deviations, medians alone, mean and covariance, medians with the covariance of directions. The start that ends with
-the least determinant stays. A document with a squared distance above ``CUTOFF`` goes. ``FLOORS`` are added to the scatter (as
+least Mahalanobis distance. They begin from four starts: medians scaled by median absolute deviations, medians alone, mean and
+covariance, medians with the covariance of directions; the one with the least determinant after two steps goes on until no step
+lowers it. A document with a squared distance above ``CUTOFF`` goes. ``FLOORS`` are added to the scatter (as
 standard deviations): most texts have no symbols or repeated lines at all, and without a floor any text that has one would be
 infinitely far. In a group without repeats the floors reject a text for repeated words alone or for repeated lines alone above
 a share of 19 % (``CUTOFF`` times the floor's square).
@@ -48,7 +48,8 @@ FEW = 64
 FINE, STEP = 128.0, 128.0  # bins for a unit of a feature, and for a doubling of a distance
 
 
-LEAST = 1e-9  # what a step has to take off the logarithm of the determinant
+LEAST = 1e-6  # what a step has to take off the logarithm of the determinant
+TRIED, TASKS = 2, 8  # steps from each start; tasks that write parameters
 
 
 def consistency(half: float = HALF) -> float:
@@ -200,19 +201,29 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     return _with_scatter(new, lambda i, j: F.col(f"v{i}{j}") * c + (FLOORS[i] ** 2 if i == j else 0.0)).select(*SHAPE)
 
 
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``params`` after a step of the rows that still move; ``moves`` says whether it lowered the determinant."""
+    new = _concentrate(rows, params.where("moves").drop("moves")).select(F.struct(*SHAPE).alias("new"))
+    both = params.join(new, (F.col("g") == F.col("new.g")) & (F.col("start") == F.col("new.start")), "left")
+    lower = F.coalesce(F.col("new.log_det") < F.col("log_det") - LEAST, F.lit(False))
+    told = both.select(*KEYS, *[F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in SHAPE[2:]], lower.alias("moves"))
+    return materialize(told.coalesce(TASKS), "mcd")  # a row for each group and start
+
+
 def estimate(rows: DataFrame) -> DataFrame:
     """g and its centre and scatter. ``rows``: g, x0, x1, ...
 
-    Each step that is taken lowers a determinant that the floors bound from below, so steps end.
+    ``TRIED`` steps from each start; of each group the start with the least determinant then goes on until no step lowers it. Each
+    step that is taken lowers a determinant that the floors bound from below, so steps end.
     """
-    params = materialize(_starts(rows).withColumn("moves", F.lit(True)), "mcd")
-    while params.where("moves").limit(1).count():
-        new = _concentrate(rows, params.where("moves").drop("moves")).select(F.struct(*SHAPE).alias("new"))
-        both = params.join(new, (F.col("g") == F.col("new.g")) & (F.col("start") == F.col("new.start")), "left")
-        lower = F.coalesce(F.col("new.log_det") < F.col("log_det") - LEAST, F.lit(False))
-        params = materialize(both.select(*KEYS, *[F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in SHAPE[2:]], lower.alias("moves")), "mcd")
+    params = materialize(_starts(rows).withColumn("moves", F.lit(True)).coalesce(TASKS), "mcd")
+    for _ in range(TRIED):
+        params = _step(rows, params)
     best = Window.partitionBy("g").orderBy("log_det", "start")
-    return params.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "start", "moves")
+    params = materialize(params.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n").coalesce(TASKS), "mcd")
+    while params.where("moves").limit(1).count():
+        params = _step(rows, params)
+    return params.drop("start", "moves")
 
 
 def rules(docs: DataFrame) -> DataFrame:

@@ -263,19 +263,20 @@ def mcd_by_hand(x):
     u = z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
     every = np.cov(x.T, bias=True) + np.diag(floors**2)
     starts = [(m, np.diag(s**2)), (m, np.eye(p)), (x.mean(axis=0), every), (m, (u.T @ u / len(x) + 1e-6 * np.eye(p)) * np.outer(s, s))]
-    ends = []
-    for c, v in starts:
-        det = np.inf
-        while True:
+
+    def steps(c, v, det, most):
+        for _ in range(most):
             at = np.floor(np.log2(squared(c, v) + 1e-9) * 128)
             near = x[at <= np.sort(at)[int(np.ceil(len(x) * 0.5)) - 1]]
             c2, v2 = near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency() + np.diag(floors**2)
             new = np.linalg.slogdet(v2)[1]
-            if not new < det - 1e-9:
-                break
+            if not new < det - 1e-6:
+                return det, c, v, False
             c, v, det = c2, v2, new
-        ends.append((det, c, v))
-    return min(ends, key=lambda e: e[0])
+        return det, c, v, True
+
+    tried = min((steps(c, v, np.inf, 2) for c, v in starts), key=lambda e: e[0])
+    return steps(tried[1], tried[2], tried[0], 10_000)[:3] if tried[3] else tried[:3]
 
 
 def clustered(n, rng):
