@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, lines, mixing, pieces, quality, sharding, simhash, substrings, winnow
+from . import ann, chat, langid, lines, mixing, negatives, pieces, quality, sharding, simhash, substrings, winnow
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op13_winnowing": winnow.op13_winnowing,
 }
-ORACLES = {"op1_sharding": sharding.ORACLE, "op4_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
+ORACLES = {"op1_sharding": sharding.ORACLE, "op4_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE, "op11_hard_negatives": negatives.ORACLE}
