@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, lines, mixing, negatives, pieces, quality, sharding, simhash, substrings, winnow
+from . import ann, chat, langid, lexical, lines, mixing, negatives, pieces, quality, sharding, simhash, substrings, winnow
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_lexical_search": lexical.op12_lexical_search,
     "op13_winnowing": winnow.op13_winnowing,
 }
-ORACLES = {"op1_sharding": sharding.ORACLE, "op4_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE, "op11_hard_negatives": negatives.ORACLE}
+ORACLES = {"op1_sharding": sharding.ORACLE, "op4_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_lexical_search": lexical.ORACLE}
