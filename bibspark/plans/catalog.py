@@ -9,7 +9,7 @@ from bibspark.functions import jsonx, months, scanner
 from bibspark.functions import text as tx
 from bibspark.operators import dedupe, enrich, parse, refs, render
 from bibspark.plans import corpus
-from bibspark.plans.corpus import BIB, ESCAPED, FILES, LIBRARIES, LIBRARY, REFS, SIGNED, fold, table
+from bibspark.plans.corpus import BIB, ESCAPED, FILES, LIBRARIES, LIBRARY, REFS, SIGNED, UNSEEN, UNSEEN_NOTE, fold, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,7 +52,7 @@ def parse_skip_constructs(spark, sf_dir):
     return _numbers(rows.select("source_path", F.size("parsed.entries").alias("entries"), F.size("parsed.errors").alias("errors")))
 
 
-@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, title, year, month, 'n' || CAST(doc_id AS VARCHAR) AS note FROM bib")
+@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, title, CASE WHEN NOT {UNSEEN} THEN year END AS year, CASE WHEN NOT {UNSEEN} THEN month END AS month, CASE WHEN NOT {UNSEEN_NOTE} THEN 'n' || CAST(doc_id AS VARCHAR) END AS note FROM bib")
 def extract_fields(spark, sf_dir):
     return _numbers(parse.fields(_entries(spark, sf_dir), "title", "year", "month", "note", "doi").where("doi IS NULL").select("source_path", "ord", "title", "year", "month", "note"))
 
@@ -179,7 +179,7 @@ def month_from_iso(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", months.iso_month(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("name"))
 
 
-@query(f"""WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, ['Jan.', 'Feb.', 'Mar.', 'Apr.', 'May', 'Jun.', 'Sep.', 'Mar.', '13', 'Dec.'][CAST(doc_id % 10 + 1 AS INT)] AS month, title FROM bib""")
+@query(f"""WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, CASE WHEN NOT {UNSEEN} THEN ['Jan.', 'Feb.', 'Mar.', 'Apr.', 'May', 'Jun.', 'Sep.', 'Mar.', '13', 'Dec.'][CAST(doc_id % 10 + 1 AS INT)] END AS month, title FROM bib""")
 def month_rewrite(spark, sf_dir):
     rows = dedupe.normalize_months(_entries(spark, sf_dir), "ABBREV_DOT")
     return _numbers(parse.fields(rows, "month", "title").select("source_path", "ord", "month", "title"))

@@ -3,11 +3,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from tables import DATA, tables
 
 ROOT = Path(__file__).parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -25,9 +25,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    import duckdb
-
-    con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
-    return con
+    return tables(DATA)

@@ -1,12 +1,14 @@
-"""Every query against its SQL, on the smallest tables."""
+"""Every query against its SQL, on the smallest tables; those over texts also on the next ones, whose texts hold more odd cases."""
 
 import math
 
 import pytest
+from tables import DATA, tables
 
 from bibspark.plans import catalog
 
-DATA = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
+TEXTS = ["extract_fields", "parse_all_fields", "month_rewrite", "display_key", "escape_bibtex"]
 
 
 def rows(cols, values):
@@ -15,14 +17,23 @@ def rows(cols, values):
     return sorted((tuple(plain(v[i]) for i in order) for v in values), key=repr)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
-def test_query(spark, duck, name):
-    got = catalog.QUERIES[name](spark, DATA)
+def compared(spark, duck, name, data):
+    got = catalog.QUERIES[name](spark, data)
     want = duck.execute(catalog.ORACLES[name])
     cols = [d[0] for d in want.description]
     assert sorted(cols) == sorted(got.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(cols, want.fetchall())
 
 
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_query(spark, duck, name):
+    compared(spark, duck, name, DATA)
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_query_over_more_texts(spark, name):
+    compared(spark, tables(LARGER), name, LARGER)
+
+
 def test_each_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
