@@ -4,24 +4,34 @@ An entry goes if an entry that was kept has its key, or else its title signature
 greedy choice along the order and no window function. ``scope="source"`` looks for duplicates within each source,
 ``scope="corpus"`` over all of them.
 
-Rounds of local minima make the choice without an order: of the undecided entries, those that are first both of their key
-and of their signature stay, and their neighbours go. A round is plain aggregates (combined map-side, so that a key of very
-many entries is a row for each task) and joins, written once; only what is still open goes into the next. Sources of at most
-``FINISH`` entries, and what rounds leave open once that is no more, are folded in order, as arrays of small rows (key and a
-hash of the signature, no texts). So no task gets more than that, whatever a source holds, and both ways give the same.
+Small groups, of at most ``FINISH`` entries, are folded in order, as arrays of small rows (key and a hash of the signature, no
+texts); all others are decided without an order, by rounds over the entries that are still open:
+
+* Those that are first both of their key and of their signature stay, and all others of these keys and signatures go. That is
+  plain aggregates (combined map-side, so that a key of very many entries is a row for each task) and joins.
+* Where that decides less than half, entries hang together in chains. An entry that only one open entry stands before (being the
+  second of its key, or of its signature, or both, and the first otherwise) stays if and only if that one goes. These links
+  make trees, whose entries find their roots by pointer jumping: a chain of n entries takes about log2(n) joins, not n / 2 rounds. A
+  root that stays decides its tree. Of any other root it is known which entries of its tree go together, so that the first two of
+  a key that are opposites of each other take it, whatever the root does: all later ones go.
+
+What is open falls in each round, as its first entry is decided; only entries with two open ones before them, which have two more
+each, and so on, make a number of rounds that grows. When at most ``FINISH`` are open, these are folded. No task ever folds more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions.text import title_signature
 from bibspark.operators import parse
-from bibspark.storage import materialize
+from bibspark.storage import materialize, scratch
 
-FINISH = 100_000
+FINISH = 1000
 KEY, TITLE = "KEY_DUPLICATE", "TITLE_DUPLICATE"
 #: A reason that the order of the tests never gives: equal titles are found before equal titles and years.
 TITLE_YEAR = "TITLE_YEAR_DUPLICATE"
@@ -76,20 +86,73 @@ def _round(rows: DataFrame) -> DataFrame:
     return told.where(~goes).select("group", "at", "key", "signature", "stays")
 
 
+def _links(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` (group, at, key, signature) and before_key, before_title: the entry before, for the second of a key or of
+    a signature; later_key, later_title: whether two or more stand before."""
+
+    def ranked(rows: DataFrame, by: str) -> DataFrame:
+        order = Window.partitionBy("group", by).orderBy("at")
+        # the first two of a key are all that is sent on from any task
+        two = rows.where(F.col(by).isNotNull()).select("group", by, "at", F.row_number().over(order).alias("n")).where("n <= 2")
+        return two.groupBy("group", by).agg(F.min("at").alias("one"), F.when(F.count(F.lit(1)) == 2, F.max("at")).alias("two"))
+
+    for by, name in (("key", "key"), ("signature", "title")):
+        rows = rows.join(ranked(rows, by), ["group", by], "left")
+        rows = rows.withColumn(f"before_{name}", F.when(F.col("at") == F.col("two"), F.col("one"))).withColumn(f"later_{name}", F.coalesce(F.col("at") > F.col("two"), F.lit(False))).drop("one", "two")
+    return rows
+
+
+def _rooted(linked: DataFrame) -> DataFrame:
+    """group, at, root, flips (whether it does the opposite of its root) of each linked entry (group, at, root: the entry before)."""
+    now = linked.withColumn("flips", F.lit(True))
+    while True:
+        up = now.select("group", F.col("at").alias("root"), F.col("root").alias("next"), F.col("flips").alias("more"))
+        met = now.join(up, ["group", "root"], "left")
+        new = met.select("group", "at", F.coalesce("next", "root").alias("root"), (F.col("flips") != F.coalesce("more", F.lit(False))).alias("flips"), F.col("next").isNotNull().alias("moved"))
+        new = materialize(new, "dedupe-roots")
+        now = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return now
+
+
+def _by_chains(rows: DataFrame) -> DataFrame:
+    """Like ``_round``, for entries in chains."""
+    alone, by_key, by_title = ~F.col("later_key") & ~F.col("later_title"), F.col("before_key"), F.col("before_title")
+    before = F.when(alone & by_title.isNull(), by_key).when(alone & (by_key.isNull() | (by_key == by_title)), by_title)
+    rows = _links(rows).select("group", "at", "key", "signature", before.alias("root"), (alone & by_key.isNull() & by_title.isNull()).alias("sure"))
+    rows = materialize(rows, "dedupe-links")
+    roots = _rooted(rows.select("group", "at", "root").where("root IS NOT NULL"))
+    # a root that nothing stands before stays
+    roots = roots.join(rows.select("group", F.col("at").alias("root"), F.col("sure").alias("known")), ["group", "root"])
+    told = rows.drop("root").join(roots, ["group", "at"], "left")
+    told = told.select("group", "at", "key", "signature", F.coalesce("root", "at").alias("root"), F.coalesce("flips", F.lit(False)).alias("flips"), F.coalesce("known", "sure").alias("sure"))
+    told = materialize(told.withColumn("stays", F.col("sure") & ~F.col("flips")), "dedupe-told")
+    taken = told.where("stays")
+    for by in ("key", "signature"):
+        have = told.where(F.col(by).isNotNull())
+        # opposites: one of them stays, so what comes after both goes
+        each = have.groupBy("group", by, "root").agg(F.min(F.when(F.col("flips"), F.col("at"))).alias("odd"), F.min(F.when(~F.col("flips"), F.col("at"))).alias("even"))
+        both = each.where("odd IS NOT NULL AND even IS NOT NULL").groupBy("group", by).agg(F.min(F.greatest("odd", "even")).alias("until"))
+        mine = taken.where(F.col(by).isNotNull()).select("group", by, F.lit(True).alias("met")).distinct()
+        told = told.join(both, ["group", by], "left").join(mine, ["group", by], "left")
+        told = told.withColumn(f"out_{by}", F.coalesce("met", F.lit(False)) | F.coalesce(F.col("at") > F.col("until"), F.lit(False))).drop("until", "met")
+    return told.where(F.col("stays") | ~(F.col("out_key") | F.col("out_signature"))).select("group", "at", "key", "signature", "stays")
+
+
 def _by_rounds(rows: DataFrame, finish: int) -> DataFrame:
     """group, at, kept_key, reason by rounds."""
-    open_, kept = rows, []
-    while open_.limit(finish + 1).count() > finish:
-        now = materialize(_round(open_), "dedupe-round")
-        kept.append(now.where("stays").drop("stays"))
-        open_ = now.where("NOT stays").drop("stays")
-    # what is open has no neighbour that stays, so the fold needs nothing but itself
-    last = _folded(open_).where("reason IS NULL").select("group", "at")
-    kept.append(open_.join(last, ["group", "at"], "left_semi"))
-    stay = kept[0]
-    for more in kept[1:]:
-        stay = stay.unionByName(more)
-    stay = materialize(stay, "dedupe-kept")
+    with scratch() as keep:
+        open_, kept, left, chains = rows, [], rows.count(), False
+        while left > finish:
+            now = materialize((_by_chains if chains else _round)(open_), "dedupe-round")
+            kept.append(now.where("stays").drop("stays"))
+            open_, before = now.where("NOT stays").drop("stays"), left
+            left = open_.count()
+            chains = left > before // 2
+        # what is open has no neighbour that stays, so the fold needs nothing but itself
+        last = _folded(open_).where("reason IS NULL").select("group", "at")
+        kept.append(open_.join(last, ["group", "at"], "left_semi"))
+        stay = keep(reduce(DataFrame.unionByName, kept), "dedupe-kept")
     by_key = stay.select("group", "key", F.col("at").alias("key_at"))
     by_title = stay.where("signature IS NOT NULL").select("group", "signature", F.col("key").alias("owner"))
     told = rows.join(by_key, ["group", "key"], "left").join(by_title, ["group", "signature"], "left")

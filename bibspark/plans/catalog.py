@@ -97,7 +97,8 @@ def dedupe_smart(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {fold("'all'", LIBRARY)} SELECT s.source AS source_path, CAST(fold.place AS BIGINT) AS ord, fold.key, fold.kept_key, fold.reason FROM fold JOIN s USING (doc_id)")
 def dedupe_smart_corpus(spark, sf_dir):
-    return _numbers(dedupe.judged(_library(spark, sf_dir), scope="corpus").select("source_path", "ord", "key", "kept_key", "reason"))
+    """By rounds, but for the last hundred."""
+    return _numbers(dedupe.judged(_library(spark, sf_dir), scope="corpus", finish=100).select("source_path", "ord", "key", "kept_key", "reason"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS ord, p_brand || CAST(p_size % 7 AS VARCHAR) AS key, CASE WHEN length(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')) >= 10 THEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') END AS sig FROM part),
@@ -110,10 +111,19 @@ def dedupe_rounds_on_part(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     least = part.agg(F.min("p_partkey").alias("m"))
     rows = part.crossJoin(F.broadcast(least)).select(F.lit("part").alias("source_path"), (F.col("p_partkey") - F.col("m")).cast("int").alias("ord"), F.concat("p_brand", (F.col("p_size") % 7).cast("string")).alias("key"), F.concat(F.lit("@misc{k, title={"), "p_name", F.lit("}}")).alias("raw"))
-    told = dedupe.judged(rows, scope="corpus")
+    told = dedupe.judged(rows, scope="corpus", finish=100)
     return told.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("kept"), F.sum(F.when(F.col("reason").isNull(), F.col("ord"))).alias("places"))
 
 
+@query("SELECT o_orderkey AS ord, 'c' || CAST((o_orderkey + 1) // 2 AS VARCHAR) AS key, CASE WHEN o_orderkey % 2 = 1 THEN 'c' || CAST(o_orderkey // 2 AS VARCHAR) END AS kept_key, CASE WHEN o_orderkey % 2 = 1 THEN 'TITLE_DUPLICATE' END AS reason FROM orders")
+def dedupe_chain_on_orders(spark, sf_dir):
+    """One chain of all orders: each meets the one before, by key or by title, so that every second stays."""
+    number = F.col("o_orderkey")
+    raw = F.concat(F.lit("@misc{k, title={Chained order number "), F.expr("CAST(o_orderkey DIV 2 AS STRING)"), F.lit("}}"))
+    rows = table(spark, sf_dir, "orders").select(F.lit("orders").alias("source_path"), number.cast("int").alias("ord"), F.concat(F.lit("c"), F.expr("CAST((o_orderkey + 1) DIV 2 AS STRING)")).alias("key"), raw.alias("raw"))
+    return _numbers(dedupe.judged(rows, scope="corpus").select("ord", "key", "kept_key", "reason"))
+
+
 @query(f"WITH RECURSIVE {LIBRARIES} SELECT source_path, CAST(place AS BIGINT) AS ord, key AS dropped_key, kept_key, reason FROM fold WHERE reason IS NOT NULL")
 def duplicates_log(spark, sf_dir):
     return _numbers(dedupe.duplicates(_library(spark, sf_dir)))

@@ -58,12 +58,16 @@ def scratch(source: DataFrame | None = None) -> Iterator[Callable[[DataFrame, st
         kept.add(_written[-1][1])
         return out
 
-    yield keep
-    over = [item for item in _written[start:] if item[1] not in kept and item[1] not in _own.values()]
-    over += [item for item in _written[:start] if source is not None and item[1] == vars(source).get("written_to")]
-    for item in over:
-        delete(*item)
-        _written.remove(item)
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:  # of what failed nothing is kept
+        over = [item for item in _written[start:] if not (done and item[1] in kept) and item[1] not in _own.values()]
+        over += [item for item in _written[:start] if done and source is not None and item[1] == vars(source).get("written_to")]
+        for item in over:
+            delete(*item)
+            _written.remove(item)
 
 
 @atexit.register

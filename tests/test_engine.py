@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -103,6 +104,56 @@ def test_rounds_equal_the_fold(spark, finish):
     assert all((r["reason"] is None) == (first[r["key"]] == (r["source_path"], r["ord"])) for r in told) and len(told) == len(rows)
 
 
+def _chain(spark, n):
+    """Each entry meets the one before, by key or by title."""
+    raw = F.concat(F.lit("@m{x, title={chained title number "), (F.col("id") / 2).cast("long").cast("string"), F.lit("}}"))
+    key = F.concat(F.lit("c"), ((F.col("id") + 1) / 2).cast("long").cast("string"))
+    return spark.range(n).select(F.lit("s").alias("source_path"), F.col("id").cast("int").alias("ord"), key.alias("key"), raw.alias("raw"))
+
+
+@pytest.mark.parametrize("n", [3000, 100_000])
+def test_chains_take_a_logarithm_of_jobs(spark, monkeypatch, n):
+    from bibspark import storage
+
+    written = []
+    real = dedupe.materialize
+    monkeypatch.setattr(dedupe, "materialize", lambda df, name="t": written.append(name) or real(df, name))
+    before, tables = storage._written[:], len(storage._written)
+    for scope in ("corpus", "source"):
+        written.clear()
+        told = dedupe.judged(_chain(spark, n), scope=scope, finish=1000)
+        # all but every second go
+        got = told.groupBy((F.col("ord") % 2).alias("odd"), F.col("reason").isNull().alias("stays")).count().collect()
+        assert sorted(tuple(r) for r in got) == [(0, True, n // 2), (1, False, n // 2)]
+        assert len(written) <= 10 + math.ceil(math.log2(n))
+    left = storage._written[tables:]
+    assert storage._written[:tables] == before and len(left) == 6 and not any("round" in p or "roots" in p or "links" in p for _, p in left)
+
+
+def test_tangles_equal_the_fold(spark):
+    """Few keys and titles, so that nearly all entries hang together, in chains and in knots; also titles that only one has."""
+    for seed, keys, titles in ((1, 60, 60), (2, 250, 250), (3, 3, 300), (4, 300, 2), (5, 500, 140)):
+        rng = random.Random(seed)
+        rows = [("s", i, f"k{rng.randrange(keys)}", f"@m{{x, title={{some long title {rng.randrange(titles)}}}}}" if rng.random() < 0.9 else "@m{x, title={t}}") for i in range(600)]
+        # two long chains, crossed
+        rows += [("s", 600 + i, f"c{(i + 1) // 2}", f"@m{{x, title={{chained title number {i // 2}}}}}") for i in range(120)]
+        rows += [("s", 720 + i, f"c{i}", f"@m{{x, title={{chained title number {119 - i}}}}}") for i in range(120)]
+        entries = spark.createDataFrame(rows, "source_path string, ord int, key string, raw string")
+        told = lambda finish: sorted(tuple(r) for r in dedupe.judged(entries, finish=finish).select("ord", "kept_key", F.coalesce("reason", F.lit(""))).collect())
+        assert told(2) == told(10_000)
+
+
+def test_tables_of_a_failed_stage_are_deleted(spark):
+    from bibspark import storage
+
+    start = len(storage._written)
+    with pytest.raises(ZeroDivisionError), storage.scratch() as keep:
+        keep(spark.range(3), "kept")
+        storage.materialize(spark.range(3), "lost")
+        raise ZeroDivisionError
+    assert len(storage._written) == start
+
+
 def test_sorting_is_by_key(spark):
     e = parse.entries(bib.inline(spark, [("b", "@x{c,d=1}@x{a,d=1}@x{b,d=1}"), ("a", "@x{z,d=1}@x{y,d=1}")]))
     assert [(r["source_path"], r["key"]) for r in dedupe.unique(e, sort_by_key=True).collect()] == [("a", "y"), ("a", "z"), ("b", "a"), ("b", "b"), ("b", "c")]
