@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import jsonx, months, scanner
 from bibspark.functions import text as tx
-from bibspark.operators import dedupe, enrich, parse, refs, render
+from bibspark.operators import dedupe, enrich, parse, refs, render, splits
 from bibspark.plans import corpus
 from bibspark.plans.corpus import BIB, ESCAPED, FILES, LIBRARIES, LIBRARY, REFS, SIGNED, UNSEEN, UNSEEN_NOTE, fold, table
 
@@ -500,6 +500,24 @@ _OUT = f"""{FILES}, {_COUNTS}, out AS (SELECT c.source_path, '% Total entries pa
   || '% ' || repeat('=', 50) || chr(10) || chr(10) || (SELECT string_agg({_RAW.replace("key", "b.key").replace("title ||", "b.title ||").replace("year ||", "b.year ||").replace("doc_id", "b.doc_id")} || chr(10) || chr(10), '' ORDER BY b.ord) FROM bib b JOIN fold f ON f.source_path = b.source_path AND f.ord = b.ord WHERE f.reason IS NULL AND b.source_path = c.source_path) AS output FROM c)"""
 
 
+#: All records as one file, with places in UTF-16 units.
+_FILE = rf"""{BIB}, t AS (SELECT *, {_RAW} AS raw, CASE WHEN doc_id % 17 = 0 THEN 26 ELSE 0 END AS skipped, CASE WHEN doc_id % 23 = 0 THEN 8 ELSE 0 END AS bad FROM bib),
+f AS (SELECT *, skipped + bad + length(raw) + length(regexp_replace(raw, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) + 2 AS units FROM t)"""
+
+
+@query(f"WITH {_FILE} SELECT 'library' AS source_path, row_number() OVER (ORDER BY doc_id) - 1 AS ord, 'article' AS type, key, md5(raw) AS raw FROM f")
+def parse_one_file(spark, sf_dir):
+    """A file of all records, read in pieces."""
+    entries, _ = splits.parsed(corpus.bib_pieces(spark, sf_dir))
+    return _numbers(entries.withColumn("raw", F.md5(F.col("raw").cast("binary"))))
+
+
+@query(f"""WITH {_FILE}, s AS (SELECT doc_id, bad, CAST(sum(units) OVER (ORDER BY doc_id) - units + skipped AS BIGINT) AS start FROM f)
+SELECT 'library' AS source_path, row_number() OVER (ORDER BY doc_id) - 1 AS ord, 'NO_KEY' AS code, start, 'misc' AS type, 'Entry without key at index ' || start || ' (@misc)' AS message FROM s WHERE bad > 0""")
+def parse_one_file_errors(spark, sf_dir):
+    return _numbers(splits.parsed(corpus.bib_pieces(spark, sf_dir))[1])
+
+
 def _output(spark, sf_dir):
     sources = corpus.bib_sources(spark, sf_dir)
     return render.processed_output(dedupe.summary(sources), dedupe.unique(parse.entries(sources)))

@@ -46,14 +46,27 @@ def library(rows: DataFrame) -> DataFrame:
     return rows.withColumn("source_path", F.regexp_replace("source_path", r"/\d+$", ""))
 
 
-def bib_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_path, content. Some records follow a construct that is none, or an entry without a key."""
-    rows = bib_rows(spark, sf_dir)
+def bib_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bib_rows`` with text, the record. Some follow a construct that is none, or an entry without a key."""
     month = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('{', month, '}') WHEN 1 THEN concat('\"', month, '\"') ELSE month END")
     before = F.expr(r"concat(CASE WHEN doc_id % 17 = 0 THEN '@comment{no record, here}\n' ELSE '' END, CASE WHEN doc_id % 23 = 0 THEN '@misc()\n' ELSE '' END)")
     text = F.concat(before, F.lit("@Article{"), "key", F.lit(",\n  title = {"), "title", F.lit("},\n  year = {"), "year", F.lit("},\n  month = "), month, F.lit(",\n  note = {n"), F.col("doc_id").cast("string"), F.lit("}\n}"))
-    blocks = F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))), lambda r: r["t"])
-    return rows.groupBy("source_path").agg(F.array_join(blocks, "\n\n").alias("content"))
+    return bib_rows(spark, sf_dir).withColumn("text", text)
+
+
+def bib_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_path, content: the files."""
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"])
+    return bib_texts(spark, sf_dir).groupBy("source_path").agg(F.array_join(blocks, "\n\n").alias("content"))
+
+
+def bib_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_path, at, content: all records as one file, in pieces of about sixteen that are cut within a record."""
+    half = F.expr("CAST(length(text) DIV 2 AS INT)")
+    halves = F.array(F.left("text", half), F.concat(F.substring(F.col("text"), half + 1, F.length("text")), F.lit("\n\n")))
+    rows = bib_texts(spark, sf_dir).select("doc_id", F.posexplode(halves).alias("pos", "half")).withColumn("number", 2 * F.col("doc_id") + F.col("pos"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("number", "half"))), lambda r: r["half"])
+    return rows.groupBy(F.expr("(number + 1) DIV 32").alias("at")).agg(F.array_join(parts, "").alias("content")).select(F.lit("library").alias("source_path"), "at", "content")
 
 
 ESCAPED = r"""trim(regexp_replace(regexp_replace(coalesce(text, ''), '(["\\{}])', '\\\1', 'g'), '[\s\x0B]+', ' ', 'g'))"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,35 @@ def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str]]) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("source"), b.column("lookup_kind"), b.column("lookup_key"), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], ["source", "lookup_kind", "lookup_key", "status", "body"])
 
     return requests.select("source", "lookup_kind", "lookup_key", "url").mapInArrow(run, RESPONSE)
+
+
+def _pieces(batches, size: int):
+    """Lines of files' blocks, in order, as pieces: of one block each, of about ``size`` characters."""
+    now, lines, n, k = None, [], 0, 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1] + k], pa.int64()), pa.array(["".join(lines)])], ["source_path", "at", "content"])
+
+    for batch in batches:
+        for path, start, line in zip(*(batch.column(c).to_pylist() for c in ("source_path", "block", "line"))):
+            if now is not None and (now != (path, start) or n >= size):
+                yield out()
+                k, lines, n = (k + 1 if now == (path, start) else 0), [], 0
+            now = (path, start)
+            for at in range(0, len(line) + 1, size):  # a line may be longer than a piece
+                if n and at:
+                    yield out()
+                    k, lines, n = k + 1, [], 0
+                lines.append(line[at : at + size])
+                n += len(lines[-1])
+            lines.append("\n")
+            n += 1
+    if now is not None:
+        yield out()
+
+
+def read_pieces(spark: SparkSession, path: str | list[str], suffix: str = ".bib", size: int = 1 << 22) -> DataFrame:
+    """source_path, at, content: files of any size in pieces (``operators.splits``). Spark reads a file in byte ranges that begin and
+    end with lines; ``at`` is the range's first byte and the piece's number in it. A line break is added at a file's end."""
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return lines.where(F.endswith(F.lower("source_path"), F.lit(suffix))).mapInArrow(partial(_pieces, size=size), "source_path string, at long, content string")
