@@ -2,6 +2,8 @@ r"""Reading values from the JSON of catalogues by first textual occurrence, and
 
 This is no JSON parser, on purpose: a key counts wherever it first stands in the text, at any depth and in any case. First
 the first string of an array is looked for in the whole text, then a string, then an unsigned integer.
+
+The decoders read a body's keys once (``index``), in one scan for the keys and one for each kind of value, and look all fields up.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import found
+from .chars import found, let
 from .months import iso_month, month_name
 from .scanner import item_of
 from .text import invert_name, strip_doi_url
@@ -31,6 +33,33 @@ def json_value(json: Column, key: str) -> Column:
     return F.coalesce(unescape(found(json, at + r"\[\s*" + STRING)), unescape(found(json, at + STRING)), found(json, at + "([0-9]+)"))
 
 
+#: A key, and a value of one of the three kinds behind it. Only the key is passed over, so that none is missed behind an odd value.
+_PAIR = rf'"([^"\\]*)"\s*:\s*(?=(?:\[\s*({STRING})|({STRING})|([0-9]+))?)'
+_KINDS = {"array": 2, "string": 4, "number": 6}  # groups
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def index(json: Column) -> Column:
+    """For each kind of value the keys that have one, in lower case, in order (null for other keys), and the values."""
+    get = lambda g: F.regexp_extract_all(json, F.lit(_PAIR), F.lit(g))
+
+    def by_kind(keys: Column) -> Column:
+        parts = []
+        for name, group in _KINDS.items():
+            values = get(group)  # in quotes, so that an empty string isn't none
+            parts += [F.zip_with(keys, values, lambda k, v: F.when(v != "", k)).alias(f"{name}_keys"), values.alias(name)]
+        return F.struct(*parts)
+
+    return let(F.transform(get(1), lambda k: F.translate(k, _UPPER, _LOWER)), by_kind)
+
+
+def indexed(index: Column, key: str) -> Column:
+    """What ``json_value`` gives of the text."""
+    at = lambda kind: F.get(index[kind], (F.array_position(index[f"{kind}_keys"], key.translate(str.maketrans(_UPPER, _LOWER))) - 1).cast("int"))
+    plain = lambda v: unescape(F.substring(v, F.lit(2), F.length(v) - 2))
+    return F.coalesce(plain(at("array")), plain(at("string")), at("number"))
+
+
 def nested_value(json: Column, parent: str, key: str) -> Column:
     """A key of the first object of name ``parent``, up to that object's first closing brace."""
     return json_value(found(json, rf'"\Q{parent}\E"\s*:\s*\{{([^}}]+)\}}'), key)
@@ -83,22 +112,34 @@ def _candidate(**values: Column) -> Column:
 
 def decode_crossref(json: Column) -> Column:
     year, month = crossref_date(json)
-    v = lambda k: json_value(json, k)
-    return _candidate(source=F.lit("CrossRef"), title=v("title"), doi=v("DOI"), type=v("type"), container_title=v("container-title"), volume=v("volume"), issue=v("issue"), pages=v("page"), publisher=v("publisher"), authors=crossref_authors(json), year=year, month=month, issn=v("ISSN"), isbn=v("ISBN"), url=v("URL"))
+
+    def told(ix: Column) -> Column:
+        v = lambda k: indexed(ix, k)
+        return _candidate(source=F.lit("CrossRef"), title=v("title"), doi=v("DOI"), type=v("type"), container_title=v("container-title"), volume=v("volume"), issue=v("issue"), pages=v("page"), publisher=v("publisher"), authors=crossref_authors(json), year=year, month=month, issn=v("ISSN"), isbn=v("ISBN"), url=v("URL"))
+
+    return let(index(json), told)
 
 
 def decode_s2(json: Column) -> Column:
     journal = F.contains(json, F.lit('"journal"'))
     in_journal = lambda k: F.when(journal, nested_value(json, "journal", k))
-    return _candidate(source=F.lit("Semantic Scholar"), title=json_value(json, "title"), doi=found(json, r'"DOI"\s*:\s*"([^"]+)"'), container_title=F.coalesce(in_journal("name"), json_value(json, "venue")), volume=in_journal("volume"), pages=in_journal("pages"), authors=s2_authors(json), year=json_value(json, "year"), month=iso_month(json_value(json, "publicationDate")))
+
+    def told(ix: Column) -> Column:
+        v = lambda k: indexed(ix, k)
+        return _candidate(source=F.lit("Semantic Scholar"), title=v("title"), doi=found(json, r'"DOI"\s*:\s*"([^"]+)"'), container_title=F.coalesce(in_journal("name"), v("venue")), volume=in_journal("volume"), pages=in_journal("pages"), authors=s2_authors(json), year=v("year"), month=iso_month(v("publicationDate")))
+
+    return let(index(json), told)
 
 
 def decode_openalex(json: Column) -> Column:
-    v = lambda k: json_value(json, k)
-    date = v("publication_date")
     place = F.when(F.contains(json, F.lit('"primary_location"')), nested_value(json, "source", "display_name"))
-    pages = F.concat_ws("-", v("first_page"), v("last_page"))
-    return _candidate(source=F.lit("OpenAlex"), title=v("title"), doi=strip_doi_url(v("doi")), type=v("type"), container_title=place, volume=v("volume"), issue=v("issue"), pages=F.when(v("first_page").isNotNull(), pages), authors=openalex_authors(json), year=F.when(F.length(date) >= 4, F.left(date, F.lit(4))), month=iso_month(date))
+
+    def told(ix: Column) -> Column:
+        v = lambda k: indexed(ix, k)
+        date, pages = v("publication_date"), F.concat_ws("-", v("first_page"), v("last_page"))
+        return _candidate(source=F.lit("OpenAlex"), title=v("title"), doi=strip_doi_url(v("doi")), type=v("type"), container_title=place, volume=v("volume"), issue=v("issue"), pages=F.when(v("first_page").isNotNull(), pages), authors=openalex_authors(json), year=F.when(F.length(date) >= 4, F.left(date, F.lit(4))), month=iso_month(date))
+
+    return let(index(json), told)
 
 
 DECODERS = {"CrossRef": decode_crossref, "Semantic Scholar": decode_s2, "OpenAlex": decode_openalex}

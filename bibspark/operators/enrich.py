@@ -1,8 +1,9 @@
 """Looking entries up in a snapshot of catalogue responses, choosing and merging candidates, and rewriting entries.
 
 The cascade (DOI; else title; else author and year) is one join: each entry gives a row for each way that it may be looked
-up, and of the rows that hit, those of the first way count. Candidates of an entry are few (one for each catalogue), so
-they are merged as an array.
+up, and of the rows that hit, those of the first way count. Of a snapshot only the responses that some entry asks for are decoded
+(``wanted``); if it is bucketed by what is looked up (``sources.bib.write_snapshot``), they are found without moving it. Candidates
+of an entry are few (one for each catalogue), so they are merged as an array.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from bibspark.functions import jsonx, months, scanner
 from bibspark.functions.chars import let, some
 from bibspark.functions.text import author_year_key, clean_title, compare_form, entry_type, plausible_authors
 from bibspark.operators.render import rebuild_entry
+from bibspark.storage import materialize
 
 MODES = ("SAFE", "AGGRESSIVE_DOI_ONLY")
 SOURCES = ("CrossRef", "Semantic Scholar", "OpenAlex")
@@ -65,14 +67,30 @@ def _rank(source: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SOURCES)), source)
 
 
-def cascade(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """source_path, ord, strategy, source, candidate: the hits of the first strategy that has any."""
-    hits = lookups(rows).join(found, ["lookup_kind", "lookup_key"])
+def _first_hits(asked: DataFrame, found: DataFrame) -> DataFrame:
+    hits = asked.join(found, ["lookup_kind", "lookup_key"])
     hits = hits.where((F.col("lookup_kind") != "author_year") | (F.col("source") == "CrossRef"))
     first = F.min("strategy").over(Window.partitionBy("source_path", "ord"))
     return hits.withColumn("__first", first).where(F.col("strategy") == F.col("__first")).select("source_path", "ord", "strategy", "source", "candidate")
 
 
+def cascade(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """source_path, ord, strategy, source, candidate: the hits of the first strategy that has any."""
+    return _first_hits(lookups(rows), found)
+
+
+def wanted(responses: DataFrame, asked: DataFrame) -> DataFrame:
+    """The responses that ``asked`` (lookup_kind, lookup_key) names."""
+    keys = asked.select("lookup_kind", "lookup_key").distinct()
+    return responses.join(keys, ["lookup_kind", "lookup_key"], "left_semi").select(*responses.columns)
+
+
+def hits(rows: DataFrame, responses: DataFrame) -> DataFrame:
+    """``cascade`` of responses, of which only those asked for are decoded. What is asked is written once: a row for each way."""
+    asked = materialize(lookups(rows), "asked")
+    return _first_hits(asked, candidates(wanted(responses, asked)))
+
+
 def best_candidate(hits: DataFrame) -> DataFrame:
     """source_path, ord, strategy, source, score, candidate of the most complete hit; ties go to the earlier catalogue."""
     rows = hits.withColumn("score", score(F.col("candidate")))
@@ -151,7 +169,7 @@ def verify(entries: DataFrame, responses: DataFrame, mode: str = "SAFE", month_s
     rows = entries.select("source_path", "ord", "raw").withColumn("read", read)
     names = [F.col(f"read.{n}").alias(n) for n in ("doi", "title", "author", "year")]
     rows = rows.select("source_path", "ord", "raw", *names, F.col("read.all_fields").alias("all"), F.coalesce("read.entry_type", F.lit("article")).alias("kind"), F.coalesce("read.entry_key", F.lit("unknown")).alias("key"))
-    data = merged(cascade(rows, candidates(responses))).select(F.col("source_path").alias("s"), F.col("ord").alias("o"), "data")
+    data = merged(hits(rows, responses)).select(F.col("source_path").alias("s"), F.col("ord").alias("o"), "data")
     rows = rows.join(data, (F.col("source_path") == F.col("s")) & (F.col("ord") == F.col("o")), "left")
     overwrite = some(F.coalesce("doi", F.lit(""))) & F.lit(mode == "AGGRESSIVE_DOI_ONLY")
     kind = F.col("kind") if keep_type else F.coalesce(entry_type(F.col("data.type")), F.col("kind"))

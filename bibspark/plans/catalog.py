@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from bibspark.functions import text as tx
 from bibspark.operators import dedupe, enrich, parse, refs, render, splits
 from bibspark.plans import corpus
 from bibspark.plans.corpus import BIB, ESCAPED, FILES, LIBRARIES, LIBRARY, REFS, SIGNED, UNSEEN, UNSEEN_NOTE, fold, table
+from bibspark.sources import bib
+from bibspark.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -406,7 +410,7 @@ def extraction_result(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    return enrich.cascade(corpus.catalogue_entries(spark, sf_dir), enrich.candidates(corpus.responses(spark, sf_dir)))
+    return enrich.hits(corpus.catalogue_entries(spark, sf_dir), corpus.responses(spark, sf_dir))
 
 
 _PART = "'parts/' || CAST(p_partkey // 1000 AS VARCHAR) AS source_path, CAST(p_partkey % 1000 AS BIGINT) AS ord"
@@ -435,6 +439,15 @@ def lookup_cascade(spark, sf_dir):
     return _numbers(_hits(spark, sf_dir).groupBy("source_path", "ord", "strategy").agg(F.count(F.lit(1)).alias("hits")))
 
 
+@query(f"WITH {corpus.hits_sql()} SELECT {_PART}, source, CAST(strategy AS BIGINT) AS strategy, title, doi FROM h WHERE p_partkey % 50 < 20")
+def lookup_in_snapshot(spark, sf_dir):
+    """Two fifths of the entries, in a snapshot that is a bucketed table and holds the answers to all."""
+    name = f"snapshot_{uuid.uuid4().hex}"
+    snapshot = bib.write_snapshot(corpus.responses(spark, sf_dir), name, 8, f"{shared_dir(spark)}/bibspark/{name}")
+    rows = corpus.catalogue_entries(spark, sf_dir).where("p_partkey % 50 < 20")
+    return _numbers(enrich.hits(rows, snapshot).select("source_path", "ord", "source", "strategy", "candidate.title", "candidate.doi"))
+
+
 def _verified(spark, sf_dir, mode, style="FULL_NAME"):
     return enrich.verify(corpus.catalogue_entries(spark, sf_dir), corpus.responses(spark, sf_dir), mode, style)
 

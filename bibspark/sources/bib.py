@@ -8,6 +8,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RESPONSE = "source string, lookup_kind string, lookup_key string, status int, body string"
 
@@ -44,6 +45,15 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSE).parquet(path)
 
 
+def write_snapshot(responses: DataFrame, table: str, buckets: int = 200, path: str | None = None) -> DataFrame:
+    """A snapshot as a table, bucketed by what is looked up: joins with it move the other side only."""
+    keys = ("lookup_kind", "lookup_key")
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(RESPONSE)]
+    out = responses.select(*columns).repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(table)
+    return responses.sparkSession.table(table)
+
+
 def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str]]) -> DataFrame:
     """Make a snapshot with a function from a URL to (status, body). ``requests``: source, lookup_kind, lookup_key, url.
 

@@ -180,6 +180,46 @@ def test_sections(spark):
     assert len(column(spark, [two], refs.split_references)[0]["refs"]) == 1
 
 
+def test_index_reads_what_single_look_ups_do(spark):
+    keys = ["title", "DOI", "container-title", "year", "k", "absent", "a b"]
+    rng = random.Random(9)
+    bits = ['"title"', '"Title"', '"doi"', '"DOI"', '"year"', '"k"', '"a b"', '"container-title"', ":", " : ", "[", "]", "{", "}", ",", '"x"', '""', "12", "7a", '"q \\" w"', '"\\\\"', "\\", '"', "null", "-3", "\n"]
+    bodies = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(3000)] + [None, ""]
+    rows = spark.createDataFrame([(b,) for b in bodies], "b string").withColumn("ix", jsonx.index(F.col("b")))
+    rows = rows.select("b", *[jsonx.json_value(F.col("b"), k).alias(f"w{i}") for i, k in enumerate(keys)], *[jsonx.indexed(F.col("ix"), k).alias(f"g{i}") for i, k in enumerate(keys)])
+    some = 0
+    for r in rows.collect():
+        for i in range(len(keys)):
+            assert r[f"w{i}"] == r[f"g{i}"], (r["b"], keys[i])
+            some += r[f"w{i}"] is not None
+    assert some > 100
+
+
+def test_only_what_is_asked_for_is_decoded(spark):
+    """The decoders' expressions stand above the semi-join, and a bucketed snapshot isn't moved."""
+    answers = spark.range(4000).select(F.lit("OpenAlex").alias("source"), F.lit("doi").alias("lookup_kind"), F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("lookup_key"), F.lit(200).alias("status"), F.concat(F.lit('{"title":"T'), F.col("id").cast("string"), F.lit('"}')).alias("body"))
+    entries = spark.range(0, 8000, 400).select(F.lit("s").alias("source_path"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi"), *[F.lit(None).cast("string").alias(c) for c in ("title", "author", "year")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sql("DROP TABLE IF EXISTS snapshot_test")
+    try:
+        table = bib.write_snapshot(answers, "snapshot_test", 4)
+        asked = enrich.lookups(entries)
+        assert enrich.wanted(table, asked).count() == 10
+        decoded = enrich.candidates(enrich.wanted(table, asked))
+        plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("LeftSemi") > plan.index("AS candidate")  # below it
+        moved = decoded._jdf.queryExecution().executedPlan().toString()
+        scan = moved[: moved.index("snapshot_test")].rstrip().splitlines()
+        assert "SortMergeJoin" in moved and "Exchange" not in scan[-1] and "Exchange" not in scan[-2]
+        exchanges = [x for x in moved.splitlines() if "Exchange hashpartitioning" in x]
+        assert exchanges and not any("body" in x for x in exchanges)
+        got = {r["ord"]: r["candidate"]["title"] for r in enrich.hits(entries, table).collect()}
+        assert got == {i: f"T{i}" for i in range(0, 4000, 400)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS snapshot_test")
+
+
 def test_cascade_modes(spark):
     entries = spark.createDataFrame([("s", 0, "@misc{a, doi={10.1/x}, year={1999}, title={Old}}"), ("s", 1, "@misc{b, title={Title not known to anyone}}"), ("s", 2, "@misc{c, note={n}}")], "source_path string, ord int, raw string")
     body = '{"title":["New"],"DOI":"10.1/x","type":"journal-article","volume":"7","published-print":{"date-parts":[[2000,3]]}}'
