@@ -45,6 +45,11 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def utf16(key: Column) -> Column:
+    """What sorts texts by their UTF-16 units: a character beyond the first 65,536 comes before U+E000 and later ones."""
+    return F.encode(key, "UTF-16BE")
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it stands there."""
     return F.transform(F.array(value), body)[0]

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibspark.functions.chars import utf16
 from bibspark.functions.text import title_signature
 from bibspark.operators import parse
 from bibspark.storage import materialize, scratch
@@ -192,7 +193,7 @@ def judged(entries: DataFrame, smart: bool = True, scope: str = "source", finish
 def unique(entries: DataFrame, smart: bool = True, scope: str = "source", sort_by_key: bool = False) -> DataFrame:
     """The entries that stay, in order of source and place, or of key."""
     stays = judged(entries, smart, scope).where("reason IS NULL").drop("kept_key", "reason")
-    return stays.orderBy("source_path", "key" if sort_by_key else "ord")
+    return stays.orderBy("source_path", utf16(F.col("key")) if sort_by_key else "ord")
 
 
 def duplicates(entries: DataFrame, smart: bool = True, scope: str = "source") -> DataFrame:
@@ -217,6 +218,27 @@ def summary_of(entries: DataFrame, counts: DataFrame, smart: bool = True) -> Dat
     return rows.select("source_path", n(F.col("total")).alias("total"), n(F.col("unique")).alias("unique"), n(F.col("total") - F.col("unique")).alias("duplicates"), "parse_errors")
 
 
+def processed(sources: DataFrame, smart: bool = True) -> DataFrame:
+    """source_path, parse_errors, ord, type, key, raw, kept_key, reason: every entry and what became of it; a row without ``ord`` for a
+    source that has none. Sources are parsed once and judged once; both are written."""
+    told = parse.parsed(sources).select("source_path", F.size("parsed.errors").cast("long").alias("parse_errors"), F.explode_outer("parsed.entries").alias("e"))
+    return judged_once(told.select("source_path", "parse_errors", "e.ord", "e.type", "e.key", "e.raw"), smart)
+
+
+def judged_once(rows: DataFrame, smart: bool = True, scope: str = "source", finish: int = FINISH) -> DataFrame:
+    """``rows`` (source_path, ord, key, raw, ...; ord null for what is no entry) with kept_key and reason, written."""
+    rows = materialize(rows, "parsed")
+    reasons = judged(rows.where("ord IS NOT NULL").select("source_path", "ord", "key", "raw"), smart, scope, finish).drop("key", "raw")
+    return rows.join(materialize(reasons, "reasons"), ["source_path", "ord"], "left").select(*rows.columns, "kept_key", "reason")
+
+
+def summary_of_processed(rows: DataFrame) -> DataFrame:
+    """``summary`` of what ``processed`` gives."""
+    n, stays = F.count("ord"), F.count_if(F.col("ord").isNotNull() & F.col("reason").isNull())
+    out = rows.groupBy("source_path").agg(n.alias("total"), stays.alias("unique"), F.coalesce(F.max("parse_errors"), F.lit(0)).alias("parse_errors"))
+    return out.select("source_path", "total", "unique", (F.col("total") - F.col("unique")).alias("duplicates"), "parse_errors")
+
+
 def outcome(summary: DataFrame) -> DataFrame:
     """The columns of ``summary`` and message: null for a source that has entries."""
     return summary.withColumn("message", F.when(F.col("total") == 0, F.lit(NO_ENTRIES)))

@@ -1,10 +1,17 @@
-"""Rendering: entries from fields, outputs with their headers, reports, and the search over an output."""
+"""Rendering: entries from fields, outputs with their headers, reports, and the search over an output.
+
+An output may be one text for each source, or rows of blocks (``output_blocks``, ``verified_blocks``): the header and each entry with
+the blank line behind it, and their order. Blocks are never gathered, so that a source may be of any size; written in order
+(``save_blocks``) they are the same text, and a search over them (``search_blocks``) finds the same.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibspark.functions.chars import utf16
+
 #: The fields that come first, in this order.
 ORDER = ["author", "title", "journal", "booktitle", "year", "month", "volume", "number", "pages", "publisher", "organization", "doi", "isbn", "issn", "url", "note", "keywords", "abstract"]
 RULE = "=" * 50
@@ -29,16 +36,40 @@ def _bodies(entries: DataFrame, text: str, by: str) -> DataFrame:
     return entries.groupBy(F.col("source_path").alias("s")).agg(F.array_join(blocks, "").alias("body"))
 
 
+def _processed_head(month_style: str) -> Column:
+    style = "" if month_style == "KEEP_ORIGINAL" else f"% Month style: {month_style}\n"
+    head = F.format_string("% Total entries parsed: %d\n% Unique kept: %d\n% Duplicates removed: %d\n% Parse issues: %d\n".replace("% ", "%% "), "total", "unique", "duplicates", "parse_errors")
+    return F.concat(head, F.lit(f"{style}% {RULE}\n\n"))
+
+
 def processed_output(summary: DataFrame, entries: DataFrame, month_style: str = "KEEP_ORIGINAL", sort_by_key: bool = False) -> DataFrame:
     """source_path, output: a header with four counters and the entries that stay (source_path, ord, key, raw); nothing for a
     source without entries."""
-    rows = summary.join(_bodies(entries, "raw", "key" if sort_by_key else "ord"), F.col("source_path") == F.col("s"), "left")
-    style = "" if month_style == "KEEP_ORIGINAL" else f"% Month style: {month_style}\n"
-    head = F.format_string("% Total entries parsed: %d\n% Unique kept: %d\n% Duplicates removed: %d\n% Parse issues: %d\n".replace("% ", "%% "), "total", "unique", "duplicates", "parse_errors")
-    text = F.concat(head, F.lit(f"{style}% {RULE}\n\n"), F.coalesce("body", F.lit("")))
+    by = utf16(F.col("key")) if sort_by_key else F.col("ord")
+    rows = summary.join(_bodies(entries.withColumn("__by", by), "raw", "__by"), F.col("source_path") == F.col("s"), "left")
+    text = F.concat(_processed_head(month_style), F.coalesce("body", F.lit("")))
     return rows.select("source_path", F.when(F.col("total") == 0, F.lit("")).otherwise(text).alias("output"))
 
 
+def _blocks(heads: DataFrame, entries: DataFrame, text: str, sort_by_key: bool) -> DataFrame:
+    by = utf16(F.col("key")) if sort_by_key else F.lit(None).cast("binary")
+    first = heads.select("source_path", F.lit(0).alias("part"), F.lit(None).cast("binary").alias("by_key"), F.lit(0).alias("ord"), "block")
+    rest = entries.where(F.col(text).isNotNull()).select("source_path", F.lit(1).alias("part"), by.alias("by_key"), "ord", F.concat(text, F.lit("\n\n")).alias("block"))
+    return first.unionByName(rest)
+
+
+def output_blocks(summary: DataFrame, entries: DataFrame, month_style: str = "KEEP_ORIGINAL", sort_by_key: bool = False) -> DataFrame:
+    """source_path, part, by_key, ord, block: ``processed_output`` as rows, in the order of these columns; no rows for a source
+    without entries."""
+    heads = summary.where("total > 0").select("source_path", _processed_head(month_style).alias("block"))
+    return _blocks(heads, entries, "raw", sort_by_key)
+
+
+def verified_blocks(summary: DataFrame, verified: DataFrame) -> DataFrame:
+    """``verified_output`` as rows, like ``output_blocks``."""
+    return _blocks(summary.select("source_path", _verified_head().alias("block")), verified, "corrected", False)
+
+
 def status_summary(verified: DataFrame, duplicates: DataFrame) -> DataFrame:
     """source_path, duplicates_removed, verified, corrected, not_found, errors, skipped."""
     names = {"verified": "VERIFIED", "corrected": "CORRECTED", "not_found": "NOT_FOUND", "errors": "ERROR", "skipped": "SKIPPED"}
@@ -48,14 +79,17 @@ def status_summary(verified: DataFrame, duplicates: DataFrame) -> DataFrame:
     return rows.select("source_path", F.coalesce("gone", F.lit(0)).alias("duplicates_removed"), *names)
 
 
-def verified_output(summary: DataFrame, verified: DataFrame) -> DataFrame:
-    """source_path, output: a header with six counters and the entries as verified (source_path, ord, corrected)."""
-    rows = summary.join(_bodies(verified, "corrected", "ord"), F.col("source_path") == F.col("s"), "left")
+def _verified_head() -> Column:
     labels = ["Duplicates removed", "Verified (already correct)", "Corrected/completed", "Not found online", "Errors during lookup", "Skipped (no DOI/title)"]
     counts = "".join(f"%% {x}: %d\n" for x in labels)
     rule = f"%% {DOUBLE}\n"
-    head = F.format_string(f"{rule}%% VERIFICATION & DEDUPLICATION SUMMARY\n{rule}{counts}{rule}\n", "duplicates_removed", "verified", "corrected", "not_found", "errors", "skipped")
-    return rows.select("source_path", F.concat(head, F.coalesce("body", F.lit(""))).alias("output"))
+    return F.format_string(f"{rule}%% VERIFICATION & DEDUPLICATION SUMMARY\n{rule}{counts}{rule}\n", "duplicates_removed", "verified", "corrected", "not_found", "errors", "skipped")
+
+
+def verified_output(summary: DataFrame, verified: DataFrame) -> DataFrame:
+    """source_path, output: a header with six counters and the entries as verified (source_path, ord, corrected)."""
+    rows = summary.join(_bodies(verified, "corrected", "ord"), F.col("source_path") == F.col("s"), "left")
+    return rows.select("source_path", F.concat(_verified_head(), F.coalesce("body", F.lit(""))).alias("output"))
 
 
 def summary_report(summary: DataFrame, sort_by_key: bool = False, smart: bool = True, mode: str = "SAFE", month_style: str = "KEEP_ORIGINAL", title: str = "References - Summary") -> DataFrame:
@@ -79,15 +113,52 @@ def duplicates_report(duplicates: DataFrame, sources: DataFrame | None = None, t
     return rows.select("source_path", F.when(F.col("n").isNotNull(), report).alias("report"), F.when(F.col("n").isNull(), F.lit(NO_DUPLICATES)).alias("message"))
 
 
+def _needle(needle: str) -> str:
+    return needle.lower().strip("".join(map(chr, range(33))))
+
+
+def _matching(text: Column, needle: str) -> Column:
+    """The blocks of a text (between blank lines) that hold ``needle``."""
+    return F.filter(F.split(F.regexp_replace(text, r"(?:\n\n)+\z", ""), "\n\n"), lambda b: F.contains(F.lower(b), F.lit(needle)))
+
+
+def _no_comments(blocks: Column) -> Column:
+    return F.size(F.filter(blocks, lambda b: ~F.startswith(b, F.lit("%")))).cast("long")
+
+
+def _spaced(blocks: Column) -> Column:
+    return F.array_join(F.transform(blocks, lambda b: F.concat(b, F.lit("\n\n"))), "")
+
+
 def search(outputs: DataFrame, needle: str) -> DataFrame:
     """source_path, output, matches: the blocks (between blank lines) that hold ``needle`` in any case, and how many of them are
     no comments; everything for an empty needle."""
-    needle = needle.lower().strip("".join(map(chr, range(33))))
+    needle = _needle(needle)
     if not needle:
         return outputs.select("source_path", "output", F.lit(None).cast("long").alias("matches"))
-    blocks = F.filter(F.split(F.regexp_replace("output", r"(?:\n\n)+\z", ""), "\n\n"), lambda b: F.contains(F.lower(b), F.lit(needle)))
-    n = F.size(F.filter(blocks, lambda b: ~F.startswith(b, F.lit("%"))))
-    return outputs.select("source_path", F.array_join(F.transform(blocks, lambda b: F.concat(b, F.lit("\n\n"))), "").alias("output"), n.cast("long").alias("matches"))
+    told = outputs.select("source_path", _matching(F.col("output"), needle).alias("b"))
+    return told.select("source_path", _spaced(F.col("b")).alias("output"), _no_comments(F.col("b")).alias("matches"))
+
+
+def search_blocks(blocks: DataFrame, needle: str) -> DataFrame:
+    """The rows of ``output_blocks`` that hold ``needle`` in any case, without what doesn't, and matches: how many blocks of each row are
+    no comments. An entry with blank lines inside is several blocks, as in ``search``."""
+    needle = _needle(needle)
+    if not needle:
+        return blocks.withColumn("matches", F.lit(None).cast("long"))
+    met = blocks.where(F.contains(F.lower("block"), F.lit(needle))).withColumn("__b", _matching(F.col("block"), needle)).where(F.size("__b") > 0)
+    return met.select(*[c for c in blocks.columns if c != "block"], _spaced(F.col("__b")).alias("block"), _no_comments(F.col("__b")).alias("matches"))
+
+
+def save_blocks(blocks: DataFrame, path: str, parts: int | None = None) -> str:
+    """Write blocks as text: a folder for each source, whose files, in the order of their names, are its output. Blocks are dealt out by
+    ranges of their order, so that a large source is written by many tasks."""
+    order = ["source_path", "part", "by_key", "ord"]
+    dealt = blocks.repartitionByRange(parts, *order) if parts else blocks.repartitionByRange(*order)
+    # the writer ends each row with a line break
+    rows = dealt.sortWithinPartitions(*order).select("source_path", F.regexp_replace("block", r"\n\z", "").alias("value"))
+    rows.write.partitionBy("source_path").mode("overwrite").text(path)
+    return path
 
 
 def save(blocks: DataFrame, path: str, column: str = "output", suffix: str = ".bib") -> str:

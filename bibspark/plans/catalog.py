@@ -158,6 +158,27 @@ def sorted_output(spark, sf_dir):
     return placed.select((F.col("before") + F.col("at") - F.shiftleft("part", 33)).alias("pos"), "source_path", "key")
 
 
+@query("SELECT row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END, lpad(CAST(c_custkey AS VARCHAR), 9, '0')) - 1 AS pos, 'nation' || c_nationkey AS source_path, CASE c_custkey % 3 WHEN 0 THEN chr(128512) WHEN 1 THEN chr(65533) ELSE 'a' END || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS key FROM customer")
+def sorted_by_utf16(spark, sf_dir):
+    """Keys that begin with U+1F600, whose first unit is less than U+FFFD."""
+    first = F.when(F.col("c_custkey") % 3 == 0, F.lit("\U0001f600")).when(F.col("c_custkey") % 3 == 1, F.lit("\ufffd")).otherwise(F.lit("a"))
+    key = F.concat(first, F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    path = F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select(path.alias("source_path"), F.col("c_custkey").cast("int").alias("ord"), key.alias("key"), F.lit("@misc{x}").alias("raw"))
+    out = dedupe.unique(rows, smart=False, sort_by_key=True).select("source_path", "key").withColumn("at", F.monotonically_increasing_id())
+    return out.select((F.row_number().over(Window.partitionBy("source_path").orderBy("at")) - 1).cast("long").alias("pos"), "source_path", "key")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_path, doc_id % 3 > 0 AS whole, CASE WHEN doc_id % 3 = 0 THEN 'Failed to load file.' END AS message FROM documents")
+def rejected_sources(spark, sf_dir):
+    """Every third text ends in a byte that begins a character, or has one that is none."""
+    odd = F.when(F.col("doc_id") % 6 == 0, F.unhex(F.lit("C3"))).when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("41FF42"))).otherwise(F.unhex(F.lit("41")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.concat(F.coalesce("text", F.lit("")).cast("binary"), odd).cast("string").alias("content"), F.concat(F.coalesce("text", F.lit("")), F.lit("A")).alias("was"))
+    kept, bad = bib.readable(rows)
+    told = kept.select("source_path", (F.col("content") == F.col("was")).alias("whole"), F.lit(None).cast("string").alias("message"))
+    return told.unionByName(bad.select("source_path", F.lit(False).alias("whole"), "message"))
+
+
 # Months
 
 _SPELL = "CASE o_orderkey % 6 WHEN 0 THEN monthname(o_orderdate) WHEN 1 THEN lower(left(monthname(o_orderdate), 3)) WHEN 2 THEN CAST(month(o_orderdate) AS VARCHAR) WHEN 3 THEN '{' || left(monthname(o_orderdate), 3) || '.}' WHEN 4 THEN 'x' ELSE left(monthname(o_orderdate), 3) || '. 12' END"
@@ -532,8 +553,34 @@ def parse_one_file_errors(spark, sf_dir):
 
 
 def _output(spark, sf_dir):
-    sources = corpus.bib_sources(spark, sf_dir)
-    return render.processed_output(dedupe.summary(sources), dedupe.unique(parse.entries(sources)))
+    rows = dedupe.processed(corpus.bib_sources(spark, sf_dir))
+    return render.processed_output(dedupe.summary_of_processed(rows), rows.where("ord IS NOT NULL AND reason IS NULL"))
+
+
+_LIBRARY = rf"""{_FILE}, k AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1),
+b AS (SELECT 0::BIGINT AS part, 0::BIGINT AS ord, '% Total entries parsed: ' || (SELECT count(*) FROM f) || chr(10) || '% Unique kept: ' || (SELECT count(*) FROM k) || chr(10) || '% Duplicates removed: ' || ((SELECT count(*) FROM f) - (SELECT count(*) FROM k)) || chr(10)
+  || '% Parse issues: ' || (SELECT count(*) FROM f WHERE bad > 0) || chr(10) || '% ' || repeat('=', 50) || chr(10) || chr(10) AS block
+  UNION ALL SELECT 1, n, raw || chr(10) || chr(10) FROM k)"""
+
+
+def _library_blocks(spark, sf_dir):
+    """The output of all records as one source, as blocks."""
+    entries, errors = splits.parsed(corpus.bib_pieces(spark, sf_dir))
+    rows = dedupe.judged_once(entries, smart=False)
+    bad = errors.groupBy("source_path").agg(F.count(F.lit(1)).alias("bad"))
+    counts = dedupe.summary_of_processed(rows.withColumn("parse_errors", F.lit(0).cast("long"))).drop("parse_errors").join(bad, "source_path", "left")
+    return render.output_blocks(counts.withColumn("parse_errors", F.coalesce("bad", F.lit(0))), rows.where("reason IS NULL"))
+
+
+@query(f"WITH {_LIBRARY} SELECT 'library' AS source_path, part, ord, block FROM b")
+def render_blocks(spark, sf_dir):
+    """A source of all documents, block by block."""
+    return _numbers(_library_blocks(spark, sf_dir).drop("by_key"))
+
+
+@query(f"WITH {_LIBRARY} SELECT 'library' AS source_path, part, ord, block, 1::BIGINT AS matches FROM b WHERE contains(lower(block), 'month = {{sept}}')")
+def search_blocks(spark, sf_dir):
+    return _numbers(render.search_blocks(_library_blocks(spark, sf_dir), " Month = {SEPT} ").drop("by_key"))
 
 
 @query(f"WITH RECURSIVE {_OUT} SELECT source_path, output FROM out")

@@ -19,6 +19,20 @@ def read_bib(spark: SparkSession, path: str | list[str], suffix: str = ".bib") -
     return rows.where(F.endswith(F.lower("source_path"), F.lit(suffix)))
 
 
+#: Fixed value: what a user is told of a file that can't be read.
+NOT_READ = "Failed to load file."
+
+
+def readable(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of source_path, content, ...: the sources whose texts are UTF-8 throughout, and the others' source_path and message. Nothing is
+    read with replacement characters in place of what was there. Of sources in pieces (``read_pieces``) all pieces of a
+    source go, if one isn't UTF-8. Texts that aren't UTF-8 can't be parsed."""
+    pieces = "readable" in sources.columns
+    bad = sources.where(~F.col("readable") if pieces else ~F.is_valid_utf8("content")).select("source_path").distinct()
+    kept = sources.join(bad, "source_path", "left_anti").select(*sources.columns) if pieces else sources.where(F.coalesce(F.is_valid_utf8("content"), F.lit(True)))
+    return kept, bad.withColumn("message", F.lit(NOT_READ))
+
+
 def read_documents(spark: SparkSession, path: str | list[str], suffix: str = ".txt") -> DataFrame:
     """source_path, content of document texts. Binary formats need a decoder that the caller brings (``decode_binary``)."""
     return read_bib(spark, path, suffix)
@@ -70,23 +84,23 @@ def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str]]) -> DataFra
 
 def _pieces(batches, size: int):
     """Lines of files' blocks, in order, as pieces: of one block each, of about ``size`` characters."""
-    now, lines, n, k = None, [], 0, 0
+    now, lines, n, k, good = None, [], 0, 0, True
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1] + k], pa.int64()), pa.array(["".join(lines)])], ["source_path", "at", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1] + k], pa.int64()), pa.array(["".join(lines)]), pa.array([good])], ["source_path", "at", "content", "readable"])
 
     for batch in batches:
-        for path, start, line in zip(*(batch.column(c).to_pylist() for c in ("source_path", "block", "line"))):
+        for path, start, line, fine in zip(*(batch.column(c).to_pylist() for c in ("source_path", "block", "line", "fine"))):
             if now is not None and (now != (path, start) or n >= size):
                 yield out()
-                k, lines, n = (k + 1 if now == (path, start) else 0), [], 0
+                k, lines, n, good = (k + 1 if now == (path, start) else 0), [], 0, True
             now = (path, start)
             for at in range(0, len(line) + 1, size):  # a line may be longer than a piece
                 if n and at:
                     yield out()
-                    k, lines, n = k + 1, [], 0
+                    k, lines, n, good = k + 1, [], 0, True
                 lines.append(line[at : at + size])
-                n += len(lines[-1])
+                n, good = n + len(lines[-1]), good and fine
             lines.append("\n")
             n += 1
     if now is not None:
@@ -94,7 +108,8 @@ def _pieces(batches, size: int):
 
 
 def read_pieces(spark: SparkSession, path: str | list[str], suffix: str = ".bib", size: int = 1 << 22) -> DataFrame:
-    """source_path, at, content: files of any size in pieces (``operators.splits``). Spark reads a file in byte ranges that begin and
-    end with lines; ``at`` is the range's first byte and the piece's number in it. A line break is added at a file's end."""
-    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    return lines.where(F.endswith(F.lower("source_path"), F.lit(suffix))).mapInArrow(partial(_pieces, size=size), "source_path string, at long, content string")
+    """source_path, at, content, readable: files of any size in pieces (``operators.splits``). Spark reads a file in byte ranges that
+    begin and end with lines; ``at`` is the range's first byte and the piece's number in it. A line break is added at a file's
+    end. A piece with bytes that aren't UTF-8 isn't ``readable`` (see ``readable``)."""
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("line"), F.is_valid_utf8("value").alias("fine"))
+    return lines.where(F.endswith(F.lower("source_path"), F.lit(suffix))).mapInArrow(partial(_pieces, size=size), "source_path string, at long, content string, readable boolean")

@@ -154,6 +154,51 @@ def test_tables_of_a_failed_stage_are_deleted(spark):
     assert len(storage._written) == start
 
 
+def test_blocks_are_the_output(spark, tmp_path):
+    """Written in order by several tasks, and searched, they are what one text for each source gives."""
+    texts = [("a", "@x{k2, t={one\n\ntwo here}}\n@misc()@x{k1, t={Needle}}@x{k2,u=1}"), ("b", "@x{\U0001f600,d=needle}@x{\ufffd,d=1}@x{z,d={\n\n\n%needle\n\n}}"), ("none", "% nothing"), ("null", None)]
+    texts += [("many", "".join(f"@y{{k{i * 7919 % 400}, n={{{i}}}}}" for i in range(400)))]
+    sources = bib.inline(spark, texts)
+    rows = dedupe.processed(sources)
+    summary, stay = dedupe.summary_of_processed(rows), rows.where("ord IS NOT NULL AND reason IS NULL")
+    assert sorted(map(tuple, summary.collect())) == sorted(map(tuple, dedupe.summary(sources).collect()))
+    for by_key in (False, True):
+        whole = {r["source_path"]: r["output"] for r in render.processed_output(summary, dedupe.unique(parse.entries(sources)), "ABBREV_DOT", by_key).collect()}
+        blocks = render.output_blocks(summary, stay, "ABBREV_DOT", by_key)
+        path = render.save_blocks(blocks, f"file://{tmp_path}/out{by_key}", 5)
+        for name, text in whole.items():
+            files = sorted((tmp_path / f"out{by_key}" / f"source_path={name}").glob("part-*"))
+            assert "".join(f.read_bytes().decode() for f in files) == text, name
+            assert len(files) > 1 or name != "many"
+        assert path.endswith(str(by_key))
+        for needle in ("needle", " ONE ", "", "absent", "%"):
+            found = {r["source_path"]: (r["output"], r["matches"]) for r in render.search(render.processed_output(summary, stay, "ABBREV_DOT", by_key), needle).collect()}
+            parts: dict = {}
+            for r in render.search_blocks(blocks, needle).orderBy("source_path", "part", "by_key", "ord").collect():
+                old = parts.get(r["source_path"], ("", 0))
+                parts[r["source_path"]] = (old[0] + r["block"], None if r["matches"] is None else old[1] + r["matches"])
+            assert {k: v for k, v in found.items() if v[0]} == parts
+    keys = [r["key"] for r in dedupe.unique(parse.entries(sources), sort_by_key=True).where("source_path = 'b'").collect()]
+    assert keys == ["z", "\U0001f600", "\ufffd"]
+
+
+def test_verified_blocks_are_the_output(spark):
+    entries = spark.createDataFrame([("s", 0, "@misc{a,title={x}}"), ("s", 1, None), ("s", 2, "@misc{b}")], "source_path string, ord int, raw string")
+    told = enrich.verify(entries, spark.createDataFrame([], bib.RESPONSE))
+    summary = render.status_summary(told, spark.createDataFrame([], "source_path string"))
+    want = render.verified_output(summary, told).first()["output"]
+    assert "".join(r["block"] for r in render.verified_blocks(summary, told).orderBy("part", "ord").collect()) == want
+
+
+def test_files_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "good.bib").write_bytes("@a{é,b={\U0001f600}}".encode())
+    (tmp_path / "bad.bib").write_bytes(b"@a{x,b={\xff}}\n" + b"@a{y,b=1}\n" * 400)
+    for rows in (bib.read_bib(spark, f"file://{tmp_path}"), bib.read_pieces(spark, f"file://{tmp_path}", size=100)):
+        kept, bad = bib.readable(rows)
+        assert {r["source_path"].rpartition("/")[2] for r in kept.collect()} == {"good.bib"}
+        assert [(r["source_path"].rpartition("/")[2], r["message"]) for r in bad.collect()] == [("bad.bib", bib.NOT_READ)]
+
+
 def test_sorting_is_by_key(spark):
     e = parse.entries(bib.inline(spark, [("b", "@x{c,d=1}@x{a,d=1}@x{b,d=1}"), ("a", "@x{z,d=1}@x{y,d=1}")]))
     assert [(r["source_path"], r["key"]) for r in dedupe.unique(e, sort_by_key=True).collect()] == [("a", "y"), ("a", "z"), ("b", "a"), ("b", "b"), ("b", "c")]
