@@ -199,6 +199,39 @@ def test_files_that_are_not_utf8(spark, tmp_path):
         assert [(r["source_path"].rpartition("/")[2], r["message"]) for r in bad.collect()] == [("bad.bib", bib.NOT_READ)]
 
 
+def test_a_section_is_split_by_authors(spark, monkeypatch):
+    """Against the rule by hand, also with places put together for few lines; a section of 100,000 lines takes seconds."""
+    import re
+    import time
+
+    def by_hand(section):
+        held, out = "", []
+        for line in (x.strip("".join(map(chr, range(33)))) for x in section.split("\n")):
+            if not line:
+                continue
+            if re.match(refs.STARTS.replace(r"\z", r"\Z"), line) and len(held) > 40:
+                out.append(held)
+                held = line
+            else:
+                held = f"{held} {line}" if held else line
+        return [re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip() for x in out + [held] * (len(held) > 40)]
+
+    rng = random.Random(3)
+    pieces = ["Smith, John. A long title about many things in Journal.", "Lee AB, Short.", "  continued here and there", "", "12. Title of it", "x" * 39, "Doe, Jane", "y" * 41]
+    sections = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(300)] + ["", "\n\n", "x" * 40, "x" * 41]
+    for width in (refs.LINES, 1, 3):
+        monkeypatch.setattr(refs, "LINES", width)
+        got = column(spark, sections, refs.by_author)
+        assert [[r["text"] for r in g] for g in got] == [by_hand(s) for s in sections]
+        assert all([r["number"] for r in g] == list(range(1, len(g) + 1)) for g in got)
+    monkeypatch.undo()
+    large = "\n".join(["Smith, John. A long title about many things in some Journal, 2001."] * 100_000)
+    began = time.monotonic()
+    n = spark.createDataFrame([(large,), ("a line of nothing\n" * 100_000,)], "t string").select(F.size(refs.by_author(F.col("t"))).alias("n")).collect()
+    assert [r["n"] for r in n] == [100_000, 1]
+    assert time.monotonic() - began < 40
+
+
 def test_sorting_is_by_key(spark):
     e = parse.entries(bib.inline(spark, [("b", "@x{c,d=1}@x{a,d=1}@x{b,d=1}"), ("a", "@x{z,d=1}@x{y,d=1}")]))
     assert [(r["source_path"], r["key"]) for r in dedupe.unique(e, sort_by_key=True).collect()] == [("a", "y"), ("a", "z"), ("b", "a"), ("b", "b"), ("b", "c")]
