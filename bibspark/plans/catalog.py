@@ -12,7 +12,7 @@ from bibspark.functions import text as tx
 from bibspark.operators import dedupe, enrich, parse, refs, render, splits
 from bibspark.plans import corpus
 from bibspark.plans.corpus import BIB, ESCAPED, FILES, LIBRARIES, LIBRARY, REFS, SIGNED, UNSEEN, UNSEEN_NOTE, fold, table
-from bibspark.sources import bib
+from bibspark.sources import bib, pdf
 from bibspark.storage import shared_dir
 
 QUERIES: dict = {}
@@ -392,6 +392,14 @@ def reference_details(spark, sf_dir):
     return _numbers(refs.raw_references(corpus.ref_documents(spark, sf_dir)).select("doc_id", "pos", "text", "doi", "year", "title"))
 
 
+@query(f"WITH {REFS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, text, doi, year, title FROM r")
+def pdf_references(spark, sf_dir):
+    """``reference_details`` of the same documents as PDF files, whose references cross pages. There are no blank lines in these."""
+    files = corpus.ref_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_path"), corpus.as_pdf(F.col("content")).alias("content"))
+    docs = pdf.text(files).select(F.col("source_path").cast("long").alias("doc_id"), "content")
+    return _numbers(refs.raw_references(docs).select("doc_id", "pos", "text", "doi", "year", "title"))
+
+
 _BASIC = "'@misc{' || lower(surname) || year || 'accounts,' || chr(10) || '  title = {' || title || '},' || chr(10) || '  year = {' || year || '},' || chr(10) || '  doi = {' || doi || '},' || chr(10) || '  note = {Extracted from PDF - needs manual verification}' || chr(10) || '}'"
 
 

@@ -5,7 +5,10 @@ SQL expressions here are in what Spark and DuckDB share, and both sides use the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions.chars import collapse
@@ -134,6 +137,31 @@ def ref_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.when(none, F.lit("On ledgers.\nNothing is cited here.")).otherwise(content).alias("content"))
 
 
+def as_pdf(content: Column, lines: int = 6) -> Column:
+    """A text column as PDF files: pages of ``lines`` lines, of which every second is shown first, in two parts."""
+
+    def made(text: str) -> bytes:
+        said = text.split("\n")
+        parts = [said[i : i + lines] for i in range(0, len(said), lines)]
+        objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count %d/Kids[%s]/Resources<</Font<</F1 3 0 R>>>>>>" % (len(parts), b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(parts)))), b"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding/WinAnsiEncoding/FirstChar 0/Widths[" + b"600 " * 256 + b"]>>"]
+        for i, part in enumerate(parts):
+            shown = []
+            for n in [*range(1, len(part), 2), *range(0, len(part), 2)]:
+                half = len(part[n]) // 2
+                for start, x in ((0, part[n][:half]), (half, part[n][half:])):
+                    escaped = x.encode("cp1252", "replace").replace(b"\\", rb"\\").replace(b"(", rb"\(").replace(b")", rb"\)")
+                    shown.append(b"BT /F1 10 Tf %d %d Td (%s) Tj ET" % (50 + 6 * start, 700 - 12 * n, escaped))
+            data = zlib.compress(b"\n".join(shown))
+            objects += [b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (5 + 2 * i), b"<</Length %d/Filter/FlateDecode>>\nstream\n%s\nendstream" % (len(data), data)]
+        return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (i + 1, o) for i, o in enumerate(objects)) + b"\ntrailer\n<</Root 1 0 R>>\n%%EOF"
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else made(t) for t in texts.to_pylist()], pa.binary())
+
+    return run(content)
+
+
 REFS = f"""refs AS (SELECT *, surname || ', J. "' || title || '." Annals of Ledgers (' || year || '), doi:' || doi || '.' AS text,
   list_extract(['bracket', 'dot', 'plain', 'blank', 'author'], CAST(doc_id % 5 + 1 AS INT)) AS style FROM
   (SELECT {", ".join(f"{v} AS {k}" for k, v in REF_COLUMNS.items())}, [{NAME_LIST}][CAST(c_custkey % 10 + 1 AS INT)] AS surname FROM customer) WHERE doc_id % 11 <> 10),
