@@ -76,12 +76,33 @@ def display_key(spark, sf_dir):
   CAST(length('@misc{{u' || doc_id || ', title={{' || t || '}}}} ') AS BIGINT) AS start, 'book' AS type, 'Unclosed entry starting at index ' || length('@misc{{u' || doc_id || ', title={{' || t || '}}}} ') || ' (@book)' AS message FROM p""")
 def parse_unclosed(spark, sf_dir):
     """An entry that doesn't end is an error, and ends the source."""
-    rows = corpus.bib_rows(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_path"), F.when(F.col("doc_id") % 2 == 0, F.expr("substring(title, 2, length(title) - 2)")).otherwise(F.col("title")).alias("t"))
+    rows = corpus.escaped_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_path"), "t")
     content = F.concat(F.lit("@misc{u"), "source_path", F.lit(", title={"), "t", F.lit("}} @Book{v, title={"), "t", F.lit("} @misc{w, title={never reached}}"))
     told = parse.parsed(rows.select("source_path", content.alias("content")))
     return _numbers(told.select("source_path", F.size("parsed.entries").alias("entries"), F.inline("parsed.errors")).drop("ord"))
 
 
+@query(f"WITH p AS (SELECT doc_id, {ESCAPED} AS t FROM documents) SELECT doc_id, 'u' || doc_id AS key, '@misc{{u' || doc_id || ', t={{' || t || '}}}}' AS raw FROM p WHERE doc_id % 3 > 0")
+def parse_false_starts(spark, sf_dir):
+    """An ``@`` that begins no entry is passed over, and so is the character behind the word that follows it: where that is the ``@`` of
+    an entry (every third text), the entry is lost."""
+    rows = corpus.escaped_texts(spark, sf_dir)
+    lost = F.when(F.col("doc_id") % 3 == 0, F.lit("@lost ")).otherwise(F.lit(""))
+    content = F.concat(F.lit("write to mail@host, @ or @book title @@ \n"), lost, F.lit("@misc{u"), F.col("doc_id").cast("string"), F.lit(", t={"), "t", F.lit("}} and @ @(x) @end"))
+    told = parse.entries(rows.select(F.col("doc_id").cast("string").alias("source_path"), content.alias("content")))
+    return told.select(F.col("source_path").cast("long").alias("doc_id"), "key", "raw")
+
+
+@query(f"WITH {BIB} SELECT source_path, CAST(ord AS BIGINT) AS ord, key FROM bib")
+def read_files(spark, sf_dir):
+    """The files written and read again, each as a whole; their names are escaped as folders, and folders as addresses."""
+    path = f"{shared_dir(spark)}/bibspark/files-{uuid.uuid4().hex}"
+    rows = corpus.bib_sources(spark, sf_dir)
+    rows.select("source_path", F.col("content").alias("value")).write.partitionBy("source_path").text(path)
+    read = bib.read_bib(spark, path, suffix=".txt").withColumn("name", F.regexp_extract("source_path", "source_path=([^/]*)", 1))
+    return _numbers(parse.entries(read.select(F.url_decode(F.url_decode("name")).alias("source_path"), "content")).select("source_path", "ord", "key"))
+
+
 # De-duplication
 
 
@@ -604,6 +625,17 @@ def search_filter(spark, sf_dir):
     return render.search(_output(spark, sf_dir), " Month = {SEPT} ")
 
 
+@query(f"WITH RECURSIVE {_OUT} SELECT source_path, md5(output) AS output FROM out")
+def save_outputs(spark, sf_dir):
+    """Outputs are saved block by block; the files of each, in the order of their names, are ``render_output``'s texts."""
+    rows = dedupe.processed(corpus.bib_sources(spark, sf_dir))
+    blocks = render.output_blocks(dedupe.summary_of_processed(rows), rows.where("ord IS NOT NULL AND reason IS NULL"))
+    path = render.save_blocks(blocks, f"{shared_dir(spark)}/bibspark/saved-{uuid.uuid4().hex}")
+    read = spark.read.text(path, wholetext=True).select(F.col("source_path").cast("string").alias("source_path"), F.col("_metadata.file_name").alias("file"), "value")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "value"))), lambda r: r["value"]), "")
+    return read.groupBy("source_path").agg(F.md5(whole.cast("binary")).alias("output"))
+
+
 _GONE = "'References - Duplicates Report' || chr(10) || chr(10) || 'Total duplicates removed: ' || count(*) FILTER (reason IS NOT NULL) || chr(10) || chr(10) || string_agg('- dropped=' || key || ' kept=' || kept_key || ' reason=' || reason || chr(10), '' ORDER BY ord) FILTER (reason IS NOT NULL)"
 
 

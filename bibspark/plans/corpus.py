@@ -24,12 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FILE = 1000  # ids of a source that make a file
 
 
+def _escaped() -> Column:
+    return collapse(F.regexp_replace(F.coalesce("text", F.lit("")), r'(["\\{}])', r"\\$1"))
+
+
+def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, t: whole texts with escapes."""
+    return table(spark, sf_dir, "documents").select("doc_id", _escaped().alias("t"))
+
+
 def bib_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_path, source, doc_id, ord, key, title, year, month: a record for each document, whose whole text is the title, with
     escapes and for every other one in braces of its own. A file holds ``FILE`` ids of a source, so no file grows with the
     table; a source's files are a library (``library``)."""
     docs = table(spark, sf_dir, "documents")
-    text = collapse(F.regexp_replace(F.coalesce("text", F.lit("")), r'(["\\{}])', r"\\$1"))
+    text = _escaped()
     rows = docs.select(
         F.concat("source", F.lit("/"), F.expr(f"CAST(doc_id DIV {FILE} AS STRING)")).alias("source_path"),
         "source",
