@@ -15,8 +15,8 @@ its range). A range is sorted and streamed through one task, and the first row o
 
 Defined results: a null text is empty; an empty text has an empty fingerprint; a text of fewer than ``K`` code points is one
 run, one of fewer than ``WINDOW`` runs is one window. Null doc_ids come last in the order; rows that share a doc_id follow each
-other by a hash of their text, then by text, and rows equal in both are each other's next ones. The only row of a table is its own next one. An
-empty table gives no rows. Texts are hashed in pieces, so a very long one needs little but itself. Other columns are not looked at.
+other by a hash of their text, then by text; rows equal in both are each other's next ones, and stream through one task. The
+only row of a table is its own next one. An empty table gives no rows. Texts are hashed in pieces, so a very long one needs little but itself. Other columns are not looked at.
 """
 
 from __future__ import annotations
