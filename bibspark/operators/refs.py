@@ -187,8 +187,9 @@ def extract(docs: DataFrame, responses: DataFrame, mode: str = "SAFE", month_sty
 
 
 def extract_from_files(spark, path: str | list[str], decoder, responses: DataFrame, suffix: str = ".pdf", **how) -> DataFrame:
-    """``extract`` of the documents in files, whose bytes ``decoder`` turns into text; doc_id is the path."""
-    from bibspark.sources import bib
+    """``extract`` of the documents in files; doc_id is the path. Their text is what ``decoder`` makes of their bytes, or with None what
+    ``sources.pdf`` reads."""
+    from bibspark.sources import bib, pdf
 
-    docs = bib.decode_binary(spark, path, decoder, suffix).select(F.col("source_path").alias("doc_id"), "content")
-    return extract(docs, responses, **how)
+    docs = pdf.read(spark, path, suffix) if decoder is None else bib.decode_binary(spark, path, decoder, suffix)
+    return extract(docs.select(F.col("source_path").alias("doc_id"), "content"), responses, **how)

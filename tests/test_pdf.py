@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibspark.operators import refs
 from bibspark.plans import corpus
-from bibspark.sources import pdf
+from bibspark.sources import bib, pdf
 
 
 def file(*objects, root=1, tail=b""):
@@ -76,6 +76,16 @@ def test_files_on_disk_give_their_references(spark, tmp_path):
     assert {r["doc_id"] for r in found.collect()} == cited and found.count() > 9 * len(cited)
 
 
+def test_files_are_extracted(spark, tmp_path):
+    docs = corpus.ref_documents(spark, "/root/testdata/sf0.001").where("doc_id IN (0, 5)").select("doc_id", corpus.as_pdf(F.col("content")).alias("pdf")).collect()
+    for r in docs:
+        (tmp_path / f"{r['doc_id']}.pdf").write_bytes(r["pdf"])
+    (tmp_path / "bad.pdf").write_bytes(b"nothing")
+    out = {r["doc_id"].rpartition("/")[2]: r for r in refs.extract_from_files(spark, f"file://{tmp_path}", None, spark.createDataFrame([], bib.RESPONSE)).collect()}
+    assert {k: r["total_found"] for k, r in out.items()} == {"0.pdf": 10, "5.pdf": 10, "bad.pdf": 0}
+    assert out["0.pdf"]["errors"] == 10 and "@misc{" in out["0.pdf"]["bibtex_output"]
+
+
 @pytest.mark.parametrize("n", [1, 40])
 def test_pages_in_order(spark, n):
     told = "\n".join(f"line {i}" for i in range(n * 6))
