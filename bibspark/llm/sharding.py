@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import delete, release, shared_dir
+from .common import delete, materialize, release, shared_dir
 
 ARRIVAL = 256  # documents
 TARGET = 64 << 20  # bytes of text
@@ -187,6 +187,7 @@ class ShardStore:
         shards = self.manifest()
         moves = shards.join(plan(shards, target).select("shard", "into"), "shard")
         merged = moves.groupBy("into").agg(F.count(F.lit(1)).alias("parts"), F.array_sort(F.collect_list(F.struct("shard", "path"))).alias("from"), F.min("first_arrival").alias("first_arrival"), F.max("last_arrival").alias("last_arrival"), F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
+        merged = materialize(merged, "merges")  # every wave looks its own up
         # what is brought to the driver is the part of the manifest that a wave moves: names of folders
         todo = merged.where("parts > 1").orderBy("into").select("into", "from.path").toLocalIterator()
         pending, done = [], version
