@@ -2,13 +2,17 @@
 
 Arrivals are appended as small immutable shards. Compaction merges runs of similarly sized shards, in order of arrival,
 into files of a target size, and commits a manifest version. A manifest is a small table (shard, path, tier, arrivals,
-documents, bytes). It is written as a draft and renamed to its version number by a rename that never replaces anything
-(``rename_new``), so of two writers that prepare the same version one wins and the other gets an error and may try again;
-readers see one whole version or the one before.
+documents, bytes), kept as changes: a version is a folder with the shards ``added`` and the paths ``gone`` since the one before,
+or a checkpoint, which changes nothing and holds ``all``. A manifest is read from its last checkpoint and the changes after it. So
+a commit writes rows for what it moves, however large the manifest is; a compaction ends with a checkpoint, and appends write one
+after ``EVERY`` versions without. A version is written as a draft and renamed to its number by a rename that never replaces
+anything (``rename_new``), so of two writers that prepare the same version one wins and the other gets an error and may try
+again; readers see one whole version or the one before.
 
 Files that a version names are never changed or moved. Inputs of a merge stay until ``vacuum`` takes away the versions
-that name them, so a reader of version n outlives the commit of n + 1. ``vacuum`` keeps the last versions, and removes what
-none of them names: older manifests, merged inputs, and what jobs that died have left, drafts and data alike.
+that name them, so a reader of version n outlives the commit of n + 1. ``vacuum`` keeps the last versions, with the checkpoint
+that they are read from, and removes what none of them names: older manifests, merged inputs, and what jobs that died have
+left, drafts and data alike.
 
 The plan is made on the manifest alone, by windows over blocks of arrivals, so each window is bounded: shards of a block
 that are in the same size tier (a factor of four) are added up in order of arrival and cut at the target. A second round
@@ -41,7 +45,9 @@ TARGET = 64 << 20  # bytes of text
 BASE = 64 << 10
 BLOCK = 4096  # arrivals
 WAVE = 256  # merged shards that a commit holds
+EVERY = 64  # versions of appends from one checkpoint to the next
 MANIFEST = "shard long, path string, tier int, first_arrival long, last_arrival long, n_docs long, n_bytes long"
+COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
 
 
 def arrival_of(doc_id: Column, text: Column, size: int) -> Column:
@@ -136,27 +142,58 @@ class ShardStore:
     def versions(self) -> list[int]:
         return sorted(int(s.getPath().getName()[1:]) for s in self._in("manifests") if s.getPath().getName().startswith("v"))
 
+    def _at(self, version: int) -> str:
+        return f"{self.root}/manifests/v{version:08d}"
+
+    def since(self, version: int) -> tuple[int, list[int]]:
+        """The last checkpoint up to ``version`` (0: none), and the versions after it up to ``version``."""
+        later = [v for v in self.versions() if v <= version]
+        base = next((v for v in reversed(later) if self._fs.exists(self._path(f"{self._at(v)}/all"))), 0)
+        return base, [v for v in later if v > base]
+
     def manifest(self, version: int | None = None) -> DataFrame:
         known = self.versions()
-        if not known:
+        if not known and version is None:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/v{known[-1] if version is None else version:08d}")
-
-    def draft(self, rows: DataFrame) -> str:
-        """Write ``rows`` as a manifest that isn't a version yet."""
+        version = known[-1] if version is None else version
+        if version not in known:
+            raise ValueError(f"there is no version {version}")
+        base, later = self.since(version)
+        read = lambda name, of, schema: self.spark.read.schema(schema).parquet(*[f"{self._at(v)}/{name}" for v in of])
+        sides = [read("all", [base], MANIFEST)] if base else []
+        if not later:
+            return sides[0]
+        rows = reduce(DataFrame.union, [*sides, read("added", later, MANIFEST)])
+        # a path is added once and goes once, so the order of the changes doesn't matter
+        return rows.join(read("gone", later, "path string"), "path", "left_anti").select(COLUMNS)
+
+    def draft(self, added: DataFrame, gone: DataFrame | None = None) -> str:
+        """Write a change that isn't a version yet: shards that are new, and the paths of those that are no more."""
         path = f"{self.root}/drafts/{uuid.uuid4().hex}"
-        rows.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1).write.parquet(path)
+        gone = self.spark.createDataFrame([], "path string") if gone is None else gone
+        added.select(COLUMNS).write.parquet(f"{path}/added")
+        gone.select("path").coalesce(1).write.parquet(f"{path}/gone")
         return path
 
     def publish(self, draft: str, after: int) -> int:
         """Make a draft the version that follows ``after`` (0: none)."""
-        if not rename_new(self.spark, draft, f"{self.root}/manifests/v{after + 1:08d}"):
+        if not rename_new(self.spark, draft, self._at(after + 1)):
             delete(self.spark, draft)
             raise RuntimeError(f"version {after + 1} was committed by another writer")
         return after + 1
 
-    def commit(self, rows: DataFrame, after: int) -> int:
-        return self.publish(self.draft(rows), after)
+    def commit(self, added: DataFrame, after: int, gone: DataFrame | None = None) -> int:
+        return self.publish(self.draft(added, gone), after)
+
+    def checkpoint(self, after: int) -> int:
+        """Write the manifest of ``after`` whole, as the next version. Nothing is done if another writer was first: a checkpoint
+        changes nothing, and a later one does as well."""
+        draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
+        self.manifest(after).repartition("shard").write.parquet(f"{draft}/all")
+        try:
+            return self.publish(draft, after)
+        except RuntimeError:
+            return after
 
     def append(self, rows: DataFrame, arrival: Column, n_bytes: Column) -> int:
         """Write a shard for each arrival and commit them. Arrivals are new: none has the number of a shard that is there."""
@@ -165,12 +202,10 @@ class ShardStore:
         rows.withColumn(key, arrival).repartition(F.col(key)).write.partitionBy(key).parquet(f"{self.root}/{folder}")
         sizes = rows.groupBy(arrival.alias("shard")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(n_bytes), F.lit(0)).cast("long").alias("n_bytes"))
         new = sizes.select("shard", F.concat(F.lit(f"{folder}/{key}="), F.col("shard")).alias("path"), tier_of(F.col("n_bytes")).alias("tier"), F.col("shard").alias("first_arrival"), F.col("shard").alias("last_arrival"), "n_docs", "n_bytes")
-        if not before:
-            return self.commit(new, 0)
-        known = self.manifest(before)
-        if known.join(new.select("shard"), "shard", "left_semi").limit(1).count():
+        if before and self.manifest(before).join(new.select("shard"), "shard", "left_semi").limit(1).count():
             raise ValueError("an arrival has the number of a shard that is there")
-        return self.commit(known.unionByName(new), before)
+        now = self.commit(new, before)
+        return self.checkpoint(now) if len(self.since(now)[1]) >= EVERY else now
 
     def read(self, paths: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths])
@@ -187,15 +222,17 @@ class ShardStore:
         shards = self.manifest()
         moves = shards.join(plan(shards, target).select("shard", "into"), "shard")
         merged = moves.groupBy("into").agg(F.count(F.lit(1)).alias("parts"), F.array_sort(F.collect_list(F.struct("shard", "path"))).alias("from"), F.min("first_arrival").alias("first_arrival"), F.max("last_arrival").alias("last_arrival"), F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
-        merged = materialize(merged, "merges")  # every wave looks its own up
-        # what is brought to the driver is the part of the manifest that a wave moves: names of folders
-        todo = merged.where("parts > 1").orderBy("into").select("into", "from.path").toLocalIterator()
+        merged = merged.where("parts > 1").select("into", "from.path", "first_arrival", "last_arrival", "n_docs", "n_bytes")
+        merged = materialize(merged, "merges")
+        # what is on the driver at a time is a wave's part of the plan: names of folders and sums
         pending, done = [], version
-        for row in todo:
+        for row in merged.orderBy("into").toLocalIterator():
             pending.append(row)
             if len(pending) == wave:
-                done, pending = self._wave(pending, merged, schema, done), []
-        return self._wave(pending, merged, schema, done) if pending else done
+                done, pending = self._wave(pending, schema, done), []
+        if pending:
+            done = self._wave(pending, schema, done)
+        return self.checkpoint(done) if done > version else done
 
     def merged(self, rows: list, schema: StructType) -> DataFrame:
         """The data of a wave: a partition for each of ``rows`` (into, path: of its inputs), under ``_own_partitions``."""
@@ -221,17 +258,14 @@ class ShardStore:
             parts = [parts[i].union(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def _wave(self, rows: list, merged: DataFrame, schema: StructType, version: int) -> int:
+    def _wave(self, rows: list, schema: StructType, version: int) -> int:
+        """Write the merged shards of ``rows`` and commit them: a change of a row for each of them and for each of their inputs."""
         folder, key = f"data/{uuid.uuid4().hex}", _key(schema.names)
         with _own_partitions(self.spark):
             self.merged(rows, schema).write.partitionBy(key).parquet(f"{self.root}/{folder}")
-        now = self.manifest(version)
-        gone = [p for row in rows for p in row["path"]]
-        ids = self.spark.createDataFrame([(row["into"],) for row in rows], "into long")
-        new = merged.join(F.broadcast(ids), "into")  # a wave of rows at most
-        new = new.select(F.col("into").alias("shard"), F.concat(F.lit(f"{folder}/{key}="), F.col("into")).alias("path"), tier_of(F.col("n_bytes")).alias("tier"), "first_arrival", "last_arrival", "n_docs", "n_bytes")
-        out = self.spark.createDataFrame([(p,) for p in gone], "path string")
-        return self.commit(now.join(out, "path", "left_anti").unionByName(new), version)
+        new = [(r["into"], f"{folder}/{key}={r['into']}", None, r["first_arrival"], r["last_arrival"], r["n_docs"], r["n_bytes"]) for r in rows]
+        added = self.spark.createDataFrame(new, MANIFEST).withColumn("tier", tier_of(F.col("n_bytes"))).coalesce(1)
+        return self.commit(added, version, self.spark.createDataFrame([(p,) for r in rows for p in r["path"]], "path string"))
 
     def vacuum(self, keep: int = 1, age: float = 86_400) -> None:
         """Keep the last ``keep`` versions and what they name. What is younger than ``age`` seconds stays if it may belong to a
@@ -260,9 +294,11 @@ class ShardStore:
                 for path in there:
                     if path.getName() not in names:
                         delete(self.spark, path.toString())
+        base, later = self.since(kept[0]) if kept else (0, [])
+        needed = base or min(later, default=0)
         for v in self.versions():
-            if v < (kept or [0])[0]:
-                delete(self.spark, f"{self.root}/manifests/v{v:08d}")
+            if v < needed:
+                delete(self.spark, self._at(v))
 
 
 def shard(docs: DataFrame, root: str, arrival: int = ARRIVAL, target: int = TARGET, wave: int = WAVE) -> tuple[ShardStore, int]:
@@ -274,15 +310,16 @@ def shard(docs: DataFrame, root: str, arrival: int = ARRIVAL, target: int = TARG
 
 
 def placed(store: ShardStore, schema: StructType) -> DataFrame:
-    """doc_id, n_bytes and its shard's columns of the manifest, as read from the files that the manifest names."""
-    known, key = store.manifest(), _key(schema.names)
-    at = known.select("*", F.substring_index("path", "/", 2).alias("in"))
-    folders = [r["in"] for r in at.select("in").distinct().toLocalIterator()]  # one for each commit
+    """doc_id, doc_bytes and its shard's columns of the manifest, as read from the files that the manifest names."""
+    known = store.manifest()
+    at = known.select(F.substring_index("path", "/", 2).alias("folder")).distinct()
+    folders = [f"{store.root}/{r['folder']}" for r in at.toLocalIterator()]  # one for each commit
     if not folders:
         return known.drop("path").select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("doc_bytes"), "*").where("false")
-    sides = [store._folder(f, None, schema, key).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("doc_bytes"), F.col(key).alias("s"), F.lit(f).alias("f")) for f in folders]
-    rows = reduce(DataFrame.union, sides)
-    return rows.join(at, (F.col("s") == F.col("shard")) & (F.col("f") == F.col("in"))).drop("s", "f", "in", "path")
+    # one scan, whatever the number of commits; a row's shard is the folder that its file lies in
+    files = store.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+    rows = files.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("doc_bytes"), F.substring_index(F.substring_index("_metadata.file_path", "/", -4), "/", 3).alias("path"))
+    return rows.join(known, "path").drop("path")
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:

@@ -100,6 +100,37 @@ def test_compaction_in_waves(spark, docs, tmp_path):
     assert sorted(map(str, back().collect())) == want
 
 
+def test_a_wave_commits_rows_in_proportion_to_itself(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(docs, sharding.arrival_of(F.col("doc_id"), F.col("text"), 4), F.octet_length("text").cast("long"))
+    first = {r["path"]: r["n_docs"] for r in store.manifest().collect()}
+    version = store.compact(docs.schema, target=40_000, wave=2)
+    assert version > 5 and store.since(version) == (version, []) and store.since(version - 1) == (0, list(range(1, version)))
+    count = lambda v, what: spark.read.parquet(f"file://{tmp_path}/s/manifests/v{v:08d}/{what}")
+    state = dict(first)
+    for v in range(2, version):  # every change is small, and versions between are read as they were
+        added, gone = count(v, "added").collect(), [r["path"] for r in count(v, "gone").collect()]
+        assert 1 <= len(added) <= 2 and len(gone) == len(set(gone)) < len(first) / 2
+        assert sum(state[p] for p in gone) == sum(r["n_docs"] for r in added)
+        state = {p: n for p, n in state.items() if p not in gone} | {r["path"]: r["n_docs"] for r in added}
+        assert {r["path"]: r["n_docs"] for r in store.manifest(v).collect()} == state
+    assert {r["path"]: r["n_docs"] for r in store.manifest(version).collect()} == state
+    with pytest.raises(ValueError):
+        store.manifest(version + 1)
+
+
+def test_appends_write_a_checkpoint_now_and_then(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "EVERY", 3)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    rows, one = odd.select("doc_id", "text"), F.lit(1).cast("long")
+    said = [store.append(rows, F.lit(i).cast("long"), one) for i in range(1, 6)]
+    assert said == [1, 2, 4, 5, 6] and store.since(6) == (4, [5, 6]) and store.manifest().count() == 5
+    # a checkpoint that another writer was before changes nothing
+    assert store.checkpoint(5) == 5 and store.versions() == list(range(1, 7))
+    store.vacuum(age=0)
+    assert store.versions() == [4, 5, 6] and sorted(r["shard"] for r in store.manifest().collect()) == [1, 2, 3, 4, 5]
+
+
 def test_each_merged_shard_is_a_task_of_its_own(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
     store.append(docs, sharding.arrival_of(F.col("doc_id"), F.col("text"), 8), F.octet_length("text").cast("long"))
