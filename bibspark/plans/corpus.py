@@ -147,21 +147,24 @@ def ref_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_pdf(content: Column, lines: int = 6) -> Column:
-    """A text column as PDF files: pages of ``lines`` lines, of which every second is shown first, in two parts."""
+    """A text column as PDF files: pages of ``lines`` lines, of which every second is shown first, in two parts. Every
+    second page shows its lines through a form that moves them to their place."""
 
     def made(text: str) -> bytes:
         said = text.split("\n")
         parts = [said[i : i + lines] for i in range(0, len(said), lines)]
         objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count %d/Kids[%s]/Resources<</Font<</F1 3 0 R>>>>>>" % (len(parts), b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(parts)))), b"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding/WinAnsiEncoding/FirstChar 0/Widths[" + b"600 " * 256 + b"]>>"]
         for i, part in enumerate(parts):
-            shown = []
+            shown, form = [], i % 2
             for n in [*range(1, len(part), 2), *range(0, len(part), 2)]:
                 half = len(part[n]) // 2
                 for start, x in ((0, part[n][:half]), (half, part[n][half:])):
                     escaped = x.encode("cp1252", "replace").replace(b"\\", rb"\\").replace(b"(", rb"\(").replace(b")", rb"\)")
-                    shown.append(b"BT /F1 10 Tf %d %d Td (%s) Tj ET" % (50 + 6 * start, 700 - 12 * n, escaped))
+                    shown.append(b"BT /F1 10 Tf %d %d Td (%s) Tj ET" % ((0 if form else 50) + 6 * start, 700 - 12 * n, escaped))
             data = zlib.compress(b"\n".join(shown))
-            objects += [b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (5 + 2 * i), b"<</Length %d/Filter/FlateDecode>>\nstream\n%s\nendstream" % (len(data), data)]
+            kind, named = (b"/Type/XObject/Subtype/Form/BBox[0 0 600 800]/Matrix[1 0 0 1 50 0]", b"/Contents %d 0 R/Resources<</Font<</F1 3 0 R>>/XObject<</X %d 0 R>>>>" % (4 + 2 * len(parts), 5 + 2 * i)) if form else (b"", b"/Contents %d 0 R" % (5 + 2 * i))
+            objects += [b"<</Type/Page/Parent 2 0 R%s>>" % named, b"<</Length %d/Filter/FlateDecode%s>>\nstream\n%s\nendstream" % (len(data), kind, data)]
+        objects.append(b"<</Length 10>>\nstream\nq /X Do Q \nendstream")
         return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (i + 1, o) for i, o in enumerate(objects)) + b"\ntrailer\n<</Root 1 0 R>>\n%%EOF"
 
     @F.arrow_udf("binary")

@@ -6,15 +6,18 @@ the height changes by more than half the size of the letters, and a line's runs
 is a gap. Pages follow each other. So a long file is read once, and its pages are worked on by themselves.
 
 What is read: objects in the file or in object streams, the page tree with inherited resources, streams without a filter or with
-Flate, ASCII85 or ASCIIHex, simple fonts (Windows or Latin-1 codes, differences by letter names, ``ToUnicode``) and fonts of two-byte
-codes with ``ToUnicode``, text and graphics matrices. Not: encrypted files, forms inside pages, predictors, fonts without names for
-their codes. A file that can't be read gives no pages: its text is null, and ``message`` says so.
+Flate, ASCII85 or ASCIIHex, simple fonts (Windows or Latin-1 codes, differences by names of characters, ``ToUnicode``) and fonts of
+two-byte codes with ``ToUnicode``, text and graphics matrices, forms that pages or other forms show, at their places. Pictures within
+a content are passed over, as are forms that can't be read, forms that show themselves, and characters that a font gives no name
+or an unknown one. Not read: encrypted files, predictors. A file that can't be read gives no pages: its text is null, and
+``message`` says so.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import unicodedata
 import zlib
 
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from bibspark.storage import materialize
 
-PAGES = "source_path string, page int, content binary, fonts string"
+PAGES = "source_path string, page int, content binary, fonts string, shown string, forms string"
 RUNS = "source_path string, page int, seq int, x double, y double, size double, width double, text string"
 NOT_READ = "Could not read the document."
 
@@ -32,9 +35,47 @@ _TOKEN = regex.compile(rb"""(?xs)(?:[\0\t\n\f\r\ ]|%[^\r\n]*)*+(?:
   (?P<string>\()|(?P<hex><(?!<)[^>]*>)|(?P<ref>(\d+)\s+(\d+)\s+R(?![^\s/<>\[\]()]))|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))|/(?P<name>[^\0\t\n\f\r\ ()<>\[\]{}/%]*)|(?P<mark><<|>>|\[|\])|(?P<word>[^\0\t\n\f\r\ ()<>\[\]{}/%]+))""")
 _STRING = regex.compile(rb"(?s)\\(?:[0-7]{1,3}|\r\n|.)|[()]|[^\\()]+")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+#: Names that fonts give to characters, as public lists of glyph names have them; single letters are their own names.
+_GLYPHS = dict(x.rsplit("=", 1) for x in """
+exclam=! quotedbl=" numbersign=# dollar=$ percent=% ampersand=& quotesingle=' parenleft=( parenright=) asterisk=* plus=+ comma=, hyphen=- period=.
+slash=/ zero=0 one=1 two=2 three=3 four=4 five=5 six=6 seven=7 eight=8 nine=9 colon=: semicolon=; less=< greater=> question=? at=@
+bracketleft=[ backslash=\\ bracketright=] asciicircum=^ underscore=_ grave=` braceleft={ bar=| braceright=} asciitilde=~
+ff=ff fi=fi fl=fl ffi=ffi ffl=ffl quoteleft=‘ quoteright=’ quotesinglbase=‚ quotedblleft=“ quotedblright=” quotedblbase=„
+guilsinglleft=‹ guilsinglright=› guillemotleft=« guillemotright=» endash=– emdash=— ellipsis=… bullet=• dagger=† daggerdbl=‡
+exclamdown=¡ questiondown=¿ cent=¢ sterling=£ yen=¥ Euro=€ section=§ paragraph=¶ copyright=© registered=® trademark=™ degree=°
+plusminus=± minus=− multiply=× divide=÷ mu=µ periodcentered=· fraction=⁄ ordfeminine=ª ordmasculine=º
+ae=æ AE=Æ oe=œ OE=Œ germandbls=ß eth=ð Eth=Ð thorn=þ Thorn=Þ dotlessi=ı dotlessj=ȷ
+""".split()) | {"equal": "=", "space": " "}
+_ACCENTS = {
+    "acute": "acute", "breve": "breve", "caron": "caron", "cedilla": "cedilla", "circumflex": "circumflex", "dieresis": "diaeresis", "dotaccent": "dot above", "grave": "grave",
+    "hungarumlaut": "double acute", "macron": "macron", "ogonek": "ogonek", "ring": "ring above", "slash": "stroke", "tilde": "tilde",
+}
+_BROKEN = (ValueError, KeyError, TypeError, AttributeError, zlib.error)  # what an object raises that isn't as it should be
+_STILL = [1, 0, 0, 1, 0, 0]
+_PICTURE_ENDS = regex.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|$)")
+
 _OBJECT = regex.compile(rb"(?:^|[\r\n\s])(\d+)\s+\d+\s+obj\b")
 
 
+def glyph(name: str) -> str | None:
+    """The text of a character by its name in a font; parts are joined by ``_``, and a variant follows a dot."""
+
+    def part(x: str) -> str | None:
+        if len(x) == 1 or x in _GLYPHS:
+            return _GLYPHS.get(x, x)
+        if m := regex.fullmatch("uni((?:[0-9A-F]{4})+)", x):
+            return bytes.fromhex(m[1]).decode("utf-16-be", "replace")
+        if (m := regex.fullmatch("u([0-9A-F]{4,6})", x)) and int(m[1], 16) < 0x110000 and int(m[1], 16) >> 11 != 27:
+            return chr(int(m[1], 16))
+        try:
+            return unicodedata.lookup(f"latin {'capital' if x[0].isupper() else 'small'} letter {x[0]} with {_ACCENTS[x[1:]]}")
+        except KeyError:
+            return None
+
+    found = [part(x) for x in name.partition(".")[0].split("_") if x]
+    return "".join(found) if found and None not in found else None
+
+
 class Name(str):
     pass
 
@@ -82,6 +123,9 @@ def tokens(raw: bytes, at: int = 0):
             value = Name(regex.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m["name"]).decode("latin-1"))
         else:
             value = m["word"].decode("latin-1")
+            if value == "ID" and not stack:  # bytes of a picture follow
+                over = _PICTURE_ENDS.search(raw, at)
+                at = over.end() if over else len(raw)
         if stack:
             stack[-1].append(value)
         else:
@@ -143,7 +187,7 @@ class File:
         return self.decoded(*self.object(ref)) if isinstance(ref, Ref) else b""
 
     def pages(self):
-        """(contents, fonts by name) in order."""
+        """(contents, fonts by name, numbers of forms by name, forms by number) in order."""
         waiting, seen = [(self.of(self.root)["Pages"], {})], set()
         while waiting:
             ref, above = waiting.pop()
@@ -157,8 +201,36 @@ class File:
                 continue
             parts = self.of(node.get("Contents")) or []
             parts = parts if isinstance(parts, list) else [node["Contents"]]
-            fonts = self.of(resources.get("Font")) or {}
-            yield b"\n".join(map(self.stream, parts)), {n: self.font(self.of(f)) for n, f in fonts.items()}
+            yield b"\n".join(map(self.stream, parts)), self.fonts(resources), self.shown(resources), self.forms(resources)
+
+    def fonts(self, resources: dict) -> dict:
+        return {n: self.font(self.of(f)) for n, f in (self.of(resources.get("Font")) or {}).items()}
+
+    def shown(self, resources: dict) -> dict[str, int]:
+        """Object numbers of the forms that ``resources`` name."""
+        named = self.of(resources.get("XObject"))
+        heads = {n: (r, self.of(r)) for n, r in named.items() if isinstance(r, Ref)} if isinstance(named, dict) else {}
+        return {n: int(r) for n, (r, head) in heads.items() if isinstance(head, dict) and head.get("Subtype") == "Form"}
+
+    def forms(self, resources: dict) -> dict[int, dict]:
+        """Every form that a page with ``resources`` may show, by itself or through others, once. One without resources of its own
+        uses those of what shows it."""
+        found, waiting = {}, [(n, resources) for n in self.shown(resources).values()]
+        while waiting:
+            n, above = waiting.pop()
+            if n in found:
+                continue
+            found[n] = None
+            try:
+                head = self.of(Ref(n))
+                inside = self.of(head.get("Resources")) or above
+                matrix = [float(self.of(x)) for x in self.of(head.get("Matrix")) or _STILL]
+                form = {"content": self.stream(Ref(n)).decode("latin-1"), "fonts": self.fonts(inside), "shown": self.shown(inside), "matrix": matrix if len(matrix) == 6 else _STILL}
+            except _BROKEN:
+                continue
+            found[n] = form
+            waiting += [(x, inside) for x in form["shown"].values()]
+        return {n: f for n, f in found.items() if f}
 
     def font(self, font: dict) -> dict:
         """wide (two bytes a code), codes (text of a code), widths (of a code, in thousandths)."""
@@ -168,7 +240,7 @@ class File:
             at = 0
             for x in self.of(encoding.get("Differences")) or []:
                 if isinstance(x, Name):
-                    text = x if len(x) == 1 else chr(int(x[3:7], 16)) if regex.fullmatch("uni[0-9A-F]{4}", x) else None
+                    text = glyph(x)
                     codes |= {at: text} if text else {}
                     at += 1
                 else:
@@ -202,10 +274,10 @@ def _pages(batches):
     for batch in batches:
         for path, raw in zip(batch.column("source_path").to_pylist(), batch.column("content").to_pylist()):
             try:
-                rows = [(path, i, content, json.dumps(fonts)) for i, (content, fonts) in enumerate(File(raw or b"").pages())]
-            except (ValueError, KeyError, TypeError, AttributeError, zlib.error):  # not a file of this format, or none that is read here
+                rows = [(path, i, content, *map(json.dumps, rest)) for i, (content, *rest) in enumerate(File(raw or b"").pages())]
+            except _BROKEN:  # not a file of this format, or none that is read here
                 rows = []
-            kinds = (pa.string(), pa.int32(), pa.binary(), pa.string())
+            kinds = (pa.string(), pa.int32(), pa.binary(), *[pa.string()] * 3)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in PAGES.split(", ")])
 
 
@@ -213,10 +285,9 @@ def _times(a: list, b: list) -> list:
     return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]]
 
 
-def placed(content: bytes, fonts: dict):
-    """(x, y, size, width, text) of each run that a page shows, in the order of its content."""
-    still = [1, 0, 0, 1, 0, 0]
-    page, saved, text, line, held = still, [], still, still, []
+def placed(content: bytes, fonts: dict, shown: dict | None = None, forms: dict | None = None, page: list = _STILL, within: tuple = ()):
+    """(x, y, size, width, text) of each run that a page shows, in the order of its content. ``within``: the forms around it."""
+    saved, text, line, held = [], _STILL, _STILL, []
     font, size, lead, between, words, scale = {"wide": False, "codes": {}, "widths": {}}, 1.0, 0.0, 0.0, 0.0, 1.0
 
     def show(raw: bytes):
@@ -242,7 +313,7 @@ def placed(content: bytes, fonts: dict):
             elif value == "cm":
                 page = _times(held[-6:], page)
             elif value == "BT":
-                text = line = still
+                text = line = _STILL
             elif value == "Tf":
                 font, size = fonts.get(held[-2], font), held[-1]
             elif value in ("Tc", "Tw", "TL", "Tz"):
@@ -253,6 +324,8 @@ def placed(content: bytes, fonts: dict):
                 text = line = _times([1, 0, 0, 1, *held[-2:]], line)
             elif value == "Tm":
                 text = line = held[-6:]
+            elif value == "Do" and (number := (shown or {}).get(held[-1])) not in (None, *within) and (form := (forms or {}).get(str(number))):
+                yield from placed(form["content"].encode("latin-1"), form["fonts"], form["shown"], forms, _times(form["matrix"], page), (*within, number))
             if value in ("T*", "'", '"'):
                 text = line = _times([1, 0, 0, 1, 0, -lead], line)
             if value == '"':
@@ -273,8 +346,8 @@ def placed(content: bytes, fonts: dict):
 def _runs(batches):
     kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.string())
     for batch in batches:
-        for path, page, content, fonts in zip(*(batch.column(c).to_pylist() for c in ("source_path", "page", "content", "fonts"))):
-            rows = [(path, page, i, *map(float, r[:4]), r[4]) for i, r in enumerate(placed(content, json.loads(fonts))) if r[4]]
+        for path, page, content, *rest in zip(*(batch.column(c.split()[0]).to_pylist() for c in PAGES.split(", "))):
+            rows = [(path, page, i, *map(float, r[:4]), r[4]) for i, r in enumerate(placed(content, *map(json.loads, rest))) if r[4]]
             rows.append((path, page, None, None, None, None, None, None))  # a page may have no text
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in RUNS.split(", ")])
 

@@ -43,6 +43,8 @@ def test_operators_and_encodings(spark):
         "differences": shown(b"BT /F 10 Tf 50 700 Td (A\001\002) Tj ET", FONT.replace(b"/Type/Font", b"/Encoding<</Differences[1/uni00E9 66/x 2/B]>>")),
         "two bytes": shown(b"BT /F 10 Tf 50 700 Td <0001000200100012002000210099> Tj ET", b"<</Subtype/Type0/ToUnicode 6 0 R>>", stream(zlib.compress(cmap), b"/Filter/FlateDecode")),
         "filters": file(*TREE, FONT, stream(b"<~" + __import__("base64").a85encode(zlib.compress(b"BT /F 10 Tf (packed) Tj ET")) + b"~>", b"/Filter[/ASCII85Decode/FlateDecode]")),
+        "pictures": shown(b"BT /F 10 Tf 50 700 Td (a) Tj ET BI /W 2 /H 1 ID \x00( EIx [<\xff EI BT /F 10 Tf 50 600 Td (b) Tj ET"),
+        "names": shown(b"BT /F 10 Tf 50 700 Td (\001\002\003\004\005\006\007) Tj ET", FONT.replace(b"/Type/Font", b"/Encoding<</Differences[1/ffi/eacute/f_i.alt/quotedblleft/Scaron/unknown/u1F600]>>")),
         "parts": file(*TREE[:2], b"<</Contents [5 0 R 6 0 R]>>", FONT, stream(b"BT /F 10 Tf (in ", length=b"7 0 R"), stream(b"two) Tj ET"), b"16"),
         "no text": shown(b"0 0 m 10 10 l S"),
         "odd": shown(b"BT Tj /F Tf ( ) Tj 1 Td [ (x Tj"),
@@ -58,11 +60,33 @@ def test_operators_and_encodings(spark):
     bad = (None, pdf.NOT_READ)
     want = {
         "order": "above right\nbelow", "lines": "one\ntwo\nthree\nfour\nfive\nsix", "array": "Hello there!", "strings": "a(b)(c) A+ \\ Hix", "matrices": "left near large",
-        "differences": "A\u00e9B", "two bytes": "A\U0001f600acxyz", "filters": "packed", "parts": "in \ntwo", "no text": "", "odd": " ", "object stream": "inside",
+        "differences": "A\u00e9B", "two bytes": "A\U0001f600acxyz", "filters": "packed", "parts": "in \ntwo", "pictures": "a\nb", "names": "ffi\u00e9fi\u201c\u0160\x06\U0001f600", "no text": "", "odd": " ", "object stream": "inside",
     }
     assert {k: v[0] for k, v in got.items() if v != bad} == want and all(got[k] == bad for k in ("encrypted", "junk", "empty", "null", "bad filter", "broken"))
 
 
+def test_forms(spark):
+    form = lambda content, more=b"": stream(content, b"/Subtype/Form" + more)
+    page = lambda content, forms, *objects: file(TREE[0], b"<</Kids[3 0 R]/Resources<</Font<</F 4 0 R>>/XObject<<%s>>>>>>" % forms, TREE[2], FONT, stream(content), *objects)
+    said = b"BT /F 10 Tf 0 0 Td (%s) Tj ET"
+    other = FONT.replace(b"/Type/Font", b"/Encoding<</Differences[97/z]>>")
+    files = {
+        "places": page(b"q 1 0 0 1 0 500 cm /A Do Q /A Do q 2 0 0 2 0 100 cm /A Do Q", b"/A 6 0 R", form(said % b"again", b"/Matrix[1 0 0 1 50 100]")),
+        "fonts": page(b"/A Do BT /F 10 Tf 0 50 Td (a) Tj ET", b"/A 6 0 R", form(said % b"a", b"/Resources<</Font<</F 7 0 R>>>>"), other),
+        "nested": page(b"/A Do", b"/A 6 0 R", form(said % b"out" + b" 1 0 0 1 0 -20 cm /B Do", b"/Resources<</Font<</F 4 0 R>>/XObject<</B 7 0 R>>>>"), form(said % b"in")),
+        "within itself": page(b"/A Do", b"/A 6 0 R", form(said % b"once" + b" /B Do", b"/Resources<</Font<</F 4 0 R>>/XObject<</B 7 0 R>>>>"), form(b"/A Do", b"/Resources<</XObject<</A 6 0 R>>>>")),
+        "not read": page(b"/A Do /B Do /C Do /D Do " + said % b"left", b"/A 6 0 R/B 7 0 R/C 99 0 R", form(b"x", b"/Filter/JPXDecode"), stream(said % b"picture", b"/Subtype/Image")),
+    }
+    got = texts(spark, files)
+    assert got == {"places": ("again\nagain\nagain", None), "fonts": ("a\nz", None), "nested": ("out\nin", None), "within itself": ("once", None), "not read": ("left", None)}
+
+
+def test_names_of_characters():
+    named = {"A": "A", "one": "1", "equal": "=", "backslash": "\\", "underscore": "_", "space": " ", "quotedbl": '"', "oslash": "\u00f8", "Lslash": "\u0141", "udieresis": "\u00fc", "Aring": "\u00c5", "ccedilla": "\u00e7",
+             "ohungarumlaut": "\u0151", "zdotaccent": "\u017c", "uni00410042": "AB", "uniD83DDE00": "\U0001f600", "uniD83D": "\ufffd", "uD83D": None, "u110000": None, "T_h": "Th", "a.sc": "a", "": None, ".notdef": None, "_": None, "g12": None, "f_g12": None}
+    assert {n: pdf.glyph(n) for n in named} == named
+
+
 def test_files_on_disk_give_their_references(spark, tmp_path):
     docs = corpus.ref_documents(spark, "/root/testdata/sf0.001").select("doc_id", "content", corpus.as_pdf(F.col("content")).alias("pdf")).collect()
     for r in docs:
