@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from bibspark.functions.chars import let
 from bibspark.storage import delete, materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "delete", "holds", "let", "materialize", "only", "release", "shared_dir", "trim"]
+__all__ = ["SPACE", "WORD", "delete", "holds", "let", "materialize", "only", "release", "shared_dir", "shuffled", "trim"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast. A table that grows with the input may look small as it is compressed, and
+    the driver would hold it several times over."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of queries that are over, so that they don't pile up on disk."""
     import gc

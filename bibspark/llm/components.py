@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffled
 
 MAX_ROUNDS = 200
 
@@ -20,7 +20,7 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
     least = sides.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
     least = least.withColumn("m", F.least("m", "n"))
-    met = sides.join(least, F.col("a") == F.col("n"))
+    met = sides.join(shuffled(least), F.col("a") == F.col("n"))
     if both:  # the larger neighbours of a node go to its least one
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # the smaller neighbours and the node itself go to the least one

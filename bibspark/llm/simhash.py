@@ -13,7 +13,7 @@ matches rare up to billions of fingerprints.
 Only distinct fingerprints take part; copies are attached by the fingerprint. A table entry that many fingerprints meet
 (a large group of near copies) is cut by a hash into chunks of bounded size; every pair of chunks is verified in a task
 of its own by blocks of exclusive-or and bit counts, and gives the edges of a spanning forest, never all its pairs.
-Components are then found by rounds of joins. Nothing is dropped or capped.
+Components are then found by rounds of joins. Nothing is dropped or capped. No join is broadcast, so the driver holds none of it.
 
 Defined results: null text is a text without words; its fingerprint is zero and links like any other. An empty table
 gives no rows. Rows that repeat a doc_id give a row each. Null doc_ids get a row, and a component if a row with an id is
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, only
+from .common import materialize, only, shuffled
 from .components import components
 
 BLOCK = 1 << 16
@@ -132,7 +132,7 @@ def links(prints: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     # the entries that something meets, with the number of chunks that members and lookups are cut into
     parts = lambda c: F.ceil(c / F.lit(chunk)).cast("int")
     sums = sums.select(F.col("entry").alias("e"), parts(F.col("n_own")).alias("k_own"), parts(F.col("n")).alias("k_all"))
-    met = rows.join(sums, F.col("entry") == F.col("e")).withColumn("h", F.xxhash64("fp"))
+    met = rows.join(shuffled(sums), F.col("entry") == F.col("e")).withColumn("h", F.xxhash64("fp"))
     mine = F.pmod("h", F.col("k_own")).cast("int")
     other = F.pmod("h", F.col("k_all")).cast("int")
     # a member goes to its chunk of members, against each chunk of lookups, and is also a lookup; lookups meet all chunks
@@ -149,16 +149,16 @@ def classes(prints: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame
     edges = links(first.select("fp"), radius, chunk)
     # Fingerprints are the nodes of the graph; the component of a node is named by a fingerprint first.
     found = components(edges)
-    groups = first.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    groups = first.join(shuffled(found), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
     least = groups.groupBy("class").agg(F.min("first").alias("component_id"))
-    return groups.join(least, "class").select("fp", "component_id")
+    return groups.join(shuffled(least), "class").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id within reach) for each row of ``docs``."""
     prints = materialize(fingerprints(docs, size), "simhash")
     named = classes(prints, radius, chunk).withColumnRenamed("fp", "f")
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(shuffled(named), F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
