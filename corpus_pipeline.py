@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.llm import langid, lines, mixing, pieces, simhash
-from bibspark.llm.common import materialize
+from bibspark.llm.common import materialize, shuffled
 from bibspark.storage import scratch
 
 #: Below this score a text is rejected, along with those without a letter. The votes alone give 0.25 or more; what falls
@@ -51,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     none = F.col("key.id").isNull().alias("none")
     prints = materialize(simhash.fingerprints(rows.select(F.struct(none, "key.id", "key.h1", "key.h2").alias("doc_id"), "text")), "simhash")
     first = simhash.classes(prints).select("component_id.h1", "component_id.h2").distinct()
-    kept = rows.join(first, (F.col("key.h1") == first["h1"]) & (F.col("key.h2") == first["h2"]), "left_semi")
+    kept = rows.join(shuffled(first), (F.col("key.h1") == first["h1"]) & (F.col("key.h2") == first["h2"]), "left_semi")
     # rows that are equal in all columns are one
     kept = kept.select("row", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2")).dropDuplicates(["h1", "h2"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
