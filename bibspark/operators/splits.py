@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import splits
-from bibspark.functions.chars import py_trim
+from bibspark.functions.chars import bounded, py_trim
 from bibspark.functions.scanner import _HEAD, NO_RECORD
 from bibspark.storage import materialize, scratch
 
@@ -41,7 +41,7 @@ def _units(text: str) -> int:
 
 
 def _changes(batches):
-    for batch in batches:
+    for batch in bounded(batches):
         rows = []
         for path, at, text in zip(*(batch.column(c).to_pylist() for c in ("source_path", "at", "content"))):
             text = text or ""
@@ -96,7 +96,7 @@ def _cut(batches, strict: bool):
     whole piece, ``close`` ends one."""
     names = [c.split()[0] for c in _ITEMS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    for batch in batches:
+    for batch in bounded(batches):
         rows = []
         for path, here, text, before, next_at in zip(*(batch.column(c).to_pylist() for c in ("source_path", "at", "content", "before", "next_at"))):
             text, state = text or "", splits.State(*json.loads(before))
