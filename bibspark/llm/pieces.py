@@ -11,7 +11,8 @@ start to those at its end, each chunk on its own; paths from different states ru
 followed no further. Matrices are combined associatively: those of a block of ``FAN`` chunks by a tree of (max, +) products,
 each block in a task of its own, into one. The blocks' matrices of a text (at most 2^31 / (CHUNK FAN) of them) give the states
 at the blocks' ends; each block then finds the states at its chunks' ends between its own two, and each chunk is traced back
-independently between its two states. A text of one chunk has one state at either end. Inside a chunk, positions that no
+independently between its two states. A text that one task holds (of ``CHUNK`` characters at most) goes the same way in there, in
+chunks of ``PART``: matrices, their tree of products, the states at all boundaries, and a trace for each chunk. Inside a chunk, positions that no
 piece crosses (the end of a word) have a single state too: from the first to the last of them the matrix is the same for all
 states, and what lies between two of them is looked up in a bounded cache, and scanned only once.
 
@@ -40,6 +41,7 @@ from .common import holds, materialize, only, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15  # characters
+PART = 1 << 12  # characters of a chunk of a text that is encoded in one task
 FAN = 512  # chunks whose matrices are combined in one task
 MARK, SPACE = "▁", " "  # what models write for a space, and what stands for both in here
 CACHE, HEADS, PAIRS = 200_000, 50_000, 200_000  # entries that a worker keeps for speed; results don't depend on them
@@ -96,7 +98,7 @@ class Model:
         runs = [f"{SPACE}*{lead}{plain}+{glued}", f"{SPACE}*{any_of(marks)}+", f"{SPACE}+", any_of(alone)]
         self.cut = re.compile("|".join(runs) if words else r"(?s).+")
         self.pairs: dict[str, dict[str, bool]] = {}
-        self.n_pairs, self.lossy = 0, False
+        self.n_pairs = 0
         # pieces that merging gives at all, with the stages of their merging
         self.edges = {p: x for p in pieces if (x := self.stages(p))} if bpe else dict.fromkeys(pieces, [])
         self.packed_of = {p: i.to_bytes(4, "little") for p, i in pieces.items()}
@@ -104,6 +106,7 @@ class Model:
         self.text_of = {i: p.encode() for p, i in pieces.items()}
         for b, i in enumerate(byte_ids or []):
             self.text_of[i] = bytes([b])
+        self.all_texts = pa.array([self.text_of.get(i, b"") for i in range(max(self.text_of, default=0) + 1)], pa.binary())
 
     @staticmethod
     def load(path: str = MODEL) -> Model:
@@ -243,13 +246,14 @@ class Model:
             return None
         # where a stretch ends and another begins is told by the characters there, wherever the search began; the last one
         # found ends where the chunk does, or not
-        near = [m.end() for m in self.cut.finditer(text, max(one.end(), b1 - 512), b1)][:-1]
+        near = [m.end() for m in self.cut.finditer(text, max(one.end(), b1 - 128), b1)][:-1]
         if not near:
             near = [one.end(), *(m.end() for m in self.cut.finditer(text, one.end(), b1))][:-1]
         return one.end(), near[-1]
 
-    def transfer(self, text: str, b0: int, b1: int) -> list[tuple[int, int, int, int, float]]:
-        """The matrix of the chunk from ``b0`` to ``b1`` of ``text``: (start, end) of the states at both, and the weight.
+    def transfer(self, text: str, b0: int, b1: int, cuts: tuple | None | bool = False) -> list[tuple[int, int, int, int, float]]:
+        """The matrix of the chunk from ``b0`` to ``b1`` of ``text``: (start, end) of the states at both, and the weight. ``cuts``: those
+        of the chunk, if they are known.
 
         What lies between the first and the last cut weighs the same on all paths, and is left out."""
         enter = [(0, 0)] if b0 == 0 else self.states(text, b0)
@@ -258,7 +262,7 @@ class Model:
         def ends(nodes: dict) -> list[tuple[int, int, float]]:
             return [(i - b1, j - b1, nodes[i][0] + self.weight(text[i:j])) for i, j in leave if i in nodes and self.follows(nodes[i][1], text[i:j])]
 
-        cuts = self.cuts(text, b0, b1)
+        cuts = self.cuts(text, b0, b1) if cuts is False else cuts
         if cuts:
             after = ends(self.forward(text, cuts[1], b1, "")[0])
             before = [(s, e, self.forward(text, b0 + e, cuts[0], text[b0 + s : b0 + e])[0].get(cuts[0])) for s, e in enter]
@@ -274,11 +278,11 @@ class Model:
             out += [(s, e, i, j, w) for i, j, w in ends(nodes)]
         return out
 
-    def trace(self, text: str, b0: int, b1: int, enter: tuple[int, int], leave: tuple[int, int]) -> tuple[list[str], str, list[str]]:
+    def trace(self, text: str, b0: int, b1: int, enter: tuple[int, int], leave: tuple[int, int], cuts: tuple | None | bool = False) -> tuple[list[str], str, list[str]]:
         """The edges after the state ``enter`` at ``b0``, up to and with the state ``leave`` at ``b1``: up to the first cut, the
         text from there to the last cut, and the edges after it."""
         start, end, edge = b0 + enter[1], b1 + leave[0], text[b0 + enter[0] : b0 + enter[1]]
-        cuts = self.cuts(text, b0, b1)
+        cuts = self.cuts(text, b0, b1) if cuts is False else cuts
         head, middle = [], ""
         if cuts:
             head = self.back(text, self.forward(text, start, cuts[0], edge)[0], cuts[0], start)
@@ -303,25 +307,32 @@ class Model:
 
     def _lacking(self, t: str) -> bytes:
         if not self.byte_ids:
-            self.lossy = True  # an unknown id reads as nothing
             return self.unknown.to_bytes(4, "little")
         return b"".join(self.byte_ids[b].to_bytes(4, "little") for b in t.encode("utf-8", "surrogatepass"))
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text of one chunk."""
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.cut.findall(self.normal(text)))), "<i4")
+    def bounds(self, n: int, size: int) -> list[int]:
+        """Where chunks of about ``size`` of a text of ``n`` characters begin, and its end."""
+        return [0, *range(size, n - max(size // 2, self.longest), size), n]
+
+    def encode(self, text: str, size: int = PART) -> np.ndarray:
+        """The ids of a text that a task holds: its chunks' matrices are combined, and each chunk is traced between its states."""
+        text = self.normal(text)
+        if not text:
+            return np.zeros(0, "<i4")
+        bounds = self.bounds(len(text), size)
+        chunks = [(a, b, self.cuts(text, a, b)) for a, b in zip(bounds, bounds[1:])]
+        matrices = [[dict(zip("seijw", row)) for row in self.transfer(text, *c)] for c in chunks]
+        states = combine(matrices, *combine([block_matrix(matrices)]))
+        return np.frombuffer(b"".join(self.traced(text, a, b, x, y, c) for (a, b, c), x, y in zip(chunks, states, states[1:])), "<i4")
 
     def raw(self, ids) -> bytes:
-        return b"".join(map(self.text_of.get, ids, repeat(b"")))
+        ids = np.asarray(ids, np.int64)
+        got = self.all_texts.take(pa.array(ids[(ids >= 0) & (ids < len(self.all_texts))]))
+        return got.buffers()[2].to_pybytes() if got.nbytes and got.buffers()[2] else b""
 
     def decode(self, ids) -> str:
         return self.raw(ids).decode("utf-8", "replace")[1 if self.prefix else 0 :]
 
-    def lossless(self, text: str, ids: np.ndarray) -> bool:
-        """Whether the ids that ``encode`` gave read as the text. Edges are the text, cut up, and an id reads as its edge; so whole
-        texts are decoded only where the model lacks an edge, or a mark stands in the text."""
-        return not self.lossy and MARK not in text or self.decode(ids.tolist()) == text
-
 
 class _Cache(dict):
     """Packed ids of a stretch of text between two positions that no piece crosses."""
@@ -409,24 +420,25 @@ def model_at(path: str) -> Model:
 RESULT = pa.schema([("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
 
 
-def _result(ids: list[np.ndarray | None], texts: list[str | None], model: Model, whole: bool = False) -> pa.StructArray:
+def _result(ids: list[np.ndarray | None], texts: list[str | None], model: Model) -> pa.StructArray:
     sizes = [0 if x is None else len(x) for x in ids]
     flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]).astype(np.int32)
     none = pa.array([x is None for x in ids])
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=none) if ids else pa.array([], pa.list_(pa.int32()))
-    same = pa.array([None if x is None else model.decode(x.tolist()) == t if whole else model.lossless(t, x) for x, t in zip(ids, texts)], pa.bool_())
+    same = pa.array([None if x is None else model.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())
     n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
     return pa.StructArray.from_arrays([n, lists, same], fields=list(RESULT))
 
 
-def _encode_short(batches, path: str):
+def _encode_short(batches, path: str, size: int = PART):
+    """Texts that a task holds, each in chunks of ``size``."""
     model = model_at(path)
     for batch in batches:
         texts = batch.column("text")
         at, held, ids, said = 0, 0, [], []
         for i in range(batch.num_rows):
             text = texts[i].as_py()
-            ids.append(None if text is None else model.encode(text))
+            ids.append(None if text is None else model.encode(text, size))
             said.append(text)
             held += len(ids[-1]) if text is not None else 0
             if held > OUT or i + 1 == batch.num_rows:
@@ -441,7 +453,7 @@ def _chunks(batches, path: str, size: int):
     for batch in batches:
         for i in range(batch.num_rows):
             text = model.normal(batch.column("text")[i].as_py())
-            bounds = list(range(0, len(text) - max(size // 2, side), size)) + [len(text)]
+            bounds = model.bounds(len(text), size)
             rows = [(k, max(0, a - side), a, b, text[max(0, a - side) : b + side]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
             for k, at, a, b, part in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("uid")[i].as_py()], pa.int64()), pa.array([k], pa.int64()), pa.array([a - at], pa.int64()), pa.array([b - at], pa.int64()), pa.array([part])], ["uid", "chunk", "b0", "b1", "part"])
@@ -532,7 +544,7 @@ def _checked(batches, path: str):
     for batch in batches:
         for i in range(batch.num_rows):
             ids = np.frombuffer(b"".join(x["ids"] for x in batch.column("packed")[i].as_py()), "<i4")
-            yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1), _result([ids], [batch.column("text")[i].as_py()], model, whole=True)], ["row", "encoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1), _result([ids], [batch.column("text")[i].as_py()], model)], ["row", "encoded"])
 
 
 def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
@@ -543,7 +555,7 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: int = FA
     kind = dict(rows.dtypes)["row"]
     result = f"row {kind}, encoded struct<n_ids: bigint, ids: array<int>, lossless: boolean>"
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = rows.where(~giant).mapInArrow(partial(_encode_short, path=path), result)
+    short = rows.where(~giant).mapInArrow(partial(_encode_short, path=path, size=min(PART, chunk)), result)
     # the ids of rows hold for what has been written
     long = materialize(rows.where(giant).withColumn("uid", F.monotonically_increasing_id()), "giant")
     parts = materialize(long.select("uid", "text").mapInArrow(partial(_chunks, path=path, size=chunk), "uid long, chunk long, b0 long, b1 long, part string"), "chunks")

@@ -207,6 +207,24 @@ def test_scan_of_byte_pair_chunks_is_merging():
         assert chunked(model, text, rng.randint(9, 30)) == model.merged(text)
 
 
+def test_texts_of_one_task_go_through_matrices(monkeypatch):
+    rng, met = random.Random(4), []
+    product = pieces.product
+    monkeypatch.setattr(pieces, "product", lambda a, b: met.append(1) or product(a, b))
+    for bpe in (True, False):
+        for _ in range(30):
+            vocab = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): float(-i) for i in range(14)}
+            model = pieces.Model({p: i for i, p in enumerate(vocab)}, vocab, bpe, None, unknown=999, prefix=False)
+            text = "".join(rng.choice("abcd") for _ in range(rng.randint(60, 120)))
+            got = model.encode(text, 20).tolist()
+            if bpe:
+                assert got == [vocab.get(p) is None and 999 or list(vocab).index(p) for p in model.merged(text)]
+            else:
+                assert abs(sum(model.worst if i == 999 else list(vocab.values())[i] for i in got) - best_weight(model, text)) < 1e-6
+            assert met
+            met.clear()
+
+
 def test_encoding_is_the_library_s(spark, odd, none, docs):
     import sentencepiece
 
