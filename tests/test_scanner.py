@@ -140,3 +140,10 @@ def test_a_quote_behind_a_word_hides_fields():
     raw = '@a{k, title = {he said\\" so}, year = {2001}}'
     assert by_the_loop(raw, "year") is None and s.fields_of(raw, ["year"]) == [None]
     assert s.fields_of(raw.replace("said", "said "), ["year"]) == ["2001"]
+
+
+def test_words_before_no_field_are_passed_in_one_match():
+    words = 'some words, (and more) café x-y z'
+    assert s._WORDS.match(words).end() == len(words)
+    assert s._WORDS.match("a b　=").end() == 2 and s._WORDS.match('ab"c"').end() == 5 and s._WORDS.match('ab {').end() == 3
+    assert s.fields_of("@misc{k, " + words + ' year 　= {1}, title="q"}', ["year", "title"]) == ["1", "q"]
