@@ -31,6 +31,14 @@ def rebuild_entry(kind: Column, key: Column, fields: Column) -> Column:
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.array_join(lines, ""), F.lit("}"))
 
 
+def rebuilt(kind: Column, key: Column, values: dict[str, Column], fields: Column) -> Column:
+    """``rebuild_entry`` of an entry whose fields of ORDER are the columns ``values`` (null: none); of ``fields`` only the others count."""
+    line = lambda n, v: F.concat(F.lit("  "), n, F.lit(" = {"), v, F.lit("},\n"))
+    others = F.filter(fields, lambda f: ~f["name"].isin(*ORDER))
+    rest = F.when(F.size(others) > 0, F.array_join(F.transform(others, lambda f: line(f["name"], f["value"])), ""))
+    return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.concat_ws("", *[line(F.lit(n), values[n]) for n in ORDER], rest), F.lit("}"))
+
+
 def _bodies(entries: DataFrame, text: str, by: str) -> DataFrame:
     blocks = F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda r: F.concat(r[text], F.lit("\n\n")))
     return entries.groupBy(F.col("source_path").alias("s")).agg(F.array_join(blocks, "").alias("body"))
