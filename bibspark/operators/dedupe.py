@@ -7,16 +7,20 @@ greedy choice along the order and no window function. ``scope="source"`` looks f
 Small groups, of at most ``FINISH`` entries, are folded in order, as arrays of small rows (key and a hash of the signature, no
 texts); all others are decided without an order, by rounds over the entries that are still open:
 
-* Those that are first both of their key and of their signature stay, and all others of these keys and signatures go. That is
-  plain aggregates (combined map-side, so that a key of very many entries is a row for each task) and joins.
-* Where that decides less than half, entries hang together in chains. An entry that only one open entry stands before (being the
-  second of its key, or of its signature, or both, and the first otherwise) stays if and only if that one goes. These links
-  make trees, whose entries find their roots by pointer jumping: a chain of n entries takes about log2(n) joins, not n / 2 rounds. A
-  root that stays decides its tree. Of any other root it is known which entries of its tree go together, so that the first two of
-  a key that are opposites of each other take it, whatever the root does: all later ones go.
-
-What is open falls in each round, as its first entry is decided; only entries with two open ones before them, which have two more
-each, and so on, make a number of rounds that grows. When at most ``FINISH`` are open, these are folded. No task ever folds more.
+* What is first both of its key and of its signature stays. An entry that only one open entry stands before (being the second of its
+  key, or of its signature, or both, and the first otherwise) stays if and only if that one goes. These links make trees, along
+  which all is decided whose root stays; and what has a key or a signature of what stays goes.
+* Of any other root it is known which entries of its tree go together, so that the first two of a key that are opposites of each
+  other take it, whatever the root does: all later ones go.
+
+Entries find their roots by ranges of the order: a task walks along its entries, of which it knows up to ``NEAR`` at a time, so that
+each stands on an entry outside. What others stand on, few entries in chains of neighbours, is a smaller task of the same kind; so a chain
+is moved a fixed number of times, however long it is. Only links that lead far away, which this leaves over half of, go by pointer jumping:
+about log2(n) joins for a chain of n entries.
+
+Aggregates are combined map-side, so that a key of very many entries is two rows for each task. What is open falls in each round, as its
+first entry is decided; only entries with two open ones before them, which have two more each, and so on, make a number of rounds that
+grows. When at most ``FINISH`` are open, these are folded. No task ever folds more.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from bibspark.operators import parse
 from bibspark.storage import materialize, scratch
 
 FINISH = 1000
+NEAR = 1 << 16
 KEY, TITLE = "KEY_DUPLICATE", "TITLE_DUPLICATE"
 #: A reason that the order of the tests never gives: equal titles are found before equal titles and years.
 TITLE_YEAR = "TITLE_YEAR_DUPLICATE"
@@ -75,20 +80,6 @@ def _folded(rows: DataFrame) -> DataFrame:
     return told.select("group", "at", F.col("v.owner").alias("kept_key"), F.col("v.reason").alias("reason"))
 
 
-def _round(rows: DataFrame) -> DataFrame:
-    """What stays (``stays`` true) or is still open of ``rows``; what goes is left out."""
-    titled = F.col("signature").isNotNull()
-    first_key = rows.groupBy("group", "key").agg(F.min("at").alias("first_key"))
-    first_title = rows.where(titled).groupBy("group", "signature").agg(F.min("at").alias("first_title"))
-    seen = rows.join(first_key, ["group", "key"]).join(first_title, ["group", "signature"], "left")
-    seen = seen.withColumn("stays", (F.col("at") == F.col("first_key")) & (~titled | (F.col("at") == F.col("first_title"))))
-    by_key = seen.groupBy("group", "key").agg(F.max("stays").alias("key_taken"))
-    by_title = seen.where(titled).groupBy("group", "signature").agg(F.max("stays").alias("title_taken"))
-    told = seen.join(by_key, ["group", "key"]).join(by_title, ["group", "signature"], "left")
-    goes = ~F.col("stays") & (F.col("key_taken") | F.coalesce("title_taken", F.lit(False)))
-    return told.where(~goes).select("group", "at", "key", "signature", "stays")
-
-
 def _links(rows: DataFrame) -> DataFrame:
     """The columns of ``rows`` (group, at, key, signature) and before_key, before_title: the entry before, for the second of a key or of
     a signature; later_key, later_title: whether two or more stand before."""
@@ -105,53 +96,94 @@ def _links(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _rooted(linked: DataFrame) -> DataFrame:
-    """group, at, root, flips (whether it does the opposite of its root) of each linked entry (group, at, root: the entry before)."""
-    now = linked.withColumn("flips", F.lit(True))
+def _near(linked: DataFrame) -> DataFrame:
+    """``linked`` (group, at, root, flips) with roots that are none of the ``NEAR`` entries that a task knows with theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            at, root = (list(zip(*(c.to_pylist() for c in batch.column(name).flatten()))) for name in ("at", "root"))
+            flips = batch.column("flips").to_pylist()
+            for i, (a, r) in enumerate(zip(at, root)):
+                if r in known:
+                    root[i], more = known[r]
+                    flips[i] = flips[i] != more
+                known[a] = root[i], flips[i]
+            kind = batch.schema.field("root").type
+            fields = [kind.field(i) for i in range(kind.num_fields)]
+            roots = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*root), fields)], fields=fields) if root else batch.column("root")
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("at"), roots, pa.array(flips, pa.bool_())], ["group", "at", "root", "flips"])
+            if len(known) >= NEAR:
+                known = {}
+
+    # an entry's root stands before it
+    return linked.repartitionByRange("group", "at").sortWithinPartitions("group", "at").mapInArrow(run, linked.schema)
+
+
+def _up(linked: DataFrame, roots: DataFrame) -> DataFrame:
+    """``linked`` (group, at, root, flips) with the roots of their roots, and moved: whether these have any."""
+    up = roots.select("group", F.col("at").alias("root"), F.col("root").alias("next"), F.col("flips").alias("more"))
+    met = linked.join(up, ["group", "root"], "left")
+    return met.select("group", "at", F.coalesce("next", "root").alias("root"), (F.col("flips") != F.coalesce("more", F.lit(False))).alias("flips"), F.col("next").isNotNull().alias("moved"))
+
+
+def _jumped(linked: DataFrame) -> DataFrame:
+    """``_rooted`` by pointer jumping."""
     while True:
-        up = now.select("group", F.col("at").alias("root"), F.col("root").alias("next"), F.col("flips").alias("more"))
-        met = now.join(up, ["group", "root"], "left")
-        new = met.select("group", "at", F.coalesce("next", "root").alias("root"), (F.col("flips") != F.coalesce("more", F.lit(False))).alias("flips"), F.col("next").isNotNull().alias("moved"))
-        new = materialize(new, "dedupe-roots")
-        now = new.drop("moved")
+        new = materialize(_up(linked, linked), "dedupe-roots")
+        linked = new.drop("moved")
         if not new.where("moved").limit(1).count():
-            return now
+            return linked
+
+
+def _rooted(linked: DataFrame) -> DataFrame:
+    """``linked`` (group, at, root: the entry before, flips: true) with root, and whether an entry does the opposite of its root."""
+    near = materialize(_near(linked), "dedupe-near")
+    met = materialize(near.select("group", F.col("root").alias("at")).distinct(), "dedupe-met")
+    between = materialize(near.join(met, ["group", "at"], "left_semi").select(*near.columns), "dedupe-between")
+    left = between.count()
+    if not left:
+        return near
+    roots = _jumped(between) if left > near.count() // 2 else _rooted(between)
+    return materialize(_up(near, roots).drop("moved"), "dedupe-roots")
 
 
-def _by_chains(rows: DataFrame) -> DataFrame:
-    """Like ``_round``, for entries in chains."""
+def _round(rows: DataFrame) -> DataFrame:
+    """What stays (``stays`` true) or is still open of ``rows``; what goes is left out."""
     alone, by_key, by_title = ~F.col("later_key") & ~F.col("later_title"), F.col("before_key"), F.col("before_title")
     before = F.when(alone & by_title.isNull(), by_key).when(alone & (by_key.isNull() | (by_key == by_title)), by_title)
     rows = _links(rows).select("group", "at", "key", "signature", before.alias("root"), (alone & by_key.isNull() & by_title.isNull()).alias("sure"))
     rows = materialize(rows, "dedupe-links")
-    roots = _rooted(rows.select("group", "at", "root").where("root IS NOT NULL"))
+    roots = _rooted(rows.where("root IS NOT NULL").select("group", "at", "root", F.lit(True).alias("flips")))
     # a root that nothing stands before stays
-    roots = roots.join(rows.select("group", F.col("at").alias("root"), F.col("sure").alias("known")), ["group", "root"])
+    unsure = materialize(rows.where("root IS NULL AND NOT sure").select("group", F.col("at").alias("root"), F.lit(False).alias("known")), "dedupe-unsure")
+    roots = roots.join(unsure, ["group", "root"], "left").withColumn("known", F.coalesce("known", F.lit(True)))
     told = rows.drop("root").join(roots, ["group", "at"], "left")
     told = told.select("group", "at", "key", "signature", F.coalesce("root", "at").alias("root"), F.coalesce("flips", F.lit(False)).alias("flips"), F.coalesce("known", "sure").alias("sure"))
-    told = materialize(told.withColumn("stays", F.col("sure") & ~F.col("flips")), "dedupe-told")
-    taken = told.where("stays")
+    told = materialize(told, "dedupe-told")
+    # in the tree of a root that stays all is decided
+    stay = told.where("sure AND NOT flips").select("group", "at", "key", "signature", F.lit(True).alias("stays"))
+    left = told.where("NOT sure")
     for by in ("key", "signature"):
-        have = told.where(F.col(by).isNotNull())
+        have = left.where(F.col(by).isNotNull())
         # opposites: one of them stays, so what comes after both goes
         each = have.groupBy("group", by, "root").agg(F.min(F.when(F.col("flips"), F.col("at"))).alias("odd"), F.min(F.when(~F.col("flips"), F.col("at"))).alias("even"))
         both = each.where("odd IS NOT NULL AND even IS NOT NULL").groupBy("group", by).agg(F.min(F.greatest("odd", "even")).alias("until"))
-        mine = taken.where(F.col(by).isNotNull()).select("group", by, F.lit(True).alias("met")).distinct()
-        told = told.join(both, ["group", by], "left").join(mine, ["group", by], "left")
-        told = told.withColumn(f"out_{by}", F.coalesce("met", F.lit(False)) | F.coalesce(F.col("at") > F.col("until"), F.lit(False))).drop("until", "met")
-    return told.where(F.col("stays") | ~(F.col("out_key") | F.col("out_signature"))).select("group", "at", "key", "signature", "stays")
+        mine = stay.where(F.col(by).isNotNull()).select("group", by, F.lit(True).alias("met")).distinct()
+        left = left.join(both, ["group", by], "left").join(mine, ["group", by], "left")
+        left = left.withColumn(f"out_{by}", F.coalesce("met", F.lit(False)) | F.coalesce(F.col("at") > F.col("until"), F.lit(False))).drop("until", "met")
+    return stay.unionByName(left.where("NOT (out_key OR out_signature)").select("group", "at", "key", "signature", F.lit(False).alias("stays")))
 
 
 def _by_rounds(rows: DataFrame, finish: int) -> DataFrame:
     """group, at, kept_key, reason by rounds."""
     with scratch() as keep:
-        open_, kept, left, chains = rows, [], rows.count(), False
+        open_, kept, left = rows, [], rows.count()
         while left > finish:
-            now = materialize((_by_chains if chains else _round)(open_), "dedupe-round")
+            now = materialize(_round(open_), "dedupe-round")
             kept.append(now.where("stays").drop("stays"))
-            open_, before = now.where("NOT stays").drop("stays"), left
+            open_ = now.where("NOT stays").drop("stays")
             left = open_.count()
-            chains = left > before // 2
         # what is open has no neighbour that stays, so the fold needs nothing but itself
         last = _folded(open_).where("reason IS NULL").select("group", "at")
         kept.append(open_.join(last, ["group", "at"], "left_semi"))
@@ -168,7 +200,7 @@ def _by_rounds(rows: DataFrame, finish: int) -> DataFrame:
 def _decided(rows: DataFrame, scope: str, finish: int) -> DataFrame:
     """source_path, ord, kept_key, reason of ``rows`` (source_path, ord, key, signature)."""
     group = F.col("source_path") if scope == "source" else F.lit("")
-    rows = materialize(rows.select(group.alias("group"), F.struct("source_path", "ord").alias("at"), "key", F.md5(F.col("signature").cast("binary")).alias("signature")), "dedupe")
+    rows = materialize(rows.select(group.alias("group"), F.struct("source_path", "ord").alias("at"), "key", F.unhex(F.md5(F.col("signature").cast("binary"))).alias("signature")), "dedupe")
     sizes = rows.groupBy("group").agg((F.count(F.lit(1)) > finish).alias("large"))
     if sizes.where("large").limit(1).count():
         rows = rows.join(sizes, "group")

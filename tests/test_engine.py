@@ -130,6 +130,28 @@ def test_chains_take_a_logarithm_of_jobs(spark, monkeypatch, n):
     assert storage._written[:tables] == before and len(left) == (6 if n < 10_000 else 3) and not any("round" in p or "roots" in p or "links" in p for _, p in left)
 
 
+@pytest.mark.parametrize("kind", ["near", "any", "far"])
+def test_roots_of_long_chains_are_found_by_ranges(spark, monkeypatch, kind):
+    """A chain of neighbours is moved a fixed number of times, not once for each doubling; links that lead far away are followed too."""
+    n, rng = 2000, random.Random(7)
+    before = {i: i - 1 for i in range(1, n)} if kind == "near" else {i: rng.randrange(i) for i in range(1, n) if i % 50} if kind == "any" else {i: i - 500 for i in range(500, n)}
+    want = {}
+    for i, b in before.items():
+        root, flips = want.get(b, (b, False))
+        want[i] = root, not flips
+    written, real = [], dedupe.materialize
+    monkeypatch.setattr(dedupe, "materialize", lambda df, name="t": written.append(name) or real(df, name))
+    monkeypatch.setattr(dedupe, "NEAR", 64)
+    linked = spark.createDataFrame([("g", ("s", i), ("s", b), True) for i, b in before.items()], "group string, at struct<source_path: string, ord: int>, root struct<source_path: string, ord: int>, flips boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r["at"]["ord"]: (r["root"]["ord"], r["flips"]) for r in dedupe._rooted(linked).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert kind != "near" or written.count("dedupe-roots") <= 2
+
+
 def test_tangles_equal_the_fold(spark):
     """Few keys and titles, so that nearly all entries hang together, in chains and in knots; also titles that only one has."""
     for seed, keys, titles in ((1, 60, 60), (2, 250, 250), (3, 3, 300), (4, 300, 2), (5, 500, 140)):
